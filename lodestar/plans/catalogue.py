@@ -1,0 +1,4 @@
+"""Queries over the driver tables and their SQL equivalents."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
