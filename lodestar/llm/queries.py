@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, itq, packing, quality, secrets, simhash, toxicity
+from . import ann, itq, licenses, packing, quality, secrets, sentencepiece, simhash, tokencounts, toxicity
 from .common import table
 
 PACK_TOKENIZER = "word_bpe_49k.json"
@@ -18,6 +18,10 @@ def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.expr("id % 20 = 0"), k=20)
 
 
+def op2_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -28,6 +32,11 @@ def op4_open_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(PACK_TOKENIZER), with_ids=False).drop("ids")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False).drop("ids")
+
+
 def op6_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
 
@@ -42,6 +51,11 @@ def op7_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", _fold(3, 1), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencounts.count_by_section(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.digest(secrets.scan(docs, secrets.train(docs)))
@@ -60,8 +74,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_permutation_index, op3_simhash_bk_trees, op4_open_window_packing, op6_itq_near_duplicates,
-        op7_byte_cnn_quality, op9_markov_secrets, op10_pu_toxicity, pipeline,
+        op1_permutation_index, op2_license_paragraphs, op3_simhash_bk_trees, op4_open_window_packing, op5_sentencepiece,
+        op6_itq_near_duplicates, op7_byte_cnn_quality, op8_section_tokens, op9_markov_secrets, op10_pu_toxicity, pipeline,
     )
 }
-ORACLES: dict[str, str] = {}
+
+
+def oracles() -> dict[str, str]:
+    """SQL where an operator has an SQL form; tests/llm compare the others with brute force."""
+    return {"op2_license_paragraphs": licenses.oracle_sql()}
