@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import struct
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -19,31 +22,80 @@ LENGTH = 4096
 OPEN_WINDOWS = 32
 MERGE_PARTITIONS = 64  # leftovers of so many partitions meet in one task
 TOP_UP = 16  # a gap of at least this is filled with the head of the next piece
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+CHECKED = 2000
 
 
-class WordIds:
+class WordIds(dict):
     """Ids of whole texts, a white-space separated word at a time, known words from a bounded cache.
 
-    Exact for tokenizers that drop white space and never join over it.
+    Exact for tokenizers that drop white space, never join over it, ignore case, and
+    take a full stop or comma after a letter as a token of its own.  Words of letters
+    alone go through the same merges in a quicker library (see ``merger``) once that has
+    given the same ids for CHECKED words; any difference sends all words to the tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encoder, self.known = Tokenizer.from_file(path), {}
+        self.encoder, self.merge, self.checked = Tokenizer.from_file(path), merger(path), 0
+
+    @staticmethod
+    def _pack(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, word: bytes) -> bytes:
+        if word[-1] in b".," and b"a" <= word[-2:-1] <= b"z":
+            got = self[word[:-1]] + self[word[-1:]]
+        else:
+            got = self._encode(word.decode("utf-8", "replace"))
+        self[word] = got
+        return got
+
+    def _encode(self, word: str) -> bytes:
+        plain = self.merge is not None and word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
+        quick = self.merge(word) if plain else None
+        if plain and self.checked >= CHECKED:
+            return self._pack(quick)
+        ids = self.encoder.encode(word, add_special_tokens=False).ids
+        if plain:
+            self.checked += 1
+            if quick != ids:
+                self.merge = None
+        return self._pack(ids)
 
     def __call__(self, text: bytes, end_id: int) -> np.ndarray:
-        words = text.split()  # ASCII white space; the tokenizer itself deals with any other
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(set(words))
-        if new:
-            for w, e in zip(new, self.encoder.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]) + np.array([end_id], "<u4").tobytes(), "<u4")
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        words = text.lower().split()  # ASCII letters and white space; the tokenizer itself deals with any other
+        return np.frombuffer(b"".join(map(self.__getitem__, words)) + self._pack([end_id]), "<u4")
+
+
+def merger(path: str):
+    """Ids of one lower-case word by the merges of a tokenizer file with word ends; None for another kind of file.
+
+    The end of a word is the byte 255, which no text holds: a last byte takes it first,
+    then merges go by their rank in the file.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    if model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>":
+        return None
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+    letter = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+
+    def raw(token: str) -> bytes:
+        body, end = (token[:-4], b"\xff") if token.endswith("</w>") and len(token) > 4 else (token, b"")
+        return bytes(letter[c] for c in body) + end
+
+    ranks = {bytes([b]): b for b in range(256)} | {bytes([b, 255]): 256 + b for b in range(255)}
+    for i, pair in enumerate(model["merges"]):
+        ranks.setdefault(raw("".join(pair if isinstance(pair, list) else pair.split(" "))), 1000 + i)
+    ids = {ranks[r]: i for t, i in model["vocab"].items() if all(c in letter for c in t.removesuffix("</w>")) and (r := raw(t)) in ranks and (b"\xff" in r) == (t.endswith("</w>") and len(t) > 4)}
+    piece = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    return lambda word: [ids[r] for r in piece(word.encode() + b"\xff")]
 
 
 class Windows:
