@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +14,11 @@ from pyspark.sql import DataFrame
 #: White space as the tokenizer's own split pattern sees it. A piece of text that ends before white space is encoded alike alone.
 _WS = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 500_000
+CHECKED = 2000
+_PLAIN = re.compile(f" ?[^{_WS}]+")
+#: Fixed value: how a byte-level tokenizer splits text.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("start", "end", "most")
 
 
@@ -21,35 +27,85 @@ def lines(text: str) -> list[int]:
     return [0, *[m.end() for m in re.finditer("\n", text) if m.end() < len(text)]]
 
 
-class Spans:
-    """Character spans of the tokens of whole texts, from a bounded cache of chunks."""
+class Spans(dict):
+    """Character spans of the tokens of whole texts, from a bounded cache of chunks.
+
+    Chunks of at most one space and then no white space go through the same vocabulary
+    in a quicker library once that has given the same spans for CHECKED of them; any
+    difference sends all chunks to the tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encoder, self.known = Tokenizer.from_file(path), {}
+        self.encoder, self.checked = Tokenizer.from_file(path), 0
         self.encoder.encode_special_tokens = True  # such strings in a document are ordinary text
+        self.quick = byte_level(path)
+
+    def __missing__(self, chunk: str) -> bytes:
+        plain = self.quick is not None and _PLAIN.fullmatch(chunk) is not None
+        spans = self._quick(chunk) if plain else None
+        if spans is None or self.checked < CHECKED:
+            got = [x for span in self.encoder.encode(chunk, add_special_tokens=False).offsets for x in span]
+            if spans is not None:
+                self.checked += 1
+                if spans != got:
+                    self.quick = None
+        else:
+            got = spans
+        self[chunk] = got = struct.pack(f"<{len(got)}i", *got)
+        return got
+
+    def _quick(self, chunk: str) -> list[int] | None:
+        """Starts and ends in turn, or null where a token is a space alone."""
+        encode, sizes = self.quick
+        out, at, space = [], 0, chunk[0] == " "
+        if chunk.isascii():
+            for x in encode(chunk):
+                out += (at, at + sizes[x])
+                at += sizes[x]
+        else:
+            of = [i for i, c in enumerate(chunk) for _ in range(len(c.encode("utf-8", "replace")))]
+            for x in encode(chunk):
+                out += (of[at], of[at + sizes[x] - 1] + 1)
+                at += sizes[x]
+        if space:
+            if out[1] == 1:
+                return None
+            out[0] = 1
+        return out
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(first character, one past the last) of each token, a leading space left out."""
         chunks = _CHUNK.findall(text)
         if not chunks:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        known = self.known  # of one text at a time, so that the cache stays bounded
-        new = list({c for c in chunks if c not in known})
-        if len(known) + len(new) > CACHE_CHUNKS:
-            known.clear()
-            new = list(set(chunks))
-        if new:
-            for c, e in zip(new, self.encoder.encode_batch(new, add_special_tokens=False)):
-                known[c] = np.array(e.offsets, "<i4").reshape(-1, 2).tobytes()
-        got = [known[c] for c in chunks]
+        if len(self) > CACHE_CHUNKS:
+            self.clear()
+        got = list(map(self.__getitem__, chunks))
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         tokens = np.fromiter(map(len, got), np.int64, len(got)) >> 3
         spans = np.frombuffer(b"".join(got), "<i4").reshape(-1, 2) + np.repeat(np.cumsum(sizes) - sizes, tokens)[:, None]
         return spans[:, 0], spans[:, 1]
 
 
+def byte_level(path: str):
+    """Ids of a text by the vocabulary of a byte-level tokenizer file, and the bytes of each; None for another kind."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    model = whole["model"]
+    if model.get("type") != "BPE" or (whole.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or whole.get("normalizer"):
+        return None
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+    letter = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+    special = {t["content"] for t in whole.get("added_tokens", [])}
+    ranks = {bytes(letter[c] for c in t): i for t, i in model["vocab"].items() if t not in special and all(c in letter for c in t)}
+    sizes = {i: len(r) for r, i in ranks.items()}
+    return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, sizes
+
+
 def allocate(first: np.ndarray, end: np.ndarray, starts: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of each section, and how many of them cross a boundary.
 
