@@ -56,10 +56,10 @@ class Spans(dict):
         self[chunk] = got = struct.pack(f"<{len(got)}i", *got)
         return got
 
-    def _quick(self, chunk: str) -> list[int] | None:
-        """Starts and ends in turn, or null where a token is a space alone."""
+    def _quick(self, chunk: str) -> list[int]:
+        """Starts and ends in turn."""
         encode, sizes = self.quick
-        out, at, space = [], 0, chunk[0] == " "
+        out, at = [], 0
         if chunk.isascii():
             for x in encode(chunk):
                 out += (at, at + sizes[x])
@@ -69,14 +69,10 @@ class Spans(dict):
             for x in encode(chunk):
                 out += (of[at], of[at + sizes[x] - 1] + 1)
                 at += sizes[x]
-        if space:
-            if out[1] == 1:
-                return None
-            out[0] = 1
         return out
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(first character, one past the last) of each token, a leading space left out."""
+        """(first character, one past the last) of each token; a space before a word is part of its token."""
         chunks = _CHUNK.findall(text)
         if not chunks:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
