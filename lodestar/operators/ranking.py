@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -36,10 +36,16 @@ EXAMPLE_TASK = rf"(?i){_B}(?:demos?|examples?|samples?){_E}"
 ASSIGNS = r"""(?<![A-Za-z0-9_])(?:const|let|var)\s+[$A-Za-z_][$A-Za-z0-9_]*(?:\s*:[^=\r\n]+)?\s*=\s*[/("'`]?\s*$"""
 
 
+@functools.cache
+def stems_of(words: tuple[str, ...]) -> tuple[str, ...]:
+    """Stems of fixed words: one small job, so that plans hold plain literals."""
+    rows = SparkSession.active().createDataFrame([(" ".join(words),)], "w string").select(T.tokenize(F.col("w"))).first()
+    return tuple(rows[0])
+
+
 def about(tokens: Column, text: Column, words: list[str]) -> Column:
     """A word of the list is among the tokens (by its stem), or stands in the text."""
-    hits = [(F.size(T.tokenize(F.lit(w))) > 0) & (F.size(F.array_except(T.tokenize(F.lit(w)), tokens)) == 0) for w in words]
-    return functools.reduce(Column.__or__, hits) | text.rlike(rf"(?i)(^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(words)})(?=$|[^\p{{L}}\p{{N}}_])")
+    return F.arrays_overlap(tokens, F.array(*map(F.lit, stems_of(tuple(words))))) | text.rlike(rf"(?i)(^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(words)})(?=$|[^\p{{L}}\p{{N}}_])")
 
 
 def intents(tasks: DataFrame) -> DataFrame:
@@ -138,7 +144,7 @@ def score(cands: DataFrame, tasks: DataFrame, changed: DataFrame) -> DataFrame:
     one_name = (F.size("path_hits") >= 2) & (F.size("name_tokens") == 1) & (F.size(F.array_intersect("name_tokens", tok)) == 1)
     implementation = (F.col("kind") == "code") & ~F.col("is_test") & ~F.col("auxiliary") & ~F.col("declaration") & ~F.lower("path").startswith("benchmarks/")
     kind, has_defs = F.col("kind"), F.size("defs") > 0
-    deploy_file = (F.col("path") == "package.json") | F.arrays_overlap("path_tokens", F.flatten(F.array(*[T.tokenize(F.lit(w)) for w in DEPLOYMENT])))
+    deploy_file = (F.col("path") == "package.json") | F.arrays_overlap("path_tokens", F.array(*map(F.lit, stems_of(tuple(DEPLOYMENT)))))
     demo = (kind == "code") & F.col("auxiliary") & ~F.col("wants_examples") & ~F.col("wants_ui") & free
     if_ = lambda cond, v: F.when(cond, v).otherwise(0)
     features = {
