@@ -18,6 +18,7 @@ SEED = 42
 SHINGLE = 3
 RADIUS = 2
 SHARD_ROWS = 4096  # members that one shard of trees holds, about
+SALTS = 32  # keys that the rows of one component are dealt over
 HOT_ROWS = 2048  # a bucket beyond this is cut into chunks, met pairwise
 
 
@@ -160,5 +161,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = connected_components(link(first.select("fp"), radius))
     joined = materialize(first.join(comp, first.fp == comp.node, "left").select("fp", "first_id", F.col("component")))
     least = joined.where("component is not null").groupBy("component").agg(F.min("first_id").alias("low"))
-    of = joined.join(least, "component", "left").select("fp", F.coalesce("low", "first_id").alias("component_id"))
+    # a large group of near copies is one component: its rows go to SALTS keys
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = joined.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    of = salted.join(least, ["component", "salt"], "left").select("fp", F.coalesce("low", "first_id").alias("component_id"))
     return marked.join(materialize(of), "fp", "left").select("doc_id", "fp", "component_id")
