@@ -21,7 +21,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 #: Bounds of the samples of positives and of unlabelled documents.
 POSITIVES, UNLABELLED = 1500, 3000
 #: Texts of the positives that a feature must occur in (so many, and this share), and its rate there against unlabelled text.
-MIN_TEXTS, MIN_LIFT = (3, 0.005), 4.0
+MIN_TEXTS, MIN_LIFT = (3, 0.005), 5.0
 #: Features of a smaller weight are left out of the second fit.
 MIN_WEIGHT = 0.25
 CACHE_WORDS = 400_000
