@@ -108,13 +108,17 @@ class PUModel:
 
 def fit(positives: list[str], unlabelled: list[str], prior: float) -> PUModel:
     """Near copies count once.  Without positives or unlabelled text everything scores the prior."""
-    ps, us = ([text_features(t) for t in unlike(x)] for x in (positives, unlabelled))
+    ps, us = unlike(positives), unlike(unlabelled)
     bias = float(np.log(prior / (1 - prior)))
     if not ps or not us:
         return PUModel({}, bias)
-    in_p, in_u = (Counter(f for s in x for f in s) for x in (ps, us))
+    in_p = Counter(f for t in ps for f in text_features(t))
     least = max(MIN_TEXTS[0], round(MIN_TEXTS[1] * len(ps)))
-    chosen = sorted(f for f, c in in_p.items() if c >= least and c / len(ps) >= MIN_LIFT * (in_u[f] + 0.5) / len(us))
+    common = {f for f, c in in_p.items() if c >= least}
+    # no more of a text is kept than what enough positives share
+    ps, us = ([text_features(t) & common for t in x] for x in (ps, us))
+    in_u = Counter(f for s in us for f in s)
+    chosen = sorted(f for f in common if in_p[f] / len(ps) >= MIN_LIFT * (in_u[f] + 0.5) / len(us))
     if not chosen:
         return PUModel({}, bias)
     col = {f: k for k, f in enumerate(chosen)}
