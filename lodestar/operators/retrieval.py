@@ -25,27 +25,29 @@ def document_frequency(tf: DataFrame) -> DataFrame:
     return tf.groupBy("token").agg(F.count("*").alias("df"))
 
 
-def bm25(docs: DataFrame, tasks: DataFrame, key: str = "path", text: str = "text", task: str = "task_id", issue: str = "issue_text", limit: int = 5) -> DataFrame:
-    """``(task, rank, key, score)``: the ``limit`` best documents of every task.
+def bm25(docs: DataFrame, tasks: DataFrame, key: str = "path", text: str = "text", task: str = "task_id", issue: str = "issue_text", limit: int = 5, by: list[str] | None = None) -> DataFrame:
+    """``(by..., task, rank, key, score)``: the ``limit`` best documents of every task.
 
+    With ``by``, each of its values is a corpus of its own, searched by its own tasks.
     Documents are reduced to the tokens that some task asks for before anything is
     shuffled; scores are rounded to six places, ties go to the smaller key.
     """
-    terms = tasks.select(task, F.explode(T.query_terms(F.col(issue))).alias("token"))
-    wanted = terms.select("token").distinct()
-    lengths = document_lengths(docs, key, text)
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    by = list(by or [])
+    terms = tasks.select(*by, task, F.explode(T.query_terms(F.col(issue))).alias("token"))
+    wanted = terms.select(*by, "token").distinct()
     # the length stands beside the tokens before they are exploded, or each token would count them anew
-    listed = docs.select(key, T.retrieval_tokens(F.col(text)).alias("listed")).select(key, "listed", F.size("listed").alias("length"))
-    tokens = listed.select(key, "length", F.explode("listed").alias("token"))
-    tf = tokens.join(wanted, "token", "left_semi").groupBy(key, "token", "length").agg(F.count("*").alias("tf"))
-    df = document_frequency(tf)
+    listed = docs.select(*by, key, T.retrieval_tokens(F.col(text)).alias("listed")).select(*by, key, "listed", F.size("listed").cast("bigint").alias("length"))
+    corpus = listed.groupBy(*by).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    tokens = listed.select(*by, key, "length", F.explode("listed").alias("token"))
+    tf = tokens.join(wanted, [*by, "token"], "left_semi").groupBy(*by, key, "token", "length").agg(F.count("*").alias("tf"))
+    df = tf.groupBy(*by, "token").agg(F.count("*").alias("df"))
     mean = F.when(F.coalesce("mean", F.lit(0.0)) == 0, 1.0).otherwise(F.col("mean"))
-    weighted = tf.join(df, "token").crossJoin(F.broadcast(corpus))  # one row
+    weighted = tf.join(df, [*by, "token"])
+    weighted = weighted.join(corpus, by) if by else weighted.crossJoin(F.broadcast(corpus))  # one row
     part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    scored = weighted.select(key, "token", part.alias("part")).join(terms, "token").groupBy(task, key).agg(F.round(F.sum("part"), 6).alias("score"))
-    best = Window.partitionBy(task).orderBy(F.desc("score"), key)
-    return scored.where("score > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select(task, "rank", key, "score")
+    scored = weighted.select(*by, key, "token", part.alias("part")).join(terms, [*by, "token"]).groupBy(*by, task, key).agg(F.round(F.sum("part"), 6).alias("score"))
+    best = Window.partitionBy(*by, task).orderBy(F.desc("score"), key)
+    return scored.where("score > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select(*by, task, "rank", key, "score")
 
 
 def literal_search(docs: DataFrame, tasks: DataFrame, key: str = "path", text: str = "text", task: str = "task_id", issue: str = "issue_text", limit: int = 5) -> DataFrame:

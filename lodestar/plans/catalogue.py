@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
-from ..operators import cochange, context, diagnostics, evaluation, exclusion, graph, grounding, impact, ranking, reports, retrieval, routes
+from ..operators import backtest, cochange, context, diagnostics, evaluation, exclusion, graph, grounding, impact, ranking, reports, retrieval, routes
 from ..operators.signals import task_signals
 from ..sources import scan
 from ..streaming import watch
 from . import fixtures as X
+from . import render
 from . import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -801,3 +802,73 @@ def watch_updates_batch(spark, sf_dir):
     """The same rule over a complete feed."""
     feed = t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("repo_id"), F.col("ts").alias("observed_at"), F.col("event_id").alias("seq"), F.col("event_type").alias("fingerprint"))
     return watch.updates_of_batch(feed).select("repo_id", "sequence", "seq")
+
+
+# ---------------------------------------------------------------- back-tests and texts
+
+_TIERS = [("see src/a/b.ts now", "src/a/b.ts", "full-path"), ("see a/b.ts now", "src/a/b.ts", "path-suffix"), ("see b.ts now", "src/a/b.ts", "basename"), ("see xb.ts now", "src/a/b.ts", "none"), ("lib/src/a/b.ts", "src/a/b.ts", "none"), ("https://github.com/o/r/blob/main/src/a/b.ts#L1", "src/a/b.ts", "full-path"), ("SRC/A/B.ts", "src/a/b.ts", "none")]
+
+
+@query("SELECT issue, path, tier FROM " + X.sql_values(_TIERS, "issue, path, tier"))
+def mention_tiers(spark, sf_dir):
+    """How much of an answer a task gives away; expected values by hand."""
+    return spark.createDataFrame([t_[:2] for t_ in _TIERS], "issue string, path string").select("issue", "path", backtest.mention_tier(F.col("issue"), F.col("path")).alias("tier"))
+
+
+_PAST = [("auth", "h1", "openSession reads token of the user", ["src/session.ts"]), ("auth", "h2", "fix", ["src/token.ts"]), ("auth", "h3", "login route const export in src/routes/login.ts", ["src/routes/login.ts", "docs/login.md"]), ("auth", "h4", "write login docs", ["docs/login.md"]), ("auth", "h5", "empty change here", []), ("shop", "h6", "price of item", ["packages/price/src/index.ts"])]
+
+
+def _past(spark):
+    return spark.createDataFrame(_PAST, "repo_id string, hash string, message string, files array<string>")
+
+
+@query("SELECT * FROM (VALUES ('auth', 'too-few-terms', 1::BIGINT), ('auth', 'no-target', 1), ('auth', 'empty', 1)) AS v(repo_id, reason, n)")
+def backtest_skips(spark, sf_dir):
+    return backtest.cases(_past(spark), X.code_files(spark))[1]
+
+
+@query("SELECT * FROM (VALUES ('h1', 'src/session.ts'), ('h3', 'src/routes/login.ts'), ('h6', 'packages/price/src/index.ts')) AS v(task_id, path)")
+def backtest_cases(spark, sf_dir):
+    return backtest.cases(_past(spark), X.code_files(spark))[0].select("task_id", "path")
+
+
+@query("SELECT 'bm25' AS arm, cohort, k, hits, n FROM (VALUES ('all', 5, 3::BIGINT, 3::BIGINT), ('mentioned', 5, 1, 1), ('unmentioned', 5, 2, 2)) AS v(cohort, k, hits, n)")
+def repository_backtest(spark, sf_dir):
+    """BM25 over past changes of two repositories in one job, at five files."""
+    return backtest.backtest(_past(spark), X.code_files(spark)).where("k = 5").select("arm", "cohort", "k", "hits", "n")
+
+
+@query("SELECT * FROM (VALUES ('t2', 1, 'src/routes/login.ts')) AS v(task_id, rank, path)")
+def path_extraction(spark, sf_dir):
+    return backtest.extracted_paths(task_signals(X.tasks(spark)), X.code_files(spark)).select("task_id", "rank", "path")
+
+
+@query("""SELECT 'p1' AS plan_id, 'flowchart TD' || chr(10) || '  n1["a&amp;b.ts"]:::primary' || chr(10) || '  n2["c.ts"]:::impact' || chr(10) || '  n1 -.-|"co-change"| n2' || chr(10) || '  classDef primary stroke-width:2px' || chr(10) || '  classDef impact stroke-width:1px' || chr(10) AS text""")
+def mermaid_graph(spark, sf_dir):
+    nodes = spark.createDataFrame([("p1", 1, "n1", "a&b.ts", "primary"), ("p1", 2, "n2", "c.ts", "impact")], "plan_id string, n int, id string, path string, role string")
+    return render.mermaid(nodes, spark.createDataFrame([("p1", 1, 0, "n1", "n2", "co-change", "co-change")], "plan_id string, rank int, pos int, src string, dst string, kind string, label string"))
+
+
+@query("""SELECT 0 AS pair_id, '- entered `b`: rank - to 1, score - to 4' || chr(10) || '- left `a`: rank 1 to -, score 5 to -' AS text""")
+def comparison_text(spark, sf_dir):
+    one = lambda p, s: spark.createDataFrame([(0, p, 1, s, "low")], "pair_id int, path string, rank int, score int, confidence string")
+    return render.comparison_markdown(reports.compare(one("a", 5), one("b", 4)))
+
+
+@query("SELECT 'p1' AS plan_id, true AS valid")
+def report_json(spark, sf_dir):
+    """A report written as JSON passes validation when read again."""
+    plans = spark.createDataFrame([("p1", "do it")], "plan_id string, summary string")
+    ranked = spark.createDataFrame([("p1", 1, "a.ts", 9, "medium", ["x"])], "plan_id string, rank int, path string, score int, confidence string, reasons array<string>")
+    routes_ = spark.createDataFrame([("p1", 1, "npm run test", "root", ["t.test.ts"])], "plan_id string, ord int, command string, reason string, relatedFiles array<string>")
+    risks = spark.createDataFrame([("p1", 1, "data", "low")], "plan_id string, ord int, area string, severity string")
+    text = render.report_json(plans, ranked, routes_, risks, spark.createDataFrame([("p1", "a.ts")], "plan_id string, path string"))
+    return reports.validate(text.select(F.col("plan_id").alias("label"), "report")).select(F.col("label").alias("plan_id"), "valid")
+
+
+@query("SELECT 'p1' AS plan_id, '# Plan' || chr(10) || chr(10) || 'do it' || chr(10) || chr(10) || '## Files' || chr(10) || chr(10) || '1. `a.ts` (medium confidence, score 9): x; y' || chr(10) || chr(10) || '## Tests' || chr(10) || chr(10) || '- none' || chr(10) || chr(10) || '## Risks' || chr(10) || chr(10) || '- low: data' || chr(10) AS text")
+def report_text(spark, sf_dir):
+    plans = spark.createDataFrame([("p1", "do it")], "plan_id string, summary string")
+    ranked = spark.createDataFrame([("p1", 1, "a.ts", 9, "medium", ["x", "y"])], "plan_id string, rank int, path string, score int, confidence string, reasons array<string>")
+    none = spark.createDataFrame([], "plan_id string, ord int, command string, reason string")
+    return render.report_markdown(plans, ranked, none, spark.createDataFrame([("p1", 1, "data", "low")], "plan_id string, ord int, area string, severity string"))
