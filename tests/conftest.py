@@ -28,6 +28,7 @@ def same():
     import glob
 
     import duckdb
+    import numpy as np
 
     con = duckdb.connect()
     for p in glob.glob(f"{SF}/*.parquet"):
@@ -35,7 +36,7 @@ def same():
 
     def rows(df):
         df = df[sorted(df.columns)]
-        one = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        one = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else str(v)
         return sorted(repr([one(None if type(v).__name__ in ("NAType", "NaTType") else v) for v in r]) for r in df.itertuples(index=False, name=None))
 
     def check(df, sql):
