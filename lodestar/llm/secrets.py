@@ -22,8 +22,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Log-likelihood ratio a character, in nats, that a candidate must exceed, and the ratio in all.
 PER_CHAR, IN_ALL = 0.7, 20.0
-#: Bound of the sample of documents that ordinary strings are learned from.
-SAMPLE_DOCS = 400
+#: Bounds of what ordinary strings are learned from: documents, characters of each, words in all.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 400, 20_000, 200_000
 
 _CODE = np.full(128, len(ALPHABET), np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
@@ -64,7 +64,7 @@ def random_samples(n: int = 3000, seed: int = 7) -> list[str]:
 def ordinary_samples(texts: list[str], seed: int = 7) -> list[str]:
     """Labelled negatives: words of ordinary text, and identifiers, paths and numbers made of them."""
     rnd = random.Random(seed)
-    words = [w for t in texts for w in re.findall(r"[A-Za-z]{2,}", "".join(c if ord(c) < 128 else " " for c in t))][:200_000]
+    words = [w for t in texts for w in re.findall(r"[A-Za-z]{2,}", "".join(c if ord(c) < 128 else " " for c in t))][:SAMPLE_WORDS]
     words = words or ["the", "name", "value", "index"]
     out = list(words)
     for _ in range(6000):
@@ -103,10 +103,14 @@ class MarkovSecrets:
         return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]), s[1])) if more else base
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> MarkovSecrets:
-    """Fit on ``random_samples`` and on words of at most ``sample_docs`` documents, by hash of the id."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> MarkovSecrets:
+    """Fit on ``random_samples`` and on words of at most ``sample_docs`` documents, by hash of the id.
+
+    Of these ``sample_chars`` characters are read, so the driver's share is bounded; what
+    is scanned is always the whole text.
+    """
     ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i")).distinct().orderBy(F.xxhash64("i"), "i").limit(sample_docs)
-    some = docs.join(F.broadcast(ids), docs[id_col] == ids.i, "left_semi").groupBy(id_col).agg(F.max(F.substring(text_col, 1, 20_000)).alias("t"))
+    some = docs.join(F.broadcast(ids), docs[id_col] == ids.i, "left_semi").groupBy(id_col).agg(F.max(F.substring(text_col, 1, sample_chars)).alias("t"))
     texts = [r.t for r in some.orderBy(id_col).limit(sample_docs).collect() if r.t]
     return MarkovSecrets(random_samples(), ordinary_samples(texts))
 
