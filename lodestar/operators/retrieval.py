@@ -53,12 +53,16 @@ def bm25(docs: DataFrame, tasks: DataFrame, key: str = "path", text: str = "text
 def literal_search(docs: DataFrame, tasks: DataFrame, key: str = "path", text: str = "text", task: str = "task_id", issue: str = "issue_text", limit: int = 5) -> DataFrame:
     """Keyword search by substring: most distinct terms, then most occurrences, then key.
 
-    Terms are few and distinct, so each text is scanned once against each of them.
+    A term is of three or more letters, digits, ``_`` and ``$``, so it stands within a
+    run of these; each distinct run is held against the terms that begin with one of its
+    trigrams, once for all documents and tasks, and no text against every term.
     """
     terms = tasks.select(task, F.explode(T.query_terms(F.col(issue))).alias("term"))
-    words = terms.select("term").distinct()
-    low = docs.select(key, F.lower(text).alias("low"))
-    hits = low.join(words, F.col("low").contains(F.col("term"))).select(key, "term", T.occurrences(F.col("low"), F.col("term")).alias("n"))
+    words = terms.select("term").distinct().withColumn("gram", F.substring("term", 1, 3))
+    runs = docs.select(key, F.explode(T.find_all(F.lower(text), "[a-z0-9_$]{3,}")).alias("run")).groupBy(key, "run").agg(F.count("*").alias("times"))
+    grams = runs.select("run").distinct().select("run", F.explode(F.array_distinct(F.regexp_extract_all("run", F.lit("(?=(...))"), F.lit(1)))).alias("gram"))
+    within = grams.join(words, "gram").where(F.col("run").contains(F.col("term"))).select("run", "term", T.occurrences(F.col("run"), F.col("term")).alias("n"))
+    hits = runs.join(within, "run").groupBy(key, "term").agg(F.sum(F.col("times") * F.col("n")).alias("n"))
     scored = hits.join(terms, "term").groupBy(task, key).agg(F.count("*").alias("terms"), F.sum("n").alias("occurrences"))
     best = Window.partitionBy(task).orderBy(F.desc("terms"), F.desc("occurrences"), key)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select(task, "rank", key, "terms", "occurrences")

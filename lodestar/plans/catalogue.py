@@ -96,6 +96,12 @@ def literal_search_topk(spark, sf_dir):
     return retrieval.literal_search(_docs(spark, sf_dir), _bench(spark, sf_dir).where(F.length("issue_text") < 120), key="doc_id")
 
 
+@query(ORACLES["literal_search_topk"].replace(" WHERE length(text) < 120", ""))
+def literal_search_all_passages(spark, sf_dir):
+    """Substring search of every benchmark passage, whatever its length."""
+    return retrieval.literal_search(_docs(spark, sf_dir), _bench(spark, sf_dir), key="doc_id")
+
+
 @query(f"""WITH {S.retrieval_tokens('documents', 'doc_id', 'text', 'd')}
 SELECT doc_id, count(*) AS n, count(DISTINCT token) AS distinct_n FROM d GROUP BY doc_id""")
 def retrieval_tokens(spark, sf_dir):

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
-from lodestar.operators import context, exclusion, ranking
+from lodestar.operators import context, exclusion, ranking, retrieval
 from lodestar.operators.signals import scan_quotes
 from lodestar.plans import fixtures as X
 from lodestar.sources import scan
@@ -106,3 +106,20 @@ def test_cached_scan(spark, tmp_path):
 def test_stem_of_nulls_and_blanks(spark):
     rows = spark.createDataFrame([(None,), ("",), ("  ",)], "x string").select(T.tokenize(F.col("x")).alias("t")).collect()
     assert [r.t for r in rows] == [None, [], []]
+
+
+def test_literal_search_of_long_passages(spark):
+    """Every passage is searched, also long ones; counts as by brute force over whole texts."""
+    from lodestar.plans import catalogue
+
+    docs = [(1, "aaaa xAAAx session_token $mini"), (2, "tokens, tokenized; Session"), (3, "nothing"), (4, None), (5, ""), (6, "to" + "ken" * 50)]
+    tasks = [("long", "session token aaa " + "filler " * 40), ("short", "$mini ken")]
+    got = retrieval.literal_search(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(tasks, "task_id string, issue_text string"), key="doc_id").collect()
+    want = []
+    for task, words in (("long", ("session", "token", "aaa", "filler")), ("short", ("$mini", "ken"))):
+        counts = [(i, [(x or "").lower().count(w) for w in words]) for i, x in docs]
+        found = sorted((-sum(map(bool, n)), -sum(n), i) for i, n in counts if any(n))
+        want += [(task, k + 1, i, -a, -b) for k, (a, b, i) in enumerate(found)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    asked = {r.item_id for r in spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) >= 120").collect()}
+    assert asked & {r.task_id for r in catalogue.QUERIES["literal_search_all_passages"](spark, SF).collect()}
