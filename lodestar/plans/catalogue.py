@@ -437,6 +437,14 @@ def cochange_pairs(spark, sf_dir):
     return cochange.pairs(cochange.eligible(rows, ["l_orderkey"], "l_partkey"), seeds, ["l_orderkey"], "l_partkey")
 
 
+@query(ORACLES["cochange_pairs"].replace(" WHERE l_partkey % 10 = 0", ""))
+def cochange_pairs_all_seeds(spark, sf_dir):
+    """Parts that share orders, for every part as seed."""
+    rows = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    seeds = rows.select(F.col("l_partkey").alias("seed")).distinct()
+    return cochange.pairs(cochange.eligible(rows, ["l_orderkey"], "l_partkey"), seeds, ["l_orderkey"], "l_partkey")
+
+
 @query("""WITH r AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey), c AS (SELECT day, count(*) AS n FROM r GROUP BY day)
 SELECT CAST(day AS VARCHAR) AS day, count(*) AS parts FROM r WHERE day IN (SELECT day FROM c WHERE n <= 30) AND l_partkey % 2 = 0 GROUP BY day""")
 def history_filter(spark, sf_dir):
@@ -447,6 +455,15 @@ def history_filter(spark, sf_dir):
     return cochange.eligible(rows, ["day"], "l_partkey", known).groupBy("day").agg(F.count("*").alias("parts")).withColumn("day", F.col("day").cast("string"))
 
 
+@query(ORACLES["history_filter"].replace("l_partkey % 2 = 0", "l_partkey IN (SELECT p_partkey FROM part)"))
+def history_filter_all_parts(spark, sf_dir):
+    """Days as commits of at most 30 parts, with the whole part table as what exists."""
+    o = t(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    rows = o.join(t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey"), "o_orderkey").select("day", "l_partkey").distinct()
+    known = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"))
+    return cochange.eligible(rows, ["day"], "l_partkey", known).groupBy("day").agg(F.count("*").alias("parts")).withColumn("day", F.col("day").cast("string"))
+
+
 @query("SELECT * FROM (VALUES ('c1', 'src/session.ts'), ('c1', 'src/token.ts'), ('c1', 'test/token.test.ts'), ('c2', 'src/session.ts'), ('c2', 'src/token.ts'), ('c3', 'src/session.ts'), ('c3', 'src/routes/login.ts'), ('c4', 'src/routes/login.ts'), ('c4', 'test/login.test.ts')) AS v(hash, path)")
 def history_reader(spark, sf_dir):
     return scan.history(X.commits(spark), X.code_files(spark)).select("hash", "path")

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
-from lodestar.operators import context, exclusion, ranking, retrieval
+from lodestar.operators import cochange, context, exclusion, ranking, retrieval
 from lodestar.operators.signals import scan_quotes
 from lodestar.plans import fixtures as X
 from lodestar.sources import scan
@@ -123,3 +123,25 @@ def test_literal_search_of_long_passages(spark):
     assert sorted(map(tuple, got)) == sorted(want)
     asked = {r.item_id for r in spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) >= 120").collect()}
     assert asked & {r.task_id for r in catalogue.QUERIES["literal_search_all_passages"](spark, SF).collect()}
+
+
+def test_cochange_of_every_seed(spark):
+    from lodestar.plans import catalogue
+
+    rows = catalogue.QUERIES["cochange_pairs_all_seeds"](spark, SF).select("seed", "companion", "occurrences").collect()
+    pairs = {(r.seed, r.companion): r.occurrences for r in rows}
+    assert {s % 10 for s, _ in pairs} == set(range(10)) and all(pairs[b, a] == n for (a, b), n in pairs.items())
+    tenth = catalogue.QUERIES["cochange_pairs"](spark, SF).collect()
+    assert {(r.seed, r.companion): r.occurrences for r in tenth} == {k: n for k, n in pairs.items() if k[0] % 10 == 0}
+
+
+def test_history_filter_of_missing_files(spark):
+    """Large commits leave by all their files; then missing files leave, whatever their ids."""
+    from lodestar.plans import catalogue
+
+    rows = [("small", i) for i in range(1, 6)] + [("large", i) for i in range(1, 32)] + [("full", i) for i in range(1, 31)]
+    known = spark.createDataFrame([(1,), (2,), (5,)], "file int")
+    got = cochange.eligible(spark.createDataFrame(rows, "day string, file int"), ["day"], "file", known).collect()
+    assert sorted((r.day, r.file) for r in got) == [(d, i) for d in ("full", "small") for i in (1, 2, 5)]
+    half, whole = ({r.day: r.parts for r in catalogue.QUERIES[q](spark, SF).collect()} for q in ("history_filter", "history_filter_all_parts"))
+    assert set(half) <= set(whole) and sum(whole.values()) > sum(half.values())
