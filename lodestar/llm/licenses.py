@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 UNKNOWN = "unknown"
 #: Notices of each family, as they stand in files.
 TEMPLATES = {
@@ -144,26 +146,13 @@ def _anchored(c: Column) -> Column:
     return functools.reduce(Column.__or__, [c.contains(a) for a in ANCHORS])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph with an anchor.
-
-    ``(doc_id, paragraph, predicted, probability, overlap, family)``: paragraphs are
-    lines, numbered from 0; ``predicted`` is the likeliest class if its probability is
-    at least THRESHOLD, else unknown; ``family`` is the predicted one if the best of its
-    notices overlaps by OVERLAP, else unknown.  Null and empty texts have no rows; rows
-    that repeat an id each have their own, told apart by nothing but their text.
-    """
-    spark = docs.sparkSession
+def _scored(kinds: DataFrame) -> DataFrame:
+    """``(words, predicted, probability, overlap, family)`` of distinct ``kinds(words)``."""
+    spark = kinds.sparkSession
     weights, bias = model()
     n = len(FAMILIES)
     table = F.broadcast(spark.createDataFrame([(g, list(w)) for g, w in sorted(weights.items())], "gram string, w array<int>"))  # at most MAX_NGRAMS rows
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(_anchored(_folded(F.col("text"))))
-    lines = lines.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    lines = lines.select("doc_id", "paragraph", _folded(F.col("line")).alias("line")).where(_anchored(F.col("line")))
-    words = lines.select("doc_id", "paragraph", F.expr("regexp_extract_all(line, '[a-z0-9]+', 0)").alias("words"))
     pairs = F.expr("if(size(words) < 2, array(), transform(sequence(0, size(words) - 2), i -> concat(words[i], ' ', words[i + 1])))")
-    # equal paragraphs are scored once: a hot notice is one row from here on
-    kinds = words.groupBy("words").agg(F.count("*").alias("n"))
     grams = kinds.select("words", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram")).join(table, "gram")
     sums = [(F.sum(F.col("w")[k]) + bias[k]).alias(f"s{k}") for k in range(n)]
     z = grams.groupBy("words").agg(*sums)
@@ -180,9 +169,57 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         overlaps.append((family, F.greatest(*parts, notices)))
     overlap = functools.reduce(lambda c, fo: c.when(F.col("predicted") == fo[0], fo[1]), overlaps[1:], F.when(F.col("predicted") == overlaps[0][0], overlaps[0][1])).otherwise(0.0)
     scored = scored.withColumn("overlap", F.round(overlap, 6)).withColumn("family", F.when(F.col("overlap") >= OVERLAP, F.col("predicted")).otherwise(UNKNOWN)).drop("best")
+    return scored
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per paragraph with an anchor.
+
+    ``(doc_id, paragraph, predicted, probability, overlap, family)``: paragraphs are
+    lines, numbered from 0; ``predicted`` is the likeliest class if its probability is
+    at least THRESHOLD, else unknown; ``family`` is the predicted one if the best of its
+    notices overlaps by OVERLAP, else unknown.  Null and empty texts have no rows; rows
+    that repeat an id each have their own, told apart by nothing but their text.
+    """
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(_anchored(_folded(F.col("text"))))
+    lines = lines.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    lines = lines.select("doc_id", "paragraph", _folded(F.col("line")).alias("line")).where(_anchored(F.col("line")))
+    words = lines.select("doc_id", "paragraph", F.expr("regexp_extract_all(line, '[a-z0-9]+', 0)").alias("words"))
+    # equal paragraphs are scored once: a hot notice is one row from here on
+    kinds = words.groupBy("words").agg(F.count("*").alias("n"))
+    scored = _scored(kinds)
     return words.join(scored, "words").select("doc_id", "paragraph", "predicted", "probability", "overlap", "family")
 
 
+#: Words of the windows that are laid over an anchored paragraph, at strides of half of it, so
+#: that any notice of TEMPLATES stands whole in some window however it wraps and whatever is around.
+WINDOWS = (16, 32, 72)
+
+
+def scan_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Notices that may wrap over lines: ``(doc_id, paragraph, predicted, probability, overlap, family)``.
+
+    Paragraphs end at lines without a letter or digit and are numbered from 0 in their
+    text; those with an anchor anywhere have one row for each family confirmed in them, or
+    one row if none is.  A paragraph is scored whole, by line, and by WINDOWS of its
+    words; the best of these gives a row.  Columns are otherwise as in ``scan``.
+    """
+    text = docs.select(F.col(id_col).alias("doc_id"), _folded(F.col(text_col)).alias("text")).where(_anchored(F.col("text")))
+    blocks = text.select("doc_id", F.posexplode(F.split("text", r"\n(?:[^\p{L}\p{N}\n]*\n)+")).alias("paragraph", "block")).where(_anchored(F.col("block")))
+    blocks = materialize(blocks.withColumn("pid", F.sha2("block", 256)))  # read three times
+    # equal paragraphs are scored once, and so are equal lines and windows
+    kinds = blocks.groupBy("pid").agg(F.first("block").alias("block")).withColumn("all", F.expr("regexp_extract_all(block, '[a-z0-9]+', 0)"))
+    lines = F.transform(F.split("block", "\n"), lambda x: F.regexp_extract_all(x, F.lit("[a-z0-9]+"), F.lit(0)))
+    laid = [F.expr(f"transform(sequence(0, greatest(0, ceil((size(all) - {w}) / {w // 2}))), i -> slice(all, int(1 + i * {w // 2}), {w}))") for w in WINDOWS]
+    parts = kinds.select("pid", F.explode(F.array_distinct(F.concat(F.array("all"), lines, *laid))).alias("words"))
+    scored = _scored(parts.select("words").distinct())
+    rank = F.struct((F.col("family") != UNKNOWN).alias("sure"), "overlap", "probability", F.col("predicted"))
+    best = parts.join(scored, "words").groupBy("pid", "family").agg(F.max_by(F.struct("predicted", "probability", "overlap"), rank).alias("r"))
+    known = best.groupBy("pid").agg(F.bool_or(F.col("family") != UNKNOWN).alias("known"))
+    best = best.join(known, "pid").where(~F.col("known") | (F.col("family") != UNKNOWN))
+    return blocks.select("doc_id", "paragraph", "pid").join(best, "pid").select("doc_id", "paragraph", "r.predicted", "r.probability", "r.overlap", "family")
+
+
 def oracle_sql() -> str:
     """The same over the ``documents`` view, for DuckDB."""
     weights, bias = model()

@@ -22,6 +22,10 @@ def op2_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_notices(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -74,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_permutation_index, op2_license_paragraphs, op3_simhash_bk_trees, op4_open_window_packing, op5_sentencepiece,
+        op1_permutation_index, op2_license_paragraphs, op2_license_notices, op3_simhash_bk_trees, op4_open_window_packing, op5_sentencepiece,
         op6_itq_near_duplicates, op7_byte_cnn_quality, op8_section_tokens, op9_markov_secrets, op10_pu_toxicity, pipeline,
     )
 }

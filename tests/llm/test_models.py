@@ -87,3 +87,26 @@ def test_licence_families(spark):
     assert {i: got[i] for i in got if i < 100} == {i: f for i, _, f in rows if i < 100}
     assert all(f == licenses.UNKNOWN for i, f in got.items() if i >= 100)
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+WRAPPED = {
+    "mit": "/*\n * Copyright (c) 2020 Someone\n *\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the \"Software\"), to deal\n * in the Software without restriction, including without limitation the rights\n * to use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n * copies of the Software.\n */",
+    "gpl": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.",
+    "bsd": "// Redistribution and use in source and binary forms, with or without\n// modification, are permitted provided that the following conditions\n// are met:",
+    "mpl": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
+}
+
+
+def test_wrapped_licence_headers(spark):
+    """A notice over several lines is found alone, in a long paragraph, and in each copy of a row."""
+    filler = " ".join(["velm ostra kinta quorn"] * 60)
+    rows = [(k, f, t) for k, (f, t) in enumerate(WRAPPED.items())] + [(10 + k, f, f"{filler}\n{t}\n{filler}") for k, (f, t) in enumerate(WRAPPED.items())] + [(0, "mit", WRAPPED["mit"])]
+    df = spark.createDataFrame([(i, t) for i, _, t in rows] + [(99, "A fishing license\nis issued."), (100, None), (101, "")], "doc_id int, text string")
+    got = sorted((r.doc_id, r.family) for r in licenses.scan_notices(df).collect() if r.family != licenses.UNKNOWN)
+    assert got == sorted((i, f) for i, f, _ in rows)
+
+
+def test_one_line_notices_are_still_found(spark):
+    rows = [(i, t, f) for i, (f, t) in enumerate((f, t) for f, ts in licenses.TEMPLATES.items() for t in ts)]
+    got = {(r.doc_id, r.family) for r in licenses.scan_notices(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id int, text string")).collect()}
+    assert {(i, f) for i, _, f in rows} <= got
