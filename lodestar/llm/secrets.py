@@ -18,12 +18,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the same runs as [0-9a-f]+ of 24 or more
 KINDS = ("assign", "access", "hex", "markov")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Log-likelihood ratio a character, in nats, that a candidate must exceed, and the ratio in all.
 PER_CHAR, IN_ALL = 0.7, 20.0
-#: Bounds of what ordinary strings are learned from: documents, characters of each, words in all.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 400, 20_000, 200_000
+#: Bounds of what ordinary strings are learned from: documents, read whole, and words in all.
+SAMPLE_DOCS, SAMPLE_WORDS = 400, 200_000
 
 _CODE = np.full(128, len(ALPHABET), np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
@@ -77,42 +78,72 @@ def ordinary_samples(texts: list[str], seed: int = 7) -> list[str]:
     return out
 
 
+def _total(ratio: np.ndarray, s: str) -> float:
+    c = _codes(s)
+    return float(ratio[np.concatenate(([len(ALPHABET)], c[:-1])), c].sum())
+
+
+def _kind(s: str) -> tuple[bool, bool]:
+    """Whether it has a digit, and 20 characters."""
+    return any(c.isdigit() for c in s), len(s) >= 20
+
+
 class MarkovSecrets:
-    """Two first-order models over characters; a string is random if the ratio is high enough."""
+    """Two first-order models over characters; a string is random if the ratio is high enough.
+
+    Strings without a digit, and those of under 20 characters, must also exceed what any
+    ordinary string of their kind reached under a model that had not learned it.
+    """
 
     def __init__(self, randoms: list[str], ordinary: list[str]):
-        self.ratio = _bigrams(randoms) - _bigrams(ordinary)
+        r = _bigrams(randoms)
+        self.ratio = r - _bigrams(ordinary)
+        self.least: dict[tuple[bool, bool], float] = {}
+        for k in (0, 1):
+            half = r - _bigrams(ordinary[k::2])
+            for s in ordinary[1 - k :: 2]:
+                kind = _kind(s)
+                if LEAST <= len(s) and kind != (True, True):
+                    self.least[kind] = max(self.least.get(kind, PER_CHAR), _total(half, s) / len(s))
 
     def score(self, s: str) -> float:
-        c = _codes(s)
-        return float(self.ratio[np.concatenate(([len(ALPHABET)], c[:-1])), c].sum())
+        return _total(self.ratio, s)
 
     def is_secret(self, s: str) -> bool:
-        if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+        if not any(c.isalpha() for c in s):
             return False
         r = self.score(s)
-        return r > IN_ALL and r > PER_CHAR * len(s)
+        return r > IN_ALL and r > self.least.get(_kind(s), PER_CHAR) * len(s)
 
     def spans(self, text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        """All spans: the base ones, and random strings that touch none of them."""
+        """All spans: the base ones, and random strings in what lies outside of them."""
         more = []
         for m in CANDIDATE.finditer(text):
-            a, b = m.span()
-            if self.is_secret(m[0]) and not any(x < b and a < y for x, y, _ in base):
-                more.append((a, b, "markov"))
+            a, end = m.span()
+            for x, y, _ in [*(s for s in base if s[0] < end and a < s[1]), (end, end, "")]:
+                part = text[a : max(a, x)]
+                if a > m.start():
+                    part = part.lstrip("+/_=-")
+                    a = max(a, x) - len(part)
+                if x < end:
+                    part = part.rstrip("+/_=-")
+                if len(part) >= LEAST and self.is_secret(part):
+                    more.append((a, a + len(part), "markov"))
+                a = max(a, y)
         return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]), s[1])) if more else base
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> MarkovSecrets:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> MarkovSecrets:
     """Fit on ``random_samples`` and on words of at most ``sample_docs`` documents, by hash of the id.
 
-    Of these ``sample_chars`` characters are read, so the driver's share is bounded; what
-    is scanned is always the whole text.
+    Of all words of these documents SAMPLE_WORDS come to the driver, by hash of document,
+    place and word; what is scanned is always the whole text.
     """
     ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i")).distinct().orderBy(F.xxhash64("i"), "i").limit(sample_docs)
-    some = docs.join(F.broadcast(ids), docs[id_col] == ids.i, "left_semi").groupBy(id_col).agg(F.max(F.substring(text_col, 1, sample_chars)).alias("t"))
-    texts = [r.t for r in some.orderBy(id_col).limit(sample_docs).collect() if r.t]
-    return MarkovSecrets(random_samples(), ordinary_samples(texts))
+    some = docs.join(F.broadcast(ids), docs[id_col] == ids.i, "left_semi").groupBy(F.col(id_col).alias("i")).agg(F.max(text_col).alias("t"))
+    words = some.select("i", F.posexplode(F.regexp_extract_all("t", F.lit("[A-Za-z]{2,}"), F.lit(0))).alias("at", "w"))
+    rows = words.orderBy(F.xxhash64("i", "at", "w"), "i", "at").limit(SAMPLE_WORDS).select("w").collect()
+    return MarkovSecrets(random_samples(), ordinary_samples([" ".join(r.w for r in rows)]))
 
 
 def join_spans(spans: list[tuple[int, int, str]]) -> str:

@@ -110,3 +110,28 @@ def test_one_line_notices_are_still_found(spark):
     rows = [(i, t, f) for i, (f, t) in enumerate((f, t) for f, ts in licenses.TEMPLATES.items() for t in ts)]
     got = {(r.doc_id, r.family) for r in licenses.scan_notices(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id int, text string")).collect()}
     assert {(i, f) for i, _, f in rows} <= got
+
+
+def test_secrets_of_every_kind():
+    """Letters only, 16 to 19 characters, and what stands beside a fixed shape."""
+    import random
+    import string
+
+    plain = ["the quick brown fox jumps over the lazy dog and reads text of many words"] * 50
+    model = secrets.MarkovSecrets(secrets.random_samples(), secrets.ordinary_samples(plain))
+    rnd = random.Random(4)
+    make = lambda chars, n: "".join(rnd.choices(chars, k=n))
+    for chars, n in ((string.ascii_letters, 40), (string.ascii_letters + string.digits, 16), (string.ascii_letters + string.digits, 18)):
+        assert sum(model.is_secret(make(chars, n)) for _ in range(200)) >= 160
+    held = [s for s in secrets.ordinary_samples(plain, seed=99) if len(s) >= 16]
+    assert sum(map(model.is_secret, held)) <= 0.001 * len(held)
+    key, hexes = make(string.ascii_letters + string.digits, 39) + "7", "0a" * 16
+    for text in (f"{hexes}_{key}", f"{key}_{hexes} x"):
+        spans = model.spans(text, secrets.base_spans(text))
+        assert {text[a:b] for a, b, _ in spans} == {hexes, key}
+
+
+def test_secret_model_reads_whole_texts(spark):
+    tail = spark.createDataFrame([(1, "aa " * 10_000 + "zqzqzq " * 10_000)], "doc_id int, text string")
+    head = spark.createDataFrame([(1, "aa " * 10_000)], "doc_id int, text string")
+    assert secrets.train(tail).score("zqzqzq") < secrets.train(head).score("zqzqzq")
