@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +12,7 @@ from ..functions import text as T
 from ..operators import backtest, cochange, context, diagnostics, evaluation, exclusion, graph, grounding, impact, ranking, reports, retrieval, routes
 from ..operators.signals import task_signals
 from ..sources import scan
+from ..sources.tables import new_path
 from ..streaming import watch
 from . import fixtures as X
 from . import render
@@ -808,8 +807,7 @@ def watch_updates(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(_stream_path(sf_dir))
     feed = stream.select(F.col("user_id").cast("string").alias("repo_id"), F.col("ts").cast("timestamp").alias("observed_at"), F.col("event_id").alias("seq"), watch.fingerprint("event_type", "props").alias("fingerprint"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-watch-")
-    run = f"{base.rstrip('/')}/watch-{os.urandom(8).hex()}"
+    run = new_path(spark, "watch")
     watch.run_available(feed, f"{run}/out", f"{run}/state")
     return spark.read.schema(watch.OUT).parquet(f"{run}/out").select("repo_id", "sequence", "seq")
 
