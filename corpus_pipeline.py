@@ -12,26 +12,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import packing, quality, secrets, simhash, toxicity
-from lodestar.llm.common import materialize, table
+from lodestar.llm.common import free_name, materialize, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of being good is at least one half."""
+    """Documents whose probability of being good is at least one half; null and empty texts are judged as empty."""
     model = quality.train(quality.labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", 3, 1))
-    return quality.score(docs, model, name="_score").where("_score >= 0.5").drop("_score")
+    name = free_name(docs, "_score")
+    return quality.score(docs, model, name=name).where(F.col(name) >= 0.5).drop(name)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of being toxic is under 0.3."""
+    """Documents whose probability of being toxic is under 0.3; null and empty texts are judged as empty."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, name="_score").where("_score < 0.3").drop("_score")
+    name = free_name(docs, "_score")
+    return toxicity.score(docs, model, name=name).where(F.col(name) < 0.3).drop(name)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; rows without an id stay if their group has none."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
+    """One row of each group of near-duplicates: that of the smallest id, a row without an id only where none has one."""
+    return simhash.one_of_each(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,110 +1,121 @@
 """Approximate nearest neighbours by a permutation index.
 
 A vector is represented by its nearest pivots in order, and posted in the inverted file
-of each of them.  A query's postings give the footrule distance to every vector that
-shares a pivot with it; the best of them are ranked anew by the true inner product.
+of each of them.  A query reads the files of its own nearest pivots, which gives the
+footrule distance to every vector posted there; the best are ranked anew by the true
+inner product.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .vectors import sample, stacked, usable
 
 PIVOTS = 512
-PREFIX = 64  # nearest pivots that represent a vector
-SHARD_ROWS = 4096
-QUERY_BLOCK = 4096
-#: Share of each shard that is ranked anew: it grows with the data, so recall holds.
-RERANK = 0.16
-RERANK_LEAST = 100
+PREFIX = 128  # nearest pivots that represent a vector
+READ = 64  # of a query's pivots, those whose files are read
+SHARD_ROWS = 8192
+QUERY_BLOCK = 8192
+#: Of n vectors, SCALE * n ** POWER are ranked anew (RERANK_LEAST at least): twice what recall 0.9 took
+#: at 500 to 50,000 unclustered vectors.
+SCALE, POWER, RERANK_LEAST = 4.0, 0.6, 100
 
 
 def permutations(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """Numbers of the nearest pivots, nearest first; ties to the smaller number."""
-    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :prefix].astype(np.int16)
+    """Numbers of the nearest pivots, nearest first."""
+    far = -(x @ pivots.T)
+    near = np.sort(np.argpartition(far, prefix - 1, axis=1)[:, :prefix], axis=1) if len(x) else np.zeros((0, prefix), np.int64)
+    return np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, 1), axis=1, kind="stable"), 1)
 
 
 class Postings:
-    """Inverted files of one shard: for each pivot the rows that list it, with prefix - place as weight."""
+    """Inverted files of one shard: a weight (prefix - place, 0 if not posted) for each pivot and row.
+
+    A quarter of the weights are not zero, so a file of all of them is shorter than one
+    of row numbers, and is read in order.
+    """
 
     def __init__(self, perms: np.ndarray, pivots: int):
         n, self.prefix = perms.shape
-        order = np.argsort(perms, axis=None, kind="stable")
-        self.rows, self.weight = order // self.prefix, (self.prefix - order % self.prefix).astype(np.int32)
-        self.at = np.searchsorted(perms.reshape(-1)[order], np.arange(pivots + 1))
-        self.n = n
+        kind = np.uint8 if self.prefix < 256 else np.uint16
+        self.weight = np.zeros((pivots, n), kind)
+        self.weight[perms, np.arange(n)[:, None]] = np.arange(self.prefix, 0, -1, dtype=kind)
+        self.own = np.zeros((0, n), kind)
 
     def closeness(self, perm: np.ndarray) -> np.ndarray:
-        """prefix * (prefix + 1) less twice this is the footrule distance of cut permutations.
+        """What the footrule distance of cut permutations is less than for lists that share nothing, halved.
 
         A pivot that one of two lists lacks stands at the end there, so that lists share
         min(weight, weight) for each pivot in both, and nothing for any other.
         """
-        got = np.zeros(self.n, np.int32)
-        for place, p in enumerate(perm.tolist()):
-            a, b = self.at[p], self.at[p + 1]
-            got[self.rows[a:b]] += np.minimum(self.weight[a:b], self.prefix - place)
-        return got
+        if len(self.own) != len(perm):  # the weights of any query's pivots, as wide as the files
+            own = np.arange(self.prefix, self.prefix - len(perm), -1, dtype=self.weight.dtype)
+            self.own = np.repeat(own[:, None], self.weight.shape[1], axis=1)
+        return np.minimum(self.weight[perm], self.own).sum(0, dtype=np.uint16 if self.prefix < 256 else np.uint32)
 
 
-def search_shard(index: pd.DataFrame, queries: pd.DataFrame, pivots: int, k: int, rerank: float, least: int) -> pd.DataFrame:
+def search_shard(index: pd.DataFrame, queries: pd.DataFrame, pivots: np.ndarray, prefix: int, read: int, k: int, share: float, least: int) -> pd.DataFrame:
     index = index.sort_values("id", kind="stable")
-    ids, dim = index["id"].to_numpy(), len(index["vec"].iloc[0])
-    x = stacked(index["vec"], dim)
-    post = Postings(np.stack(index["perm"].to_numpy()), pivots)
-    most = min(len(ids), max(least, k + 1, math.ceil(rerank * len(ids))))
+    ids, dim = index["id"].to_numpy(), pivots.shape[1]
+    x, asked = stacked(index["vec"], dim), stacked(queries["vec"], dim)
+    post = Postings(permutations(x, pivots, prefix), len(pivots))
+    perms = permutations(asked, pivots, min(read, prefix))
+    most = min(len(ids), max(least, k + 1, math.ceil(share * len(ids))))
     out_q, out_v, out_s = [], [], []
     place = np.arange(len(ids), dtype=np.int64)
-    for q, vec, perm in zip(queries["id"].tolist(), queries["vec"], queries["perm"]):
-        key = -post.closeness(perm).astype(np.int64) * len(ids) + place  # ties to the smaller id
-        near = np.argpartition(key, most - 1)[:most] if most < len(ids) else place
-        near = np.sort(near[ids[near] != q])
-        s = x[near] @ np.asarray(vec, np.float64)
+    for q, vec, perm in zip(queries["id"].tolist(), asked, perms):
+        near = place
+        if most < len(ids):
+            key = place - post.closeness(perm).astype(np.int64) * len(ids)  # ties to the smaller id
+            near = np.argpartition(key, most - 1)[:most]
+        near = near[ids[near] != q]
+        s = (x[near] * vec).sum(1)  # each row in the same order of its own, so that equal vectors score alike
+        if len(near) > k:
+            some = s >= np.partition(s, len(s) - k)[len(s) - k]
+            near, s = near[some], s[some]
         top = np.lexsort((ids[near], -s))[:k]
-        out_q += [q] * len(top)
+        out_q.append(np.full(len(top), q, np.int64))
         out_v.append(ids[near][top])
         out_s.append(s[top])
-    return pd.DataFrame({"query_id": np.array(out_q, np.int64), "vec_id": np.concatenate(out_v or [np.zeros(0, np.int64)]), "score": np.concatenate(out_s or [np.zeros(0)])})
+    return pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK, rerank: float = RERANK, least: int = RERANK_LEAST) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, read: int = READ, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK, scale: float = SCALE, power: float = POWER, least: int = RERANK_LEAST) -> DataFrame:
     """The ``k`` nearest found of each query row, by largest inner product in double precision.
 
     ``(query_id, rank, vec_id, score)``, nearest first, ties to the smaller id; fewer
-    rows if there are fewer candidates.  ``is_query`` is a condition on ``id``.  Pivots
-    are a fixed number of rows, chosen by hash of the id; every row is indexed.  Shards
-    of the index meet blocks of queries, each pair in a task; nothing grows on the
-    driver.  Repeated rows of an id are one candidate each, but never their own query's.
+    rows if there are fewer candidates, none for an empty table.  ``is_query`` is a
+    condition on ``id``.  Pivots are a fixed number of rows, chosen by hash of the id;
+    every row is indexed.  Shards of the index meet blocks of queries, each pair in a
+    task; nothing grows on the driver.  Vectors that take no part (see ``usable``) are
+    neither asked for nor found.  Repeated rows of an id are one candidate each, but
+    never their own query's; as a query, the least of an id's vectors is asked once.
+    Other columns, whatever their names, are not read.
     """
     v, dim = usable(vectors, id_col, vec_col)
     chosen = sample(v, pivots)
     out = "query_id bigint, vec_id bigint, score double"
     if not len(chosen):
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    n_pivots, prefix = len(chosen), min(prefix, len(chosen))
-
-    def represent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(perm=list(permutations(stacked(b["vec"], dim), chosen, prefix)))
-
-    n = v.count()
-    shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(v.where(is_query).count() / query_block))
-    rows = v.mapInPandas(represent, "id bigint, vec array<double>, perm array<smallint>")
-    # rows are dealt evenly, whatever their ids are: numbered by hash within the scan
-    index = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = rows.where(is_query).dropDuplicates(["id"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    prefix = min(prefix, len(chosen))
+    n, asking = v.agg(F.count("*"), F.count_if(is_query)).first()
+    share = min(1.0, scale * n ** (power - 1))
+    shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(asking / query_block))
+    # rows are dealt evenly, whatever their ids are
+    index = v.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = v.where(is_query).groupBy("id").agg(F.min("vec").alias("vec"))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def cell(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(index) or not len(queries):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        return search_shard(index, queries, n_pivots, k, rerank, least)
+        return search_shard(index, queries, chosen, prefix, read, k, share, least)
 
     found = index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(cell, out)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

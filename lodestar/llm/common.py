@@ -1,38 +1,36 @@
-"""Small pieces that several operators share: shared tables and linked groups."""
+"""Small pieces that several operators share: tables, free names, linked groups."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import written as materialize
+
+__all__ = ["col", "connected_components", "free_name", "materialize", "table", "without"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if known:
-        return known.rstrip("/")
-    own = tempfile.mkdtemp(prefix="lodestar-")
-    spark.sparkContext.setCheckpointDir(f"file://{own}")
-    return f"file://{own}"
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back.
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
-    This cuts lineage, so that a lost executor costs no recomputation of what came
-    before, and forgets the partitioning, so that a later join may split hot keys.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` less any columns of these names (case aside): a result's column replaces one of its name."""
+    gone = {n.lower() for n in names}
+    return df.select(*[col(c) for c in df.columns if c.lower() not in gone])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -40,16 +38,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps; the driver only sees a count and a
     checksum per round.  Self-loops are allowed; nodes without an edge do not appear.
+    The hub of a star is one key with many rows: what is joined to it is dealt out once
+    more after its aggregation, so that Spark may split the hub's partition (a side that
+    ends in an aggregate cannot be repeated for the parts of the other).
     """
     cur = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    parts = int(cur.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     seen = None
     while True:
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")).repartition(parts)
         # large star: every larger neighbour of u hangs on u's smallest neighbour
         large = both.join(low, both.u == low.k).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).where("u >= v").distinct()
-        # small star: u and its smaller neighbours hang on the smallest of them
+        # small star: u and its smaller neighbours hang on the smallest of them; after a large star u has few
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         small = large.join(least, large.u == least.k)
         cur = materialize(

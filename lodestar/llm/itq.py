@@ -1,8 +1,10 @@
 """Embedding near-duplicates by iterative quantisation and multi-index Hamming tables.
 
-Rotations learned from a bounded sample give balanced binary codes; a code is cut into
-16-bit substrings, one table each.  Every vector looks up its own substring and those
-one bit away; what it finds is ranked by the cosine of the original vectors.
+Rotations learned from a bounded sample give balanced binary codes.  The first half of a
+code is cut into 16-bit substrings, one table each: a vector looks up its own substring
+and those one bit away, and whole codes tell which of the finds may be near.  Only codes
+stand in the tables.  What they find makes groups, and within a group the original
+vectors are compared.
 """
 
 from __future__ import annotations
@@ -15,15 +17,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import col, connected_components, materialize
 from .simhash import _roots
 from .vectors import sample, stacked, usable
 
-BITS = 128
-TABLE_BITS = 16
+BITS = 256
+TABLE_BITS, TABLES = 16, 8
+TIGHT = 12  # bits: codes so near to a leader stand behind it while candidates are sought
+LEADERS = 4  # rounds of choosing leaders; what is left leads itself
 SAMPLE = 4096
 ROUNDS = 30
-SHARD_ROWS = 32_768
+SHARD_ROWS = 262_144  # codes that one part of a table holds, about
+GROUP_ROWS = 4096  # vectors that one task compares all with all; larger groups meet in chunks
 
 
 def learn(x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -48,57 +53,58 @@ def encode(x: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> np.ndarray:
     return np.packbits((u - mean) @ turn >= 0, axis=1, bitorder="little").view("<u2")
 
 
-def link_cell(rows: pd.DataFrame, t: int, threshold: float, block: int = 1 << 18) -> pd.DataFrame:
-    """Links of one part of table ``t``: ``(id, links, root)`` of the rows that have any.
+def reach(threshold: float, bits: int = BITS) -> int:
+    """Bits that codes of vectors at the threshold differ in, and seven standard deviations more."""
+    p = math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+    return math.ceil(bits * p + 7 * math.sqrt(bits * p * (1 - p)))
 
-    A pair that an earlier table also finds is left to that table, so each is counted
-    once in each direction.
-    """
-    ids, n = rows["id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-    role = rows["role"].to_numpy()
-    codes = np.frombuffer(b"".join(rows["code"]), "<u2").reshape(len(rows), -1)
-    x = stacked(rows["vec"], 0)
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    held = np.flatnonzero(role == 0)
-    held = held[np.argsort(codes[held, t], kind="stable")]
-    sub = codes[held, t]
-    links, pairs = np.zeros(len(rows), np.int64), []
-
-    def check(q: np.ndarray, h: np.ndarray) -> None:
-        far = np.bitwise_count(codes[q] ^ codes[h])
-        ok = (ids[q] != ids[h]) & ~(far[:, :t] <= 1).any(1)
-        q, h = q[ok], h[ok]
-        ok = np.einsum("ij,ij->i", x[q], x[h]) >= threshold
-        q, h = q[ok], h[ok]
-        np.add.at(links, q, n[h])
-        if len(q):
-            pairs.append((q, h))
 
-    asks = np.flatnonzero(role == 1)
+def candidates(ids: np.ndarray, codes: np.ndarray, t: int, within: int, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """A forest ``(id, root)`` of rows of which table ``t`` finds codes ``within`` so many bits.
+
+    Rows of one substring gather behind a few leaders first, so that a large group of
+    near copies is not met pair by pair; leaders then meet with what their rows may be
+    off by added.
+    """
+    n, words = len(ids), codes.view(np.uint64)
+    far = lambda a, b: np.bitwise_count(words[a] ^ words[b]).sum(1, dtype=np.int64)
+    order = np.argsort(codes[:, t], kind="stable")
+    leader, loose, pairs = np.arange(n), order, []
+    for _ in range(LEADERS):
+        _, first, which = np.unique(codes[loose, t], return_index=True, return_inverse=True)
+        head = loose[first][which]
+        near = far(loose, head) <= TIGHT
+        leader[loose[near]] = head[near]
+        loose = loose[~near]
+        if not len(loose):
+            break
+    behind = np.flatnonzero(leader != np.arange(n))
+    pairs.append((behind, leader[behind]))
+    lead = order[leader[order] == order]
+    sub, most = codes[lead, t], within + (2 * TIGHT if len(behind) else 0)
+    starts = np.searchsorted(sub, np.arange((1 << TABLE_BITS) + 1))
     for flip in (0, *(1 << np.arange(TABLE_BITS)).tolist()):
-        value = codes[asks, t] ^ np.uint16(flip)
-        lo, hi = np.searchsorted(sub, value, "left"), np.searchsorted(sub, value, "right")
-        size = hi - lo
-        some = np.flatnonzero(size)
+        value = sub ^ np.uint16(flip)
+        lo, size = starts[value], starts[value.astype(np.int64) + 1] - starts[value]
+        asks = np.flatnonzero((size > 0) & (value >= sub))  # each pair of substrings once
+        ends = np.cumsum(size[asks])
         at = 0
-        while at < len(some):  # so many pairs at a time
-            upto = max(at + 1, at + int(np.searchsorted(np.cumsum(size[some[at:]]), block, "right")))
-            who = some[at:upto]
-            s = size[who]
-            inner = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
-            q, h = np.repeat(asks[who], s), held[np.repeat(lo[who], s) + inner]
-            for i in range(0, len(q), block):
-                check(q[i : i + block], h[i : i + block])
+        while at < len(asks):  # so many pairs at a time
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block, "right")))
+            who, s = asks[at:upto], size[asks[at:upto]]
+            q = np.repeat(who, s)
+            h = np.repeat(lo[who], s) + np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
+            ok = far(lead[q], lead[h]) <= most
+            ok &= q != h
+            if ok.any():
+                pairs.append((lead[q[ok]], lead[h[ok]]))
             at = upto
             if len(pairs) > 64:  # only what connects is kept
-                pairs[:] = [_forest(pairs, len(rows))]
-    if not pairs:
-        return pd.DataFrame({"id": ids[:0], "links": links[:0], "root": ids[:0]})
+                pairs[:] = [_forest(pairs, n)]
     a, b = (np.concatenate(p) for p in zip(*pairs))
-    # a row stands here once as held and once as asking: the id joins them
-    low = _roots(len(rows) + 1, np.concatenate((a, np.arange(len(rows)))), np.concatenate((b, np.unique(ids, return_index=True)[1][np.unique(ids, return_inverse=True)[1]])), np.append(ids, 0))[:-1]
+    low = _roots(n, a, b, ids)
     used = np.unique(np.concatenate((a, b)))
-    return pd.DataFrame({"id": ids[used], "links": links[used], "root": low[used]})
+    return ids[used], low[used]
 
 
 def _forest(pairs: list, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,49 +114,118 @@ def _forest(pairs: list, n: int) -> tuple[np.ndarray, np.ndarray]:
     return used, low[used]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", bits: int = BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``(vec_id, n_links, component_id, kept)``, one row per vector of ``vectors``.
+def _compare(rows: pd.DataFrame, threshold: float, block: int = 512) -> pd.DataFrame:
+    """Links of one cell: all of its groups, or two chunks ``side`` 0 and 1 of one large group.
+
+    ``(id, links, root, whole)``; ``whole`` says that no other cell has rows of the group.
+    """
+    rows = rows.sort_values(["group", "side", "id"], kind="stable")
+    ids, n = rows["id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+    group, side, whole = (rows[c].to_numpy() for c in ("group", "side", "whole"))
+    x = stacked(rows["vec"], 0)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links, root = np.zeros(len(ids), np.int64), ids.copy()
+    edges = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    for a, e in zip(edges.tolist(), np.append(edges[1:], len(ids)).tolist()):
+        m = a + int(np.count_nonzero(side[a:e] == 0))
+        other = (a, e) if m == e else (m, e)  # a group with itself, or one chunk with the other
+        pairs = [(np.zeros(0, np.int64),) * 2]
+        for i in range(a, m, block):
+            upto = min(i + block, m)
+            near = x[i:upto] @ x[other[0] : other[1]].T >= threshold
+            if m == e:
+                near[np.arange(upto - i), np.arange(i, upto) - a] = False
+            links[i:upto] += near @ n[other[0] : other[1]]
+            if m < e:
+                links[m:e] += n[i:upto] @ near
+            q, h = np.nonzero(near)
+            pairs.append((q + i, h + other[0]))
+            if sum(len(p[0]) for p in pairs) > 1 << 20:
+                pairs = [tuple(p + a for p in _forest([(q - a, h - a) for q, h in pairs], e - a))]
+        q, h = (np.concatenate(p) for p in zip(*pairs))
+        if len(q):
+            root[a:e] = _roots(e - a, q - a, h - a, ids[a:e])
+    some = (links > 0) | (root != ids)
+    return pd.DataFrame({"id": ids[some], "links": links[some], "root": root[some], "whole": whole[some]})
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", bits: int = BITS, shard_rows: int = SHARD_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``(vec_id, n_links, component_id, kept)``, one row per row of ``vectors``.
+
+    Vectors that take no part (see ``usable``) link with nothing, and so does a null id,
+    whose component is null.  Equal vectors collapse first, by a hash of 128 bits;
+    repeated rows of an id count as vectors of their own in n_links and come back once
+    each, with the most links and the least component of them.  Other columns, whatever
+    their names, are not read; an empty table gives no rows.
 
-    Vectors that take no part (see ``usable``) link with nothing.  Equal vectors
-    collapse first; repeated rows of an id count as vectors of their own in n_links and
-    come back once each.  A table is cut by leading bits into parts of about
-    ``shard_rows``; a part that still holds more is cut into chunks that meet pairwise.
+    The tables hold ids and codes.  One that exceeds ``shard_rows`` is cut by leading bits
+    of either half of its substring (two that differ in one bit agree in a half), and a
+    part that still does into chunks that meet pairwise.  Vectors travel once to their
+    group, and in a group of over ``group_rows`` to chunks that meet pairwise; each pair
+    there is compared once, so nothing is emitted by pair.
     """
     v, dim = usable(vectors, id_col, vec_col)
-    v = materialize(v)
     few = sample(v, SAMPLE)
-    all_ids = vectors.select(F.col(id_col).alias("vec_id"))
+    all_ids = vectors.select(col(id_col).cast("bigint").alias("vec_id"))
     if len(few) < 2:
         return all_ids.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     mean, turn = learn(few, bits)
-    tables = bits // TABLE_BITS
 
-    def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(code=[c.tobytes() for c in encode(stacked(b["vec"], dim), mean, turn)])
-
-    reps = materialize(v.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n")).mapInPandas(codes, "vec array<double>, id bigint, n bigint, code binary"))
-    parts = max(0, math.ceil(math.log2(max(1, reps.count()) / shard_rows)))
-    # the leading bits of table t's substring name the part; a probe that flips one of them goes to another part
-    per = F.array(*[
-        F.expr(f"struct({t} as t, {s} as part)")
-        for t in range(tables)
-        for s in [f"shiftright(cast(conv(concat(hex(substring(code, {2 * t + 2}, 1)), hex(substring(code, {2 * t + 1}, 1))), 16, 10) as int), {TABLE_BITS - parts})"]
-    ])
-    spread = reps.withColumn("p", F.explode(per)).select("id", "n", "code", "vec", F.col("p.t").alias("t"), F.col("p.part").alias("part"))
-    held = spread.withColumn("role", F.lit(0))
-    flips = F.array(*[F.lit(x) for x in (0, *(1 << i for i in range(parts)))])
-    asks = spread.withColumn("flip", F.explode(flips)).withColumn("part", F.expr("part ^ flip")).drop("flip").withColumn("role", F.lit(1))
-    sizes = held.groupBy("t", "part").agg(F.count("*").alias("c")).select("t", "part", F.ceil(F.col("c") / (2 * shard_rows)).cast("int").alias("chunks"))
-    both = held.unionByName(asks).join(F.broadcast(sizes) if parts <= 10 else sizes, ["t", "part"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    own = F.pmod(F.xxhash64("id", "t"), "chunks").cast("int")
-    other = F.sequence(F.lit(0), F.col("chunks") - 1)
-    cells = both.withColumn("own", own).withColumn("other", F.explode(other)).withColumn("a", F.when(F.col("role") == 0, F.col("own")).otherwise(F.col("other"))).withColumn("b", F.when(F.col("role") == 0, F.col("other")).otherwise(F.col("own")))
-    found = cells.select("id", "n", "code", "vec", "role", "t", "part", "a", "b").groupBy("t", "part", "a", "b").applyInPandas(lambda key, pdf: link_cell(pdf, int(key[0]), threshold), "id bigint, links bigint, root bigint")
-    found = materialize(found)
-    comp = connected_components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    facts = materialize(reps.select("id", "n", "vec").join(links, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left").select("vec", F.col("n"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component")))
-    of = v.join(facts, "vec").select("id", (F.col("n") - 1 + F.col("links")).alias("n_links"), F.col("component").alias("component_id")).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+            yield b[["id", "h1", "h2"]].assign(code=[c.tobytes() for c in encode(stacked(b["vec"], dim), mean, turn)])
+
+    v = v.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(1), "vec"))  # 128 bits name a vector
+    hashed = materialize(v.mapInPandas(coded, "id bigint, h1 bigint, h2 bigint, code binary"))
+    once = hashed.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.min("code").alias("code"))
+    # an id may have several vectors, so each gets a number, in order of its first id
+    reps = materialize(once.orderBy("first_id", "h1", "h2").withColumn("id", F.monotonically_increasing_id()))
+    total = reps.count()
+    cut = min(TABLE_BITS // 2, max(0, math.ceil(math.log2(max(1, total) / shard_rows))))
+    if cut:
+        byte = lambda k: f"conv(hex(substring(code, {k + 1}, 1)), 16, 10)"
+        keys = [F.expr(f"{t * 2 + half} * 256 + shiftright(cast({byte(2 * t + half)} as int), {8 - cut})") for t in range(TABLES) for half in (0, 1)]
+    else:
+        keys = [F.lit(t * 2 * 256) for t in range(TABLES)]
+    spread = reps.select("id", "code", F.explode(F.array(*[k.cast("int") for k in keys])).alias("part"))
+    large = {r.part: r.c for r in spread.groupBy("part").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("c")).where("c > 1").collect()}  # of 4,096 parts at most
+    if large:
+        chunks = F.coalesce(F.create_map(*[F.lit(x) for kv in sorted(large.items()) for x in kv])[F.col("part")], F.lit(1))
+        spread = spread.withColumn("c", chunks).withColumn("own", F.pmod(F.xxhash64("id", "part"), "c").cast("int"))
+        spread = spread.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select("id", "code", "part", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"))
+    else:
+        spread = spread.select("id", "code", "part", F.lit(0).alias("a"), F.lit(0).alias("b"))
+    within = reach(threshold, bits)
+
+    def seek(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        ids = rows["id"].to_numpy(np.int64)
+        codes = np.frombuffer(b"".join(rows["code"]), "<u2").reshape(len(ids), -1)
+        u, v = candidates(ids, codes, int(key[0]) // 512, within)
+        return pd.DataFrame({"u": u, "v": v})
+
+    found = spread.groupBy("part", "a", "b").applyInPandas(seek, "u bigint, v bigint")
+    group = materialize(connected_components(found).withColumnRenamed("node", "id").withColumnRenamed("component", "group"))
+    hot = materialize(group.groupBy("group").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("c")).where("c > 1"))
+    # rows of large groups meet in cells of two chunks; all groups of a cell are compared in one task
+    rows = group.join(hot, "group", "left").withColumn("c", F.coalesce("c", F.lit(1))).join(reps.select("id", "n", "first_id", "h1", "h2"), "id")
+    # of a vector's copies, the rows of the first id hold it
+    found_any = v.join(rows, (v.h1 == rows.h1) & (v.h2 == rows.h2) & (v.id == rows.first_id))
+    found_any = found_any.groupBy(rows.id, "n", "group", "c").agg(F.first("vec").alias("vec"))
+    own = F.pmod(F.xxhash64("id"), "c").cast("int")
+    met = found_any.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    spots = max(1, math.ceil(total / group_rows))
+    lone = F.col("c") == 1
+    cell = F.when(lone, F.pmod(F.xxhash64("group"), F.lit(spots))).otherwise(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")))
+    met = met.select("id", "n", "group", "vec", (F.col("own") > F.col("other")).cast("int").alias("side"), lone.alias("whole"), cell.alias("cell"))
+    met = materialize(met.groupBy("whole", "cell").applyInPandas(lambda pdf: _compare(pdf, threshold), "id bigint, links bigint, root bigint, whole boolean"))
+    links = met.groupBy("id").agg(F.sum("links").alias("links"))
+    comp = met.where("whole").select("id", F.col("root").alias("component"))
+    across = met.where("not whole").select(F.col("id").alias("u"), F.col("root").alias("v"))
+    if not across.isEmpty():
+        comp = comp.union(connected_components(across).select("node", "component"))
+    facts = reps.select("id", "h1", "h2", "n").join(links, "id", "left").join(comp, "id", "left")
+    facts = facts.select("h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    facts = facts.join(reps.select(F.col("id").alias("component"), F.col("first_id").alias("component_id")), "component").drop("component")
+    of = hashed.select("id", "h1", "h2").join(materialize(facts), ["h1", "h2"]).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = all_ids.join(of, all_ids.vec_id == of.id, "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -2,20 +2,23 @@
 
 A logistic regression over word 1- and 2-grams, trained on labelled notices below,
 names the licence family of a paragraph or ``unknown``; comparison with the family's
-notices confirms it.  The model is a fixed, small table, so scoring is a join with it.
+notices confirms it.  Paragraphs end at blank lines, and a notice may wrap over the lines
+of one; windows of words find it wherever it stands.  The model is a fixed, small table,
+so scoring is a join with it.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import random
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import col, materialize
 
 UNKNOWN = "unknown"
 #: Notices of each family, as they stand in files.
@@ -24,36 +27,44 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
         "SPDX-License-Identifier: Apache-2.0",
+        "Apache-2.0",
     ),
     "mit": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "SPDX-License-Identifier: MIT",
+        "MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "GPL-3.0-or-later",
+        "GPL-3.0",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Licensed under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "BSD-3-Clause",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
+        "MPL 2.0",
     ),
     "cc-by-nc": (
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-NC-4.0",
+        "CC BY-NC 4.0",
     ),
     "cc-by": (
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-4.0",
+        "CC BY 4.0",
     ),
     "proprietary": (
         "All rights reserved.",
@@ -77,12 +88,16 @@ OTHERS = (
     "Redistribution of wealth is subject to the public debate.",
     "Copyright law in the country changed.",
 )
-#: A paragraph without any of these strings is no licence notice: no template lacks them all.
-ANCHORS = ("licen", "rights reserved", "copyright", "hereby granted", "redistribut", "general public")
-THRESHOLD = 0.6  # least probability of a family, calibrated on noised notices and other sentences
-OVERLAP = 0.7  # least share of a notice's distinct words that a paragraph must hold
+#: Words that stand in most texts.
+COMMON = frozenset("a all and any are as be by can following for form free in is it may met not of or provided that the this to use under using version with without work you later".split())
+OVERLAP = 0.8  # least share of a notice's distinct words that a text must hold to confirm it
 SCALE = 1024  # weights are whole numbers of 1 / SCALE, so sums are exact in any order
 MAX_NGRAMS = 4096
+#: Words of the windows that are laid over a paragraph, at strides of half of it, beside the
+#: paragraph as a whole: any notice of half a window's words stands whole in some window.
+WINDOWS = (8, 16, 32, 64)
+#: Most unknown held-out samples, as a share, that may be called a family.
+FALSE_ALARMS = 0.005
 
 
 def words_of(text: str) -> list[str]:
@@ -96,6 +111,26 @@ def ngrams(words: list[str]) -> set[str]:
 FAMILIES = (UNKNOWN, *TEMPLATES)
 
 
+@functools.cache
+def gate() -> tuple[str, ...]:
+    """Words of which every text that any notice confirms holds one at least.
+
+    A text that holds OVERLAP of a notice's n distinct words lacks n - ceil(OVERLAP * n)
+    at most, so it holds one of any n - ceil(OVERLAP * n) + 1 of them.  So many are taken
+    of each notice, shared ones first, numbers and COMMON ones last.
+    """
+    notices = [set(words_of(t)) for ts in TEMPLATES.values() for t in ts]
+    need = [len(w) - math.ceil(OVERLAP * len(w) - 1e-9) + 1 for w in notices]
+    chosen: list[str] = []
+    while any(n > 0 for n in need):
+        useful = lambda w: sum(n > 0 and w in t for t, n in zip(notices, need))
+        open_ = sorted({w for t, n in zip(notices, need) if n > 0 for w in t} - set(chosen))
+        best = max(open_, key=lambda w: (not w.isdigit() and w not in COMMON, useful(w), len(w), w))
+        chosen.append(best)
+        need = [n - (best in t) for t, n in zip(notices, need)]
+    return tuple(sorted(chosen))
+
+
 def samples(seed: int = 5, each: int = 16) -> list[tuple[set[str], int]]:
     """Labelled paragraphs: notices and other sentences, with words lost and filler around them."""
     rnd = random.Random(seed)
@@ -114,121 +149,113 @@ def samples(seed: int = 5, each: int = 16) -> list[tuple[set[str], int]]:
     return out
 
 
+def _rows(data: list[tuple[set[str], int]], at: dict[str, int]) -> np.ndarray:
+    x = np.zeros((len(data), len(at) + 1))
+    x[:, -1] = 1
+    for i, (grams, _) in enumerate(data):
+        x[i, [at[g] for g in grams if g in at]] = 1
+    return x
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
 @functools.cache
-def model(seed: int = 5, steps: int = 200) -> tuple[dict[str, tuple[int, ...]], tuple[int, ...]]:
-    """Weights of each n-gram and biases, by family in the order of FAMILIES, in units of 1 / SCALE."""
+def model(seed: int = 5, steps: int = 200) -> tuple[dict[str, tuple[int, ...]], tuple[int, ...], float]:
+    """Weights of each n-gram and biases, by family in the order of FAMILIES, in units of 1 / SCALE; the threshold.
+
+    Calibrated on samples of another seed: logits are divided by the temperature of the
+    greatest likelihood there, and the threshold is the least at which no more than
+    FALSE_ALARMS of the unknown ones are called a family.
+    """
     data = samples(seed)
     vocabulary = sorted({g for t in sum(TEMPLATES.values(), ()) + OTHERS for g in ngrams(words_of(t))})[:MAX_NGRAMS]
-    col = {g: i for i, g in enumerate(vocabulary)}
-    x = np.zeros((len(data), len(col) + 1))
-    x[:, -1] = 1
-    for i, (grams, _) in enumerate(data):
-        x[i, [col[g] for g in grams if g in col]] = 1
+    at = {g: i for i, g in enumerate(vocabulary)}
+    x = _rows(data, at)
     y = np.eye(len(FAMILIES))[[k for _, k in data]]
     w = np.zeros((x.shape[1], len(FAMILIES)))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        z = x @ w
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        g = x.T @ (p - y) / len(x) + 2e-4 * w
+        g = x.T @ (_softmax(x @ w) - y) / len(x) + 2e-4 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    q = np.rint(w * SCALE).astype(int)
-    return {g: tuple(q[i].tolist()) for g, i in col.items()}, tuple(q[-1].tolist())
-
-
-def _folded(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def _anchored(c: Column) -> Column:
-    return functools.reduce(Column.__or__, [c.contains(a) for a in ANCHORS])
+    held = samples(seed + 1)
+    z, k = _rows(held, at) @ w, np.array([k for _, k in held])
+    loss = lambda heat: -np.log(_softmax(z / heat)[np.arange(len(k)), k] + 1e-12).mean()
+    heat = min((h / 20 for h in range(4, 61)), key=loss)
+    q = np.rint(w / heat * SCALE).astype(int)
+    p = _softmax(_rows(held, at) @ q / SCALE)[k == 0]
+    called = np.where(p.argmax(1) > 0, p.max(1), 0)
+    threshold = next(t / 100 for t in range(30, 100) if (called >= t / 100).mean() <= FALSE_ALARMS)
+    return {g: tuple(q[i].tolist()) for g, i in at.items()}, tuple(q[-1].tolist()), threshold
 
 
 def _scored(kinds: DataFrame) -> DataFrame:
     """``(words, predicted, probability, overlap, family)`` of distinct ``kinds(words)``."""
     spark = kinds.sparkSession
-    weights, bias = model()
+    weights, bias, threshold = model()
     n = len(FAMILIES)
     table = F.broadcast(spark.createDataFrame([(g, list(w)) for g, w in sorted(weights.items())], "gram string, w array<int>"))  # at most MAX_NGRAMS rows
     pairs = F.expr("if(size(words) < 2, array(), transform(sequence(0, size(words) - 2), i -> concat(words[i], ' ', words[i + 1])))")
     grams = kinds.select("words", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram")).join(table, "gram")
     sums = [(F.sum(F.col("w")[k]) + bias[k]).alias(f"s{k}") for k in range(n)]
-    z = grams.groupBy("words").agg(*sums)
-    every = kinds.select("words").join(z, "words", "left").select("words", *[F.coalesce(f"s{k}", F.lit(bias[k])).alias(f"s{k}") for k in range(n)])
+    z = grams.groupBy("words").agg(*sums)  # a text without any gram of the model is unknown, and confirms nothing
     top = F.greatest(*[F.col(f"s{k}") for k in range(n)])
     best = functools.reduce(lambda c, k: c.when(F.col(f"s{k}") == top, FAMILIES[k]), range(1, n), F.when(F.col("s0") == top, FAMILIES[0]))
     total = sum((F.exp((F.col(f"s{k}") - top) / SCALE) for k in range(1, n)), F.exp((F.col("s0") - top) / SCALE))
-    scored = every.select("words", best.alias("best"), F.round(1 / total, 6).alias("probability"))
-    scored = scored.withColumn("predicted", F.when(F.col("probability") >= THRESHOLD, F.col("best")).otherwise(UNKNOWN))
-    notices = F.lit(0.0)
+    scored = z.select("words", best.alias("best"), F.round(1 / total, 6).alias("probability"))
+    scored = scored.withColumn("predicted", F.when(F.col("probability") >= threshold, F.col("best")).otherwise(UNKNOWN))
     overlaps = []
     for family, texts in TEMPLATES.items():
         parts = [F.size(F.array_intersect("words", F.array(*map(F.lit, sorted(set(words_of(t))))))) / F.lit(len(set(words_of(t)))) for t in texts]
-        overlaps.append((family, F.greatest(*parts, notices)))
+        overlaps.append((family, F.greatest(*parts, F.lit(0.0))))
     overlap = functools.reduce(lambda c, fo: c.when(F.col("predicted") == fo[0], fo[1]), overlaps[1:], F.when(F.col("predicted") == overlaps[0][0], overlaps[0][1])).otherwise(0.0)
-    scored = scored.withColumn("overlap", F.round(overlap, 6)).withColumn("family", F.when(F.col("overlap") >= OVERLAP, F.col("predicted")).otherwise(UNKNOWN)).drop("best")
-    return scored
+    return scored.withColumn("overlap", F.round(overlap, 6)).withColumn("family", F.when(F.col("overlap") >= OVERLAP, F.col("predicted")).otherwise(UNKNOWN)).drop("best")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph with an anchor.
+#: Where a paragraph ends: at lines without a letter or digit, comment marks or not.
+BLANK = r"\n(?:[^A-Za-z0-9\n]*\n)+"
 
-    ``(doc_id, paragraph, predicted, probability, overlap, family)``: paragraphs are
-    lines, numbered from 0; ``predicted`` is the likeliest class if its probability is
-    at least THRESHOLD, else unknown; ``family`` is the predicted one if the best of its
-    notices overlaps by OVERLAP, else unknown.  Null and empty texts have no rows; rows
-    that repeat an id each have their own, told apart by nothing but their text.
-    """
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(_anchored(_folded(F.col("text"))))
-    lines = lines.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    lines = lines.select("doc_id", "paragraph", _folded(F.col("line")).alias("line")).where(_anchored(F.col("line")))
-    words = lines.select("doc_id", "paragraph", F.expr("regexp_extract_all(line, '[a-z0-9]+', 0)").alias("words"))
-    # equal paragraphs are scored once: a hot notice is one row from here on
-    kinds = words.groupBy("words").agg(F.count("*").alias("n"))
-    scored = _scored(kinds)
-    return words.join(scored, "words").select("doc_id", "paragraph", "predicted", "probability", "overlap", "family")
-
-
-#: Words of the windows that are laid over an anchored paragraph, at strides of half of it, so
-#: that any notice of TEMPLATES stands whole in some window however it wraps and whatever is around.
-WINDOWS = (16, 32, 72)
 
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each licence family confirmed in a paragraph, or one ``unknown`` row where a word of ``gate()`` stands but none is.
 
-def scan_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Notices that may wrap over lines: ``(doc_id, paragraph, predicted, probability, overlap, family)``.
-
-    Paragraphs end at lines without a letter or digit and are numbered from 0 in their
-    text; those with an anchor anywhere have one row for each family confirmed in them, or
-    one row if none is.  A paragraph is scored whole, by line, and by WINDOWS of its
-    words; the best of these gives a row.  Columns are otherwise as in ``scan``.
+    ``(doc_id, paragraph, predicted, probability, overlap, family)``: paragraphs are
+    numbered from 0 in their text.  Each is scored whole and by WINDOWS of its words, and
+    the best of these gives the row; ``predicted`` is the likeliest class if its
+    probability is at least the calibrated threshold, else unknown; ``family`` is the
+    predicted one if the best of its notices overlaps by OVERLAP, else unknown.
+    Null and empty texts have no rows, an empty table gives none; rows that repeat an id
+    each have their own, told apart by nothing but their text; other columns, whatever
+    their names, are not read.
     """
-    text = docs.select(F.col(id_col).alias("doc_id"), _folded(F.col(text_col)).alias("text")).where(_anchored(F.col("text")))
-    blocks = text.select("doc_id", F.posexplode(F.split("text", r"\n(?:[^\p{L}\p{N}\n]*\n)+")).alias("paragraph", "block")).where(_anchored(F.col("block")))
-    blocks = materialize(blocks.withColumn("pid", F.sha2("block", 256)))  # read three times
-    # equal paragraphs are scored once, and so are equal lines and windows
-    kinds = blocks.groupBy("pid").agg(F.first("block").alias("block")).withColumn("all", F.expr("regexp_extract_all(block, '[a-z0-9]+', 0)"))
-    lines = F.transform(F.split("block", "\n"), lambda x: F.regexp_extract_all(x, F.lit("[a-z0-9]+"), F.lit(0)))
+    blocks = docs.select(col(id_col).alias("doc_id"), F.posexplode(F.split(col(text_col), BLANK)).alias("paragraph", "block"))
+    plain = F.lower(F.array_join(F.regexp_extract_all("block", F.lit("[A-Za-z0-9]+"), F.lit(0)), " "))  # ASCII by now
+    blocks = blocks.select("doc_id", "paragraph", F.split(plain, " ").alias("all"))
+    words = F.array(*map(F.lit, gate()))
+    blocks = materialize(blocks.where(F.arrays_overlap("all", words)).withColumn("pid", F.sha2(F.array_join("all", " "), 256)))  # read twice
+    # equal paragraphs are scored once, and so are equal windows: a hot notice is one row from here on
+    kinds = blocks.groupBy("pid").agg(F.first("all").alias("all"))
     laid = [F.expr(f"transform(sequence(0, greatest(0, ceil((size(all) - {w}) / {w // 2}))), i -> slice(all, int(1 + i * {w // 2}), {w}))") for w in WINDOWS]
-    parts = kinds.select("pid", F.explode(F.array_distinct(F.concat(F.array("all"), lines, *laid))).alias("words"))
-    scored = _scored(parts.select("words").distinct())
-    rank = F.struct((F.col("family") != UNKNOWN).alias("sure"), "overlap", "probability", F.col("predicted"))
-    best = parts.join(scored, "words").groupBy("pid", "family").agg(F.max_by(F.struct("predicted", "probability", "overlap"), rank).alias("r"))
+    parts = kinds.select("pid", F.explode(F.array_distinct(F.concat(F.array("all"), *laid))).alias("words")).where(F.arrays_overlap("words", words))
+    best = parts.join(_scored(parts.select("words").distinct()), "words")
+    rank = F.struct("overlap", "probability", "predicted")
+    best = best.groupBy("pid", "family").agg(F.max(rank).alias("r"))
     known = best.groupBy("pid").agg(F.bool_or(F.col("family") != UNKNOWN).alias("known"))
-    best = best.join(known, "pid").where(~F.col("known") | (F.col("family") != UNKNOWN))
+    best = materialize(best.join(known, "pid").where(~F.col("known") | (F.col("family") != UNKNOWN)).select("pid", "family", "r"))
     return blocks.select("doc_id", "paragraph", "pid").join(best, "pid").select("doc_id", "paragraph", "r.predicted", "r.probability", "r.overlap", "family")
 
 
 def oracle_sql() -> str:
     """The same over the ``documents`` view, for DuckDB."""
-    weights, bias = model()
+    weights, bias, threshold = model()
     n = len(FAMILIES)
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    fold = lambda c: f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    anchored = lambda c: "(" + " OR ".join(f"contains({c}, {q(a)})" for a in ANCHORS) + ")"
     ks = range(n)
-    sums = ", ".join(f"coalesce(sum(w[{k + 1}]), 0) + {bias[k]} AS s{k}" for k in ks)
+    gated = lambda c: f"list_has_any({c}, [{', '.join(map(q, gate()))}])"
+    sums = ", ".join(f"sum(w[{k + 1}]) + {bias[k]} AS s{k}" for k in ks)
     top = "greatest(" + ", ".join(f"s{k}" for k in ks) + ")"
     best = "CASE " + " ".join(f"WHEN s{k} = top THEN {q(FAMILIES[k])}" for k in ks) + " END"
     total = " + ".join(f"exp((s{k} - top) / {SCALE}.0)" for k in ks)
@@ -240,18 +267,25 @@ def oracle_sql() -> str:
             parts.append(f"len(list_intersect(words, [{', '.join(map(q, own))}])) / {len(own)}.0::DOUBLE")
         over.append(f"WHEN predicted = {q(family)} THEN greatest(0.0, {', '.join(parts)})")
     rows = ", ".join(f"({q(g)}, {list(w)})" for g, w in sorted(weights.items()))
+    windows = "\nUNION ALL ".join(f"SELECT ws, unnest([ws[i * {w // 2} + 1:i * {w // 2} + {w}] FOR i IN range(0, greatest(0, CAST(ceil((len(ws) - {w}) / {w / 2})  AS BIGINT)) + 1)]) AS words FROM whole" for w in WINDOWS)
     return f"""
 WITH model(gram, w) AS (VALUES {rows}),
-docs AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE {anchored(fold('text'))}),
-lines AS (SELECT doc_id, unnest(range(0, len(ls))) AS paragraph, unnest(ls) AS line FROM docs),
-words AS (SELECT doc_id, paragraph, regexp_extract_all({fold('line')}, '[a-z0-9]+') AS words FROM lines WHERE {anchored(fold('line'))}),
-kinds AS (SELECT DISTINCT words FROM words),
+docs AS (SELECT doc_id, string_split_regex(text, '\\n(?:[^A-Za-z0-9\\n]*\\n)+') AS bs FROM documents),
+blocks AS (SELECT doc_id, unnest(range(0, len(bs))) AS paragraph, unnest(bs) AS block FROM docs),
+listed AS (SELECT doc_id, paragraph, string_split(trim(lower(regexp_replace(block, '[^A-Za-z0-9]+', ' ', 'g'))), ' ') AS ws FROM blocks),
+hits AS (SELECT * FROM listed WHERE {gated('ws')}),
+whole AS (SELECT DISTINCT ws FROM hits),
+parts AS (SELECT DISTINCT ws, words FROM (SELECT ws, ws AS words FROM whole
+UNION ALL {windows}) WHERE {gated('words')}),
+kinds AS (SELECT DISTINCT words FROM parts),
 grams AS (SELECT DISTINCT words, unnest(list_concat(words, [words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))])) AS gram FROM kinds),
-z AS (SELECT k.words, {sums} FROM kinds k LEFT JOIN (SELECT g.words, m.w FROM grams g JOIN model m USING (gram)) g ON g.words = k.words GROUP BY k.words),
+z AS (SELECT g.words, {sums} FROM grams g JOIN model m USING (gram) GROUP BY g.words),
 t AS (SELECT *, {top} AS top FROM z),
 p AS (SELECT words, {best} AS best, round(1 / ({total}), 6) AS probability FROM t),
-r AS (SELECT *, CASE WHEN probability >= {THRESHOLD} THEN best ELSE '{UNKNOWN}' END AS predicted FROM p),
-o AS (SELECT *, round(CASE {' '.join(over)} ELSE 0.0 END, 6) AS overlap FROM r)
-SELECT w.doc_id, CAST(w.paragraph AS INTEGER) AS paragraph, o.predicted, o.probability, o.overlap,
-       CASE WHEN o.overlap >= {OVERLAP} THEN o.predicted ELSE '{UNKNOWN}' END AS family
-FROM words w JOIN o USING (words)"""
+r AS (SELECT *, CASE WHEN probability >= {threshold} THEN best ELSE '{UNKNOWN}' END AS predicted FROM p),
+o AS (SELECT *, round(CASE {' '.join(over)} ELSE 0.0 END, 6) AS overlap FROM r),
+f AS (SELECT *, CASE WHEN overlap >= {OVERLAP} THEN predicted ELSE '{UNKNOWN}' END AS family FROM o),
+b AS (SELECT ws, family, overlap, probability, predicted, row_number() OVER (PARTITION BY ws, family ORDER BY overlap DESC, probability DESC, predicted DESC) AS k,
+  bool_or(family <> '{UNKNOWN}') OVER (PARTITION BY ws) AS known FROM parts JOIN f USING (words))
+SELECT h.doc_id, CAST(h.paragraph AS INTEGER) AS paragraph, b.predicted, b.probability, b.overlap, b.family
+FROM hits h JOIN b USING (ws) WHERE b.k = 1 AND (NOT b.known OR b.family <> '{UNKNOWN}')"""

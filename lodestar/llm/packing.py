@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import struct
 import unicodedata
@@ -16,29 +17,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import col, materialize
 
 LENGTH = 4096
 OPEN_WINDOWS = 32
 MERGE_PARTITIONS = 64  # leftovers of so many partitions meet in one task
 TOP_UP = 16  # a gap of at least this is filled with the head of the next piece
 CACHE_WORDS = 500_000
-CHECKED = 2000
 
 
 class WordIds(dict):
     """Ids of whole texts, a white-space separated word at a time, known words from a bounded cache.
 
     Exact for tokenizers that drop white space, never join over it, ignore case, and
-    take a full stop or comma after a letter as a token of its own.  Words of letters
-    alone go through the same merges in a quicker library (see ``merger``) once that has
-    given the same ids for CHECKED words; any difference sends all words to the tokenizer.
+    take a full stop or comma after a letter as a token of its own.  Special strings are
+    found in the raw text, so a word that may hold one keeps its case.  Words of letters
+    alone go through the same merges in a quicker library, if that gives the tokenizer's
+    ids for every word of letters in the vocabulary (see ``checked_merger``).
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encoder, self.merge, self.checked = Tokenizer.from_file(path), merger(path), 0
+        self.encoder, self.merge = Tokenizer.from_file(path), checked_merger(path)
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
@@ -53,24 +54,38 @@ class WordIds(dict):
         return got
 
     def _encode(self, word: str) -> bytes:
-        plain = self.merge is not None and word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
-        quick = self.merge(word) if plain else None
-        if plain and self.checked >= CHECKED:
-            return self._pack(quick)
-        ids = self.encoder.encode(word, add_special_tokens=False).ids
-        if plain:
-            self.checked += 1
-            if quick != ids:
-                self.merge = None
-        return self._pack(ids)
+        if self.merge is not None and is_plain(word):
+            return self._pack(self.merge(word))
+        return self._pack(self.encoder.encode(word, add_special_tokens=False).ids)
 
     def __call__(self, text: bytes, end_id: int) -> np.ndarray:
         if len(self) > CACHE_WORDS:
             self.clear()
-        words = text.lower().split()  # ASCII letters and white space; the tokenizer itself deals with any other
+        if b"<|" in text:
+            words = [w if b"<|" in w else w.lower() for w in text.split()]
+        else:
+            words = text.lower().split()  # ASCII letters and white space; the tokenizer itself deals with any other
         return np.frombuffer(b"".join(map(self.__getitem__, words)) + self._pack([end_id]), "<u4")
 
 
+def is_plain(word: str) -> bool:
+    """Letters alone, as the tokenizer's normaliser leaves them."""
+    return word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
+
+
+@functools.lru_cache(maxsize=4)
+def checked_merger(path: str):
+    """``merger(path)`` if it agrees with the tokenizer on all words of the vocabulary, else None: once per process."""
+    from tokenizers import Tokenizer
+
+    merge, encoder = merger(path), Tokenizer.from_file(path)
+    if merge is None:
+        return None
+    words = sorted({w for t in encoder.get_vocab(with_added_tokens=False) if is_plain(w := t.removesuffix("</w>"))})
+    same = all(e.ids == merge(w) for w, e in zip(words, encoder.encode_batch_fast(words, add_special_tokens=False)))
+    return merge if same else None
+
+
 def merger(path: str):
     """Ids of one lower-case word by the merges of a tokenizer file with word ends; None for another kind of file.
 
@@ -145,6 +160,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH,
     When none fits, the fullest is topped up with the head of the piece (if its gap is
     worth a cut) and emitted.  What is open at a partition's end is merged with that of
     other partitions, a bounded number at a time; no ids are lost, added or reordered.
+    Rows without an id and rows that repeat one are documents of their own; an empty table
+    gives no pieces; other columns, whatever their names, are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -193,7 +210,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH,
             yield flush()
 
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary, sequence_id bigint, offset bigint, part bigint, leftover boolean"
-    placed = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema))
+    placed = materialize(docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, schema))
     rest = placed.where("leftover").withColumn("bucket", F.expr(f"cast(part div {MERGE_PARTITIONS} as bigint)"))
     merged = rest.groupBy("bucket").applyInPandas(lambda pdf: _merge(pdf, length), placed.select(*COLUMNS).schema)
     return placed.where("not leftover").unionByName(merged).drop("part", "leftover")

@@ -13,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DataType, DoubleType, StructField, StructType
+
+from .common import col
 
 WIDTH = 6
 FILTERS = 32
@@ -140,9 +142,10 @@ class ByteCNN:
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label", seed: int = 3) -> ByteCNN:
     """Fit on ``labelled``, a bounded number of rows; whole texts for the top, random chunks below.
 
-    Without a row of both classes the network stays as initialised.
+    Rows with a null text or label are left out, repeated ones count once.  Without a row
+    of both classes the network stays as initialised.
     """
-    rows = labelled.select(text_col, label_col).dropna().collect()
+    rows = labelled.select(col(text_col), col(label_col)).dropna().collect()
     kept = sorted({(r[0].encode(), int(r[1])) for r in rows})
     model, rnd = ByteCNN(), np.random.default_rng(seed)
     if len({y for _, y in kept}) < 2:
@@ -159,17 +162,23 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, left_out: int, most: int = SAMPLE_DOCS, id_col: str = "doc_id") -> DataFrame:
-    """At most ``most`` labelled documents of each class outside the fold left out, by hash of the id."""
-    known = labels.where(F.col(label).isin(0, 1) & (F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(fold)) != left_out))
-    known = known.select(F.col(id_col).alias("_id"), F.col(label).alias("label")).distinct()
-    parts = [known.where(F.col("label") == y).orderBy(F.xxhash64("_id"), "_id").limit(most) for y in (0, 1)]
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, left_out: int, most: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(text, label)`` of at most ``most`` labelled documents of each class outside the fold left out, by hash of the id.
+
+    Labels other than 0 and 1 and null ids count for nothing; an id with both labels
+    stands in both classes.  Only the columns named are read of either table.
+    """
+    known = labels.select(col(id_col).alias("i"), col(label).alias("label")).where(F.col("label").isin(0, 1) & (F.pmod(F.crc32(F.col("i").cast("string")), F.lit(fold)) != left_out)).distinct()
+    parts = [known.where(F.col("label") == y).orderBy(F.xxhash64("i"), "i").limit(most) for y in (0, 1)]
     few = F.broadcast(parts[0].union(parts[1]))  # at most 2 * most ids
-    return docs.join(few, docs[id_col] == few["_id"]).select("text", "label")
+    return docs.select(col(id_col).alias("i"), col(text_col).alias("text")).join(few, "i").select("text", "label")
 
 
 def score(docs: DataFrame, model: ByteCNN, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the probability of label 1; null texts count as empty.  Whole texts are read."""
+    """``docs`` with the probability of label 1 in ``name``, whole texts read; a column of that name is replaced.
+
+    Null texts count as empty and have a score as well; an empty table gives no rows.
+    """
     box = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,6 +194,16 @@ def score(docs: DataFrame, model: ByteCNN, text_col: str = "text", name: str = "
                     k += 1
                 out[i:k] = net.scores(texts[i:k])
                 i = k
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, name])
+            yield with_column(b, name, pa.array(out))
+
+    return docs.mapInArrow(run, with_field(docs, name, DoubleType()))
+
+
+def with_field(docs: DataFrame, name: str, kind: DataType) -> StructType:
+    """The schema of ``docs`` with a last column ``name``, in place of any of that name (case aside)."""
+    return StructType([*[f for f in docs.schema.fields if f.name.lower() != name.lower()], StructField(name, kind)])
+
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+def with_column(b: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    kept = [k for k, n in enumerate(b.schema.names) if n.lower() != name.lower()]
+    return pa.RecordBatch.from_arrays([*[b.column(k) for k in kept], values], names=[*[b.schema.names[k] for k in kept], name])

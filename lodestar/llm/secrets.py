@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 from collections.abc import Iterator
@@ -12,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import col, free_name
+
 # The shapes that are always reported. (?a) keeps case folding to ASCII.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -116,11 +117,25 @@ class MarkovSecrets:
         return r > IN_ALL and r > self.least.get(_kind(s), PER_CHAR) * len(s)
 
     def spans(self, text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        """All spans: the base ones, and random strings in what lies outside of them."""
-        more = []
+        """All spans: the base ones, and random strings in what lies outside of them.
+
+        Candidates and base spans are walked together, both in order, so the work is in
+        proportion to the text.
+        """
+        taken: list[list[int]] = []
+        for x, y, _ in base:  # stretches that base spans cover, overlapping ones as one
+            if taken and x <= taken[-1][1]:
+                taken[-1][1] = max(taken[-1][1], y)
+            else:
+                taken.append([x, y])
+        more, k = [], 0
         for m in CANDIDATE.finditer(text):
             a, end = m.span()
-            for x, y, _ in [*(s for s in base if s[0] < end and a < s[1]), (end, end, "")]:
+            while k < len(taken) and taken[k][1] <= a:
+                k += 1
+            j = k
+            while a < end:
+                x, y = taken[j] if j < len(taken) and taken[j][0] < end else (end, end)
                 part = text[a : max(a, x)]
                 if a > m.start():
                     part = part.lstrip("+/_=-")
@@ -129,7 +144,7 @@ class MarkovSecrets:
                     part = part.rstrip("+/_=-")
                 if len(part) >= LEAST and self.is_secret(part):
                     more.append((a, a + len(part), "markov"))
-                a = max(a, y)
+                a, j = max(a, y), j + 1
         return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]), s[1])) if more else base
 
 
@@ -137,10 +152,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     """Fit on ``random_samples`` and on words of at most ``sample_docs`` documents, by hash of the id.
 
     Of all words of these documents SAMPLE_WORDS come to the driver, by hash of document,
-    place and word; what is scanned is always the whole text.
+    place and word; what is scanned is always the whole text.  Rows without an id are not
+    learned from, repeated ids count once, and without any text a few fixed words stand in.
     """
-    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i")).distinct().orderBy(F.xxhash64("i"), "i").limit(sample_docs)
-    some = docs.join(F.broadcast(ids), docs[id_col] == ids.i, "left_semi").groupBy(F.col(id_col).alias("i")).agg(F.max(text_col).alias("t"))
+    d = docs.select(col(id_col).alias("i"), col(text_col).alias("t"))
+    ids = d.where("i is not null").select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(sample_docs)
+    some = d.join(F.broadcast(ids), "i", "left_semi").groupBy("i").agg(F.max("t").alias("t"))
     words = some.select("i", F.posexplode(F.regexp_extract_all("t", F.lit("[A-Za-z]{2,}"), F.lit(0))).alias("at", "w"))
     rows = words.orderBy(F.xxhash64("i", "at", "w"), "i", "at").limit(SAMPLE_WORDS).select("w").collect()
     return MarkovSecrets(random_samples(), ordinary_samples([" ".join(r.w for r in rows)]))
@@ -153,7 +170,9 @@ def join_spans(spans: list[tuple[int, int, str]]) -> str:
 def scan(docs: DataFrame, model: MarkovSecrets, text_col: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``spans`` (arrays of kind, start, end; code points, end exclusive).
 
-    Null and empty texts have no spans.  The whole text is scanned, however long.
+    Null and empty texts have no spans, an empty table gives no rows.  The whole text is
+    scanned, however long.  Columns of ``docs`` with these two names are replaced; all
+    others stay.  Strings of digits alone are never random: nothing tells them from numbers.
     """
     span = "array<struct<kind:string,start:bigint,end:bigint>>"
 
@@ -166,11 +185,14 @@ def scan(docs: DataFrame, model: MarkovSecrets, text_col: str = "text") -> DataF
             rows.append((pack(base), pack(model.spans(t or "", base))))
         return pd.DataFrame(rows, columns=["base", "spans"])
 
-    return docs.withColumn("_found", find(F.col(text_col))).select(*[docs[c] for c in docs.columns], F.col("_found.base").alias("base"), F.col("_found.spans").alias("spans"))
+    found = free_name(docs, "_found")
+    got = docs.withColumn(found, find(col(text_col)))
+    kept = [col(c) for c in docs.columns if c.lower() not in ("base", "spans")]
+    return got.select(*kept, F.col(f"{found}.base").alias("base"), F.col(f"{found}.spans").alias("spans"))
 
 
 def redact(docs: DataFrame, model: MarkovSecrets, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of ``text_col`` replaced by ``mask`` (touching spans by one); null stays null."""
+    """``docs`` with every span of ``text_col`` replaced by ``mask`` (overlapping spans by one); null stays null."""
 
     @F.pandas_udf("string")
     def hide(texts: pd.Series) -> pd.Series:
@@ -188,7 +210,7 @@ def redact(docs: DataFrame, model: MarkovSecrets, text_col: str = "text", mask:
 
         return pd.Series([one(t) for t in texts], dtype=object)
 
-    return docs.withColumn(text_col, hide(F.col(text_col)))
+    return docs.withColumn(text_col, hide(col(text_col)))
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import col
+
 BASE = np.uint64(0x100000001B3)
 SPACE = "▁"
 LONG = 64  # words of more characters merge one by one, through a heap
@@ -260,6 +262,8 @@ def encode(docs: DataFrame, model: str, method: str = "merges", id_col: str = "d
 
     ``ids`` is null unless ``with_ids``; ``round_trip`` says that the ids decode to the
     text (a text with U+2581 decodes to spaces).  Null texts count as empty: no ids.
+    Null and repeated ids come back row by row; an empty table gives no rows; other
+    columns, whatever their names, are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -275,7 +279,7 @@ def encode(docs: DataFrame, model: str, method: str = "merges", id_col: str = "d
                 back.append(codec.decode(got) == t)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(back, pa.bool_())], names=["doc_id", "ids", "n_ids", "ids_crc32", "round_trip"])
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, n_ids bigint, ids_crc32 bigint, round_trip boolean")
+    return docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, n_ids bigint, ids_crc32 bigint, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -289,4 +293,4 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
             texts = [None if x is None else codec.decode(np.array([i for i in x if i is not None and 0 <= i < most], np.int64)).decode() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(encoded[id_col].alias("doc_id"), encoded[ids_col].alias("ids")).mapInArrow(run, f"doc_id {kind}, text string")
+    return encoded.select(col(id_col).alias("doc_id"), col(ids_col).alias("ids")).mapInArrow(run, f"doc_id {kind}, text string")

@@ -11,8 +11,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import connected_components, materialize
+from .common import col, connected_components, free_name, materialize
 
 SEED = 42
 SHINGLE = 3
@@ -48,7 +49,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
 class BKForest:
@@ -131,16 +132,18 @@ def link(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, hot
     A block value with over ``hot_rows`` members is cut into chunks, and every pair of
     chunks is a shard of its own: the tree of one is sent to the queries of the other.
     """
-    n = fps.count()
-    shards = max(1, math.ceil(n * (radius + 1) / shard_rows))
     cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
     blocks = F.array(*[
         F.struct(F.lit(i).alias("i"), F.expr(f"shiftrightunsigned(shiftleft(fp, {64 - hi}), {64 - hi + lo})").alias("value"))
         for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))
     ])
     rows = fps.select("fp", F.explode(blocks).alias("b")).select("fp", F.xxhash64("b.i", "b.value").alias("bucket"))
-    hot = rows.groupBy("bucket").count().where(F.col("count") > hot_rows).select("bucket", F.ceil(F.col("count") / hot_rows).cast("int").alias("c"))
-    rows = rows.join(hot, "bucket", "left").withColumn("c", F.coalesce("c", F.lit(1)))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("count")).withColumn("c", F.ceil(F.col("count") / hot_rows).cast("int"))
+    hot = materialize(sizes.where("c > 1").select("bucket", "count", "c"))
+    # shards are counted after the copies that hot buckets make
+    copies = hot.agg(F.coalesce(F.sum(F.col("count") * (F.col("c") - 1)), F.lit(0))).first()[0]
+    shards = max(1, math.ceil((fps.count() * (radius + 1) + copies) / shard_rows))
+    rows = rows.join(hot.select("bucket", "c"), "bucket", "left").withColumn("c", F.coalesce("c", F.lit(1)))
     rows = rows.withColumn("h", F.pmod(F.xxhash64(F.lit(7), "fp"), "c").cast("int"))
     meet = F.expr("transform(sequence(0, c - 1), o -> struct(least(h, o) as a, greatest(h, o) as b, cast(if(h = o, 0, if(h < o, 1, 2)) as tinyint) as role))")
     rows = rows.withColumn("m", F.explode(meet))
@@ -148,21 +151,58 @@ def link(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, hot
     return rows.drop("bucket").withColumnRenamed("cell", "bucket").groupBy("shard").applyInPandas(lambda pdf: _link_shard(pdf, radius), "u bigint, v bigint")
 
 
+def _components(marked: DataFrame, radius: int) -> DataFrame:
+    """``marked(doc_id, fp)``, a table -> ``(fp, component_id)``, the smallest id that each fingerprint reaches."""
+    first = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    comp = connected_components(link(first.select("fp"), radius))
+    joined = materialize(first.join(comp, first.fp == comp.node, "left").select("fp", "first_id", F.col("component")))
+    least = joined.where("component is not null").groupBy("component").agg(F.min("first_id").alias("low"))
+    # a large group of near copies is one component: its rows go to SALTS keys
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = joined.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    of = salted.join(least, ["component", "salt"], "left")
+    return materialize(of.select("fp", F.coalesce("component", "fp").alias("component"), F.when(F.col("component").isNull(), F.col("first_id")).otherwise(F.col("low")).alias("component_id")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """``(doc_id, fp, component_id)`` of every row.
 
     Equal fingerprints link, and so do those within ``radius`` bits; ``component_id``
     is the smallest id reachable.  Null texts count as empty, texts without a word have
     fingerprint zero.  Rows with a null id take part, and get the smallest known id of
-    their group, or null where it has none.  Copies collapse before any pair is sought.
+    their group, or null where it has none; repeated rows come back each.  Copies
+    collapse before any pair is sought.  Other columns, whatever their names, are not
+    read; an empty table gives no rows.
     """
     marked = materialize(fingerprints(docs, id_col, text_col))
-    first = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    comp = connected_components(link(first.select("fp"), radius))
-    joined = materialize(first.join(comp, first.fp == comp.node, "left").select("fp", "first_id", F.col("component")))
-    least = joined.where("component is not null").groupBy("component").agg(F.min("first_id").alias("low"))
-    # a large group of near copies is one component: its rows go to SALTS keys
-    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = joined.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
-    of = salted.join(least, ["component", "salt"], "left").select("fp", F.coalesce("low", "first_id").alias("component_id"))
-    return marked.join(materialize(of), "fp", "left").select("doc_id", "fp", "component_id")
+    return marked.join(_components(marked, radius).select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """``docs`` less all but one row of each group of near-duplicates, columns as they are.
+
+    The row with the smallest id stays, one with an id before one without; of several
+    rows with that id (or of none with any) the first as they are written here.  So a
+    group keeps exactly one row, however its ids repeat or are null.
+    """
+    row, fp = free_name(docs, "_row"), free_name(docs, "_fp")
+    marked = materialize(_with_fingerprints(docs, text_col, fp).withColumn(row, F.monotonically_increasing_id()))
+    few = marked.select(col(id_col).alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    group = _components(few.select("doc_id", "fp"), radius).select("fp", "component")
+    # of a fingerprint first, so that a large group of copies is one row before groups meet
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
+    once = few.groupBy("fp").agg(best).join(group, "fp")
+    kept = once.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.row").alias("_kept"))
+    return marked.join(kept, F.col(row) == F.col("_kept"), "left_semi").drop(row, fp)
+
+
+def _with_fingerprints(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``docs`` with the fingerprint of each text, in a column of a name that is free."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
+            fps = np.array([simhash(t or b"") for t in texts], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=[*b.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))

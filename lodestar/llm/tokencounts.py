@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import struct
@@ -11,11 +12,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import col
+
 #: White space as the tokenizer's own split pattern sees it. A piece of text that ends before white space is encoded alike alone.
 _WS = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 CACHE_CHUNKS = 500_000
-CHECKED = 2000
 _PLAIN = re.compile(f" ?[^{_WS}]+")
 #: Fixed value: how a byte-level tokenizer splits text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -31,28 +33,22 @@ class Spans(dict):
     """Character spans of the tokens of whole texts, from a bounded cache of chunks.
 
     Chunks of at most one space and then no white space go through the same vocabulary
-    in a quicker library once that has given the same spans for CHECKED of them; any
-    difference sends all chunks to the tokenizer.
+    in a quicker library, if that gives the tokenizer's spans for every token of the
+    vocabulary (see ``checked_bytes``).
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encoder, self.checked = Tokenizer.from_file(path), 0
+        self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True  # such strings in a document are ordinary text
-        self.quick = byte_level(path)
+        self.quick = checked_bytes(path)
 
     def __missing__(self, chunk: str) -> bytes:
-        plain = self.quick is not None and _PLAIN.fullmatch(chunk) is not None
-        spans = self._quick(chunk) if plain else None
-        if spans is None or self.checked < CHECKED:
-            got = [x for span in self.encoder.encode(chunk, add_special_tokens=False).offsets for x in span]
-            if spans is not None:
-                self.checked += 1
-                if spans != got:
-                    self.quick = None
+        if self.quick is not None and _PLAIN.fullmatch(chunk) is not None:
+            got = self._quick(chunk)
         else:
-            got = spans
+            got = [x for span in self.encoder.encode(chunk, add_special_tokens=False).offsets for x in span]
         self[chunk] = got = struct.pack(f"<{len(got)}i", *got)
         return got
 
@@ -85,6 +81,20 @@ class Spans(dict):
         return spans[:, 0], spans[:, 1]
 
 
+@functools.lru_cache(maxsize=4)
+def checked_bytes(path: str):
+    """``byte_level(path)`` if it agrees with the tokenizer on all tokens of the vocabulary, else None: once per process."""
+    from tokenizers import Tokenizer
+
+    quick, encoder = byte_level(path), Tokenizer.from_file(path)
+    if quick is None:
+        return None
+    encoder.encode_special_tokens = True
+    texts = sorted({t for i in encoder.get_vocab(with_added_tokens=False).values() if _PLAIN.fullmatch(t := encoder.decode([i]))})
+    same = all(e.ids == quick[0](t) for t, e in zip(texts, encoder.encode_batch_fast(texts, add_special_tokens=False)))
+    return quick if same else None
+
+
 def byte_level(path: str):
     """Ids of a text by the vocabulary of a byte-level tokenizer file, and the bytes of each; None for another kind."""
     import tiktoken
@@ -127,7 +137,8 @@ def count_by_section(docs: DataFrame, tokenizer: str, rule: str = "start", secti
 
     Sections are given by where they start (from 0, in order) and cover the text.  The
     tokens of a document's sections add up to those of the whole document.  Null and
-    empty texts have one empty section.
+    empty texts have one empty section; null and repeated ids have rows for each of their
+    rows; an empty table gives none; other columns, whatever their names, are not read.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -136,16 +147,17 @@ def count_by_section(docs: DataFrame, tokenizer: str, rule: str = "start", secti
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = Spans(tokenizer)
         for b in batches:
-            rows, parts = [], []
+            rows, parts, n = [], [], 0
             for i, t in enumerate(b.column(1).to_pylist()):
                 t = t or ""
                 starts = np.array(sections(t), np.int64)
                 tokens, crossing = allocate(*spans(t), starts, rule)
                 parts.append(np.stack([np.arange(len(starts)), starts, np.append(starts[1:], len(t)), tokens, crossing]))
                 rows.append(np.full(len(starts), i))
-                if sum(map(len, rows)) >= 50_000:
+                n += len(starts)
+                if n >= 50_000:
                     yield batch(b, rows, parts)
-                    rows, parts = [], []
+                    rows, parts, n = [], [], 0
             if rows:
                 yield batch(b, rows, parts)
 
@@ -153,4 +165,4 @@ def count_by_section(docs: DataFrame, tokenizer: str, rule: str = "start", secti
         cols = np.hstack(parts)
         return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(rows))), pa.array(cols[0].astype(np.int32)), *[pa.array(c) for c in cols[1:].astype(np.int64)]], names=["doc_id", "section", "start", "end", "tokens", "crossing"])
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, section int, start bigint, end bigint, tokens bigint, crossing bigint")
+    return docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, section int, start bigint, end bigint, tokens bigint, crossing bigint")

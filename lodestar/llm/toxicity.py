@@ -16,7 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType
+
+from .common import col
+from .quality import with_column, with_field
 
 #: Bounds of the samples of positives and of unlabelled documents.
 POSITIVES, UNLABELLED = 1500, 3000
@@ -138,29 +141,35 @@ def fit(positives: list[str], unlabelled: list[str], prior: float) -> PUModel:
     return PUModel({f: float(x) for f, x in zip(chosen, w)}, b)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 4, left_out: int = 2, id_col: str = "doc_id", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> PUModel:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 4, left_out: int = 2, id_col: str = "doc_id", text_col: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> PUModel:
     """Labels are read outside the fold left out only; the samples are bounded, by hash of the id.
 
-    The prior is the share of toxic rows among those labels.
+    The prior is the share of toxic rows among those labels.  Labels other than 0 and 1,
+    null ids and null texts count for nothing; without any positive everything scores the
+    prior.  Only the columns named are read of either table.
     """
-    known = labels.where(F.col(label).isin(0, 1) & (F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(fold)) != left_out))
-    share = known.agg(F.avg(F.col(label).cast("double"))).first()[0]
+    known = labels.select(col(id_col).alias("i"), col(label).alias("y")).where(F.col("y").isin(0, 1) & (F.pmod(F.crc32(F.col("i").cast("string")), F.lit(fold)) != left_out))
+    share = known.agg(F.avg(F.col("y").cast("double"))).first()[0]
     prior = min(max(share or 0.05, 0.005), 0.5)
-    toxic = known.where(F.col(label) == 1).select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(positives)
-    others = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(unlabelled)
+    d = docs.select(col(id_col).alias("i"), col(text_col).alias("text"))
+    toxic = known.where("y = 1").select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(positives)
+    others = d.where("i is not null").select("i").distinct().orderBy(F.xxhash64("i", F.lit(1)), "i").limit(unlabelled)
     few = F.broadcast(toxic.withColumn("p", F.lit(1)).union(others.withColumn("p", F.lit(0))))  # a bounded number of ids
-    rows = docs.join(few, docs[id_col] == few["_id"]).select("text", "p").dropna().collect()
+    rows = d.join(few, "i").select("text", "p").dropna().collect()
     return fit([r[0] for r in rows if r[1] == 1], [r[0] for r in rows if r[1] == 0], prior)
 
 
 def score(docs: DataFrame, model: PUModel, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the probability of toxicity of each whole text; null texts count as empty."""
+    """``docs`` with the probability of toxicity of each whole text in ``name``; a column of that name is replaced.
+
+    Null texts count as empty and have a score as well; an empty table gives no rows.
+    """
     box = docs.sparkSession.sparkContext.broadcast(model)  # at most as many weights as the samples hold features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pu = box.value
         for b in batches:
             out = [pu.score(t or "") for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, name])
+            yield with_column(b, name, pa.array(out, pa.float64()))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.mapInArrow(run, with_field(docs, name, DoubleType()))

@@ -89,15 +89,15 @@ def vectors(n=300, seed=2):
     return x
 
 
-@pytest.mark.parametrize("rows", [32768, 64])
-def test_itq_equals_brute_force(spark, rows):
+@pytest.mark.parametrize("rows,group", [(262_144, 4096), (64, 16)])
+def test_itq_equals_brute_force(spark, rows, group):
     x = vectors()
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
     link = (s >= 0.9) & ~np.eye(len(x), dtype=bool)
     want = groups(len(x), lambda i, j: link[i, j])
     df = spark.createDataFrame([(i, [float(v) for v in a], 0) for i, a in enumerate(x)], "vec_id bigint, embedding array<double>, n int")
-    got = {r.vec_id: r for r in itq.near_duplicates(df, shard_rows=rows).collect()}
+    got = {r.vec_id: r for r in itq.near_duplicates(df, shard_rows=rows, group_rows=group).collect()}
     found = sum(r.n_links for r in got.values())
     assert found >= 0.9 * link.sum() and all(got[i].n_links <= link[i].sum() for i in got)
     assert np.mean([got[i].component_id == want[i] for i in got]) >= 0.95
@@ -105,11 +105,58 @@ def test_itq_equals_brute_force(spark, rows):
     assert got[110].n_links == 1 and got[100].n_links == 4
 
 
+def test_itq_recall_at_the_threshold(spark):
+    """20,000 vectors with 2,000 pairs of cosine 0.90 to 0.93, one large group of near copies, and copies."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(2000):
+        c, other = r.uniform(0.9, 0.93), r.normal(size=64)
+        other -= other @ x[i] * x[i]
+        x[2000 + i] = c * x[i] + (1 - c * c) ** 0.5 * other / np.linalg.norm(other)
+    x[5000:7000] = x[5000] + r.normal(size=(2000, 64)) * 0.01
+    x[8000:8100] = x[8000]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: r for r in itq.near_duplicates(df, group_rows=512).collect()}
+    found = sum(got[i].component_id == got[2000 + i].component_id == i and got[i].n_links == 1 for i in range(2000))
+    assert len(got) == len(x) and found >= 0.95 * 2000
+    assert all(got[i].component_id == 5000 and got[i].n_links == 1999 for i in range(5000, 7000))
+    assert all(got[i].component_id == 8000 and got[i].n_links == 99 for i in range(8000, 8100))
+    assert all(got[i].n_links == 0 and got[i].kept for i in range(10_000, 20_000))
+
+
+def test_itq_candidates_are_those_of_the_table():
+    """What a table finds connects as brute force over its substrings does, with leaders or without."""
+    r = np.random.default_rng(3)
+    codes = r.integers(0, 2**16, (400, 16)).astype("<u2")
+    codes[:, 2] = r.integers(0, 8, 400)  # crowded substrings
+    codes[100:160] = codes[100]
+    codes[100:160, 7] ^= (1 << r.integers(0, 16, 60)).astype("<u2")
+    ids = np.arange(400) * 10
+    u, v = itq.candidates(ids, codes, 2, 76)
+    low = groups(400, lambda i, j: (codes[i, 2] ^ codes[j, 2]).item().bit_count() <= 1 and int(np.bitwise_count(codes[i] ^ codes[j]).sum()) <= 76)
+    root = {i * 10: i * 10 for i in range(400)} | dict(zip(u.tolist(), v.tolist()))
+    for i in range(400):  # all that brute force connects is connected
+        assert root[i * 10] == root[low[i] * 10]
+
+
 def test_itq_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     one = [1.0] + [0.0] * 3
-    rows = [(1, one), (2, one), (3, None), (4, [0.0] * 4), (5, [nan, 1.0, 0.0, 0.0]), (6, [inf, 1.0, 0.0, 0.0]), (7, [1.0, None, 0.0, 0.0]), (8, []), (9, [1.0, 0.0]), (10, [0.0, 1.0, 0.0, 0.0])]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in itq.near_duplicates(df).collect()}
-    assert got == {1: (1, 1, True), 2: (1, 1, False)} | {i: (0, i, True) for i in range(3, 11)}
+    rows = [(1, one), (2, one), (3, None), (4, [0.0] * 4), (5, [nan, 1.0, 0.0, 0.0]), (6, [inf, 1.0, 0.0, 0.0]), (7, [1.0, None, 0.0, 0.0]), (8, []), (9, [1.0, 0.0]), (10, [0.0, 1.0, 0.0, 0.0]), (10, [0.0, 1.0, 0.0, 0.0]), (None, one)]
+    df = spark.createDataFrame([(*r, "x", 0.5, 3) for r in rows], "vec_id bigint, embedding array<double>, id string, h1 double, n int")
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in itq.near_duplicates(df).collect())
+    assert got == sorted([("1", 1, "1", True), ("2", 1, "1", False), ("None", 0, "None", True), *[(str(i), 1 if i == 10 else 0, str(i), True) for i in (*range(3, 11), 10)]])
     assert itq.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_one_of_each(spark):
+    """Null and repeated ids: a group keeps one row, of the smallest id, and all columns."""
+    same_, other, nulls = "same words here and more", "quite another text of words", "only nulls know this text"
+    rows = [(None, same_, 1), (5, same_, 2), (5, same_, 3), (None, nulls, 4), (None, nulls, 5), (9, None, 6), (2, "", 7), (7, other, 8), (7, "again another thing is said", 9)]
+    docs = spark.createDataFrame([(*r, "clash", 0) for r in rows], "doc_id bigint, text string, _row int, _fp string, component_id int")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(5, same_), (None, nulls), (2, ""), (7, other), (7, "again another thing is said")]))
+    assert simhash.one_of_each(docs.limit(0)).count() == 0

@@ -12,7 +12,7 @@ from lodestar.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
 WORD, BYTE, PIECE = (public_tokenizers.path(p) for p in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
-ODD = ["", " ", "\n\n x\n \n", "tok▁en x", "日本語 テキスト　full", "a" * 500 + " " + "xyz" * 100, "é́ ﬁ \x1c! \x85 z", "I'll <|endoftext|> 123 4567  \t x", "q \xa0 w.", "Ünïcode, ÀB. ...", "don't. we'd, x.y"]
+ODD = ["", " ", "\n\n x\n \n", "tok▁en x", "日本語 テキスト　full", "a" * 500 + " " + "xyz" * 100, "é́ ﬁ \x1c! \x85 z", "I'll <|endoftext|> 123 4567  \t x", "q \xa0 w.", "Ünïcode, ÀB. ...", "don't. we'd, x.y", "<|ENDOFTEXT|> hello", "<|StartOfText|>. a<|endoftext|>B <|startoftext|>x, Y<|", "É<|endoftext|>\u0301 <|EndOfText|>.", "ΑΣ ΣΑΣ. İx K"]
 
 
 @pytest.fixture(scope="module")
@@ -31,10 +31,50 @@ def test_word_ids_are_the_tokenizers(texts):
     for _ in range(2):  # the second time from the cache
         for x in texts:
             assert own(x.encode(), 2).tolist() == t.encode(x, add_special_tokens=False).ids + [2]
-    words = sorted({w for x in texts for w in x.lower().split() if w.isalpha()})
+    words = sorted({w for x in texts for w in x.lower().split() if packing.is_plain(w)})
     assert own.merge is not None and [own.merge(w) for w in words] == [e.ids for e in t.encode_batch(words, add_special_tokens=False)]
 
 
+def test_word_ids_of_made_up_strings():
+    """20,000 strings of capitals, special strings in any case, composed and decomposed letters."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    t, own, rnd = Tokenizer.from_file(WORD), packing.WordIds(WORD), random.Random(1)
+    bits = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|startoftext|>", "Hello", "WORLD", "é", "É", "\u0301", "a", "B", "Ω", "Σ", "ß", "İ", "\u212a", " ", "  ", "\n", "\t", ".", ",", "'s", "'S", "123", "!", "<|", "|>", "日本", "ﬁ", "The", "don't", "\xa0", "\x1c", "ing", "ed"]
+    made = ["".join(rnd.choices(bits, k=rnd.randint(1, 12))) for _ in range(20_000)]
+    for x, e in zip(made, t.encode_batch(made, add_special_tokens=False)):
+        assert own(x.encode(), 2).tolist() == e.ids + [2], x
+
+
+def test_windows_place_best_fit():
+    """Against a plain search over the open windows: the fullest that fits, and the fullest goes when none does."""
+    import random
+
+    rnd, space, open_ = random.Random(2), packing.Windows(100, 4), []
+    for _ in range(3000):
+        size = rnd.randint(1, 99)
+        w, gone = space.place(size)
+        fits = [x for x in open_ if 100 - x["used"] >= size]
+        if fits:
+            want = max(fits, key=lambda x: x["used"])
+            assert gone is None and w[0] == want["used"]
+        else:
+            if len(open_) == 4:
+                full = max(open_, key=lambda x: x["used"])
+                assert gone[0] == full["used"]
+                open_.remove(next(x for x in open_ if x["number"] == gone[1]))
+            open_.append(want := {"used": 0, "number": w[1]})
+        mine = next(x for x in open_ if x["number"] == w[1])
+        done = space.put(w, size, ("d",))
+        mine["used"] += size
+        assert (done is not None) == (mine["used"] == 100)
+        if done is not None:
+            open_.remove(mine)
+        assert sorted(x["used"] for x in open_) == sorted(x[0] for x in space.open) and len(open_) <= 4
+
+
 @pytest.mark.parametrize("length,windows", [(4096, 32), (64, 3)])
 def test_packing_is_exact(spark, texts, length, windows):
     from tokenizers import Tokenizer
@@ -101,6 +141,43 @@ def test_viterbi_is_best():
         assert "".join(names[i] for i in ids) == w and sum(scores[i] for i in ids) == pytest.approx(best(w))
 
 
+def test_viterbi_of_whole_documents(spark, texts):
+    """The public pieces and scores as a unigram model: totals equal a plain dynamic programme's, word by word."""
+    p = sentencepiece.Pieces.load(PIECE)
+    codec, low = sentencepiece.Codec(p, "viterbi"), float(p.scores.min()) - 10
+
+    def best(w):
+        score = [0.0] + [-np.inf] * len(w)
+        for end in range(1, len(w) + 1):
+            for a in range(max(0, end - p.longest), end):
+                s = p.score_of.get(w[a:end], low if end - a == 1 else None)
+                if s is not None:
+                    score[end] = max(score[end], score[a] + s)
+        return score[-1]
+
+    checked = 0
+    for t in texts[:12] + ODD:
+        ids = codec.encode(t.encode())
+        if "▁" not in t:
+            assert codec.decode(ids) == t.encode()
+        for w in set(sentencepiece._WORD.findall(b" " + t.encode()) if t else []):
+            word = w.decode().replace(" ", "▁")
+            if len(word) > 60:
+                continue
+            got = np.frombuffer(codec.known[w], "<u4").tolist()
+            if any(i in p.byte_ids.values() for i in got):
+                continue  # a character that no piece holds stands as its bytes
+            assert sum(p.score_of[p.text[i]] for i in got) == pytest.approx(best(word))
+            checked += 1
+    assert checked > 500
+
+
+def test_tokens_of_empty_tables(spark):
+    none = frame(spark, ODD).limit(0)
+    assert sentencepiece.encode(none, PIECE).count() == tokencounts.count_by_section(none, BYTE).count() == packing.pack(none, WORD).count() == 0
+    assert sentencepiece.decode(sentencepiece.encode(none, PIECE), PIECE).count() == 0
+
+
 @pytest.mark.parametrize("rule", tokencounts.RULES)
 def test_section_counts(spark, texts, rule):
     from tokenizers import Tokenizer
@@ -152,6 +229,43 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.search(df.limit(0), F.expr("id % 20 = 0")).count() == 0
 
 
+def test_equal_vectors_tie(spark):
+    """Equal vectors score alike wherever they stand, so ties go to the smaller id; a repeated query id asks its least vector once."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=(600, 17))
+    x[300:340] = x[300] * 3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(0, [-9.0] + x[0].tolist()[1:])], "vec_id bigint, embedding array<double>")
+    got = {}
+    for g in ann.search(df, F.expr("id in (0, 300)"), k=30, shard_rows=100).collect():
+        got.setdefault(g.query_id, []).append((g["rank"], g.vec_id, g.score))
+    first = [i for _, i, _ in sorted(got[300])]
+    assert first == list(range(301, 331)) and len({s for _, _, s in got[300]}) == 1
+    asked = np.array([min(-9.0, x[0][0]), *x[0][1:]])
+    assert len(got[0]) == 30 and all(s == pytest.approx(float(asked @ x[i])) for _, i, s in got[0])
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, repeated rows, clashing names and empty tables through every stage, labels odd as well."""
+    import corpus_pipeline as C
+
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 1), (2, None, None)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(None, "only one has this"), (5, "same words are here"), (5, "same words are here"), (None, "same words are here"), (6, None), (7, ""), (8, "x" * 100_000), (9, "password = abcdefgh1")]
+    docs = spark.createDataFrame([(*r, "en", "s", None, 0.5, 1, 2, "b", "w") for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, _score double, _row int, _fp int, base string, words string")
+    for some in (docs, docs.limit(0)):
+        kept = some
+        for name, stage in C.STAGES[:4]:
+            out = stage(spark, kept, str(tmp_path))
+            assert out.columns == docs.columns, name
+            kept = spark.createDataFrame(out.collect(), docs.schema)
+            assert kept.count() <= some.count()
+        C.STAGES[4][1](spark, kept, str(tmp_path)).collect()
+    deduplicated = C.dedup_stage(spark, docs, str(tmp_path))
+    assert sorted(map(repr, ((r.doc_id, (r.text or "")[:4]) for r in deduplicated.collect()))) == sorted(map(repr, [(None, "only"), (5, "same"), (6, ""), (8, "xxxx"), (9, "pass")]))
+    masked = C.secrets_stage(spark, docs, str(tmp_path)).where("doc_id = 9").first()
+    assert masked.text == "[SECRET]" and masked.n_chars == 8
+
+
 def test_pipeline_equals_its_parts(spark):
     """Stage by stage over the smallest table, each decision made again row by row."""
     import corpus_pipeline as C
