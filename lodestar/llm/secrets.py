@@ -26,6 +26,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 PER_CHAR, IN_ALL = 0.7, 20.0
 #: Bounds of what ordinary strings are learned from: documents, read whole, and words in all.
 SAMPLE_DOCS, SAMPLE_WORDS = 400, 200_000
+#: A word of training is a whole run of so many letters: a longer one is no ordinary word.
+TRAINING_WORD = r"(?<![A-Za-z])[A-Za-z]{2,40}(?![A-Za-z])"
 
 _CODE = np.full(128, len(ALPHABET), np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
@@ -66,7 +68,7 @@ def random_samples(n: int = 3000, seed: int = 7) -> list[str]:
 def ordinary_samples(texts: list[str], seed: int = 7) -> list[str]:
     """Labelled negatives: words of ordinary text, and identifiers, paths and numbers made of them."""
     rnd = random.Random(seed)
-    words = [w for t in texts for w in re.findall(r"[A-Za-z]{2,}", "".join(c if ord(c) < 128 else " " for c in t))][:SAMPLE_WORDS]
+    words = [w for t in texts for w in re.findall(TRAINING_WORD, "".join(c if ord(c) < 128 else " " for c in t))][:SAMPLE_WORDS]
     words = words or ["the", "name", "value", "index"]
     out = list(words)
     for _ in range(6000):
@@ -158,7 +160,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     d = docs.select(col(id_col).alias("i"), col(text_col).alias("t"))
     ids = d.where("i is not null").select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(sample_docs)
     some = d.join(F.broadcast(ids), "i", "left_semi").groupBy("i").agg(F.max("t").alias("t"))
-    words = some.select("i", F.posexplode(F.regexp_extract_all("t", F.lit("[A-Za-z]{2,}"), F.lit(0))).alias("at", "w"))
+    words = some.select("i", F.posexplode(F.regexp_extract_all("t", F.lit(TRAINING_WORD), F.lit(0))).alias("at", "w"))
     rows = words.orderBy(F.xxhash64("i", "at", "w"), "i", "at").limit(SAMPLE_WORDS).select("w").collect()
     return MarkovSecrets(random_samples(), ordinary_samples([" ".join(r.w for r in rows)]))
 

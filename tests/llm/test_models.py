@@ -16,8 +16,8 @@ ODD = [(1, None), (2, ""), (3, "x" * 300_000), (None, "word"), (3, "twice"), (3,
 @pytest.fixture(scope="module")
 def odd(spark):
     """Null and repeated ids, null, empty and very long texts, and columns named as the operators' own."""
-    cols = "doc_id bigint, text string, label string, _score double, score string, base string, spans int, _found int, i int, p int, y int, t string, `a.b` int"
-    return spark.createDataFrame([(i, t, "clash", 0.5, "s", "b", 1, 2, 3, 4, 5, "t", 6) for i, t in ODD], cols)
+    cols = "doc_id bigint, text string, label string, _score double, score string, base string, spans int, _found int, i int, p int, y int, t string"
+    return spark.createDataFrame([(i, t, "clash", 0.5, "s", "b", 1, 2, 3, 4, 5, "t") for i, t in ODD], cols)
 
 
 @pytest.fixture(scope="module")
@@ -193,11 +193,12 @@ def test_secrets_equal_plain_scan(spark):
         assert [(s.start, s.end, s.kind) for s in r.base] == base
         assert [(s.start, s.end, s.kind) for s in r.spans] == spans
         seen += len(spans)
-    assert seen
     odd_texts = ["ab" * 12 + "_" + "Zx9" * 20, "token=" + "ab" * 20 + "/" + "Q7w" * 9, "secret: AKIA" + "B7" * 12 + "-" + "0f" * 13 + "=", "apikey='x" * 3]
     for t in odd_texts:
         base, spans = plain(t)
         assert secrets.base_spans(t) == base and model.spans(t, base) == spans
+        seen += len(spans)
+    assert seen >= 6
 
 
 def test_secret_scan_is_in_proportion(monkeypatch):
@@ -233,7 +234,7 @@ def test_pu_risk_equals_a_loop():
     assert pos + max(0.0, neg) < start  # the corrected risk has gone down
     best = min((pos_ + max(0.0, neg_)) for _ in range(400) for pos_, neg_ in [parts(w + r.normal(size=4) * 0.05, b + r.normal() * 0.05)])
     assert pos + max(0.0, neg) <= best + 0.02  # and no neighbour is much better
-    model = toxicity.fit(["vile awful words here"] * 1 + [f"vile awful thing {i} zz{i}" for i in range(20)], [f"plain good text {i} qq{i}" for i in range(40)], 0.2)
+    model = toxicity.fit([f"{i}a vile {i}b awful {i}c" for i in range(20)], [f"{i}d plain {i}e good {i}f" for i in range(40)], 0.2)
     for t in ("", "vile", "VILE awful; plain", "nothing of it"):
         feats = {f for x in __import__("re").findall(r"[^\W\d_]+", t.lower()) for f in toxicity.word_features(x)}
         z = model.bias + sum(model.weights.get(f, 0.0) for f in sorted(feats))
