@@ -54,34 +54,36 @@ def encode(x: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> np.ndarray:
 
 
 def reach(threshold: float, bits: int = BITS) -> int:
-    """Bits that codes of vectors at the threshold differ in, and seven standard deviations more."""
+    """Bits that codes of vectors at the threshold differ in, and five standard deviations more."""
     p = math.acos(min(1.0, max(-1.0, threshold))) / math.pi
-    return math.ceil(bits * p + 7 * math.sqrt(bits * p * (1 - p)))
+    return math.ceil(bits * p + 5 * math.sqrt(bits * p * (1 - p)))
 
 
 def candidates(ids: np.ndarray, codes: np.ndarray, t: int, within: int, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """A forest ``(id, root)`` of rows of which table ``t`` finds codes ``within`` so many bits.
 
     Rows of one substring gather behind a few leaders first, so that a large group of
-    near copies is not met pair by pair; leaders then meet with what their rows may be
-    off by added.
+    near copies is not met pair by pair; leaders then meet, with the distance of their
+    farthest row added on either side.
     """
     n, words = len(ids), codes.view(np.uint64)
     far = lambda a, b: np.bitwise_count(words[a] ^ words[b]).sum(1, dtype=np.int64)
     order = np.argsort(codes[:, t], kind="stable")
-    leader, loose, pairs = np.arange(n), order, []
+    leader, spread, loose, pairs = np.arange(n), np.zeros(n, np.int64), order, []
     for _ in range(LEADERS):
         _, first, which = np.unique(codes[loose, t], return_index=True, return_inverse=True)
         head = loose[first][which]
-        near = far(loose, head) <= TIGHT
+        off = far(loose, head)
+        near = off <= TIGHT
         leader[loose[near]] = head[near]
+        np.maximum.at(spread, head[near], off[near])
         loose = loose[~near]
         if not len(loose):
             break
     behind = np.flatnonzero(leader != np.arange(n))
     pairs.append((behind, leader[behind]))
     lead = order[leader[order] == order]
-    sub, most = codes[lead, t], within + (2 * TIGHT if len(behind) else 0)
+    sub = codes[lead, t]
     starts = np.searchsorted(sub, np.arange((1 << TABLE_BITS) + 1))
     for flip in (0, *(1 << np.arange(TABLE_BITS)).tolist()):
         value = sub ^ np.uint16(flip)
@@ -94,7 +96,7 @@ def candidates(ids: np.ndarray, codes: np.ndarray, t: int, within: int, block: i
             who, s = asks[at:upto], size[asks[at:upto]]
             q = np.repeat(who, s)
             h = np.repeat(lo[who], s) + np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
-            ok = far(lead[q], lead[h]) <= most
+            ok = far(lead[q], lead[h]) <= within + spread[lead[q]] + spread[lead[h]]
             ok &= q != h
             if ok.any():
                 pairs.append((lead[q[ok]], lead[h[ok]]))
