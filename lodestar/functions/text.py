@@ -110,7 +110,7 @@ def raw_words(c: Column) -> Column:
 def tokenize(c: Column) -> Column:
     """Distinct stems of the search terms in a text or path, in order of first occurrence."""
     keep = lambda t: searchable(t) & ~_stop(t)
-    return F.array_distinct(F.filter(F.transform(F.filter(raw_words(c), keep), stem), keep))
+    return F.array_distinct(F.filter(F.transform(F.array_distinct(F.filter(raw_words(c), keep)), stem), keep))
 
 
 def tokenize_identifier(c: Column) -> Column:

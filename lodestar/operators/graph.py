@@ -13,6 +13,7 @@ JS_EXTENSIONS = ".cjs .cts .js .jsx .mjs .mts .svelte .ts .tsx .vue".split()
 RESOLVE = ".ts .tsx .mts .cts .js .jsx .mjs .cjs .vue .svelte".split()
 COMPILED = {".js": (".ts", ".tsx"), ".mjs": (".mts",), ".cjs": (".cts",)}
 _W = r"(?<![A-Za-z0-9_])"
+# How a file names what it imports.
 SPECIFIERS = (
     _W + r"""import\s+[^'"()]*?from\s*["']([^"'\n]+)["']""",
     _W + r"""import\s*["']([^"'\n]+)["']""",

@@ -9,6 +9,7 @@ from ..functions import paths as P
 from ..functions import text as T
 
 MATCHED = 5
+# Openings and words of tasks that name nothing.
 VAGUE = r"(?i)^\s*(?:please\s+)?(?:improve|make|clean(?:\s+(?:this|it|things?))?\s+up|cleanup|refactor)(?![A-Za-z0-9_])"
 BROKEN = r"(?i)^\s*(?:please\s+)?(?:refactor|cleanup|clean\s+up)\s+(?:broke|breaks?|caused|causes|deleted?|deletes?|fails?|failed)(?![A-Za-z0-9_])"
 VAGUE_TERMS = r"(?i)(?<![A-Za-z0-9_])(?:please|improve|better|clean(?:\s+(?:this|it|things?))?\s+up|cleanup|refactor|developer\s+experience|dx|general|overall|codebase|quality|make|things?)(?![A-Za-z0-9_])"

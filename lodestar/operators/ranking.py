@@ -22,6 +22,7 @@ CONFIGURATION = "config configuration workflow action ci yaml".split()
 PRESENTATION = "browser button client display form frontend layout page screen ui visitor web website".split()
 SOURCES_OF = {".js": (".ts", ".tsx"), ".jsx": (".tsx",), ".mjs": (".mts",), ".cjs": (".cts",)}
 _B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+# How a task says that it is about documents, types or examples.
 _DOCS, _ACT = r"(?:docs?|documentation|readme|guide)", r"(?:add|change|correct|document|edit|fix|improve|remove|revise|rewrite|update|write)"
 _DEFECT = r"(?:typos?|spelling|grammar|wording|broken links?)"
 

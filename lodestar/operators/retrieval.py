@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import written
 
 K1, B = 1.2, 0.75
+_WHOLE = "\0"  # stands for a document as a whole among its tokens, none of which holds it
 
 
 def term_frequency(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -35,11 +37,13 @@ def bm25(docs: DataFrame, tasks: DataFrame, key: str = "path", text: str = "text
     by = list(by or [])
     terms = tasks.select(*by, task, F.explode(T.query_terms(F.col(issue))).alias("token"))
     wanted = terms.select(*by, "token").distinct()
-    # the length stands beside the tokens before they are exploded, or each token would count them anew
+    # documents are tokenised once: each also counts one token that stands for all of it, whatever the tasks ask for
+    whole = (tasks.select(*by).distinct() if by else tasks.sparkSession.range(1)).select(*by, F.lit(_WHOLE).alias("token"))
     listed = docs.select(*by, key, T.retrieval_tokens(F.col(text)).alias("listed")).select(*by, key, "listed", F.size("listed").cast("bigint").alias("length"))
-    corpus = listed.groupBy(*by).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    tokens = listed.select(*by, key, "length", F.explode("listed").alias("token"))
-    tf = tokens.join(wanted, [*by, "token"], "left_semi").groupBy(*by, key, "token", "length").agg(F.count("*").alias("tf"))
+    tokens = listed.select(*by, key, "length", F.explode(F.concat("listed", F.array(F.lit(_WHOLE)))).alias("token"))
+    counted = written(tokens.join(wanted.union(whole), [*by, "token"], "left_semi").groupBy(*by, key, "token", "length").agg(F.count("*").alias("tf")))
+    corpus = counted.where(F.col("token") == _WHOLE).groupBy(*by).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    tf = counted.where(F.col("token") != _WHOLE)
     df = tf.groupBy(*by, "token").agg(F.count("*").alias("df"))
     mean = F.when(F.coalesce("mean", F.lit(0.0)) == 0, 1.0).otherwise(F.col("mean"))
     weighted = tf.join(df, [*by, "token"])
@@ -68,6 +72,26 @@ def literal_search(docs: DataFrame, tasks: DataFrame, key: str = "path", text: s
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select(task, "rank", key, "terms", "occurrences")
 
 
+def holding(docs: DataFrame, passages: DataFrame, key: str = "doc_id", text: str = "text", task: str = "task_id", issue: str = "issue_text") -> DataFrame:
+    """``(task, key)`` of every passage and each document that holds it as it stands.
+
+    A run of letters, digits, ``_`` and ``$`` within a passage, not at its ends, is a run
+    of any text that holds the passage: the longest such run is joined by equality, and
+    only what that finds is read for the passage.  Passages without one are few words
+    long; these alone are held against every text.
+    """
+    runs = lambda c: T.find_all(c, "[A-Za-z0-9_$]+")
+    inner = F.slice(runs(F.col(issue)), 2, F.greatest(F.size(runs(F.col(issue))) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
+    p = passages.select(task, F.col(issue).alias("_passage"), longest.alias("_run"))
+    words = docs.select(key, F.explode(F.array_distinct(runs(F.col(text)))).alias("_run"))
+    near = words.join(p.where("_run is not null").select(task, "_run"), "_run").select(task, key)
+    d = docs.select(key, F.col(text).alias("_text"))
+    long = near.join(p.select(task, "_passage"), task).join(d, key).where(F.col("_text").contains(F.col("_passage")))
+    short = d.join(p.where("_run is null"), F.col("_text").contains(F.col("_passage")))
+    return long.select(task, key).union(short.select(task, key))
+
+
 def widespread_tokens(tokens: DataFrame, groups: list[str], key: str, share: float = 0.85, least: int = 4) -> DataFrame:
     """Tokens in at least ``share`` of a group's documents; groups of under ``least`` have none.
 
@@ -75,5 +99,5 @@ def widespread_tokens(tokens: DataFrame, groups: list[str], key: str, share: flo
     """
     n = tokens.groupBy(*groups).agg(F.count("*").alias("n"))
     df = tokens.select(*groups, F.explode("tokens").alias("token")).groupBy(*groups, "token").agg(F.count("*").alias("df"))
-    joined = df.join(F.broadcast(n), groups) if groups else df.crossJoin(F.broadcast(n))
+    joined = df.join(n, groups) if groups else df.crossJoin(F.broadcast(n))  # one row
     return joined.where((F.col("n") >= least) & (F.col("df") >= F.ceil(F.col("n") * share))).select(*groups, "token", "df", "n")

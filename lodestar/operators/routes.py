@@ -21,6 +21,7 @@ RISKS = (
 )
 RUNNERS = {"go": "go test ./...", "rust": "cargo test", "ruby": "bundle exec rspec", "php": "composer test or vendor/bin/phpunit", "java": "mvn test or ./gradlew test", "dotnet": "dotnet test"}
 _B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+# How tests are skipped.
 CONDITIONAL_SKIP = r"\.(?:skipIf|runIf)\s*\("
 SKIP = "|".join((
     _B + r"(?:it|test|describe|context)\.(?:skip|todo)\s*\(",

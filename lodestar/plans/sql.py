@@ -116,7 +116,7 @@ def module_stem(p: str) -> str:
 
 FILES = r"""files AS (SELECT 'docs' AS repo_id, doc_id AS seq, source || CASE WHEN doc_id % 10 = 9 THEN '/dist/' ELSE '/src/' END || lang || '/doc_' || doc_id
     || CASE WHEN doc_id % 10 <= 4 THEN '.ts' WHEN doc_id % 10 = 5 THEN '.py' WHEN doc_id % 10 = 6 THEN '.test.ts' WHEN doc_id % 10 = 7 THEN '.md' WHEN doc_id % 10 = 8 THEN '.json' ELSE '.ts' END AS path,
-    octet_length(encode(text)) AS size_bytes, CASE WHEN octet_length(encode(text)) <= 64000 THEN text ELSE '' END AS text FROM documents)"""
+    octet_length(encode(text)) AS size_bytes, text FROM documents)"""
 
 
 def wilson(h: str, n: str, z: float = 1.96) -> tuple[str, str]:

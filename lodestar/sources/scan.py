@@ -38,13 +38,20 @@ def sample(content: Column, size: Column, limit: int = MAX_SAMPLE) -> tuple[Colu
 
 
 def file_records(listing: DataFrame, limit: int = MAX_SAMPLE) -> DataFrame:
-    """``listing(repo_id, path, size_bytes, content)`` -> files; only sources keep a text, components only their scripts."""
+    """``listing(repo_id, path, size_bytes, content)`` -> files; only sources keep a text, components only their scripts.
+
+    ``seq`` follows the order of the paths in all; a package manifest may be UTF-16.
+    """
     p = F.col("path")
     src = P.is_source(p)
+    listing = listing.orderBy("repo_id", "path").withColumn("seq", F.monotonically_increasing_id())  # sorted over all partitions
     text, reason = sample(F.col("content"), F.col("size_bytes"), limit)
+    wide = (P.name(p) == "package.json") & (reason == "not-text")
+    text = F.when(wide, decode_text(F.col("content"))).otherwise(text)
+    reason = F.when(wide, None).otherwise(reason)
     component = P.extension(p).isin(".vue", ".svelte")
     return listing.select(
-        "repo_id", F.xxhash64("path").alias("seq"), "path", P.extension(p).alias("extension"), "size_bytes", P.is_test(p).alias("is_test"), src.alias("is_source"), P.kind(p).alias("kind"),
+        "repo_id", "seq", "path", P.extension(p).alias("extension"), "size_bytes", P.is_test(p).alias("is_test"), src.alias("is_source"), P.kind(p).alias("kind"),
         F.when(~src, "").when(component, P.script_blocks(text)).otherwise(text).alias("text"),
         F.when(src, reason.isNull()).alias("text_complete"), F.when(src, reason).alias("skip_reason"))
 
@@ -119,14 +126,18 @@ def cached_scan(spark: SparkSession, folder: str, key: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def documents_as_files(documents: DataFrame) -> DataFrame:
-    """Documents under paths made of their source, language and id, so that path rules apply to them."""
+def documents_as_files(documents: DataFrame, limit: int | None = MAX_SAMPLE) -> DataFrame:
+    """Documents under paths made of their source, language and id, so that path rules apply to them.
+
+    Texts of over ``limit`` bytes are left unread, as in a scan; none are without a limit.
+    """
     b = F.pmod(F.col("doc_id"), F.lit(10))
     suffix = F.when(b <= 4, ".ts").when(b == 5, ".py").when(b == 6, ".test.ts").when(b == 7, ".md").when(b == 8, ".json").otherwise(".ts")
     path = F.concat("source", F.when(b == 9, "/dist/").otherwise("/src/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), suffix)
     size = F.octet_length("text").cast("bigint")
     d = documents.select("doc_id", "text", path.alias("path"), size.alias("size_bytes"))
     p = F.col("path")
+    fits = F.lit(True) if limit is None else F.col("size_bytes") <= limit
     return d.select(
         F.lit("docs").alias("repo_id"), F.col("doc_id").alias("seq"), "path", P.extension(p).alias("extension"), "size_bytes", P.is_test(p).alias("is_test"), P.is_source(p).alias("is_source"), P.kind(p).alias("kind"),
-        F.when(F.col("size_bytes") <= MAX_SAMPLE, F.col("text")).otherwise("").alias("text"), (F.col("size_bytes") <= MAX_SAMPLE).alias("text_complete"), F.when(F.col("size_bytes") > MAX_SAMPLE, "too-large").alias("skip_reason"))
+        F.when(fits, F.col("text")).otherwise("").alias("text"), fits.alias("text_complete"), F.when(~fits, "too-large").alias("skip_reason"))

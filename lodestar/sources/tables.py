@@ -45,6 +45,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores: a table of few files or row groups would keep the rest idle."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def drop_written(spark: SparkSession) -> int:
     """Remove every table that ``written`` and ``new_path`` made; for a caller that is done with all results."""
     for path in _WRITTEN:

@@ -122,26 +122,58 @@ def test_literal_search_of_long_passages(spark):
         want += [(task, k + 1, i, -a, -b) for k, (a, b, i) in enumerate(found)]
     assert sorted(map(tuple, got)) == sorted(want)
     asked = {r.item_id for r in spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) >= 120").collect()}
-    assert asked & {r.task_id for r in catalogue.QUERIES["literal_search_all_passages"](spark, SF).collect()}
+    assert asked & {r.task_id for r in catalogue.QUERIES["literal_search_topk"](spark, SF).collect()}
 
 
 def test_cochange_of_every_seed(spark):
     from lodestar.plans import catalogue
 
-    rows = catalogue.QUERIES["cochange_pairs_all_seeds"](spark, SF).select("seed", "companion", "occurrences").collect()
+    rows = catalogue.QUERIES["cochange_pairs"](spark, SF).select("seed", "companion", "occurrences").collect()
     pairs = {(r.seed, r.companion): r.occurrences for r in rows}
     assert {s % 10 for s, _ in pairs} == set(range(10)) and all(pairs[b, a] == n for (a, b), n in pairs.items())
-    tenth = catalogue.QUERIES["cochange_pairs"](spark, SF).collect()
-    assert {(r.seed, r.companion): r.occurrences for r in tenth} == {k: n for k, n in pairs.items() if k[0] % 10 == 0}
 
 
 def test_history_filter_of_missing_files(spark):
     """Large commits leave by all their files; then missing files leave, whatever their ids."""
-    from lodestar.plans import catalogue
-
     rows = [("small", i) for i in range(1, 6)] + [("large", i) for i in range(1, 32)] + [("full", i) for i in range(1, 31)]
     known = spark.createDataFrame([(1,), (2,), (5,)], "file int")
     got = cochange.eligible(spark.createDataFrame(rows, "day string, file int"), ["day"], "file", known).collect()
     assert sorted((r.day, r.file) for r in got) == [(d, i) for d in ("full", "small") for i in (1, 2, 5)]
-    half, whole = ({r.day: r.parts for r in catalogue.QUERIES[q](spark, SF).collect()} for q in ("history_filter", "history_filter_all_parts"))
-    assert set(half) <= set(whole) and sum(whole.values()) > sum(half.values())
+
+
+def test_passages_that_texts_hold(spark):
+    """Against a plain search, for long passages, passages cut within a word, and short ones."""
+    docs = [(1, "the quick brown fox jumps"), (2, "a quick brownish thing; quick brown"), (3, None), (4, ""), (5, "e quick brown fo"), (6, "x")]
+    passages = [("a", "e quick brown fo"), ("b", "quick brown"), ("c", "x"), ("d", "no such words here"), ("e", "the quick brown fox jumps")]
+    got = retrieval.holding(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(passages, "task_id string, issue_text string")).collect()
+    assert sorted(map(tuple, got)) == sorted((t, i) for t, p in passages for i, x in docs if x is not None and p in x)
+
+
+def test_manifests_may_be_utf16(spark, tmp_path):
+    for p, b in {"b/package.json": '{"name": "b", "scripts": {"test": "x"}}'.encode("utf-16"), "a.ts": b"const a", "z.ts": "const z".encode("utf-16")}.items():
+        f = tmp_path / p
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(b)
+    files = scan.file_records(scan.directory(spark, f"file://{tmp_path}"))
+    rows = sorted(files.collect(), key=lambda r: r.seq)
+    assert [r.path for r in rows] == ["a.ts", "b/package.json", "z.ts"] and [r.skip_reason for r in rows] == [None, None, "not-text"]
+    assert [(r.name, r.package_name) for r in scan.package_scripts(files).collect()] == [("test", "b")]
+
+
+def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
+    import pytest
+
+    from lodestar.sources import tables
+
+    assert tables.written(spark.range(3)).count() == 3 and tables.drop_written(spark) >= 1
+
+    class Far:
+        master = "spark://far:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Far
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+
+    with pytest.raises(RuntimeError):
+        tables.shared_folder(Session)
