@@ -246,19 +246,25 @@ def confidence(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("confidence", F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), value + 1))
 
 
-def rank(files: DataFrame, tasks: DataFrame, changed: DataFrame, excluded: DataFrame | None = None, limit: int | None = LIMIT, cutoff: int | None = CUTOFF, diagnostics: DataFrame | None = None) -> DataFrame:
+def ground(files: DataFrame, tasks: DataFrame, diagnostics: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What tasks say and how far the files bear it out, both written: ``(signals, grounding)``."""
+    signals = written(task_signals(tasks))
+    return signals, written(task_grounding(signals, files, written(ground_identifiers(signals, files)), diagnostics))
+
+
+def rank(files: DataFrame, tasks: DataFrame, changed: DataFrame, excluded: DataFrame | None = None, limit: int | None = LIMIT, cutoff: int | None = CUTOFF, diagnostics: DataFrame | None = None, grounded: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The files of every task, best first.
 
     ``files(repo_id, seq, path, text, is_test, is_source, kind, text_complete)``,
     ``tasks(repo_id, task_id, issue_text, diff_text)``, ``changed(repo_id, path)``.
-    Without ``limit`` and ``cutoff`` every candidate comes back.
+    Without ``limit`` and ``cutoff`` every candidate comes back.  ``grounded`` is what
+    ``ground`` gave for the same tasks, if a caller has it.
     """
     by = ["repo_id", "task_id"]
     # read several times below: what tasks say, what files are, and how they score
-    signals = written(task_signals(tasks))
+    signals, grounding = grounded or ground(files, tasks, diagnostics)
     facts = written(file_facts(files))
-    ground = written(task_grounding(signals, files, written(ground_identifiers(signals, files)), diagnostics))
-    tokens = grounded_tokens(signals, ground, task_signals)
+    tokens = grounded_tokens(signals, grounding, task_signals)
     ready = written(intents(signals.join(tokens, by)))
     scored = written(score(written(candidates(signals, facts, changed, excluded)), ready, changed))
     scored = add_proximity(scored, written(graph.import_edges(files)[0]))
@@ -268,7 +274,7 @@ def rank(files: DataFrame, tasks: DataFrame, changed: DataFrame, excluded: DataF
     r = scored.withColumn("position", F.row_number().over(order))
     lead = F.max(F.when(F.col("position") == 1, F.col("definition_evidence"))).over(Window.partitionBy(*by))
     r = r.withColumn("contested", ~lead & F.bool_or("definition_evidence").over(Window.partitionBy(*by)))
-    r = confidence(r.join(shape(r), by).join(ground, by))
+    r = confidence(r.join(shape(r), by).join(grounding, by))
     if limit is not None:
         r = r.where(F.col("position") <= limit)
     reasons = F.when(F.size("reasons") > 0, F.col("reasons")).otherwise(F.array(F.lit("source file")))

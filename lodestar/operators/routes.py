@@ -138,6 +138,32 @@ def test_routes(scripts: DataFrame, repos: DataFrame, context: DataFrame, files:
     return out.select("plan_id", "ord", "command", why.alias("reason"), "package_dir")
 
 
+def manifest_routes(files: DataFrame, context: DataFrame, languages: DataFrame) -> DataFrame:
+    """``(plan_id, ord, command, reason, package_dir)``: the toolchain's own command, one a plan.
+
+    A Rust plan is held to the deepest crate around its code; other commands reach all.
+    """
+    code = context.join(files.where("kind = 'code'").select("repo_id", "path"), ["repo_id", "path"], "left_semi")
+    crates = files.where(P.name(F.col("path")) == "Cargo.toml").select("repo_id", F.col("path").alias("manifest"), P.folder(F.col("path")).alias("package_dir")).where("package_dir <> ''")
+    parts = F.split("path", "/")
+    around = code.select("plan_id", "repo_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("package_dir")).distinct()
+    near = around.join(crates, ["repo_id", "package_dir"]).join(languages.where("language = 'rust'"), "repo_id", "left_semi")
+    near = near.groupBy("plan_id").agg(F.min_by(F.struct("manifest", "package_dir"), F.struct(-F.size(F.split("package_dir", "/")), "package_dir")).alias("crate"))
+    plans = code.select("plan_id", "repo_id").distinct().join(manifest_command(files, languages), "repo_id").join(near, "plan_id", "left")
+    held = F.col("crate").isNotNull()
+    return plans.select(
+        "plan_id", F.lit(1).alias("ord"), F.when(held, F.concat(F.lit("cargo test --manifest-path "), "crate.manifest")).otherwise(F.col("command")).alias("command"),
+        F.when(held, F.col("crate.manifest")).otherwise(F.col("reason")).alias("reason"), F.coalesce("crate.package_dir", F.lit("")).alias("package_dir"))
+
+
+def with_related(routes: DataFrame, related: DataFrame) -> DataFrame:
+    """Routes with ``relatedFiles``: the related tests that lie in the folder a command runs in."""
+    within = (F.col("package_dir") == "") | F.startswith(F.col("path"), F.concat("package_dir", F.lit("/")))
+    hits = routes.select("plan_id", "ord", "package_dir").join(related.select("plan_id", F.col("ord").alias("k"), "path"), "plan_id").where(within)
+    lists = hits.groupBy("plan_id", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "path"))), lambda x: x.path).alias("relatedFiles"))
+    return routes.join(lists, ["plan_id", "ord"], "left").withColumn("relatedFiles", F.coalesce("relatedFiles", F.array().cast("array<string>")))
+
+
 def risk_tokens(c: Column) -> Column:
     return F.array_distinct(F.concat(T.tokenize(c), F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")))
 

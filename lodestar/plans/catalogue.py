@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
-from ..operators import backtest, cochange, context, diagnostics, evaluation, exclusion, graph, grounding, impact, ranking, reports, retrieval, routes
+from ..operators import backtest, cochange, context, diagnostics, evaluation, exclusion, graph, grounding, impact, plan, ranking, reports, retrieval, routes
 from ..operators.signals import task_signals
 from ..sources import scan
 from ..sources.tables import new_path, spread, written
@@ -870,3 +870,290 @@ def report_text(spark, sf_dir):
     ranked = spark.createDataFrame([("p1", 1, "a.ts", 9, "medium", ["x", "y"])], "plan_id string, rank int, path string, score int, confidence string, reasons array<string>")
     none = spark.createDataFrame([], "plan_id string, ord int, command string, reason string")
     return render.report_markdown(plans, ranked, none, spark.createDataFrame([("p1", 1, "data", "low")], "plan_id string, ord int, area string, severity string"))
+
+
+# ---------------------------------------------------------------- whole plans
+
+_MORE_TASKS = [("auth", "t7", "legacy old_login is odd"), ("svc", "t8", "the and of"), ("shop", "t9", "payment schema is wrong"), ("svc", "t10", "zebra stripes flicker")]
+_GATED = "gated-test-skipped,gated-test-skipped"
+_BOTH = "npm run test,npm run test:unit"
+_NEAR = "test/login.test.ts,test/token.test.ts,examples/demo/page.tsx,src/routes/index.ts"
+_LOW = "authentication:low,public-api:low"
+_PLANS = [
+    ("t1", "4 files to read, 4 files around them, 2 test commands", "inspect-with-tests:src/session.ts", "anchored", "src/session.ts,src/token.ts,src/routes/login.ts,src/routes/index.ts", _BOTH, _NEAR, _LOW, f"{_GATED},paths-excluded"),
+    ("t2", "4 files to read, 4 files around them, 2 test commands", "inspect-with-tests:src/routes/login.ts", "anchored", "src/routes/login.ts,src/token.ts,src/session.ts,src/routes/index.ts", _BOTH, _NEAR, _LOW, f"{_GATED},paths-excluded"),
+    ("t3", "3 files to read, 4 files around them, 2 test commands", "add-anchor", "vague", "src/token.ts,src/session.ts,src/routes/login.ts", _BOTH, _NEAR, _LOW, f"{_GATED},vague-task,paths-excluded"),
+    ("t4", "3 files to read, 4 files around them, 2 test commands", "correct-identifiers", "descriptive", "src/token.ts,src/session.ts,src/routes/login.ts", _BOTH, _NEAR, _LOW, f"{_GATED},unresolved-identifier,paths-excluded"),
+    ("t7", "3 files to read, 4 files around them, 2 test commands", "correct-identifiers", "descriptive", "src/token.ts,src/session.ts,src/routes/login.ts", _BOTH, _NEAR, _LOW, f"{_GATED},unresolved-identifier,paths-excluded"),
+    ("t5", "3 files to read, 0 files around them, 2 test commands", "inspect:packages/price/src/index.ts", "anchored", "packages/price/src/index.ts,packages/cart/src/index.ts,lib/money.ts", "yarn workspace @shop/cart run test,yarn workspace @shop/price run tests:all", "", "", "no-related-tests,paths-excluded"),
+    ("t9", "0 files to read, 0 files around them, 0 test commands", "add-repository-anchor", "descriptive", "", "", "", "", "no-context-match,paths-excluded"),
+    ("t6", "2 files to read, 1 file around them, 1 test command", "inspect-with-tests:serve/serve.go", "descriptive", "serve/serve.go,main.go", "go test ./...", "serve/serve_test.go", "", "gated-test-skipped"),
+    ("t8", "0 files to read, 0 files around them, 0 test commands", "add-repository-anchor", "descriptive", "", "", "", "", "no-task-terms"),
+    ("t10", "0 files to read, 0 files around them, 0 test commands", "add-repository-anchor", "descriptive", "", "", "", "", "no-context-match"),
+]
+_PLAN_COLUMNS = "task_id, summary, action, specificity, files, commands, around, risks, notes"
+
+
+@query(f"SELECT * FROM {X.sql_values(_PLANS, _PLAN_COLUMNS)}")
+def plan_report(spark, sf_dir):
+    """The plans of ten tasks over three repositories, all at once; expected values by hand."""
+    f = X.code_files(spark)
+    tasks = X.tasks(spark).union(spark.createDataFrame([(*r, None) for r in _MORE_TASKS], X.tasks(spark).schema))
+    out = exclusion.excluded(f, exclusion.rules(spark, ["src/legacy/", "db/"]), ["repo_id", "path"])
+    p = plan.plan(f, tasks, spark.createDataFrame([("auth", "src/token.ts")], "repo_id string, path string"), scan.history(X.commits(spark), f), out, diagnostics.scan_notes(f))
+
+    def joined(df, order, value, name):
+        g = df.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct(order, value.alias("v")))).alias("x"))
+        return g.select("plan_id", F.array_join(F.transform("x", lambda x: x["v"]), ",").alias(name))
+
+    wide = p["plans"]
+    for df in (joined(p["ranked"], "rank", F.col("path"), "files"), joined(p["routes"], "ord", F.col("command"), "commands"), joined(p["impact"], "rank", F.col("path"), "around"),
+               joined(p["risks"], "ord", F.concat_ws(":", "area", "severity"), "risks"), joined(p["notes"], "ord", F.col("code"), "notes")):
+        wide = wide.join(df, "plan_id", "left")
+    return wide.select("task_id", "summary", "action", "specificity", *[F.coalesce(c, F.lit("")).alias(c) for c in ("files", "commands", "around", "risks", "notes")])
+
+
+_HAND = {
+    "plans": ([("p1", "do it", "inspect:a.ts", "anchored")], "plan_id string, summary string, action string, specificity string"),
+    "ranked": ([("p1", 1, "a.ts", 9, "medium", ["x"]), ("p1", 2, "b.ts", 5, "low", ["y", "z"])], "plan_id string, rank int, path string, score int, confidence string, reasons array<string>"),
+    "routes": ([("p1", 1, "npm run test", "root", ["t.test.ts"])], "plan_id string, ord int, command string, reason string, relatedFiles array<string>"),
+    "risks": ([("p1", 1, "data", "low")], "plan_id string, ord int, area string, severity string"),
+    "changed": ([("p1", "a.ts")], "plan_id string, path string"),
+    "impact": ([("p1", 1, "c.ts", 6, "medium", [("imported-by", "a.ts", "why")])], "plan_id string, rank int, path string, score int, confidence string, evidence array<struct<kind:string,seed:string,reason:string>>"),
+    "notes": ([("p1", i, "flat-ranking", "warning", m, ["a.ts"]) for i, m in enumerate(("close", "closer", "closest", "left out"), 1)], "plan_id string, ord int, code string, severity string, message string, paths array<string>"),
+}
+
+
+def _hand(spark):
+    return {k: spark.createDataFrame(rows, schema) for k, (rows, schema) in _HAND.items()}
+
+
+def _text_sql(text: str, name: str = "text", head: str = "'p1' AS plan_id, ") -> str:
+    return "SELECT " + head + " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in text.split("\n")) + f" AS {name}"
+
+
+_JSON = """{
+  "reportVersion" : 1,
+  "summary" : "do it",
+  "contextFiles" : [ {
+    "path" : "a.ts",
+    "rank" : 1,
+    "score" : 9,
+    "confidence" : "medium",
+    "reasons" : [ "x" ]
+  }, {
+    "path" : "b.ts",
+    "rank" : 2,
+    "score" : 5,
+    "confidence" : "low",
+    "reasons" : [ "y", "z" ]
+  } ],
+  "testRoutes" : [ {
+    "command" : "npm run test",
+    "kind" : "test",
+    "reason" : "root",
+    "relatedFiles" : [ "t.test.ts" ]
+  } ],
+  "risks" : [ {
+    "area" : "data",
+    "severity" : "low"
+  } ],
+  "changedFiles" : [ "a.ts" ],
+  "impact" : [ {
+    "path" : "c.ts",
+    "rank" : 1,
+    "score" : 6,
+    "confidence" : "medium",
+    "evidence" : [ {
+      "kind" : "imported-by",
+      "seed" : "a.ts",
+      "reason" : "why"
+    } ]
+  } ],
+  "diagnostics" : [ {
+    "code" : "flat-ranking",
+    "severity" : "warning",
+    "message" : "close",
+    "paths" : [ "a.ts" ]
+  } ],
+  "analysis" : {
+    "action" : "inspect:a.ts",
+    "specificity" : "anchored"
+  }
+}
+"""
+
+
+@query(_text_sql(_JSON, "report"))
+def report_json_text(spark, sf_dir):
+    """A whole report as JSON, every byte of it."""
+    h = _hand(spark)
+    return render.report_json(h["plans"], h["ranked"], h["routes"], h["risks"], h["changed"], impact=h["impact"], notes=h["notes"].where("ord = 1"))
+
+
+@query(_text_sql("## Task\n\ndo it\n\n## Edit first\n\n- `a.ts`\n\n## Read\n\n- `b.ts`\n\n## Impact\n\n- `c.ts`\n\n## Verify\n\n- `npm run test`\n\n## Uncertain\n\n- close\n- closer\n- closest\n"))
+def report_compact(spark, sf_dir):
+    h = _hand(spark)
+    return render.report_compact(h["plans"], h["ranked"], h["impact"], h["routes"], h["notes"])
+
+
+@query(_text_sql("### `a.ts` lines 3-4\n\n````typescript\nlet x\n```\n````\n- `b.ts`: budget"))
+def context_text(spark, sf_dir):
+    rows = [("p1", 1, "a.ts", 3, 4, "let x\n```", None), ("p1", 2, "b.ts", None, None, None, "budget")]
+    return render.context_markdown(spark.createDataFrame(rows, "plan_id string, ord int, path string, start_line int, end_line int, content string, omitted string"))
+
+
+@query(_text_sql("- **error** edit-in-generated-location: `dist/a.js`\n- **warning** new-risk-area (data): `db/a.sql`, `db/b.sql`"))
+def verification_text(spark, sf_dir):
+    rows = [("p1", 10, "new-risk-area", "warning", ["db/a.sql", "db/b.sql"], "data"), ("p1", 4, "edit-in-generated-location", "error", ["dist/a.js"], None)]
+    return render.verification_markdown(spark.createDataFrame(rows, "plan_id string, ord int, code string, severity string, paths array<string>, area string"))
+
+
+@query("SELECT * FROM (VALUES ('p1', 1::BIGINT, 2::BIGINT, 0::BIGINT, true), ('p2', 0, 1, 1, false), ('p3', 0, 0, 0, false)) AS v(plan_id, errors, warnings, notes, failed)")
+def verify_summary(spark, sf_dir):
+    found = spark.createDataFrame([("p1", "error"), ("p1", "warning"), ("p1", "warning"), ("p2", "info"), ("p2", "warning")], "plan_id string, severity string")
+    return reports.verify_summary(spark.createDataFrame([("p1",), ("p2",), ("p3",)], "plan_id string"), found)
+
+
+@query("""SELECT pair_id, count(*) FILTER (status = 'entered') AS entered, count(*) FILTER (status = 'left') AS "left", count(*) FILTER (status = 'moved') AS moved, count(*) FILTER (status = 'confidence-changed') AS confidence_changed,
+count(*) FILTER (status = 'unchanged') AS unchanged, max(path) FILTER (prev_rank = 1) AS prev_leader, max(path) FILTER (cur_rank = 1) AS cur_leader FROM (""" + ORACLES["compare_rankings"] + ") GROUP BY pair_id")
+def compare_summary(spark, sf_dir):
+    return reports.compare_summary(reports.compare(*_two_runs(spark, sf_dir)))
+
+
+@query(_text_sql("| cohort | arm | k | hits | rate (95% interval) |\n|---|---|---|---|---|\n| all | bm25 | 1 | 1/4 | 25.0% (4.6%-69.9%) |\n| all | bm25 | 5 | 4/4 | 100.0% (51.0%-100.0%) |", head=""))
+def backtest_text(spark, sf_dir):
+    return render.backtest_markdown(spark.createDataFrame([("all", "bm25", 5, 4, 4, 1.0, 0.51, 1.0), ("all", "bm25", 1, 1, 4, 0.25, 0.046, 0.699)], "cohort string, arm string, k int, hits int, n int, rate double, low double, high double"))
+
+
+_FIT = [("short", "abc"), ("plain", "x" * 90), ("open", "```\n" + "y" * 90)]
+
+
+@query(f"""SELECT id, CASE WHEN id = 'short' THEN text WHEN id = 'plain' THEN repeat('x', {60 - 19}) || chr(10) || chr(10) || '(cut to fit)' || chr(10) ELSE '```' || chr(10) || repeat('y', {60 - 23}) || chr(10) || '```' || chr(10) || chr(10) || '(cut to fit)' || chr(10) END AS text
+FROM (SELECT 'short' AS id, 'abc' AS text UNION ALL SELECT 'plain', '' UNION ALL SELECT 'open', '')""")
+def fitted_text(spark, sf_dir):
+    """Texts cut to sixty bytes, with open fences closed."""
+    return spark.createDataFrame(_FIT, "id string, text string").select("id", render.fit(F.col("text"), 60).alias("text"))
+
+
+@query("SELECT * FROM (VALUES ('t1', 'no-terms'), ('t2', 'no-match'), ('t3', 'excluded'), ('t4', 'no-match')) AS v(task_id, cause)")
+def empty_result_causes(spark, sf_dir):
+    rows = [("r", "t1", [], [], []), ("r", "t2", ["a"], [], []), ("r", "t3", [], [], ["x.ts"]), ("r", "t4", [], ["Name"], []), ("r", "t5", ["a"], [], [])]
+    tasks = spark.createDataFrame(rows, "repo_id string, task_id string, tokens array<string>, identifiers array<string>, file_mentions array<string>")
+    one = lambda i: spark.createDataFrame([("r", i, "x.ts")], "repo_id string, task_id string, path string")
+    return diagnostics.empty_result(tasks, one("t5"), one("t3")).select("task_id", "cause")
+
+
+@query("SELECT * FROM (VALUES ('p1', 'no-test-route'), ('p2', 'no-related-tests')) AS v(plan_id, code)")
+def route_gaps(spark, sf_dir):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "plan_id string")
+    return diagnostics.route_gaps(ids("p1", "p2", "p3"), ids("p2", "p3"), ids("p3"))
+
+
+@query(f"""WITH {S.FILES}, u AS (SELECT repo_id, path, row_number() OVER (ORDER BY size_bytes DESC, path) AS k, row_number() OVER (ORDER BY seq, path) AS s FROM files WHERE size_bytes > {scan.MAX_SAMPLE} AND {S.is_source('path')})
+SELECT repo_id, 'content-too-large' AS code, list(path ORDER BY s) FILTER (s <= 8) AS paths, count(*) AS n FROM u GROUP BY repo_id""")
+def unread_documents(spark, sf_dir):
+    """Documents over a scan's limit, as the scan reports them."""
+    f = scan.documents_as_files(_docs(spark, sf_dir))
+    notes = diagnostics.scan_notes(f).where("code = 'content-too-large'")
+    return notes.select("repo_id", "code", "paths", F.substring_index("message", " ", 1).try_cast("bigint").alias("n"))
+
+
+_TRACKED = [("auth", "src/session.ts"), ("auth", "src/gone.ts"), ("auth", "lib/gone.ts"), ("auth", "src/also.ts"), ("svc", "main.go")]
+
+
+@query("SELECT * FROM (VALUES ('auth', 1, 'scan-limit-reached', 'warning', '1 path was beyond the limit of a scan', ''), ('auth', 2, 'tracked-paths-absent', 'warning', '3 tracked paths are not on disk, mostly under src, lib', ''), ('svc', 4, 'submodules-skipped', 'info', '2 submodules were not scanned: a, b', 'a,b'), ('svc', 6, 'duplicate-real-path', 'info', '1 path leads to a file scanned under another name: y', ''), ('two', 7, 'package-manager-conflict', 'warning', 'lock files of several package managers disagree', ''), ('two', 3, 'content-not-utf8', 'warning', '1 source file was not read and rank by path alone; not-text: b.ts', 'b.ts')) AS v(repo_id, ord, code, severity, message, paths)")
+def scan_diagnostics(spark, sf_dir):
+    """What scans report; expected values by hand."""
+    f = X.code_files(spark)
+    odd = spark.createDataFrame([("two", 100, "yarn.lock", False, None), ("two", 101, "pnpm-lock.yaml", False, None), ("two", 102, "b.ts", True, "not-text")], "repo_id string, seq bigint, path string, is_source boolean, skip_reason string")
+    odd = odd.select("repo_id", "seq", "path", P.extension(F.col("path")).alias("extension"), F.lit(9).cast("bigint").alias("size_bytes"), F.lit(False).alias("is_test"), "is_source", P.kind(F.col("path")).alias("kind"), F.lit("").alias("text"), F.col("skip_reason").isNull().alias("text_complete"), "skip_reason")
+    links = spark.createDataFrame([("svc", "b"), ("svc", "a")], "repo_id string, path string")
+    listing = spark.createDataFrame([("svc", 1, "x", "/x", False), ("svc", 2, "y", "/x", True)], "repo_id string, seq bigint, path string, real_path string, is_alias boolean")
+    out = diagnostics.scan_notes(f.union(odd), spark.createDataFrame(_TRACKED, "repo_id string, path string"), links, listing, most=3)
+    return out.select("repo_id", "ord", "code", "severity", "message", F.array_join("paths", ",").alias("paths"))
+
+
+@query("SELECT * FROM (VALUES ('p1', 0, 'authentication', 'high'), ('p1', 4, 'public-api', 'low'), ('p2', 3, 'data', 'high'), ('p3', 0, 'authentication', 'high')) AS v(plan_id, ord, area, severity)")
+def risk_severity(spark, sf_dir):
+    """Changed paths give a risk its full weight, wherever they lie; examples among ranked files give none."""
+    paths = lambda rows: spark.createDataFrame(rows, "plan_id string, path string")
+    return routes.risk_notes(paths([("p1", "src/routes/login.ts"), ("p3", "examples/auth/page.ts"), ("p2", "examples/api/x.ts")]), paths([("p1", "src/login.ts"), ("p2", "db/schema.sql"), ("p3", "examples/auth/other.ts")]))
+
+
+@query("SELECT * FROM (VALUES ('a', 'npx vitest run'), ('b', 'npx karma start')) AS v(repo_id, runner)")
+def js_runners(spark, sf_dir):
+    f = spark.createDataFrame([("a", "x/jest.config.js"), ("a", "vitest.config.mts"), ("b", "karma.conf.js"), ("c", "vitest.config.txt")], "repo_id string, path string")
+    return routes.js_runner(f)
+
+
+@query("SELECT * FROM (VALUES ('p1', 'cargo test --manifest-path crates/core/Cargo.toml', 'crates/core'), ('p2', 'cargo test', '')) AS v(plan_id, command, package_dir)")
+def crate_routes(spark, sf_dir):
+    """Rust: the deepest crate around the ranked files, else the root."""
+    names = ["Cargo.toml", "crates/Cargo.toml", "crates/core/Cargo.toml", "crates/core/src/lib.rs", "src/main.rs"]
+    f = spark.createDataFrame([("r", i, n) for i, n in enumerate(names)], "repo_id string, seq bigint, path string").withColumn("is_test", F.lit(False)).withColumn("kind", P.kind(F.col("path")))
+    context = spark.createDataFrame([("p1", "r", "crates/core/src/lib.rs"), ("p2", "r", "src/main.rs")], "plan_id string, repo_id string, path string")
+    return routes.manifest_routes(f, context, routes.primary_language(f)).select("plan_id", "command", "package_dir")
+
+
+# ---------------------------------------------------------------- readers of what tools print
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 'a.ts', false), (1, 'lib/sub', true), (2, 'ü b.ts', false)) AS v(seq, path, is_submodule)")
+def git_listing(spark, sf_dir):
+    out = [("r", "a.ts\0lib/sub\0a.ts\0ü b.ts\0", "100644 " + "0" * 40 + " 0\ta.ts\0" + "160000 " + "1" * 40 + " 0\tlib/sub\0")]
+    return scan.git_listing(spark.createDataFrame(out, "repo_id string, listed string, staged string")).drop("repo_id")
+
+
+@query("SELECT * FROM (VALUES ('r', 'a.ts'), ('r', 'b/c.ts'), ('r', 'new.ts')) AS v(repo_id, path)")
+def working_tree(spark, sf_dir):
+    more = spark.createDataFrame([("r", "new.ts"), ("r", "a.ts"), ("other", "x")], "repo_id string, path string")
+    return scan.working_tree(spark.createDataFrame([("r", "a.ts\r\nb\\c.ts\n\n")], "repo_id string, names string"), more)
+
+
+@query("SELECT * FROM (VALUES ('r', 'a.ts'), ('r', 'b.ts'), ('r', 'new.ts'), ('s', 'c.ts')) AS v(repo_id, path)")
+def diff_paths(spark, sf_dir):
+    d = spark.createDataFrame([("r", "diff --git a/a.ts b/a.ts\n+x\ndiff --git a/b.ts b/b.ts\n", None), ("s", "diff --git a/c.ts b/c.ts", "main..head")], "repo_id string, diff_text string, spec string")
+    return scan.diff_paths(d, spark.createDataFrame([("r", "new.ts"), ("s", "new.ts")], "repo_id string, path string"))
+
+
+@query("SELECT * FROM (VALUES (1, 'docs/'), (3, 'a/b'), (6, '!keep')) AS v(n, pattern)")
+def ignore_file(spark, sf_dir):
+    values = ["docs/", "# note", "a\\b", "  ", "docs/", "  !keep "]
+    return exclusion.parse_ignore_file(spark.createDataFrame(list(enumerate(values, 1)), "n int, value string"))
+
+
+_REFS = [("main", True), ("feature/x-1", True), ("-x", False), ("a..b", False), ("a.lock", False), ("a.lock/b", False), ("@", False), ("a b", False), ("a/.b", False), ("x/", False), ("v1.0", True), ("a@{1}", False), ("", False), ("a//b", False)]
+
+
+@query(f"SELECT * FROM {X.sql_values(_REFS, 'ref, safe')}")
+def safe_refs(spark, sf_dir):
+    return spark.createDataFrame([(r,) for r, _ in _REFS], "ref string").select("ref", scan.is_safe_ref(F.col("ref")).alias("safe"))
+
+
+_SHORT = [("o/r#12", "https://github.com/o/r/issues/12"), (" my-org/a.b_c#1", "https://github.com/my-org/a.b_c/issues/1"), ("12/r#3", None), ("o/r#0", None), ("-o/r#1", None), ("plan", None), ("https://github.com/o/r/pull/2", "https://github.com/o/r/pull/2")]
+
+
+@query(f"SELECT * FROM {X.sql_values(_SHORT, 'said, link')}")
+def issue_shorthands(spark, sf_dir):
+    return spark.createDataFrame([(a,) for a, _ in _SHORT], "said string").select("said", scan.issue_shorthand(F.col("said")).alias("link"))
+
+
+@query("SELECT doc_id, substr(sha256(source || chr(0) || lang || chr(0) || CAST(n_chars AS VARCHAR)), 1, 24) AS key, CASE WHEN length(text) > 60 THEN substr(text, 1, 59) || '…' ELSE text END AS short FROM documents")
+def snapshot_keys(spark, sf_dir):
+    """Keys of cached scans, and texts shortened for a message."""
+    return _docs(spark, sf_dir).select("doc_id", scan.snapshot_key(F.col("source"), F.col("lang"), F.col("n_chars").cast("string")).alias("key"), T.shorten(F.col("text"), 60).alias("short"))
+
+
+@query(f"WITH {S.FILES} SELECT path FROM files WHERE seq % 3 <> 0")
+def without_artifacts(spark, sf_dir):
+    """Files less a command's own outputs (every third document)."""
+    f = _files(spark, sf_dir)
+    return scan.without_artifacts(f, f.where("seq % 3 = 0").select("repo_id", "path")).select("path")
+
+
+@query("SELECT * FROM (VALUES ('../x', 'outside'), ('big/one.ts', 'ignored'), ('none.ts', 'no-such-path'), ('src/a.ts', NULL)) AS v(path, cause)")
+def missing_paths(spark, sf_dir):
+    """Why a path was not scanned."""
+    k = lambda *x: spark.createDataFrame([("r", p) for p in x], "repo_id string, path string")
+    asked = spark.createDataFrame([("r", p, s) for p, s in (("../x", "not-scanned"), ("big/one.ts", "not-scanned"), ("none.ts", "not-scanned"), ("src/a.ts", "ranked"))], "repo_id string, path string, status string")
+    return plan.clarify_missing(asked, k("src/a.ts"), k("big/one.ts"), spark.createDataFrame([("other",)], "repo_id string")).select("path", "cause")

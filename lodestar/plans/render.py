@@ -31,21 +31,33 @@ def _gather(plans: DataFrame, key: str, parts: dict[str, DataFrame]) -> DataFram
     return plans
 
 
-def report_json(plans: DataFrame, ranked: DataFrame, routes: DataFrame, risks: DataFrame, changed: DataFrame, key: str = "plan_id") -> DataFrame:
-    """``(key, report)``: version, files, routes, risks, changes; two spaces deep and with a last line break."""
+def report_json(plans: DataFrame, ranked: DataFrame, routes: DataFrame, risks: DataFrame, changed: DataFrame, key: str = "plan_id", impact: DataFrame | None = None, notes: DataFrame | None = None) -> DataFrame:
+    """``(key, report)``: version, files, routes, risks, impact, changes, notes; two spaces deep and with a last line break.
+
+    Plans that carry ``action`` and ``specificity`` say so under ``analysis``.
+    """
     def listed(df: DataFrame, order: list[str], cols: list, name: str) -> DataFrame:
         g = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*cols).alias("v")))).alias("x"))
         return g.select(key, F.transform("x", lambda x: x["v"]).alias(name))
 
-    j = _gather(plans.select(key, "summary"), key, {
-        "a": listed(ranked, ["rank", "path"], ["path", "rank", "score", "confidence", "reasons"], "contextFiles"),
-        "b": listed(routes, ["ord"], ["command", F.lit("test").alias("kind"), "reason", "relatedFiles"], "testRoutes"),
-        "c": listed(risks, ["ord"], ["area", "severity"], "risks"),
-        "d": changed.groupBy(key).agg(F.array_sort(F.collect_list("path")).alias("changedFiles")),
-    })
-    none = {"contextFiles": "array<struct<path:string,rank:int,score:int,confidence:string,reasons:array<string>>>", "testRoutes": "array<struct<command:string,kind:string,reason:string,relatedFiles:array<string>>>", "risks": "array<struct<area:string,severity:string>>", "changedFiles": "array<string>"}
-    cols = [F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in none.items()]
-    body = F.struct(F.lit(VERSION).alias("reportVersion"), "summary", *cols, F.array().cast("array<string>").alias("diagnostics"))
+    parts = {
+        "contextFiles": (listed(ranked, ["rank", "path"], ["path", "rank", "score", "confidence", "reasons"], "contextFiles"), "array<struct<path:string,rank:int,score:int,confidence:string,reasons:array<string>>>"),
+        "testRoutes": (listed(routes, ["ord"], ["command", F.lit("test").alias("kind"), "reason", "relatedFiles"], "testRoutes"), "array<struct<command:string,kind:string,reason:string,relatedFiles:array<string>>>"),
+        "risks": (listed(risks, ["ord"], ["area", "severity"], "risks"), "array<struct<area:string,severity:string>>"),
+        "changedFiles": (changed.groupBy(key).agg(F.array_sort(F.collect_list("path")).alias("changedFiles")), "array<string>"),
+    }
+    if impact is not None:
+        parts["impact"] = (listed(impact, ["rank"], ["path", "rank", "score", "confidence", F.transform("evidence", lambda e: F.struct(e["kind"].alias("kind"), e["seed"].alias("seed"), e["reason"].alias("reason"))).alias("evidence")], "impact"), "array<struct<path:string,rank:int,score:int,confidence:string,evidence:array<struct<kind:string,seed:string,reason:string>>>>")
+    if notes is not None:
+        parts["diagnostics"] = (listed(notes, ["ord"], ["code", "severity", "message", "paths"], "diagnostics"), "array<struct<code:string,severity:string,message:string,paths:array<string>>>")
+    said = [c for c in ("action", "specificity", "top_score", "runner_up", "top_gap", "clustered") if c in plans.columns]
+    j = _gather(plans.select(key, "summary", *said), key, {name: df for name, (df, _) in parts.items()})
+    cols = [F.coalesce(name, F.array().cast(kind)).alias(name) for name, (_, kind) in parts.items()]
+    if notes is None:
+        cols.append(F.array().cast("array<string>").alias("diagnostics"))
+    if said:
+        cols.append(F.struct(*said).alias("analysis"))
+    body = F.struct(F.lit(VERSION).alias("reportVersion"), "summary", *cols)
     return j.select(key, F.concat(F.to_json(body, {"pretty": "true"}), F.lit("\n")).alias("report"))
 
 

@@ -96,6 +96,47 @@ def diff_paths(diffs: DataFrame, untracked: DataFrame) -> DataFrame:
     return named.union(untracked.join(open_, "repo_id", "left_semi").select("repo_id", "path")).distinct()
 
 
+def _zero_split(c: Column) -> Column:
+    return F.filter(F.split(F.coalesce(c, F.lit("")), "\0"), lambda x: x != "")
+
+
+def git_listing(out: DataFrame) -> DataFrame:
+    """``out(repo_id, listed, staged)``, what ``git ls-files -z`` and its ``--stage`` form print -> ``(repo_id, seq, path, is_submodule)``.
+
+    Each path once, in the order of first sight; links of mode 160000 are submodules.
+    """
+    staged = F.filter(F.transform(_zero_split(F.col("staged")), lambda e: F.regexp_extract(e, r"(?is)^160000\s+[0-9a-f]+\s+\d+\t(.+)$", 1)), lambda x: x != "")
+    rows = out.select("repo_id", F.transform(staged, lambda x: F.translate(x, "\\", "/")).alias("links"), F.posexplode(F.array_distinct(_zero_split(F.col("listed")))).alias("seq", "path"))
+    return rows.select("repo_id", F.col("seq").cast("bigint").alias("seq"), "path", F.array_contains("links", F.translate("path", "\\", "/")).alias("is_submodule"))
+
+
+def working_tree(out: DataFrame, untracked: DataFrame | None = None) -> DataFrame:
+    """``out(repo_id, names)``, what ``git diff --name-only HEAD`` prints -> ``(repo_id, path)`` of staged and unstaged changes.
+
+    ``untracked(repo_id, path)`` are counted where a caller hands them in.
+    """
+    names = F.filter(F.transform(F.split(F.coalesce("names", F.lit("")), r"\r?\n"), lambda x: F.translate(F.trim(x), "\\", "/")), lambda x: x != "")
+    changed = out.select("repo_id", F.explode(names).alias("path"))
+    if untracked is not None:
+        changed = changed.union(untracked.join(out.select("repo_id"), "repo_id", "left_semi").select("repo_id", "path"))
+    return changed.distinct()
+
+
+def is_safe_ref(c: Column) -> Column:
+    """A branch or tag name that git takes."""
+    bad = r"(?i)^[.-]|[./]$|[\s\x00-\x1f\x7f~^:?*\[\\]|\.\.|//|@\{|(?:^|/)\.|(?:^|/)[^/]*\.lock(?:/|$)"
+    return F.coalesce((F.length(c) > 0) & (F.length(c) <= 255) & (c != "@") & ~c.rlike(bad), F.lit(False))
+
+
+def issue_shorthand(c: Column) -> Column:
+    """The link that ``owner/name#12`` stands for; a link of the host as it is; null for anything else."""
+    pattern = r"^([A-Za-z0-9][A-Za-z0-9-]{0,38})/([A-Za-z0-9._-]+)#([1-9]\d*)$"
+    x = F.trim(c)
+    part = lambda k: F.regexp_extract(x, pattern, k)
+    link = F.concat(F.lit("https://github.com/"), part(1), F.lit("/"), part(2), F.lit("/issues/"), part(3))
+    return F.when(x.rlike(r"(?i)^https?://(?:www\.|api\.)?github\.com/"), x).when(x.rlike(pattern) & part(1).rlike("[A-Za-z]"), link)
+
+
 def without_artifacts(files: DataFrame, artifacts: DataFrame) -> DataFrame:
     """The command's own outputs are no part of what it reads."""
     return files.join(artifacts, ["repo_id", "path"], "left_anti")
