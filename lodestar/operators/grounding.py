@@ -38,6 +38,18 @@ def definitions(text: Column) -> Column:
     return F.array_distinct(T.find_all(text, T.DEFINES + "(" + T.NAME + ")" + T.AFTER_NAME, 1))
 
 
+def paths_named(named: DataFrame, files: DataFrame) -> DataFrame:
+    """``named(repo_id, mention, ...)`` with each ``path`` of its repository that the mention names.
+
+    Both end in the same path element, or the mention is that without its extension:
+    this is joined by equality, and the whole rule asked of what meets.
+    """
+    last = lambda c: F.substring_index(F.lower(F.translate(c, "\\", "/")), "/", -1)
+    ends = F.array_distinct(F.array(last("path"), T.rx(last("path"), r"\.[^.]+$")))
+    f = files.select("repo_id", "path", F.explode(ends).alias("_last"))
+    return named.withColumn("_last", last("mention")).join(f, ["repo_id", "_last"]).where(P.matches_mention(F.col("path"), F.col("mention"))).drop("_last")
+
+
 def ground_identifiers(signals: DataFrame, files: DataFrame) -> DataFrame:
     """``(repo_id, task_id, ord, identifier, status, matched_files)``.
 
@@ -73,7 +85,7 @@ def task_grounding(signals: DataFrame, files: DataFrame, grounded: DataFrame, di
     by = grounded.groupBy("repo_id", "task_id").agg(
         names("not-found").alias("unresolved"), names("partial-definition").alias("partially_resolved"), names("unverified").alias("unverified"),
         F.count_if(F.col("status").isin("exact-definition", "exact-text")).alias("resolved"))
-    anchored = signals.select("repo_id", "task_id", F.explode("file_mentions").alias("mention")).join(files.select("repo_id", "path"), "repo_id").where(P.matches_mention(F.col("path"), F.col("mention"))).select("repo_id", "task_id").distinct().withColumn("mention_found", F.lit(True))
+    anchored = paths_named(signals.select("repo_id", "task_id", F.explode("file_mentions").alias("mention")), files).select("repo_id", "task_id").distinct().withColumn("mention_found", F.lit(True))
     single = signals.select("repo_id", "task_id", T.tokenize(F.coalesce("issue_text", F.lit(""))).alias("t")).where("size(t) = 1").select("repo_id", "task_id", F.col("t")[0].alias("token"))
     known = single.join(files.select("repo_id", "path", F.coalesce("text", F.lit("")).alias("text")), "repo_id", "left").groupBy("repo_id", "task_id").agg(
         F.coalesce(F.bool_or(F.array_contains(T.tokenize(F.col("path")), F.col("token")) | F.array_contains(T.tokenize(F.col("text")), F.col("token"))), F.lit(False)).alias("token_known"))

@@ -11,10 +11,12 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..sources.tables import written
 from . import graph
-from .grounding import definitions, defines, mentions, task_grounding, ground_identifiers, grounded_tokens
+from .grounding import definitions, defines, mentions, paths_named, task_grounding, ground_identifiers, grounded_tokens
 from .signals import task_signals
 
 CUTOFF, LIMIT = 4, 8
+TEXTUAL = ("text", "content_tokens", "regex_tokens", "defined")  # columns of facts that no (task, file) row carries
+TASK, FILE, PAIR = ["repo_id", "task_id"], ["repo_id", "path"], ["repo_id", "task_id", "path"]
 MENTION_FILES, CLUSTER_MARGIN, SHARE = 5, 2, 0.85
 # Words that tell what a task is about.
 DEPLOYMENT = "deploy deployment vercel netlify docker kubernetes hosting serverless production".split()
@@ -76,23 +78,23 @@ def mentioned_paths(signals: DataFrame, files: DataFrame) -> DataFrame:
 
     A compiled name stands for its source only where no file has the name itself.
     """
-    m = signals.select("repo_id", "task_id", F.explode("file_mentions").alias("mention")).distinct()
-    low = F.lower("mention")
+    m = signals.select("repo_id", "task_id", F.explode("file_mentions").alias("asked")).distinct()
+    low = F.lower("asked")
     variants = F.array().cast("array<string>")
     for ext, to in SOURCES_OF.items():
-        bare = F.col("mention").substr(F.lit(1), F.length("mention") - len(ext))
+        bare = F.col("asked").substr(F.lit(1), F.length("asked") - len(ext))
         variants = F.when(low.endswith(ext), F.array(*[F.concat(bare, F.lit(e)) for e in to])).otherwise(variants)
-    hit = lambda names: F.exists(names, lambda v: P.matches_mention(F.col("path"), v))
-    pairs = m.join(files.select("repo_id", "path"), "repo_id").select("repo_id", "task_id", "mention", "path", P.matches_mention(F.col("path"), F.col("mention")).alias("exact"), hit(variants).alias("fallback")).where("exact or fallback")
-    w = Window.partitionBy("repo_id", "task_id", "mention")
+    m = m.select("*", F.col("asked").alias("mention"), F.lit(True).alias("own")).union(m.select("*", F.explode(variants).alias("mention"), F.lit(False).alias("own")))
+    pairs = paths_named(m, files).groupBy("repo_id", "task_id", "asked", "path").agg(F.bool_or("own").alias("exact"), F.bool_or(~F.col("own")).alias("fallback"))
+    w = Window.partitionBy("repo_id", "task_id", "asked")
     pairs = pairs.withColumn("n_exact", F.count_if("exact").over(w)).withColumn("n_fall", F.count_if("fallback").over(w))
     ok = (F.col("exact") & (F.col("n_exact") <= MENTION_FILES)) | ((F.col("n_exact") == 0) & (F.col("n_fall") <= MENTION_FILES))
     return pairs.where(ok).select("repo_id", "task_id", "path").distinct()
 
 
 def candidates(signals: DataFrame, facts: DataFrame, changed: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
-    """(task, file) rows that may be ranked, with ``mentioned``, ``is_changed`` and ``twin``."""
-    c = facts.join(signals.select("repo_id", "task_id"), "repo_id")
+    """(task, file) rows that may be ranked, with ``mentioned``, ``is_changed`` and ``twin``; texts and their tokens stay in ``facts``."""
+    c = facts.drop(*TEXTUAL).join(signals.select("repo_id", "task_id"), "repo_id")
     if excluded is not None:
         c = c.join(excluded.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
     c = c.join(mentioned_paths(signals, facts).withColumn("mentioned", F.lit(True)), ["repo_id", "task_id", "path"], "left")
@@ -107,31 +109,51 @@ def _count(c: Column, most: int, points: int) -> Column:
     return F.least(F.size(c), F.lit(most)) * points
 
 
-def score(cands: DataFrame, tasks: DataFrame, changed: DataFrame) -> DataFrame:
-    """Features f1 to f20 of each candidate, their sum, and the reasons in order."""
-    n = cands.groupBy("repo_id", "task_id").agg(F.count("*").alias("n"))
-    t = tasks.select("repo_id", "task_id", "task_text", "grounded_tokens", "member_mentions", "exact_fragments", "identifiers", "wants_docs", "wants_config", "wants_deploy", "wants_examples", "wants_ui", "wants_types")
-    c = cands.join(t, ["repo_id", "task_id"])
-    # only a task's own terms can be widespread for it
-    df = c.select("repo_id", "task_id", F.explode(F.array_intersect("content_tokens", "grounded_tokens")).alias("token")).groupBy("repo_id", "task_id", "token").agg(F.count("*").alias("df"))
-    common = df.join(n, ["repo_id", "task_id"]).where((F.col("n") >= 4) & (F.col("df") >= F.ceil(F.col("n") * SHARE))).groupBy("repo_id", "task_id").agg(F.collect_list("token").alias("common"))
-    c = c.join(common, ["repo_id", "task_id"], "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))
-    near = changed.select("repo_id", F.col("path").alias("_p")).distinct()
-    above = near.select("repo_id", "_p", F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.size(F.split("_p", "/"))), lambda i: F.array_join(F.slice(F.split("_p", "/"), F.lit(1), i - 1), "/")), lambda d: d != "")).alias("folder"))
-    dirs = above.groupBy("repo_id", "folder").agg(F.count("*").alias("_in"), F.min("_p").alias("_one"))
-    c = c.join(dirs, ["repo_id", "folder"], "left").withColumn("near_changed", F.col("_in").isNotNull() & ((F.col("_in") > 1) | (F.col("_one") != F.col("path"))))
+def term_hits(cands: DataFrame, facts: DataFrame, tasks: DataFrame) -> DataFrame:
+    """``(repo_id, task_id, path, source, at, name, token)``: where a candidate holds a task's terms.
+
+    Tokens are joined by equality; ``source`` tells which list of the file holds the
+    token at place ``at``, and ``name`` is the defined name that it is a part of.
+    """
+    def listed(source: str, tokens: Column, at: Column | None = None, name: Column | None = None) -> Column:
+        name = F.lit(None).cast("string") if name is None else name
+        return F.transform(tokens, lambda x, i: F.struct(F.lit(source).alias("source"), (i if at is None else at).alias("at"), name.alias("name"), x.alias("token")))
+
+    defined = F.flatten(F.transform("defined", lambda d, i: listed("defined", F.array_distinct(d["tokens"]), i, d["name"])))
+    held = facts.select(*FILE, F.inline(F.concat(listed("path", F.col("path_tokens")), listed("name", F.col("name_tokens")), listed("content", F.col("content_tokens")), listed("regex", F.array_distinct("regex_tokens")), defined)))
+    asked = tasks.select(*TASK, F.explode(F.array_distinct("grounded_tokens")).alias("token"))
+    return held.join(asked, ["repo_id", "token"]).join(cands.select(*PAIR), PAIR, "left_semi").select(*PAIR, "source", "at", "name", "token")
+
 
-    tok, text = F.col("grounded_tokens"), F.col("text")
-    all_common = (F.size(tok) > 0) & (F.size(F.array_except(tok, F.col("common"))) == 0)
-    c = c.withColumn("path_hits", F.array_intersect("path_tokens", tok)).withColumn("content_hits", F.when(all_common, F.array_intersect("content_tokens", tok)).otherwise(F.array_except(F.array_intersect("content_tokens", tok), "common")))
-    c = c.withColumn("regex_hits", F.slice(F.array_intersect("regex_tokens", tok), 1, 2)).withColumn("members", F.slice(F.filter("member_mentions", lambda m: mentions(text, m)), 1, 3))
+def lookups(facts: DataFrame, tasks: DataFrame) -> DataFrame:
+    """``(repo_id, task_id, path)`` whose text may hold a member, quoted text or name of the task.
+
+    The longest run of name characters in such a string lies within a run of any text
+    that holds it, so it meets the distinct runs of its repository by its first trigram.
+    Strings without a run of three characters meet every path of their repository.
+    """
+    runs_of = lambda c, most: T.find_all(F.coalesce(c, F.lit("")), r"[\p{L}\p{N}_$]{%d,}" % most)
+    sought = tasks.select(*TASK, F.explode(F.concat("member_mentions", "exact_fragments", "identifiers")).alias("needle"))
+    longest = F.array_max(F.transform(runs_of(F.col("needle"), 3), lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
+    needles = written(sought.select(*TASK, longest.alias("key")).distinct())
+    keys = needles.where("key is not null").select("repo_id", "key").distinct().withColumn("gram", F.substring("key", 1, 3))
+    runs = facts.join(keys.select("repo_id").distinct(), "repo_id", "left_semi").select(*FILE, F.explode(F.array_distinct(runs_of(F.col("text"), 3))).alias("run"))
+    grams = runs.select("repo_id", "run").distinct().select("repo_id", "run", F.explode(F.array_distinct(F.regexp_extract_all("run", F.lit("(?=(...))"), F.lit(1)))).alias("gram"))
+    within = grams.join(keys, ["repo_id", "gram"]).where(F.col("run").contains(F.col("key"))).select("repo_id", "run", "key")
+    near = runs.join(within, ["repo_id", "run"]).select(*FILE, "key").distinct().join(needles, ["repo_id", "key"]).select(*PAIR)
+    every = needles.where("key is null").select(*TASK).join(facts.select(*FILE), "repo_id").select(*PAIR)
+    return near.union(every).distinct()
+
+
+def text_hits(cands: DataFrame, facts: DataFrame, tasks: DataFrame) -> DataFrame:
+    """``(repo_id, task_id, path, members, literal, defs, at_def)``, read from the texts that may hold any of them."""
+    c = lookups(facts, tasks).join(cands.select(*PAIR, "kind"), PAIR).join(facts.select(*FILE, "text"), FILE)
+    c = c.join(tasks.select(*TASK, "task_text", "member_mentions", "exact_fragments", "identifiers"), TASK)
+    text, code_like = F.col("text"), F.col("kind") != "documentation"
+    c = c.withColumn("members", F.slice(F.filter("member_mentions", lambda m: mentions(text, m)), 1, 3))
     frag = F.transform(F.filter("exact_fragments", lambda f: text.contains(f)), lambda f: F.struct((-T.occurrences(F.col("task_text"), f)).alias("o"), (-F.length(f)).alias("l"), F.array_position("exact_fragments", f).alias("i"), f.alias("f")))
     c = c.withColumn("literal", F.array_min(frag))
-    code_like = F.col("kind") != "documentation"
     c = c.withColumn("defs", F.when(code_like, F.slice(F.filter(F.array_sort("identifiers"), lambda i: defines(text, i)), 1, 2)).otherwise(F.array().cast("array<string>")))
-    matched = F.filter("defined", lambda d: (F.size(F.array_intersect(d["tokens"], tok)) >= 2) | ((F.size(F.array_intersect(d["tokens"], tok)) == 1) & (F.length(d["name"]) >= 6)))
-    task_defs = F.slice(F.array_except(F.transform(matched, lambda d: d["name"]), F.col("defs")), 1, 2)
-    c = c.withColumn("task_defs", F.when((F.size("exact_fragments") == 0) & ~F.col("wants_docs") & code_like, task_defs).otherwise(F.array().cast("array<string>")))
 
     def at_definition(f: Column) -> Column:
         before = lambda k: F.call_function("right", F.call_function("substring_index", text, f, k), F.lit(240))
@@ -139,10 +161,44 @@ def score(cands: DataFrame, tasks: DataFrame, changed: DataFrame) -> DataFrame:
         n = T.occurrences(text, f)
         return (n > 0) & F.exists(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), hit)
 
-    c = c.withColumn("at_def", F.when(code_like, F.get(F.filter("exact_fragments", at_definition), 0)))
+    at = F.when(code_like, F.get(F.filter("exact_fragments", at_definition), 0))
+    return c.select(*PAIR, "members", "literal", "defs", at.alias("at_def"))
+
+
+def score(cands: DataFrame, facts: DataFrame, tasks: DataFrame, changed: DataFrame) -> DataFrame:
+    """Features f1 to f20 of each candidate, their sum, and the reasons in order.
+
+    ``cands`` and ``facts`` are tables.  What a file holds of a task comes from
+    equi-joins on tokens, and from the texts of those pairs alone that may hold a string
+    of the task; all other rows are flags and short lists.
+    """
+    none = F.array().cast("array<string>")
+    hits = written(term_hits(cands, facts, tasks))
+    n = cands.groupBy(*TASK).agg(F.count("*").alias("n"))
+    # only a task's own terms can be widespread for it
+    df = hits.where("source = 'content'").groupBy(*TASK, "token").agg(F.count("*").alias("df"))
+    common = df.join(n, TASK).where((F.col("n") >= 4) & (F.col("df") >= F.ceil(F.col("n") * SHARE))).groupBy(*TASK).agg(F.collect_list("token").alias("common"))
+    tok = F.col("grounded_tokens")
+    t = tasks.join(common, TASK, "left").withColumn("common", F.coalesce("common", none)).select(
+        *TASK, "common", ((F.size(tok) > 0) & (F.size(F.array_except(tok, F.col("common"))) == 0)).alias("all_common"), (F.size("exact_fragments") > 0).alias("quotes"),
+        F.arrays_overlap(tok, F.array(F.lit("auth"), F.lit("login"), F.lit("password"))).alias("wants_auth"), "wants_docs", "wants_config", "wants_deploy", "wants_examples", "wants_ui", "wants_types")
+    near = changed.select("repo_id", F.col("path").alias("_p")).distinct()
+    above = near.select("repo_id", "_p", F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.size(F.split("_p", "/"))), lambda i: F.array_join(F.slice(F.split("_p", "/"), F.lit(1), i - 1), "/")), lambda d: d != "")).alias("folder"))
+    dirs = above.groupBy("repo_id", "folder").agg(F.count("*").alias("_in"), F.min("_p").alias("_one"))
+    c = cands.join(t, TASK).join(dirs, ["repo_id", "folder"], "left").withColumn("near_changed", F.col("_in").isNotNull() & ((F.col("_in") > 1) | (F.col("_one") != F.col("path"))))
+
+    of = lambda source: F.transform(F.array_sort(F.collect_list(F.when(F.col("source") == source, F.struct("at", "token")))), lambda x: x.token).alias(f"{source}_hits")
+    held = hits.where("source <> 'defined'").groupBy(*PAIR).agg(*map(of, ("path", "name", "content", "regex")))
+    named = hits.where("source = 'defined'").groupBy(*PAIR, "at", "name").agg(F.count("*").alias("k")).where("k >= 2 or length(name) >= 6")
+    named = named.groupBy(*PAIR).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("named"))
+    c = c.join(held, PAIR, "left").join(named, PAIR, "left").join(text_hits(cands, facts, tasks), PAIR, "left")
+    c = c.withColumns({k: F.coalesce(k, none) for k in ("path_hits", "name_hits", "content_hits", "regex_hits", "named", "members", "defs")})
+    c = c.withColumn("content_hits", F.when(F.col("all_common"), F.col("content_hits")).otherwise(F.array_except("content_hits", "common"))).withColumn("regex_hits", F.slice("regex_hits", 1, 2))
+    code_like = F.col("kind") != "documentation"
+    c = c.withColumn("task_defs", F.when(~F.col("quotes") & ~F.col("wants_docs") & code_like, F.slice(F.array_except("named", "defs"), 1, 2)).otherwise(none))
 
     free = ~F.col("is_changed") & ~F.col("mentioned")
-    one_name = (F.size("path_hits") >= 2) & (F.size("name_tokens") == 1) & (F.size(F.array_intersect("name_tokens", tok)) == 1)
+    one_name = (F.size("path_hits") >= 2) & (F.size("name_tokens") == 1) & (F.size("name_hits") == 1)
     implementation = (F.col("kind") == "code") & ~F.col("is_test") & ~F.col("auxiliary") & ~F.col("declaration") & ~F.lower("path").startswith("benchmarks/")
     kind, has_defs = F.col("kind"), F.size("defs") > 0
     deploy_file = (F.col("path") == "package.json") | F.arrays_overlap("path_tokens", F.array(*map(F.lit, stems_of(tuple(DEPLOYMENT)))))
@@ -169,7 +225,7 @@ def score(cands: DataFrame, tasks: DataFrame, changed: DataFrame) -> DataFrame:
         "f17": F.when(F.col("declaration") & ~F.col("wants_types") & free, -4 + if_(has_defs, -8)).when(F.col("declaration") & F.col("wants_types") & ~F.col("is_changed"), 4).otherwise(0),
         "f18": if_(F.col("backup") & free, -10),
         "f19": if_(F.col("bundled") & free, -16),
-        "f20": if_(F.arrays_overlap("path_tokens", F.array(F.lit("auth"), F.lit("login"))) & F.arrays_overlap(tok, F.array(F.lit("auth"), F.lit("login"), F.lit("password"))), 2),
+        "f20": if_(F.arrays_overlap("path_tokens", F.array(F.lit("auth"), F.lit("login"))) & F.col("wants_auth"), 2),
     }
     c = c.withColumns({k: v.cast("int") for k, v in features.items()})
     preview = lambda f: F.when(F.length(f) <= 40, f).otherwise(F.concat(f.substr(1, 37), F.lit("...")))
@@ -266,7 +322,7 @@ def rank(files: DataFrame, tasks: DataFrame, changed: DataFrame, excluded: DataF
     facts = written(file_facts(files))
     tokens = grounded_tokens(signals, grounding, task_signals)
     ready = written(intents(signals.join(tokens, by)))
-    scored = written(score(written(candidates(signals, facts, changed, excluded)), ready, changed))
+    scored = written(score(written(candidates(signals, facts, changed, excluded)), facts, ready, changed))
     scored = add_proximity(scored, written(graph.import_edges(files)[0]))
     if cutoff is not None:
         scored = scored.where(F.col("score") >= cutoff)

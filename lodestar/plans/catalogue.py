@@ -339,8 +339,8 @@ def score_features(spark, sf_dir):
     sig = task_signals(task)
     ready = ranking.intents(sig.withColumn("grounded_tokens", F.col("tokens")))
     none = spark.createDataFrame([], "repo_id string, path string")
-    facts = written(ranking.file_facts(_files(spark, sf_dir)))  # scoring reads them three times
-    scored = ranking.score(ranking.candidates(sig, facts, none), ready, none)
+    facts = written(ranking.file_facts(_files(spark, sf_dir)))  # scoring reads them several times
+    scored = ranking.score(written(ranking.candidates(sig, facts, none)), facts, ready, none)
     return scored.select("path", "f4", "f5", "f13", (F.col("f4") + F.col("f5") + F.col("f13")).alias("points"))
 
 
