@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
+from ..sources.tables import written
 
 MATCHED = 5
 # Openings and words of tasks that name nothing.
@@ -50,29 +51,51 @@ def paths_named(named: DataFrame, files: DataFrame) -> DataFrame:
     return named.withColumn("_last", last("mention")).join(f, ["repo_id", "_last"]).where(P.matches_mention(F.col("path"), F.col("mention"))).drop("_last")
 
 
+def may_hold(sought: DataFrame, files: DataFrame) -> DataFrame:
+    """``sought(repo_id, needle, ...)`` with each ``path`` of its repository whose text may hold the needle; none that does is left out.
+
+    The longest run of name characters in a needle lies within a run of any text that
+    holds it, so it meets the distinct runs of its repository by its first trigram.
+    Needles without a run of three characters meet every path of their repository.
+    """
+    runs_of = lambda c: T.find_all(F.coalesce(c, F.lit("")), r"[\p{L}\p{N}_$]{3,}")
+    longest = F.array_max(F.transform(runs_of(F.col("needle")), lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
+    needles = written(sought.withColumn("_key", longest))
+    keys = needles.where("_key is not null").select("repo_id", "_key").distinct().withColumn("gram", F.substring("_key", 1, 3))
+    runs = files.join(keys.select("repo_id").distinct(), "repo_id", "left_semi").select("repo_id", "path", F.explode(F.array_distinct(runs_of(F.col("text")))).alias("run"))
+    grams = runs.select("repo_id", "run").distinct().select("repo_id", "run", F.explode(F.array_distinct(F.regexp_extract_all("run", F.lit("(?=(...))"), F.lit(1)))).alias("gram"))
+    within = grams.join(keys, ["repo_id", "gram"]).where(F.col("run").contains(F.col("_key"))).select("repo_id", "run", "_key")
+    near = runs.join(within, ["repo_id", "run"]).select("repo_id", "path", "_key").distinct().join(needles, ["repo_id", "_key"])
+    every = needles.where("_key is null").join(files.select("repo_id", "path"), "repo_id")
+    return near.select(*sought.columns, "path").union(every.select(*sought.columns, "path"))
+
+
 def ground_identifiers(signals: DataFrame, files: DataFrame) -> DataFrame:
     """``(repo_id, task_id, ord, identifier, status, matched_files)``.
 
-    Names are joined with the files of their own repository, all files counting; a
-    substring test goes before each pattern.
+    Names meet the texts of their own repository that may hold them, all files counting,
+    and definitions by the parts that names share; ``files`` is best a table.
     """
     names = signals.select("repo_id", "task_id", "issue_text", F.posexplode("identifiers").alias("ord", "identifier")).where(is_anchor(F.col("identifier"), F.coalesce("issue_text", F.lit(""))))
-    names = names.select("repo_id", "task_id", "ord", "identifier", T.tokenize_identifier(F.col("identifier")).alias("parts"))
-    corpus = files.select("repo_id", "seq", "path", F.coalesce("text", F.lit("")).alias("text"), "is_source", "text_complete").withColumn("names", F.transform(definitions(F.col("text")), T.tokenize_identifier))
-    partial = (F.size("parts") >= 2) & F.exists("names", lambda n: F.size(F.array_except("parts", n)) == 0)
-    found = names.join(corpus, "repo_id", "left").select(
-        "repo_id", "task_id", "ord", "identifier", "path", "seq",
-        F.when(defines(F.col("text"), F.col("identifier")), 3).when(mentions(F.col("text"), F.col("identifier")), 2).when(partial, 1).otherwise(0).alias("level"),
-        partial.alias("partial"),
-        (F.col("is_source") & ~F.coalesce("text_complete", F.lit(True))).alias("unread"),
-    )
+    names = names.select("repo_id", "task_id", "ord", "identifier")
+    sought = written(names.select("repo_id", "identifier").distinct())
+    by = ["repo_id", "identifier"]
+    text = F.coalesce("text", F.lit(""))
+    near = may_hold(sought.withColumn("needle", F.col("identifier")), files).select(*by, "path").join(files.select("repo_id", "path", "seq", text.alias("text")), ["repo_id", "path"])
+    exact = near.select(*by, "path", "seq", F.when(defines(F.col("text"), F.col("identifier")), 3).when(mentions(F.col("text"), F.col("identifier")), 2).otherwise(0).alias("level")).where("level > 0")
+    # a definition whose parts hold all parts of the name
+    parts = sought.select(*by, T.tokenize_identifier(F.col("identifier")).alias("parts")).where("size(parts) >= 2").select(*by, F.array_distinct("parts").alias("parts"))
+    defined = files.join(parts.select("repo_id").distinct(), "repo_id", "left_semi").select("repo_id", "path", "seq", F.posexplode(definitions(text)).alias("at", "name"))
+    tokens = defined.select("repo_id", "path", "seq", "at", F.explode(F.array_distinct(T.tokenize_identifier(F.col("name")))).alias("part"))
+    shared = tokens.join(parts.select(*by, F.size("parts").alias("n"), F.explode("parts").alias("part")), ["repo_id", "part"])
+    partial = shared.groupBy(*by, "path", "seq", "at", "n").agg(F.count("*").alias("k")).where("k = n").select(*by, "path", "seq").distinct().withColumn("level", F.lit(1))
     hit = lambda level: F.collect_list(F.when(level, F.struct("seq", "path")))
-    g = found.groupBy("repo_id", "task_id", "ord", "identifier").agg(
-        F.max("level").alias("level"), F.bool_or("unread").alias("unread"),
-        hit(F.col("level") == 3).alias("f3"), hit(F.col("level") >= 2).alias("f2"), hit(F.col("partial")).alias("f1"))
+    g = exact.union(partial.select(*exact.columns)).groupBy(*by).agg(
+        F.max("level").alias("level"), hit(F.col("level") == 3).alias("f3"), hit(F.col("level") >= 2).alias("f2"), hit(F.col("level") == 1).alias("f1"))
     first = lambda c: F.slice(F.transform(F.array_sort(c), lambda x: x.path), 1, MATCHED)
+    unread = files.groupBy("repo_id").agg(F.bool_or(F.col("is_source") & ~F.coalesce("text_complete", F.lit(True))).alias("unread"))
     none = F.array().cast("array<string>")
-    return g.select(
+    return names.join(g, by, "left").join(unread, "repo_id", "left").select(
         "repo_id", "task_id", "ord", "identifier",
         F.when(F.col("level") == 3, "exact-definition").when(F.col("level") == 2, "exact-text").when(F.col("level") == 1, "partial-definition").when(F.col("unread"), "unverified").otherwise("not-found").alias("status"),
         F.when(F.col("level") == 3, first("f3")).when(F.col("level") == 2, first("f2")).when(F.col("level") == 1, first("f1")).otherwise(none).alias("matched_files"),
@@ -87,8 +110,8 @@ def task_grounding(signals: DataFrame, files: DataFrame, grounded: DataFrame, di
         F.count_if(F.col("status").isin("exact-definition", "exact-text")).alias("resolved"))
     anchored = paths_named(signals.select("repo_id", "task_id", F.explode("file_mentions").alias("mention")), files).select("repo_id", "task_id").distinct().withColumn("mention_found", F.lit(True))
     single = signals.select("repo_id", "task_id", T.tokenize(F.coalesce("issue_text", F.lit(""))).alias("t")).where("size(t) = 1").select("repo_id", "task_id", F.col("t")[0].alias("token"))
-    known = single.join(files.select("repo_id", "path", F.coalesce("text", F.lit("")).alias("text")), "repo_id", "left").groupBy("repo_id", "task_id").agg(
-        F.coalesce(F.bool_or(F.array_contains(T.tokenize(F.col("path")), F.col("token")) | F.array_contains(T.tokenize(F.col("text")), F.col("token"))), F.lit(False)).alias("token_known"))
+    held = files.join(single.select("repo_id").distinct(), "repo_id", "left_semi").select("repo_id", F.explode(F.array_union(T.tokenize(F.col("path")), T.tokenize(F.coalesce("text", F.lit(""))))).alias("token")).distinct()
+    known = single.join(held.withColumn("_held", F.lit(True)), ["repo_id", "token"], "left").select("repo_id", "task_id", F.col("_held").isNotNull().alias("token_known"))
     scans = files.groupBy("repo_id").agg((~F.coalesce(F.bool_or(F.col("is_source") & ~F.coalesce("text_complete", F.lit(True))), F.lit(False))).alias("scan_complete"))
     if diagnostics is not None:
         cut = diagnostics.where(F.col("code").isin("scan-limit-reached", "tracked-paths-absent")).select("repo_id").distinct().withColumn("cut", F.lit(True))

@@ -93,6 +93,7 @@ def plan(files: DataFrame, tasks: DataFrame, changed: DataFrame, commit_files: D
     to rank has a plan of notes alone.
     """
     spark = files.sparkSession
+    files = written(files)  # read by nearly every step
     signals, grounding = grounded = ranking.ground(files, tasks, scanned)
     ranked = written(ranking.rank(files, tasks, changed, excluded, limit, diagnostics=scanned, grounded=grounded).withColumn("plan_id", plan_id()))
     plans = tasks.select(*BY, plan_id().alias("plan_id")).distinct()

@@ -11,7 +11,7 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..sources.tables import written
 from . import graph
-from .grounding import definitions, defines, mentions, paths_named, task_grounding, ground_identifiers, grounded_tokens
+from .grounding import definitions, defines, may_hold, mentions, paths_named, task_grounding, ground_identifiers, grounded_tokens
 from .signals import task_signals
 
 CUTOFF, LIMIT = 4, 8
@@ -126,23 +126,9 @@ def term_hits(cands: DataFrame, facts: DataFrame, tasks: DataFrame) -> DataFrame
 
 
 def lookups(facts: DataFrame, tasks: DataFrame) -> DataFrame:
-    """``(repo_id, task_id, path)`` whose text may hold a member, quoted text or name of the task.
-
-    The longest run of name characters in such a string lies within a run of any text
-    that holds it, so it meets the distinct runs of its repository by its first trigram.
-    Strings without a run of three characters meet every path of their repository.
-    """
-    runs_of = lambda c, most: T.find_all(F.coalesce(c, F.lit("")), r"[\p{L}\p{N}_$]{%d,}" % most)
+    """``(repo_id, task_id, path)`` whose text may hold a member, quoted text or name of the task."""
     sought = tasks.select(*TASK, F.explode(F.concat("member_mentions", "exact_fragments", "identifiers")).alias("needle"))
-    longest = F.array_max(F.transform(runs_of(F.col("needle"), 3), lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
-    needles = written(sought.select(*TASK, longest.alias("key")).distinct())
-    keys = needles.where("key is not null").select("repo_id", "key").distinct().withColumn("gram", F.substring("key", 1, 3))
-    runs = facts.join(keys.select("repo_id").distinct(), "repo_id", "left_semi").select(*FILE, F.explode(F.array_distinct(runs_of(F.col("text"), 3))).alias("run"))
-    grams = runs.select("repo_id", "run").distinct().select("repo_id", "run", F.explode(F.array_distinct(F.regexp_extract_all("run", F.lit("(?=(...))"), F.lit(1)))).alias("gram"))
-    within = grams.join(keys, ["repo_id", "gram"]).where(F.col("run").contains(F.col("key"))).select("repo_id", "run", "key")
-    near = runs.join(within, ["repo_id", "run"]).select(*FILE, "key").distinct().join(needles, ["repo_id", "key"]).select(*PAIR)
-    every = needles.where("key is null").select(*TASK).join(facts.select(*FILE), "repo_id").select(*PAIR)
-    return near.union(every).distinct()
+    return may_hold(sought, facts).select(*PAIR).distinct()
 
 
 def text_hits(cands: DataFrame, facts: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -318,8 +304,8 @@ def rank(files: DataFrame, tasks: DataFrame, changed: DataFrame, excluded: DataF
     """
     by = ["repo_id", "task_id"]
     # read several times below: what tasks say, what files are, and how they score
-    signals, grounding = grounded or ground(files, tasks, diagnostics)
     facts = written(file_facts(files))
+    signals, grounding = grounded or ground(facts, tasks, diagnostics)
     tokens = grounded_tokens(signals, grounding, task_signals)
     ready = written(intents(signals.join(tokens, by)))
     scored = written(score(written(candidates(signals, facts, changed, excluded)), facts, ready, changed))
