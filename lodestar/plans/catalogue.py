@@ -466,6 +466,25 @@ def impact_rollup(spark, sf_dir):
     return impact.impact_map(rows, seeds, f).select("rank", "path", "score", "confidence")
 
 
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS hash, l_partkey AS part, 'part/' || l_partkey AS path FROM lineitem),
+a AS (SELECT hash, path FROM l WHERE hash IN (SELECT hash FROM l GROUP BY hash HAVING count(*) <= 30)), n AS (SELECT path AS seed, count(*) AS n FROM a GROUP BY path),
+r AS (SELECT DISTINCT part AS plan_id, 'part/' || (part + d.i) AS seed FROM l, range(3) AS d(i) WHERE 'part/' || (part + d.i) IN (SELECT path FROM l)),
+p AS (SELECT x.path AS seed, y.path, count(*) AS k FROM a x JOIN a y USING (hash) WHERE x.path <> y.path GROUP BY ALL HAVING count(*) >= 2),
+e AS (SELECT plan_id, path, least(8, 2 + floor(k / n * 6 + 0.5)) AS points, k / n AS strength FROM r JOIN p USING (seed) JOIN n USING (seed)),
+g AS (SELECT plan_id, path, sum(points) AS score, max(strength) AS strength FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.plan_id = e.plan_id AND r.seed = e.path) GROUP BY ALL)
+SELECT * FROM (SELECT plan_id, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY score DESC, path) AS INTEGER) AS rank, path, CAST(score AS INTEGER) AS score, CASE WHEN strength >= 0.6 THEN 'high' WHEN strength >= 0.3 THEN 'medium' ELSE 'low' END AS confidence FROM g) WHERE rank <= 12""")
+def cochange_impact(spark, sf_dir):
+    """What to inspect around every part and the two after it, by the orders that they share: orders stand for commits."""
+    shop, path = F.lit("shop").alias("repo_id"), lambda c: F.concat(F.lit("part/"), c.cast("string")).alias("path")
+    rows = written(t(spark, sf_dir, "lineitem").select(shop, F.col("l_orderkey").alias("hash"), path(F.col("l_partkey")), F.col("l_partkey").alias("plan_id")).distinct())
+    files = rows.select("repo_id", "path").distinct()
+    asked = rows.select("plan_id", "repo_id").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("ord")).select("plan_id", "repo_id", path(F.col("plan_id") + F.col("ord")), "ord")
+    seeds = written(impact.seed_rows(asked, files))
+    none = spark.createDataFrame([], "repo_id string, src string, dst string"), spark.createDataFrame([], "plan_id bigint, path string")
+    commits = cochange.eligible(rows.select("repo_id", "hash", "path"), ["repo_id", "hash"])
+    return impact.impact_map(impact.evidence(seeds, *none, commits), seeds, files).select("plan_id", "rank", "path", "score", "confidence")
+
+
 @query("SELECT * FROM (VALUES ('n3', 'n1', 'imported-by', 'imports'), ('n4', 'n1', 'imported-by', 'imports'), ('n1', 'n2', 'imports', 'imports'), ('n1', 'n2', 'co-change', 'co-change ×2'), ('n1', 'n5', 'test-route', 'routed test')) AS v(src, dst, kind, label)")
 def impact_graph_edges(spark, sf_dir):
     f, seeds, rows = _impact(spark)

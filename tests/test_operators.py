@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
-from lodestar.operators import cochange, context, exclusion, ranking, retrieval
+from lodestar.operators import cochange, context, exclusion, grounding, ranking, retrieval
 from lodestar.operators.signals import scan_quotes
 from lodestar.plans import fixtures as X
 from lodestar.sources import scan
@@ -177,3 +177,32 @@ def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         tables.shared_folder(Session)
+
+
+def test_texts_that_may_hold_a_string_leave_none_out(spark):
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abAB_$7é ß.-") for _ in range(r.randint(0, 12)))
+    files = [(f"r{i % 3}", f"p{i}", None if i == 7 else "" if i == 8 else " ".join(word() for _ in range(30))) for i in range(60)]
+    texts = [t for _, _, t in files if t]
+    cut = lambda t: t[(k := r.randint(0, len(t) - 1)):k + r.randint(1, 15)]
+    needles = list({(f"r{r.randint(0, 3)}", cut(r.choice(texts))) for _ in range(120)}) + [("r0", ""), ("r1", "aab"), ("r2", "é")]
+    n, f = spark.createDataFrame(needles, "repo_id string, needle string"), spark.createDataFrame(files, "repo_id string, path string, text string")
+    found = {tuple(x) for x in grounding.may_hold(n, f).select("repo_id", "needle", "path").collect()}
+    held = {(a, s, p) for a, s in needles for b, p, t in files if a == b and t is not None and s in t}
+    assert held and held <= found
+    assert not {x for x in found if x[0] == "r3"}  # no files
+
+
+def test_mentions_meet_every_path_that_they_name(spark):
+    from pyspark.sql import functions as F
+
+    from lodestar.functions import paths as P
+
+    paths = ["src/a.ts", "SRC/A.ts", "a.ts", "lib/src/a.ts", "README", "docs/readme.md", "x/.env", "a.b.ts", "src/a", "w\\v.py"]
+    names = ["a.ts", "src/a.ts", "readme", "README.md", "a", "a.b", ".env", "far/off/src/a.ts", "v.py", "W/v.py", "", "none"]
+    files = spark.createDataFrame([("r", p) for p in paths], "repo_id string, path string")
+    asked = spark.createDataFrame([("r", m) for m in names], "repo_id string, mention string")
+    met = sorted(tuple(x) for x in grounding.paths_named(asked, files).select("mention", "path").collect())
+    assert met == sorted(tuple(x) for x in asked.join(files, "repo_id").where(P.matches_mention(F.col("path"), F.col("mention"))).select("mention", "path").collect()) and met
