@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, itq, licenses, packing, quality, secrets, sentencepiece, simhash, tokencounts, toxicity
+from . import ann, decontaminate, divergence, itq, licenses, negatives, packing, quality, secrets, sentencepiece, simhash, tokencounts, toxicity
 from .common import table
 
 PACK_TOKENIZER = "word_bpe_49k.json"
@@ -67,6 +67,20 @@ def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", _fold(4, 2), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_winnowed_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, bench = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    return decontaminate.digest(decontaminate.contamination(docs, bench))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.expr("if(id % 7 = 0, (label + 1) % 10, label)")
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.expr("id % 100 = 0"), shifted)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -75,11 +89,15 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_permutation_index, op2_license_paragraphs, op3_simhash_bk_trees, op4_open_window_packing, op5_sentencepiece,
-        op6_itq_near_duplicates, op7_byte_cnn_quality, op8_section_tokens, op9_markov_secrets, op10_pu_toxicity, pipeline,
+        op6_itq_near_duplicates, op7_byte_cnn_quality, op8_section_tokens, op9_markov_secrets, op10_pu_toxicity,
+        op11_winnowed_contamination, op12_source_divergence, op13_hard_negatives, pipeline,
     )
 }
 
 
 def oracles() -> dict[str, str]:
     """SQL where an operator has an SQL form; tests/llm compare the others with brute force."""
-    return {"op2_license_paragraphs": licenses.oracle_sql()}
+    return {
+        "op2_license_paragraphs": licenses.oracle_sql(), "op11_winnowed_contamination": decontaminate.oracle_sql(),
+        "op12_source_divergence": divergence.oracle_sql(), "op13_hard_negatives": negatives.oracle_sql(),
+    }
