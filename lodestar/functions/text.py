@@ -48,6 +48,12 @@ def rx(c: Column, pattern: str, to: str = "") -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(to))
 
 
+def in_order(c: Column | str) -> tuple[Column, Column]:
+    """Sort keys of a text as a reader expects them: letters first, then accents, then small before capital; equal ones by their bytes."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.collate(c, "UNICODE"), c
+
+
 def find_all(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 

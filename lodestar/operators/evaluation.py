@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 Z_SCRIPT, Z_CLI = 1.96, 1.959963984540054
 
 
@@ -92,3 +94,11 @@ def incomplete(runs: DataFrame, tasks: DataFrame, arms: DataFrame) -> DataFrame:
     """Pairs of task and arm that do not occur exactly once."""
     seen = runs.groupBy("task_id", "arm").agg(F.count("*").alias("n"))
     return tasks.crossJoin(F.broadcast(arms)).join(seen, ["task_id", "arm"], "left").where(F.coalesce("n", F.lit(0)) != 1).select("task_id", "arm", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def numbered(ordered: DataFrame, name: str) -> DataFrame:
+    """Rows of a sorted frame with their place from 1: partitions of the sort are counted first, then rows within each."""
+    rows = written(ordered.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
+    return rows.join(F.broadcast(before.select("_part", "_first", "_before")), "_part").withColumn(name, F.col("_before") + F.col("_id") - F.col("_first") + 1).drop("_part", "_id", "_first", "_before")

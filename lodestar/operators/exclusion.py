@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def clean(patterns: list[str]) -> list[str]:
     """Patterns in order of first use, forward slashes, no blanks or comments."""
@@ -29,7 +31,7 @@ def glob_regex(pattern: str) -> str | None:
     return ("^" if pattern.startswith("/") else "(?:^|/)") + inner + ("/" if pattern.endswith("/") else "(?:/|$)")
 
 
-def rules(spark, patterns: list[str], repo_id: str | None = None) -> DataFrame:
+def rules(spark, patterns: list[str]) -> DataFrame:
     """``(ord, pattern, negated, folder, regex)`` of what a user wrote: a bounded list."""
     rows = []
     for i, p in enumerate(clean(patterns)):
@@ -61,3 +63,93 @@ def parse_ignore_file(lines: DataFrame) -> DataFrame:
     c = F.translate(F.trim("value"), "\\", "/")
     kept = lines.select("n", c.alias("pattern")).where((F.col("pattern") != "") & ~F.col("pattern").startswith("#"))
     return kept.groupBy("pattern").agg(F.min("n").alias("n")).select("n", "pattern")
+
+
+# ---------------------------------------------------------------- rules of many repositories at once
+
+def ignore_lines(files: DataFrame, name: str) -> DataFrame:
+    """``(repo_id, ord, pattern)``: the lines of each repository's ignore file ``name`` at its root."""
+    lines = F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r?\n")).alias("ord", "pattern")
+    return files.where(F.col("path") == name).select("repo_id", lines)
+
+
+def combined(*lists: DataFrame) -> DataFrame:
+    """Several ``(repo_id, ord, pattern)`` as one, those of the earlier list first."""
+    out = None
+    for k, one in enumerate(lists):
+        one = one.select("repo_id", F.struct(F.lit(k).alias("list"), F.col("ord").cast("bigint").alias("at")).alias("ord"), "pattern")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def rebased(pattern: Column, root: Column) -> Column:
+    """A pattern that begins with the repository's own absolute path, anchored to its root instead; case counts unless the path has a drive."""
+    body, top = F.translate(F.ltrim(F.rtrim(pattern)), "\\", "/"), F.regexp_replace(F.translate(root, "\\", "/"), "/$", "")
+    negated = body.startswith("!")
+    bare = F.when(negated, body.substr(F.lit(2), F.length(body))).otherwise(body)
+    drive = top.rlike("^[A-Za-z]:/")
+    inside = F.when(drive, F.lower(bare).startswith(F.concat(F.lower(top), F.lit("/")))).otherwise(bare.startswith(F.concat(top, F.lit("/"))))
+    moved = F.concat(F.when(negated, "!").otherwise(""), F.lit("/"), bare.substr(F.length(top) + 2, F.length(bare)))
+    return F.when(F.coalesce(inside & (F.length(top) > 0), F.lit(False)), moved).otherwise(pattern)
+
+
+def compiled(patterns: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """``(repo_id, ord, pattern, negated, folder, regex, literals)`` of ``patterns(repo_id, ord, pattern)``, all in the plan.
+
+    Blanks and comments go, and so do repeats after a pattern's first use.  ``roots(repo_id,
+    root)`` are absolute paths, for patterns that begin with one.  ``literals`` are the
+    segments that every match holds as whole segments; ``regex`` is null for a pattern
+    that matches nothing.
+    """
+    p = patterns
+    if roots is not None:
+        p = p.join(roots, "repo_id", "left").withColumn("pattern", rebased(F.col("pattern"), F.col("root"))).drop("root")
+    p = p.select("repo_id", "ord", F.translate(F.trim("pattern"), "\\", "/").alias("pattern")).where((F.col("pattern") != "") & ~F.col("pattern").startswith("#"))
+    p = p.groupBy("repo_id", "pattern").agg(F.min("ord").alias("ord")).withColumn("negated", F.col("pattern").startswith("!"))
+    p = p.withColumn("glob", F.regexp_replace("pattern", "^!", ""))
+    folder, anchored = F.col("glob").endswith("/"), F.col("glob").startswith("/")
+    body = F.regexp_replace(F.regexp_replace("glob", "^/", ""), "/$", "")
+    inner = body
+    # marks that mean something to an expression first; a double star keeps a place until single ones are done
+    for what, to in ((r"([.+^${}()|\[\]\\])", r"\\$1"), (r"\?", "[^/]"), (r"\*\*/?", "\x01"), (r"\*", "[^/]*"), ("\x01", ".*")):
+        inner = F.regexp_replace(inner, what, to)
+    regex = F.concat(F.when(anchored, "^").otherwise("(?:^|/)"), inner, F.when(folder, "/").otherwise("(?:/|$)"))
+    parts = F.split(body, "/")
+    # a double star takes the slash after it, so what follows one need not begin a segment
+    whole = F.transform(parts, lambda s, i: F.when((s != "") & ~s.rlike(r"[*?]") & ((i == 0) | ~F.get(parts, i - 1).endswith("**")), s))
+    literals = F.array_distinct(F.filter(whole, lambda s: s.isNotNull()))
+    return p.select("repo_id", "ord", "pattern", "negated", folder.alias("folder"), F.when(body != "", regex).alias("regex"), F.when(body != "", literals).alias("literals"))
+
+
+def matches_by_repository(paths: DataFrame, rule: DataFrame) -> DataFrame:
+    """``(repo_id, path, ord, pattern, negated)`` of every match of ``paths(repo_id, path)`` with the rules of their repository.
+
+    A rule meets only the paths that hold the rarest of its literal segments, by an
+    equi-join; one of whose segments no path holds meets none.  Rules without a literal
+    segment meet the paths of their repository.
+    """
+    p = paths.select("repo_id", "path").distinct()
+    held = p.select("repo_id", "path", F.explode(F.array_distinct(F.split("path", "/"))).alias("segment"))
+    asked = rule.where("regex is not null").select("repo_id", "ord", "pattern", "negated", "folder", "regex", "literals")
+    sought = asked.select("repo_id", "ord", F.explode("literals").alias("segment"))
+    held = written(held.join(sought.select("repo_id", "segment").distinct(), ["repo_id", "segment"], "left_semi"))
+    seen = held.groupBy("repo_id", "segment").agg(F.count("*").alias("n"))
+    rarest = sought.join(seen, ["repo_id", "segment"], "left").groupBy("repo_id", "ord").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "segment")).alias("s")).where("s.n > 0")
+    keyed = asked.join(rarest.select("repo_id", "ord", "s.segment"), ["repo_id", "ord"]).drop("literals")
+    subject = F.when(F.col("folder"), F.concat("path", F.lit("/"))).otherwise(F.col("path"))
+    hit = F.rlike(subject, F.col("regex"))
+    cols = ["repo_id", "path", "ord", "pattern", "negated"]
+    by_segment = held.join(keyed, ["repo_id", "segment"]).where(hit).select(*cols)
+    return by_segment.union(p.join(asked.where(F.size("literals") == 0).drop("literals"), "repo_id").where(hit).select(*cols))
+
+
+def excluded_by_repository(paths: DataFrame, rule: DataFrame) -> DataFrame:
+    """``(repo_id, path, pattern)`` of paths whose last matching pattern excludes."""
+    last = matches_by_repository(paths, rule).groupBy("repo_id", "path").agg(F.max_by(F.struct("pattern", "negated"), "ord").alias("last"))
+    return last.where(~F.col("last.negated")).select("repo_id", "path", F.col("last.pattern").alias("pattern"))
+
+
+def unmatched_by_repository(paths: DataFrame, rule: DataFrame) -> DataFrame:
+    """``(repo_id, ord, pattern)`` of patterns that match no path of their repository; negations are exempt."""
+    used = matches_by_repository(paths, rule).select("repo_id", "ord").distinct()
+    return rule.where("not negated").join(used, ["repo_id", "ord"], "left_anti").select("repo_id", "ord", "pattern")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
+from ..sources.tables import written
 
 # Languages whose imports are read, and how specifiers resolve.
 JS_EXTENSIONS = ".cjs .cts .js .jsx .mjs .mts .svelte .ts .tsx .vue".split()
@@ -62,11 +63,12 @@ def workspace_roots(files: DataFrame) -> DataFrame:
 
 
 def aliases(files: DataFrame) -> DataFrame:
-    """``(repo_id, prefix, suffix, target)`` of the path maps of compiler settings, in order."""
+    """``(repo_id, ord, prefix, suffix, target)`` of the path maps of compiler settings: by file, then pattern, then target."""
     c = files.where(F.col("path").rlike(r"(?i)(^|/)(?:tsconfig|jsconfig)(?:\.[^/]*)?\.json$")).select(
-        "repo_id", P.folder(F.col("path")).alias("dir"), F.from_json("text", "compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>").alias("c"))
+        "repo_id", "seq", P.folder(F.col("path")).alias("dir"), F.from_json("text", "compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>").alias("c"))
     base = fold_path(F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), F.coalesce("c.compilerOptions.baseUrl", F.lit("."))))
-    rows = c.select("repo_id", base.alias("base"), F.explode("c.compilerOptions.paths").alias("pattern", "targets")).select("repo_id", "base", "pattern", F.posexplode("targets").alias("ord", "target"))
+    rows = c.select("repo_id", "seq", base.alias("base"), F.posexplode("c.compilerOptions.paths").alias("at", "pattern", "targets"))
+    rows = rows.select("repo_id", "seq", "at", "base", "pattern", F.posexplode("targets").alias("pos", "target")).withColumn("ord", F.struct("seq", "at", "pos"))
     star = F.instr("pattern", "*")
     whole = F.col("pattern")
     return rows.select(
@@ -77,24 +79,42 @@ def aliases(files: DataFrame) -> DataFrame:
     ).where("target is not null")
 
 
+def aliased(specs: DataFrame, known: DataFrame) -> DataFrame:
+    """``specs(repo_id, specifier, ...)`` with ``root`` and ``ord`` of each alias of their repository that fits.
+
+    A specifier is cut to the lengths that prefixes of its repository have, and these cuts
+    meet the prefixes by equality.
+    """
+    lengths = known.groupBy("repo_id").agg(F.collect_set(F.length("prefix")).alias("_lengths"))  # no longer than a specifier is of use
+    fits = F.filter("_lengths", lambda n: n <= F.length("specifier"))
+    cuts = specs.join(lengths, "repo_id").select(*specs.columns, F.explode(fits).alias("_n")).withColumn("prefix", F.col("specifier").substr(F.lit(1), F.col("_n"))).drop("_n")
+    inner = F.expr("substring(specifier, length(prefix) + 1, greatest(0, length(specifier) - length(prefix) - length(suffix)))")
+    both = cuts.join(known, ["repo_id", "prefix"]).where("endswith(specifier, suffix)")
+    star = F.instr("target", "*")
+    root = F.when(star == 0, F.col("target")).otherwise(F.concat(F.col("target").substr(F.lit(1), star - 1), inner, F.col("target").substr(star + 1, F.length("target"))))  # the first star alone
+    return both.select(*specs.columns, root.alias("root"), "ord")
+
+
 def import_edges(files: DataFrame, max_files: int = MAX_FILES, max_edges: int = MAX_EDGES) -> tuple[DataFrame, DataFrame]:
     """``files(repo_id, seq, path, text)`` -> edges ``(repo_id, src, dst)`` and cut counts per repository."""
     f = files.where(P.extension(F.col("path")).isin(*JS_EXTENSIONS) & (F.length("text") > 0))
-    f = f.withColumn("n", F.row_number().over(Window.partitionBy("repo_id").orderBy("seq", "path")))
-    read = f.where(F.col("n") <= max_files)
+    # keys alone are numbered; texts join what is to be read
+    f_keys = f.select("repo_id", "seq", "path").withColumn("n", F.row_number().over(Window.partitionBy("repo_id").orderBy("seq", "path")))
+    read = f.select("repo_id", "path", "text").join(f_keys.where(F.col("n") <= max_files).select("repo_id", "path"), ["repo_id", "path"], "left_semi")
     specs = read.select("repo_id", F.col("path").alias("src"), F.posexplode(specifiers(F.col("text"))).alias("spec_ord", "specifier"))
     near = specs.where(F.col("specifier").startswith(".")).withColumn("root", fold_path(F.concat_ws("/", F.when(P.folder(F.col("src")) != "", P.folder(F.col("src"))), F.col("specifier")))).where("root <> ''").withColumn("ord", F.lit(0))
     far = specs.where(~F.col("specifier").startswith("."))
     named = far.join(workspace_roots(files), ["repo_id", "specifier"]).select("repo_id", "src", "spec_ord", "specifier", "root", "ord")
-    a = aliases(files)
-    inner = F.expr("substring(specifier, length(prefix) + 1, length(specifier) - length(prefix) - length(suffix))")
-    mapped = far.join(a, "repo_id").where("startswith(specifier, prefix) and endswith(specifier, suffix)").select("repo_id", "src", "spec_ord", "specifier", F.replace("target", F.lit("*"), inner).alias("root"), (F.col("ord") + 1000).alias("ord"))
-    roots = near.select(named.columns).union(named).union(mapped)
+    mapped = aliased(far, aliases(files))
+    place = lambda k, ord_: F.struct(F.lit(k).alias("kind"), ord_.alias("ord"))
+    first_of = lambda c: F.struct(F.lit(0).cast("bigint").alias("seq"), F.lit(0).alias("at"), c.alias("pos"))
+    cols = ["repo_id", "src", "spec_ord", "specifier", "root"]
+    roots = near.select(*cols, place(0, first_of(F.col("ord"))).alias("ord")).union(named.select(*cols, place(0, first_of(F.col("ord"))).alias("ord"))).union(mapped.select(*cols, place(1, F.col("ord")).alias("ord")))
     tries = roots.select("repo_id", "src", "spec_ord", "ord", F.posexplode(candidates(F.col("root"))).alias("cand", "dst"))
     found = tries.join(files.select("repo_id", F.col("path").alias("dst")), ["repo_id", "dst"])
     first = found.groupBy("repo_id", "src", "spec_ord").agg(F.min_by("dst", F.struct("ord", "cand")).alias("dst")).where("src <> dst")
     first = first.withColumn("k", F.row_number().over(Window.partitionBy("repo_id", "src").orderBy("spec_ord")))
-    cuts = f.groupBy("repo_id").agg(F.count_if(F.col("n") > max_files).alias("truncated_files"))
+    cuts = f_keys.groupBy("repo_id").agg(F.count_if(F.col("n") > max_files).alias("truncated_files"))
     over = first.where(F.col("k") > max_edges).groupBy("repo_id").agg(F.count_distinct("src").alias("truncated_edges"))
     return first.where(F.col("k") <= max_edges).select("repo_id", "src", "dst").distinct(), cuts.join(over, "repo_id", "left").na.fill(0, ["truncated_edges"])
 
@@ -105,19 +125,21 @@ def neighbours(edges: DataFrame) -> DataFrame:
         edges.select("repo_id", F.col("dst").alias("at"), F.col("src").alias("path"), F.lit("imports").alias("direction"), F.lit(1).alias("d")))
 
 
-def proximity(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``seeds(repo_id, seed, ord)`` -> ``(repo_id, path, distance, seed, direction)``; the first hit wins.
+def proximity(edges: DataFrame, seeds: DataFrame, by: list[str] = ["repo_id"]) -> DataFrame:  # noqa: B006
+    """``seeds(by..., seed, ord)`` -> ``(by..., path, distance, seed, direction)``; the first hit wins.
 
     One hop goes by seed order, imports before importers, then path; two hops by the
-    order in which the first were reached.
+    order in which the first were reached.  ``by`` begins with ``repo_id``: seeds of many
+    tasks, and then what they reach, meet the edges of a repository, which are not copied.
     """
     near = neighbours(edges)
-    is_seed = seeds.select("repo_id", F.col("seed").alias("path"))
-    one = near.join(seeds.withColumnRenamed("seed", "at"), ["repo_id", "at"]).join(is_seed, ["repo_id", "path"], "left_anti")
-    first = Window.partitionBy("repo_id", "path").orderBy("ord", "d")
-    one = one.withColumn("k", F.row_number().over(first)).where("k = 1").select("repo_id", "path", F.col("at").alias("seed"), "direction", "ord", "d")
-    one = one.withColumn("reached", F.row_number().over(Window.partitionBy("repo_id").orderBy("ord", "d", "path")))
-    two = near.join(one.select("repo_id", F.col("path").alias("at"), "seed", "reached"), ["repo_id", "at"]).join(is_seed, ["repo_id", "path"], "left_anti").join(one.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
-    two = two.withColumn("k", F.row_number().over(Window.partitionBy("repo_id", "path").orderBy("reached", "d"))).where("k = 1")
-    cols = ("repo_id", "path", "distance", "seed", "direction")
+    at = [*by, "path"]
+    is_seed = seeds.select(*by, F.col("seed").alias("path"))
+    one = near.join(seeds.withColumnRenamed("seed", "at"), ["repo_id", "at"]).join(is_seed, at, "left_anti")
+    first = Window.partitionBy(*at).orderBy("ord", "d")
+    one = one.withColumn("k", F.row_number().over(first)).where("k = 1").select(*at, F.col("at").alias("seed"), "direction", "ord", "d")
+    one = written(one.withColumn("reached", F.row_number().over(Window.partitionBy(*by).orderBy("ord", "d", *T.in_order("path")))))
+    two = near.join(one.select(*by, F.col("path").alias("at"), "seed", "reached"), ["repo_id", "at"]).join(is_seed, at, "left_anti").join(one.select(*at), at, "left_anti")
+    two = two.withColumn("k", F.row_number().over(Window.partitionBy(*at).orderBy("reached", "d"))).where("k = 1")
+    cols = (*at, "distance", "seed", "direction")
     return one.withColumn("distance", F.lit(1)).select(*cols).union(two.withColumn("distance", F.lit(2)).select(*cols))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -89,16 +89,17 @@ def ground_identifiers(signals: DataFrame, files: DataFrame) -> DataFrame:
     tokens = defined.select("repo_id", "path", "seq", "at", F.explode(F.array_distinct(T.tokenize_identifier(F.col("name")))).alias("part"))
     shared = tokens.join(parts.select(*by, F.size("parts").alias("n"), F.explode("parts").alias("part")), ["repo_id", "part"])
     partial = shared.groupBy(*by, "path", "seq", "at", "n").agg(F.count("*").alias("k")).where("k = n").select(*by, "path", "seq").distinct().withColumn("level", F.lit(1))
-    hit = lambda level: F.collect_list(F.when(level, F.struct("seq", "path")))
-    g = exact.union(partial.select(*exact.columns)).groupBy(*by).agg(
-        F.max("level").alias("level"), hit(F.col("level") == 3).alias("f3"), hit(F.col("level") >= 2).alias("f2"), hit(F.col("level") == 1).alias("f1"))
-    first = lambda c: F.slice(F.transform(F.array_sort(c), lambda x: x.path), 1, MATCHED)
+    # the first files of the best level are taken before any list is made: a common name stands in many
+    order = Window.partitionBy(*by).orderBy(F.desc("level"), "seq", "path")
+    top = exact.union(partial.select(*exact.columns)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= MATCHED)
+    g = top.groupBy(*by).agg(F.max("level").alias("level"), F.array_sort(F.collect_list(F.struct("k", "level", "path"))).alias("top"))
+    g = g.select(*by, "level", F.transform(F.filter("top", lambda x: x["level"] == F.col("level")), lambda x: x["path"]).alias("matched"))
     unread = files.groupBy("repo_id").agg(F.bool_or(F.col("is_source") & ~F.coalesce("text_complete", F.lit(True))).alias("unread"))
     none = F.array().cast("array<string>")
     return names.join(g, by, "left").join(unread, "repo_id", "left").select(
         "repo_id", "task_id", "ord", "identifier",
         F.when(F.col("level") == 3, "exact-definition").when(F.col("level") == 2, "exact-text").when(F.col("level") == 1, "partial-definition").when(F.col("unread"), "unverified").otherwise("not-found").alias("status"),
-        F.when(F.col("level") == 3, first("f3")).when(F.col("level") == 2, first("f2")).when(F.col("level") == 1, first("f1")).otherwise(none).alias("matched_files"),
+        F.coalesce("matched", none).alias("matched_files"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions import text as T
 from . import cochange
 
 LIMIT, SEEDS = 12, 3
@@ -61,7 +62,7 @@ def impact_map(rows: DataFrame, seeds: DataFrame, files: DataFrame, limit: int =
         F.bool_or(F.col("kind") == "test-route").alias("tested"), F.bool_or(F.col("kind").isin("imports", "imported-by")).alias("linked"),
         F.array_sort(F.collect_list(F.struct("kind", "seed", "points", "reason", "occurrences", "seed_changes"))).alias("evidence"))
     level = F.when(F.col("tested") | (F.col("kinds") >= 2) | (F.col("strength") >= 0.6), "high").when(F.col("linked") | (F.col("strength") >= 0.3), "medium").otherwise("low")
-    w = Window.partitionBy("plan_id").orderBy(F.desc("score"), "path")
+    w = Window.partitionBy("plan_id").orderBy(F.desc("score"), *T.in_order("path"))
     return g.withColumn("confidence", level).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("plan_id", "rank", "path", "score", "confidence", "evidence")
 
 

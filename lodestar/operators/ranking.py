@@ -254,18 +254,15 @@ def add_proximity(scored: DataFrame, edges: DataFrame) -> DataFrame:
     by = ["repo_id", "task_id"]
     strong = scored.where("base >= 8").select(*by, "path", "base", "direct")
     strong = strong.withColumn("any_direct", F.bool_or("direct").over(Window.partitionBy(*by))).where("direct or not any_direct")
-    strong = strong.withColumn("ord", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("base"), "path"))).where("ord <= if(any_direct, 5, 2)")
-    # tasks are repositories of their own here: each has its seeds
-    key = F.concat_ws("\0", "repo_id", "task_id")
-    seeds = strong.select(*by, F.col("path").alias("seed"), "ord", F.col("base").alias("seed_score"))
-    own = edges.join(seeds.select(*by).distinct(), "repo_id").withColumn("repo_id", key).select("repo_id", "src", "dst")
-    hits = graph.proximity(own, seeds.withColumn("repo_id", key).select("repo_id", "seed", "ord")).withColumnRenamed("repo_id", "_k")
-    s = scored.withColumn("_k", key).join(hits, ["_k", "path"], "left").join(seeds.select(*by, "seed", "seed_score"), [*by, "seed"], "left")
+    strong = strong.withColumn("ord", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("base"), *T.in_order("path")))).where("ord <= if(any_direct, 5, 2)")
+    seeds = written(strong.select(*by, F.col("path").alias("seed"), "ord", F.col("base").alias("seed_score")))  # five of a task at most
+    hits = graph.proximity(edges, seeds.select(*by, "seed", "ord"), by)
+    s = scored.join(hits, [*by, "path"], "left").join(seeds.select(*by, "seed", "seed_score"), [*by, "seed"], "left")
     room = F.greatest(F.lit(0), F.col("seed_score") - F.col("base") - 1)
     boost = F.coalesce(F.least(F.when(F.col("distance") == 1, 4).otherwise(2), room), F.lit(0))
     s = s.withColumn("f21", boost.cast("int")).withColumn("score", F.col("base") + F.col("f21"))
     why = F.when(F.col("distance") == 2, F.concat(F.lit("two imports from "), "seed")).when(F.col("direction") == "imported-by", F.concat(F.lit("imported by "), "seed")).otherwise(F.concat(F.lit("imports "), "seed"))
-    return s.withColumn("reasons", F.when(F.col("f21") > 0, F.concat("reasons", F.array(why))).otherwise(F.col("reasons"))).drop("_k", "seed", "seed_score", "distance", "direction")
+    return s.withColumn("reasons", F.when(F.col("f21") > 0, F.concat("reasons", F.array(why))).otherwise(F.col("reasons"))).drop("seed", "seed_score", "distance", "direction")
 
 
 def shape(ranked: DataFrame, by: list[str] = ["repo_id", "task_id"]) -> DataFrame:  # noqa: B006
@@ -312,10 +309,15 @@ def rank(files: DataFrame, tasks: DataFrame, changed: DataFrame, excluded: DataF
     scored = add_proximity(scored, written(graph.import_edges(files)[0]))
     if cutoff is not None:
         scored = scored.where(F.col("score") >= cutoff)
-    order = Window.partitionBy(*by).orderBy(F.desc("score"), "path")
+    scored = written(scored)
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), *T.in_order("path"))
     r = scored.withColumn("position", F.row_number().over(order))
-    lead = F.max(F.when(F.col("position") == 1, F.col("definition_evidence"))).over(Window.partitionBy(*by))
-    r = r.withColumn("contested", ~lead & F.bool_or("definition_evidence").over(Window.partitionBy(*by)))
+    if limit is not None:  # the third tells whether the first are close
+        r = r.where(F.col("position") <= max(limit, 3))
+    r = written(r)
+    lead = r.where("position = 1").select(*by, F.col("definition_evidence").alias("_lead"))
+    some = scored.groupBy(*by).agg(F.bool_or("definition_evidence").alias("_some"))
+    r = r.join(lead.join(some, by), by).withColumn("contested", ~F.col("_lead") & F.col("_some"))
     r = confidence(r.join(shape(r), by).join(grounding, by))
     if limit is not None:
         r = r.where(F.col("position") <= limit)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import written
 
 K1, B = 1.2, 0.75
-_WHOLE = "\0"  # stands for a document as a whole among its tokens, none of which holds it
+WHOLE = "\0"  # stands for a document as a whole among its tokens, none of which holds it
 
 
 def term_frequency(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -27,6 +27,30 @@ def document_frequency(tf: DataFrame) -> DataFrame:
     return tf.groupBy("token").agg(F.count("*").alias("df"))
 
 
+def counted_tokens(docs: DataFrame, tasks: DataFrame, keys: list[str], text: str = "text", task: str = "task_id", issue: str = "issue_text", by: list[str] = []) -> tuple[DataFrame, DataFrame]:  # noqa: B006
+    """``(by..., keys..., token, length, tf)`` of the tokens that some task asks for, and ``(by..., task, token)``.
+
+    Documents are tokenised once: each also counts WHOLE, which stands for all of it,
+    whatever the tasks ask for.
+    """
+    terms = tasks.select(*by, task, F.explode(T.query_terms(F.col(issue))).alias("token"))
+    wanted = terms.select(*by, "token").distinct()
+    whole = (tasks.select(*by).distinct() if by else tasks.sparkSession.range(1)).select(*by, F.lit(WHOLE).alias("token"))
+    listed = docs.select(*by, *keys, T.retrieval_tokens(F.col(text)).alias("listed")).select(*by, *keys, "listed", F.size("listed").cast("bigint").alias("length"))
+    tokens = listed.select(*by, *keys, "length", F.explode(F.concat("listed", F.array(F.lit(WHOLE)))).alias("token"))
+    return tokens.join(wanted.union(whole), [*by, "token"], "left_semi").groupBy(*by, *keys, "token", "length").agg(F.count("*").alias("tf")), terms
+
+
+def part(n: str = "n") -> Column:
+    """What a token adds to a score, by columns ``n``, ``mean``, ``df``, ``tf`` and ``length``."""
+    n, mean = F.col(n), F.when(F.coalesce("mean", F.lit(0.0)) == 0, 1.0).otherwise(F.col("mean"))
+    return F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
+
+
+def _ties(docs: DataFrame, key: str) -> tuple[Column, ...]:
+    return T.in_order(key) if docs.schema[key].dataType.simpleString() == "string" else (F.col(key),)
+
+
 def bm25(docs: DataFrame, tasks: DataFrame, key: str = "path", text: str = "text", task: str = "task_id", issue: str = "issue_text", limit: int = 5, by: list[str] | None = None) -> DataFrame:
     """``(by..., task, rank, key, score)``: the ``limit`` best documents of every task.
 
@@ -35,25 +59,29 @@ def bm25(docs: DataFrame, tasks: DataFrame, key: str = "path", text: str = "text
     shuffled; scores are rounded to six places, ties go to the smaller key.
     """
     by = list(by or [])
-    terms = tasks.select(*by, task, F.explode(T.query_terms(F.col(issue))).alias("token"))
-    wanted = terms.select(*by, "token").distinct()
-    # documents are tokenised once: each also counts one token that stands for all of it, whatever the tasks ask for
-    whole = (tasks.select(*by).distinct() if by else tasks.sparkSession.range(1)).select(*by, F.lit(_WHOLE).alias("token"))
-    listed = docs.select(*by, key, T.retrieval_tokens(F.col(text)).alias("listed")).select(*by, key, "listed", F.size("listed").cast("bigint").alias("length"))
-    tokens = listed.select(*by, key, "length", F.explode(F.concat("listed", F.array(F.lit(_WHOLE)))).alias("token"))
-    counted = written(tokens.join(wanted.union(whole), [*by, "token"], "left_semi").groupBy(*by, key, "token", "length").agg(F.count("*").alias("tf")))
-    corpus = counted.where(F.col("token") == _WHOLE).groupBy(*by).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    tf = counted.where(F.col("token") != _WHOLE)
+    counted, terms = counted_tokens(docs, tasks, [key], text, task, issue, by)
+    counted = written(counted)
+    corpus = counted.where(F.col("token") == WHOLE).groupBy(*by).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    tf = counted.where(F.col("token") != WHOLE)
     df = tf.groupBy(*by, "token").agg(F.count("*").alias("df"))
-    mean = F.when(F.coalesce("mean", F.lit(0.0)) == 0, 1.0).otherwise(F.col("mean"))
     weighted = tf.join(df, [*by, "token"])
     weighted = weighted.join(corpus, by) if by else weighted.crossJoin(F.broadcast(corpus))  # one row
-    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    scored = weighted.select(*by, key, "token", part.alias("part")).join(terms, [*by, "token"]).groupBy(*by, task, key).agg(F.round(F.sum("part"), 6).alias("score"))
-    best = Window.partitionBy(*by, task).orderBy(F.desc("score"), key)
+    scored = weighted.select(*by, key, "token", part().alias("part")).join(terms, [*by, "token"]).groupBy(*by, task, key).agg(F.round(F.sum("part"), 6).alias("score"))
+    best = Window.partitionBy(*by, task).orderBy(F.desc("score"), *_ties(docs, key))
     return scored.where("score > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select(*by, task, "rank", key, "score")
 
 
+def literal_counts(docs: DataFrame, tasks: DataFrame, key: str = "path", text: str = "text", task: str = "task_id", issue: str = "issue_text") -> DataFrame:
+    """``(task, key, terms, occurrences)``: how many of a task's terms stand in a document, and how often."""
+    terms = tasks.select(task, F.explode(T.query_terms(F.col(issue))).alias("term"))
+    words = terms.select("term").distinct().withColumn("gram", F.substring("term", 1, 3))
+    runs = docs.select(key, F.explode(T.find_all(F.lower(text), "[a-z0-9_$]{3,}")).alias("run")).groupBy(key, "run").agg(F.count("*").alias("times"))
+    grams = runs.select("run").distinct().select("run", F.explode(F.array_distinct(F.regexp_extract_all("run", F.lit("(?=(...))"), F.lit(1)))).alias("gram"))
+    within = grams.join(words, "gram").where(F.col("run").contains(F.col("term"))).select("run", "term", T.occurrences(F.col("run"), F.col("term")).alias("n"))
+    hits = runs.join(within, "run").groupBy(key, "term").agg(F.sum(F.col("times") * F.col("n")).alias("n"))
+    return hits.join(terms, "term").groupBy(task, key).agg(F.count("*").alias("terms"), F.sum("n").alias("occurrences"))
+
+
 def literal_search(docs: DataFrame, tasks: DataFrame, key: str = "path", text: str = "text", task: str = "task_id", issue: str = "issue_text", limit: int = 5) -> DataFrame:
     """Keyword search by substring: most distinct terms, then most occurrences, then key.
 
@@ -61,14 +89,8 @@ def literal_search(docs: DataFrame, tasks: DataFrame, key: str = "path", text: s
     run of these; each distinct run is held against the terms that begin with one of its
     trigrams, once for all documents and tasks, and no text against every term.
     """
-    terms = tasks.select(task, F.explode(T.query_terms(F.col(issue))).alias("term"))
-    words = terms.select("term").distinct().withColumn("gram", F.substring("term", 1, 3))
-    runs = docs.select(key, F.explode(T.find_all(F.lower(text), "[a-z0-9_$]{3,}")).alias("run")).groupBy(key, "run").agg(F.count("*").alias("times"))
-    grams = runs.select("run").distinct().select("run", F.explode(F.array_distinct(F.regexp_extract_all("run", F.lit("(?=(...))"), F.lit(1)))).alias("gram"))
-    within = grams.join(words, "gram").where(F.col("run").contains(F.col("term"))).select("run", "term", T.occurrences(F.col("run"), F.col("term")).alias("n"))
-    hits = runs.join(within, "run").groupBy(key, "term").agg(F.sum(F.col("times") * F.col("n")).alias("n"))
-    scored = hits.join(terms, "term").groupBy(task, key).agg(F.count("*").alias("terms"), F.sum("n").alias("occurrences"))
-    best = Window.partitionBy(task).orderBy(F.desc("terms"), F.desc("occurrences"), key)
+    scored = literal_counts(docs, tasks, key, text, task, issue)
+    best = Window.partitionBy(task).orderBy(F.desc("terms"), F.desc("occurrences"), *_ties(docs, key))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select(task, "rank", key, "terms", "occurrences")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,43 +21,66 @@ NO_MEMBERS = "c cc cjs cpp css go h hpp html java js json jsx kt less md mdx mjs
 _EXTENSIONS = "|".join(sorted((e[1:] for e in P.SOURCE_EXTENSIONS), key=lambda e: (-len(e), e)))
 FILE_MENTION = rf"(?:[A-Za-z]:[\\/]|[\\/])?[A-Za-z0-9_@$][A-Za-z0-9_.$/\\-]{{0,200}}\.(?:{_EXTENSIONS}|d\.ts)(?![A-Za-z0-9_])"
 MEMBER = T.BEFORE_NAME + T.NAME + r"\.(" + T.NAME + ")" + T.AFTER_NAME
+MAX_QUOTED = 512  # fragments of over 160 characters are none
 CLOSES = {"“": "”", "„": "”", "‘": "’", "«": "»", '"': '"', "'": "'", "`": "`"}
+_CLOSING = frozenset(CLOSES.values())
+
+
+def _rest(line: str, at: int) -> str:
+    """What is left of a line, or enough of it to tell that it is too long to count: blanks at its start do not."""
+    begin = at
+    while begin < len(line) and line[begin].isspace():
+        begin += 1
+    return line[at : begin + MAX_QUOTED]
+
+
+def _closes(line: str) -> dict[str, list[int]]:
+    """Places of each closing mark that no odd run of backslashes stands before, in order; one pass."""
+    out: dict[str, list[int]] = {}
+    run = 0
+    for i, c in enumerate(line):
+        if c in _CLOSING and run % 2 == 0:
+            out.setdefault(c, []).append(i)
+        run = run + 1 if c == "\\" else 0
+    return out
 
 
 def scan_quotes(text: str) -> list[dict]:
     """Quoted stretches, line by line: delimiter and value.
 
     An apostrophe after a letter or digit opens nothing, a backslash keeps a quote from
-    closing, and an unclosed quote (but an apostrophe) takes the rest of the line.
+    closing, and an unclosed quote (but an apostrophe) takes the rest of the line; of
+    such a rest the first MAX_QUOTED characters are kept, which no reader of it exceeds.
+    A line is passed over once for its closing marks and once for its opening ones.
     """
     out = []
     for line in text.replace("\r\n", "\n").split("\n"):
-        at = 0
+        places, at = _closes(line), 0
         while at < len(line):
             close = CLOSES.get(line[at])
             word_before = at > 0 and line[at - 1].isascii() and line[at - 1].isalnum()
             if close is None or line[at] == "'" and word_before:
                 at += 1
                 continue
-            end = at + 1
-            while end < len(line):
-                slashes = len(line[:end]) - len(line[:end].rstrip("\\"))
-                if line[end] == close and slashes % 2 == 0:
-                    break
-                end += 1
-            if end < len(line):
-                out.append({"delimiter": line[at], "value": line[at + 1 : end]})
-                at = end + 1
+            known = places.get(close, [])
+            k = bisect.bisect_right(known, at)
+            if k < len(known):
+                out.append({"delimiter": line[at], "value": line[at + 1 : known[k]]})
+                at = known[k] + 1
             else:
                 if line[at] != "'":
-                    out.append({"delimiter": line[at], "value": line[at + 1 :]})
+                    out.append({"delimiter": line[at], "value": _rest(line, at + 1)})
                 at += 1
     return out
 
 
 def quotes(text: Column) -> Column:
     """``scan_quotes`` of each text, in Arrow batches: tasks are short and few beside files."""
-    return F.pandas_udf(lambda texts: texts.map(lambda t: scan_quotes(t or "")), "array<struct<delimiter:string,value:string>>", F.PandasUDFType.SCALAR)(text)
+
+    def scanned(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: scan_quotes(t or ""))
+
+    return F.pandas_udf(scanned, "array<struct<delimiter:string,value:string>>")(text)
 
 
 def _distinctive_fragment(c: Column) -> Column:

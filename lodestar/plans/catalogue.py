@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
-from ..operators import backtest, cochange, context, diagnostics, evaluation, exclusion, graph, grounding, impact, plan, ranking, reports, retrieval, routes
+from ..operators import backtest, baselines, cochange, context, diagnostics, evaluation, exclusion, graph, grounding, impact, plan, ranking, reports, retrieval, routes, snapshots
 from ..operators.signals import task_signals
 from ..sources import scan
 from ..sources.tables import new_path, spread, written
-from ..streaming import watch
+from ..streaming import verify, watch
 from . import fixtures as X
 from . import render
 from . import sql as S
@@ -493,6 +493,110 @@ def impact_graph_edges(spark, sf_dir):
     return impact.graph_edges(impact.graph_nodes(primary, m), m).select("src", "dst", "kind", "label").replace("n4", "n4")
 
 
+_IGNORE_SQL = f"""{S.FILES}, docs AS (SELECT doc_id, lang AS repo_id, path, source FROM files JOIN documents ON seq = doc_id),
+raw AS (SELECT repo_id, doc_id AS ord, CASE doc_id % 8 WHEN 0 THEN path WHEN 1 THEN ' /' || path WHEN 2 THEN source || '/dist/' WHEN 3 THEN 'src\\' || repo_id || '\\doc_' || doc_id || '*' WHEN 4 THEN '!src/' || repo_id || '/doc_' || (doc_id - 4) || '.ts'
+    WHEN 5 THEN 'doc_' || (doc_id * 7) || '.??' WHEN 6 THEN '/work/' || repo_id || '/' || source || '/src/**' ELSE source || '/**/doc_1' || (doc_id % 100) || '*.md' END AS pattern FROM docs),
+moved AS (SELECT repo_id, ord, CASE WHEN starts_with(pattern, '/work/' || repo_id || '/') THEN '/' || substr(pattern, length('/work/' || repo_id || '/') + 1) ELSE replace(trim(pattern), chr(92), '/') END AS pattern FROM raw),
+once AS (SELECT repo_id, pattern, min(ord) AS ord FROM moved GROUP BY ALL), parts AS (SELECT *, starts_with(pattern, '!') AS negated, ltrim(pattern, '!') AS body FROM once),
+rule AS (SELECT repo_id, ord, pattern, negated, ends_with(body, '/') AS folder, (CASE WHEN starts_with(body, '/') THEN '^' ELSE '(?:^|/)' END)
+  || replace(regexp_replace(regexp_replace(replace(replace(trim(body, '/'), '.', '\\.'), '?', '[^/]'), '\\*\\*/?', chr(1), 'g'), '\\*', '[^/]*', 'g'), chr(1), '.*')
+  || CASE WHEN ends_with(body, '/') THEN '/' ELSE '(?:/|$)' END AS regex FROM parts),
+hits AS (SELECT repo_id, path, ord, pattern, negated FROM docs JOIN rule USING (repo_id) WHERE regexp_matches(CASE WHEN folder THEN path || '/' ELSE path END, regex))"""
+
+
+def _ignore_rules(spark, sf_dir):
+    """A rule from each document for the repository of its language, and all documents' paths."""
+    docs = _files(spark, sf_dir).select("path", F.col("seq").alias("doc_id")).join(t(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("repo_id"), "source"), "doc_id")
+    k, c = F.pmod("doc_id", F.lit(8)), F.concat
+    lit, no = F.lit, lambda n: F.col("doc_id").cast("string") if n == 0 else (F.col("doc_id") + n).cast("string")
+    pattern = (
+        F.when(k == 0, F.col("path")).when(k == 1, c(lit(" /"), "path")).when(k == 2, c("source", lit("/dist/"))).when(k == 3, c(lit("src\\"), "repo_id", lit("\\doc_"), no(0), lit("*")))
+        .when(k == 4, c(lit("!src/"), "repo_id", lit("/doc_"), no(-4), lit(".ts"))).when(k == 5, c(lit("doc_"), (F.col("doc_id") * 7).cast("string"), lit(".??")))
+        .when(k == 6, c(lit("/work/"), "repo_id", lit("/"), "source", lit("/src/**"))).otherwise(c("source", lit("/**/doc_1"), F.pmod("doc_id", lit(100)).cast("string"), lit("*.md"))))
+    roots = docs.select("repo_id", c(lit("/work/"), "repo_id").alias("root")).distinct()
+    return docs.select("repo_id", "path"), written(exclusion.compiled(docs.select("repo_id", F.col("doc_id").alias("ord"), pattern.alias("pattern")), roots))
+
+
+@query(f"WITH {_IGNORE_SQL} SELECT repo_id, path, pattern FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY ord DESC) AS k FROM hits) WHERE k = 1 AND NOT negated")
+def repository_exclusions(spark, sf_dir):
+    """A rule per document against the paths of its language: the last rule that matches wins."""
+    return exclusion.excluded_by_repository(*_ignore_rules(spark, sf_dir))
+
+
+@query(f"WITH {_IGNORE_SQL} SELECT repo_id, ord, pattern FROM rule WHERE NOT negated AND (repo_id, ord) NOT IN (SELECT (repo_id, ord) FROM hits)")
+def repository_unmatched(spark, sf_dir):
+    return exclusion.unmatched_by_repository(*_ignore_rules(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- past changes, seen from their parents
+
+_ORDER_COMMITS = f"""lines AS (SELECT DISTINCT o_orderpriority AS repo_id, o_orderdate AS placed, CAST(o_orderkey AS VARCHAR) AS hash, p_name || ' ' || p_brand AS words, 'src/' || replace(p_name, ' ', '/') || '/part_' || p_partkey || '.ts' AS path,
+    CASE WHEN l_returnflag <> 'R' THEN p_type || ' ' || p_brand || ' of order ' || o_orderkey END AS text FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey LEFT JOIN part ON p_partkey = l_partkey),
+commits AS (SELECT repo_id, hash, row_number() OVER (PARTITION BY repo_id ORDER BY placed, hash) AS n, row_number() OVER (PARTITION BY repo_id ORDER BY placed DESC, hash DESC) AS k, files, message FROM
+  (SELECT repo_id, placed, hash, count(DISTINCT path) AS files, coalesce(string_agg(DISTINCT words, ', ' ORDER BY words), '') AS message FROM lines GROUP BY ALL)),
+w AS (SELECT repo_id, n, hash, path, max(text) AS text FROM lines JOIN commits USING (repo_id, hash) WHERE path IS NOT NULL GROUP BY ALL),
+v AS (SELECT * FROM (SELECT repo_id, path, n AS since, lead(n) OVER (PARTITION BY repo_id, path ORDER BY n) AS until, text FROM w) WHERE text IS NOT NULL),
+near AS (SELECT * FROM commits WHERE k <= {5 * snapshots.LAST} AND n > 1),
+there AS (SELECT near.repo_id, near.hash AS task_id, near.n, near.message, w.path, NOT {S.is_backup('w.path')} AS target FROM near JOIN w USING (repo_id, hash) JOIN v ON v.repo_id = near.repo_id AND v.path = w.path AND since < near.n AND (until IS NULL OR until >= near.n)),
+{S.retrieval_tokens('near', 'hash', 'message', 'q')},
+terms AS (SELECT DISTINCT hash AS task_id, token FROM q WHERE token NOT IN {_STOP}),
+state AS (SELECT *, count(CASE WHEN reason IS NULL THEN 1 END) OVER (PARTITION BY repo_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM
+  (SELECT repo_id, hash AS task_id, n, k, CASE WHEN files = 0 THEN 'empty' WHEN files > 30 THEN 'too-many-files' WHEN (SELECT count(*) FROM terms WHERE terms.task_id = hash) < 2 THEN 'too-few-terms' WHEN hash NOT IN (SELECT task_id FROM there WHERE target) THEN 'no-target' END AS reason FROM near)),
+met AS (SELECT * FROM state WHERE coalesce(before, 0) < {snapshots.LAST}), chosen AS (SELECT repo_id, task_id, n FROM met WHERE reason IS NULL)"""
+
+
+def _order_commits(spark, sf_dir):
+    """Orders by date as the commits of their priority's repository, parts as files that each order writes anew; a return deletes one."""
+    part = t(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_name", "p_brand").alias("words"), F.concat_ws(" ", "p_type", "p_brand").alias("kind"),
+        F.concat(F.lit("src/"), F.replace("p_name", F.lit(" "), F.lit("/")), F.lit("/part_"), F.col("p_partkey").cast("string"), F.lit(".ts")).alias("path"))
+    orders = t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("repo_id"), F.col("o_orderdate").alias("committed_at"), F.col("o_orderkey").cast("string").alias("hash"))
+    lines = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", (F.col("l_returnflag") == "R").alias("gone")).join(part, "l_partkey")
+    lines = lines.select("o_orderkey", "path", "words", F.when(~F.col("gone"), F.concat_ws(" ", "kind", F.lit("of order"), F.col("o_orderkey").cast("string"))).alias("text"))
+    each = orders.join(lines, "o_orderkey", "left").groupBy("repo_id", "committed_at", "hash").agg(F.array_sort(F.collect_set("path")).alias("files"), F.array_join(F.array_sort(F.collect_set("words")), ", ").alias("message"))
+    commits = written(snapshots.numbered(each))
+    writes = commits.select("repo_id", "n", F.col("hash").cast("bigint").alias("o_orderkey")).join(lines, "o_orderkey").select("repo_id", "n", "path", "text")
+    return commits, written(snapshots.versions(writes))
+
+
+@query(f"WITH {_ORDER_COMMITS} SELECT repo_id, reason, count(*) AS n FROM met WHERE reason IS NOT NULL GROUP BY ALL")
+def snapshot_skips(spark, sf_dir):
+    return snapshots.cases(*_order_commits(spark, sf_dir))[1]
+
+
+@query(f"WITH {_ORDER_COMMITS} SELECT repo_id, task_id, n, path, target FROM there SEMI JOIN chosen USING (repo_id, task_id)")
+def snapshot_cases(spark, sf_dir):
+    """The newest orders whose parts stood before them, with what is to be found."""
+    return snapshots.cases(*_order_commits(spark, sf_dir))[0].drop("issue_text")
+
+
+@query(f"""WITH {_ORDER_COMMITS},
+vd AS (SELECT row_number() OVER () AS vid, repo_id, path, since, until, path || chr(10) || text AS text FROM v),
+{S.retrieval_tokens('vd', 'vid', 'text', 'd')},
+tf AS (SELECT vid, token, count(*) AS tf FROM d GROUP BY ALL), lens AS (SELECT vid, count(d.token) AS len FROM vd LEFT JOIN d USING (vid) GROUP BY vid),
+alive AS (SELECT c.repo_id, c.task_id, vid, path, len FROM chosen c JOIN vd ON vd.repo_id = c.repo_id AND since < c.n AND (until IS NULL OR until >= c.n) JOIN lens USING (vid)),
+corpora AS (SELECT task_id, count(*) AS nf, CASE WHEN sum(len) > 0 THEN avg(len) ELSE 1 END AS mean FROM alive GROUP BY task_id),
+h AS (SELECT repo_id, a.task_id, path, tf.token, tf, len FROM alive a JOIN tf USING (vid) JOIN terms t ON t.task_id = a.task_id AND t.token = tf.token),
+df AS (SELECT task_id, token, count(*) AS df FROM h GROUP BY ALL),
+s AS (SELECT repo_id, h.task_id, path, round(sum(ln(1 + (nf - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM h JOIN df USING (task_id, token) JOIN corpora USING (task_id) GROUP BY ALL)
+SELECT * FROM (SELECT repo_id, task_id, CAST(row_number() OVER (PARTITION BY task_id ORDER BY score DESC, path COLLATE en_us, path) AS INTEGER) AS rank, path, score FROM s WHERE score > 0) WHERE rank <= 5""")
+def snapshot_bm25(spark, sf_dir):
+    """BM25 of every case over the versions that stood before it, all cases in one job."""
+    commits, kept = _order_commits(spark, sf_dir)
+    rows = snapshots.cases(commits, kept)[0]
+    return snapshots.bm25_as_of(kept, written(rows.select("repo_id", "task_id", "n", "issue_text").distinct()))
+
+
+def _snapshot_fixture(spark):
+    return spark.createDataFrame(X.SNAPSHOT_COMMITS, "repo_id string, n int, hash string, message string, files array<string>"), spark.createDataFrame(X.SNAPSHOT_WRITES, "repo_id string, n int, path string, text string")
+
+
+@query("SELECT * FROM (VALUES ('h3', 'bm25', 'src/auth/reset.ts', true), ('h3', 'bm25', 'src/session.ts', true), ('h3', 'bm25', 'dist/auth/reset.js', false), ('h3', 'rank', 'src/auth/reset.ts', true), ('h3', 'rank', 'src/session.ts', true), ('h3', 'impact', 'src/auth/reset.ts', true), ('h3', 'impact', 'src/session.ts', true), ('h3', 'impact', 'test/auth/reset.test.ts', false)) AS v(task_id, arm, path, hit)")
+def snapshot_arms(spark, sf_dir):
+    """Three arms at a parent: a later file that fits better is not there, nor is one deleted before; expected values by hand."""
+    return snapshots.arms_at_parents(*_snapshot_fixture(spark), last=1)["tops"].select("task_id", "arm", "path", "hit")
+
+
 # ---------------------------------------------------------------- routes, languages, risks
 
 @query("SELECT * FROM (VALUES ('auth', 'node', 'package.json'), ('shop', 'node', 'packages/cart/package.json and 75% of source files'), ('svc', 'go', 'go.mod')) AS v(repo_id, language, evidence)")
@@ -718,6 +822,54 @@ def mcnemar(spark, sf_dir):
     return evaluation.mcnemar(spark.createDataFrame(_PAIRS, "cohort string, a boolean, b boolean"), "a", "b", ["cohort"])
 
 
+_POLICY_SQL = f"""{S.FILES}, kinds AS (SELECT seq, path, {S.is_source('path')} AND NOT {S.is_test('path')} AS src, {S.kind('path')} = 'code' AS code FROM files),
+named AS (SELECT seq AS doc_id, path, unnest(list_filter(['raw', CASE WHEN src THEN 'source' END, CASE WHEN src AND code THEN 'code' END], lambda p: p IS NOT NULL)) AS policy FROM kinds),
+tasks AS (SELECT item_id AS task_id, text AS issue_text FROM benchmark), full_text AS (SELECT seq AS doc_id, path || chr(10) || text AS text FROM files),
+{S.retrieval_tokens('tasks', 'task_id', 'issue_text', 'q')}, terms AS (SELECT DISTINCT task_id, token FROM q WHERE token NOT IN {_STOP}), words AS (SELECT DISTINCT token FROM terms),
+{S.retrieval_tokens('full_text', 'doc_id', 'text', 'd')}, lens AS (SELECT x.doc_id, count(d.token) AS len FROM full_text x LEFT JOIN d USING (doc_id) GROUP BY x.doc_id),
+corpora AS (SELECT policy, count(*) AS n, avg(len) AS mean FROM named JOIN lens USING (doc_id) GROUP BY policy),
+tf AS (SELECT doc_id, token, count(*) AS tf FROM d WHERE token IN (SELECT token FROM words) GROUP BY ALL), df AS (SELECT policy, token, count(*) AS df FROM tf JOIN named USING (doc_id) GROUP BY ALL),
+scored AS (SELECT 'bm25' AS arm, policy, task_id, path, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS a, 0 AS b
+  FROM tf JOIN named USING (doc_id) JOIN df USING (policy, token) JOIN lens USING (doc_id) JOIN terms USING (token) JOIN corpora USING (policy) GROUP BY ALL HAVING a > 0),
+lit AS (SELECT doc_id, token, (length(lower(text)) - length(replace(lower(text), token, ''))) // length(token) AS n FROM full_text JOIN words ON contains(lower(text), token)),
+lits AS (SELECT 'lexical-literal' AS arm, policy, task_id, path, doc_id, count(*) AS a, sum(n) AS b FROM lit JOIN terms USING (token) JOIN named USING (doc_id) GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY arm, policy, task_id ORDER BY a DESC, b DESC, path COLLATE en_us, path) AS rank FROM (SELECT * FROM scored UNION ALL SELECT * FROM lits)),
+expected AS (SELECT item_id AS task_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+first AS (SELECT arm, policy, task_id, min(rank) AS first FROM top JOIN expected USING (task_id, doc_id) WHERE rank <= 5 GROUP BY ALL),
+cases AS (SELECT arm, policy, task_id, coalesce(first, 99) AS first FROM (SELECT DISTINCT task_id FROM expected) CROSS JOIN (SELECT unnest(['path-extraction', 'lexical-literal', 'bm25']) AS arm) CROSS JOIN (SELECT unnest(['raw', 'source', 'code']) AS policy) LEFT JOIN first USING (arm, policy, task_id)),
+sums AS (SELECT arm, policy, k, CAST(sum((first <= k)::INT) AS BIGINT) AS hits, count(*) AS n FROM cases, (SELECT unnest([1, 3, 5]) AS k) GROUP BY ALL)"""
+
+
+def _policy_rates(spark, sf_dir):
+    files = written(_files(spark, sf_dir).drop("repo_id"))
+    bench = _bench(spark, sf_dir)
+    expected = retrieval.holding(_docs(spark, sf_dir), bench).join(files.select(F.col("seq").alias("doc_id"), "path"), "doc_id").select("task_id", "path")
+    return baselines.rates(baselines.arms(files, bench), written(expected))
+
+
+@query(f"WITH {_POLICY_SQL} SELECT arm, policy, k, hits, n, round(hits / n, 3) AS rate, {_LOW} AS low, {_HIGH} AS high FROM sums")
+def policy_arms(spark, sf_dir):
+    """Three plain searches under three policies of what is searched: documents as files, benchmark passages as tasks."""
+    return _policy_rates(spark, sf_dir)
+
+
+@query(f"""WITH {_POLICY_SQL}, w AS (SELECT arm, policy, max(CASE WHEN k = 1 THEN round(hits / n, 3) END) AS top1, max(CASE WHEN k = 3 THEN round(hits / n, 3) END) AS top3, max(CASE WHEN k = 5 THEN round(hits / n, 3) END) AS top5 FROM sums GROUP BY ALL)
+SELECT arm, policy, top1, top3, top5 FROM w QUALIFY row_number() OVER (PARTITION BY arm ORDER BY top1 DESC, top3 DESC, top5 DESC, list_position(['raw', 'source', 'code'], policy)) = 1""")
+def policy_headline(spark, sf_dir):
+    """Each search under the policy that serves it best."""
+    return baselines.headline(_policy_rates(spark, sf_dir))
+
+
+@query("""WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '[^\\p{L}\\p{N}_]+')) AS word FROM documents UNION SELECT DISTINCT source || '/' || lang FROM documents)
+SELECT word, row_number() OVER (ORDER BY word COLLATE en_us, word) AS place FROM w WHERE word <> '' AND length(word) <= 40""")
+def reader_order(spark, sf_dir):
+    """All words of the documents in the order of every tie: case and accents count after letters."""
+    d = t(spark, sf_dir, "documents")
+    words = d.select(F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}_]+"))).alias("word")).union(d.select(F.concat_ws("/", "source", "lang"))).distinct()
+    kept = words.where((F.col("word") != "") & (F.length("word") <= 40)).orderBy(*T.in_order("word"))
+    return evaluation.numbered(kept, "place")
+
+
 _POLICIES = [("s", "raw", 0.5, 0.7, 0.8), ("s", "source", 0.5, 0.8, 0.8), ("s", "code", 0.5, 0.8, 0.8), ("h", "code", 0.2, 0.2, 0.2), ("h", "raw", 0.1, 0.9, 0.9)]
 
 
@@ -821,6 +973,47 @@ def watch_updates_batch(spark, sf_dir):
     return watch.updates_of_batch(feed).select("repo_id", "sequence", "seq")
 
 
+_WATCH_SQL = """f AS (SELECT user_id, ts, event_id, event_type, event_type || chr(0) || coalesce(props, '') AS fp FROM events), l AS (SELECT *, lag(fp) OVER w AS before, row_number() OVER w AS k FROM f WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+u AS (SELECT CAST(user_id AS VARCHAR) AS repo_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence, event_id AS seq, 'src/' || event_type || '.ts' AS path FROM l WHERE k = 1 OR fp IS DISTINCT FROM before)"""
+
+
+def _watch(spark, sf_dir, tables: bool):
+    """The event table as a stream: a user is a repository, an event the state it is in and the file that it has changed."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(_stream_path(sf_dir))
+    path = lambda c: F.concat(F.lit("src/"), c, F.lit(".ts"))
+    feed = stream.select(F.col("user_id").cast("string").alias("repo_id"), F.col("ts").cast("timestamp").alias("observed_at"), F.col("event_id").alias("seq"), watch.fingerprint("event_type", "props").alias("fingerprint"), F.array(path("event_type")).alias("changed"))
+    run = new_path(spark, "watch")
+    known = None
+    if tables:
+        e = t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("repo_id"), "event_type").distinct()
+        plans = e.select(F.col("repo_id").alias("plan_id"), "repo_id").distinct()
+        files = e.select("repo_id", path("event_type").alias("path"), F.lit(False).alias("is_test"), F.lit(True).alias("is_source"), F.lit("code").alias("kind"))
+        lead = e.groupBy("repo_id").agg(F.min("event_type").alias("event_type")).select(F.col("repo_id").alias("plan_id"), path("event_type").alias("path"), F.lit(1).alias("rank"), F.lit("high").alias("confidence"))
+        areas = routes.risk_rules(spark).select("area").distinct()
+        nothing = spark.createDataFrame([], "plan_id string, path string")
+        known = {
+            "plans": written(plans), "planned": written(lead), "files": written(files), "tracked": files.select("repo_id", "path").limit(0), "routes": nothing,
+            "impact": spark.createDataFrame([], "plan_id string, rank int, path string, confidence string"), "risks": written(plans.select("plan_id").crossJoin(F.broadcast(areas)))}
+    verify.run_available(feed, known, f"{run}/out", f"{run}/state")
+    return f"{run}/out"
+
+
+@query(f"WITH {_WATCH_SQL} SELECT repo_id, sequence, seq, 'update' AS kind, path FROM u")
+def watch_keyed(spark, sf_dir):
+    """Updates from keyed streaming state; the rows of ``watch_updates``."""
+    return verify.read_updates(spark, _watch(spark, sf_dir, False)).select("repo_id", "sequence", "seq", "kind", F.col("changed")[0].alias("path"))
+
+
+@query(f"""WITH {_WATCH_SQL}, lead AS (SELECT CAST(user_id AS VARCHAR) AS repo_id, 'src/' || min(event_type) || '.ts' AS lead FROM events GROUP BY user_id), j AS (SELECT * FROM u JOIN lead USING (repo_id))
+SELECT repo_id, sequence, 'unmapped-change' AS code, 'warning' AS severity, path FROM j WHERE path <> lead UNION ALL SELECT repo_id, sequence, 'leading-file-untouched', 'warning', lead FROM j WHERE path <> lead
+UNION ALL SELECT repo_id, sequence, 'no-test-changed', 'warning', path FROM j""")
+def watch_verified(spark, sf_dir):
+    """Each update against the plan of its repository, read back from lines of JSON."""
+    x = verify.read_lines(spark, _watch(spark, sf_dir, True))
+    return x.select("repo_id", "sequence", F.explode("findings").alias("f")).select("repo_id", "sequence", "f.code", "f.severity", F.col("f.paths")[0].alias("path"))
+
+
 # ---------------------------------------------------------------- back-tests and texts
 
 _TIERS = [("see src/a/b.ts now", "src/a/b.ts", "full-path"), ("see a/b.ts now", "src/a/b.ts", "path-suffix"), ("see b.ts now", "src/a/b.ts", "basename"), ("see xb.ts now", "src/a/b.ts", "none"), ("lib/src/a/b.ts", "src/a/b.ts", "none"), ("https://github.com/o/r/blob/main/src/a/b.ts#L1", "src/a/b.ts", "full-path"), ("SRC/A/B.ts", "src/a/b.ts", "none")]

@@ -84,3 +84,21 @@ def commits(spark: SparkSession) -> DataFrame:
 
 def code_sql() -> str:
     return sql_values([(r, i, p, t) for i, (r, p, t) in enumerate(CODE)], "repo_id, seq, path, text")
+
+
+#: A history in which a fourth commit, which comes after the case, adds the file that fits its task best.
+SNAPSHOT_COMMITS = [
+    ("auth", 1, "h1", "initial authentication implementation", ["src/auth/reset.ts", "dist/auth/reset.js", "src/session.ts", "src/password/reset_expiration.ts", "test/auth/reset.test.ts"]),
+    ("auth", 2, "h2", "fix password reset session expiration", ["src/auth/reset.ts", "dist/auth/reset.js", "src/session.ts", "src/password/reset_expiration.ts", "test/auth/reset.test.ts"]),
+    ("auth", 3, "h3", "correct password reset expiration behavior", ["src/auth/reset.ts", "dist/auth/reset.js", "src/session.ts", "test/auth/reset.test.ts"]),
+    ("auth", 4, "h4", "x", ["src/password/expiration.ts"]),
+]
+SNAPSHOT_WRITES = [
+    *[("auth", n, p, text) for n, limit in ((1, 10), (2, 20), (3, 30)) for p, text in (
+        ("src/auth/reset.ts", f"import {{ sessionExpiry }} from '../session';\nexport const resetPassword = () => sessionExpiry + {limit};"),
+        ("dist/auth/reset.js", f"export const resetPassword = () => {limit};"),
+        ("src/session.ts", f"// password expiration\nexport const sessionExpiry = {limit};"),
+        ("test/auth/reset.test.ts", f"import '../../src/auth/reset';\ntest('expiry', () => {limit});"))],
+    ("auth", 1, "src/password/reset_expiration.ts", "password reset expiration behavior"), ("auth", 2, "src/password/reset_expiration.ts", None),
+    ("auth", 4, "src/password/expiration.ts", "correct password reset expiration behavior"),
+]
