@@ -344,6 +344,90 @@ def score_features(spark, sf_dir):
     return scored.select("path", "f4", "f5", "f13", (F.col("f4") + F.col("f5") + F.col("f13")).alias("points"))
 
 
+# Tasks of a passage, a path, a name, a member and a quoted line; files of a document, its path, an import and a definition.
+_RANK_SQL = f"""{S.FILES}, size AS (SELECT count(*) AS n FROM files), aim AS (SELECT f.seq, f.path, f.text, 10 * ((f.seq * 7 + 3) % (n // 10)) + f.seq % 5 AS to_seq FROM files f, size),
+code AS (SELECT a.seq, a.path, t.path AS dst, a.text || chr(10) || '// ' || a.path || chr(10) || 'import {{ x }} from ' || chr(39) || '../../../' || coalesce(regexp_replace(t.path, '\\.ts$', ''), '') || chr(39) || chr(10) || 'export function openDoc' || a.seq || '() {{ return shared.member' || (a.seq % 50) || '; }}' AS text FROM aim a LEFT JOIN files t ON t.seq = a.to_seq),
+asked AS (SELECT item_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS plain, 10 * ((item_id * 37) % (n // 10)) + item_id % 6 AS k FROM benchmark, size),
+tasks AS (SELECT CAST(item_id AS VARCHAR) AS task_id, k, path AS named, plain || chr(10) || 'Fix openDoc' || k || ' in ' || path || ' where "return shared.member' || (k % 50) || ';" fails.' AS issue_text FROM asked JOIN files ON seq = k),
+{S.tokens('tasks', 'task_id', 'issue_text', 'q')}, wanted AS (SELECT DISTINCT token FROM q),
+cand AS (SELECT seq, path, text, regexp_replace(path, '/[^/]*$', '') AS folder, {S.kind('path')} AS kind, seq % 97 = 5 AS changed, length(text) >= 2000 AND length(text) / (length(text) - length(replace(text, chr(10), '')) + 1) >= 400 AS bundled FROM code WHERE {S.is_source('path')} AND NOT {S.is_test('path')}),
+{S.tokens('cand', 'seq', 'path', 'pt')}, bares AS (SELECT seq, regexp_replace({S.name_of('path')}, '\\.[^.]+$', '') AS bare FROM cand), {S.tokens('bares', 'seq', 'bare', 'nt')}, {S.tokens('cand', 'seq', 'text', 'ct')},
+common AS (SELECT token FROM ct WHERE token IN (SELECT token FROM wanted) GROUP BY token HAVING count(*) >= ceil((SELECT count(*) FROM cand) * 0.85)),
+p AS (SELECT task_id, seq, count(*) AS k FROM pt JOIN q USING (token) GROUP BY ALL), nn AS (SELECT seq, count(*) AS k FROM nt GROUP BY seq), nh AS (SELECT task_id, seq, count(*) AS k FROM nt JOIN q USING (token) GROUP BY ALL),
+c AS (SELECT task_id, seq, count(*) AS k FROM ct JOIN q USING (token) WHERE token NOT IN (SELECT token FROM common) GROUP BY ALL),
+edited AS (SELECT path FROM files WHERE seq % 97 = 5), near AS (SELECT DISTINCT seq FROM cand JOIN edited e ON starts_with(e.path, folder || '/') AND e.path <> cand.path),
+x AS (SELECT t.task_id, d.seq, d.path, d.changed, d.seq = t.k AS mine, d.seq % 50 = t.k % 50 AS member, d.kind, d.bundled, d.seq IN (SELECT seq FROM near) AS beside, coalesce(p.k, 0) AS ph, coalesce(nn.k, 0) AS ns, coalesce(nh.k, 0) AS nhits, coalesce(c.k, 0) AS ch
+  FROM tasks t CROSS JOIN cand d LEFT JOIN p ON p.task_id = t.task_id AND p.seq = d.seq LEFT JOIN nn ON nn.seq = d.seq LEFT JOIN nh ON nh.task_id = t.task_id AND nh.seq = d.seq LEFT JOIN c ON c.task_id = t.task_id AND c.seq = d.seq),
+f AS (SELECT *, changed OR mine AS direct, CASE WHEN changed THEN 20 ELSE 0 END AS f1, CASE WHEN mine THEN 60 ELSE 0 END AS f2, ph * 3 + CASE WHEN ph >= 2 THEN 4 ELSE 0 END + CASE WHEN ph >= 2 AND ns = 1 AND nhits = 1 THEN 5 ELSE 0 END AS f4, least(ch, 8) * 2 AS f5,
+  CASE WHEN member THEN 8 ELSE 0 END AS f7, CASE WHEN member THEN 8 ELSE 0 END AS f8, CASE WHEN mine THEN 28 ELSE 0 END AS f9, CASE WHEN mine THEN 8 ELSE 0 END AS f11, CASE WHEN beside THEN 2 ELSE 0 END AS f12,
+  CASE WHEN kind = 'code' THEN 2 WHEN kind = 'documentation' AND NOT changed THEN -14 WHEN kind = 'config' AND NOT changed THEN -4 ELSE 0 END AS f13, CASE WHEN bundled AND NOT changed AND NOT mine THEN -16 ELSE 0 END AS f19 FROM x),
+b AS (SELECT *, f1 + f2 + f4 + f5 + f7 + f8 + f9 + f11 + f12 + f13 + f19 AS base FROM f),
+strong AS (SELECT task_id, path, base, row_number() OVER (PARTITION BY task_id ORDER BY base DESC, path COLLATE en_us, path) AS ord FROM b WHERE base >= 8 AND direct), seeds AS (SELECT * FROM strong WHERE ord <= 5),
+js AS (SELECT seq, path, dst FROM (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM code WHERE {S.extension('path')} = '.ts') WHERE n <= 5000 AND dst IS NOT NULL AND dst <> path),
+hops AS (SELECT path AS near_path, dst AS path, 0 AS d FROM js UNION ALL SELECT dst, path, 1 FROM js),
+one AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ord, d, path COLLATE en_us, path) AS reached FROM (SELECT s.task_id, h.path, s.ord, s.base AS seed, h.d FROM hops h JOIN seeds s ON s.path = h.near_path WHERE (s.task_id, h.path) NOT IN (SELECT (task_id, path) FROM seeds) QUALIFY row_number() OVER (PARTITION BY s.task_id, h.path ORDER BY s.ord, h.d) = 1)),
+two AS (SELECT o.task_id, h.path, o.seed FROM hops h JOIN one o ON o.path = h.near_path WHERE (o.task_id, h.path) NOT IN (SELECT (task_id, path) FROM seeds) AND (o.task_id, h.path) NOT IN (SELECT (task_id, path) FROM one) QUALIFY row_number() OVER (PARTITION BY o.task_id, h.path ORDER BY reached, h.d) = 1),
+boost AS (SELECT task_id, path, seed, 4 AS most FROM one UNION ALL SELECT task_id, path, seed, 2 FROM two),
+scored AS (SELECT b.*, coalesce(least(most, greatest(0, seed - base - 1)), 0) AS f21 FROM b LEFT JOIN boost USING (task_id, path)),
+r AS (SELECT *, base + f21 AS score, row_number() OVER (PARTITION BY task_id ORDER BY base + f21 DESC, path COLLATE en_us, path) AS rank FROM scored WHERE base + f21 >= 4)"""
+
+
+def _document_tasks(spark, sf_dir):
+    """``(files, tasks, changed)``: documents as files with an import and a definition, a task for each benchmark passage that names a path, a name, a member and a line."""
+    n = t(spark, sf_dir, "documents").count()
+    files = _files(spark, sf_dir)
+    digits, lit = (lambda c: c.cast("string")), F.lit
+    aim = (10 * F.pmod(F.col("seq") * 7 + 3, lit(n // 10)) + F.pmod("seq", lit(5))).alias("to_seq")
+    to = files.select(F.col("seq").alias("to_seq"), T.rx(F.col("path"), r"\.ts$").alias("to"))
+    line = F.concat(lit("export function openDoc"), digits(F.col("seq")), lit("() { return shared.member"), digits(F.pmod("seq", lit(50))), lit("; }"))
+    text = F.concat("text", lit("\n// "), "path", lit("\nimport { x } from '../../../"), F.coalesce("to", lit("")), lit("'\n"), line)
+    files = written(files.select("*", aim).join(to, "to_seq", "left").withColumn("text", text).drop("to_seq", "to"))
+    b = t(spark, sf_dir, "benchmark").select("item_id", T.rx(F.col("text"), r"[^\x00-\x7F]").alias("plain"), (10 * F.pmod(F.col("item_id") * 37, lit(n // 10)) + F.pmod("item_id", lit(6))).alias("seq"))
+    b = b.join(files.select("seq", "path"), "seq")
+    issue = F.concat("plain", lit("\nFix openDoc"), digits(F.col("seq")), lit(" in "), "path", lit(' where "return shared.member'), digits(F.pmod("seq", lit(50))), lit(';" fails.'))
+    tasks = b.select(lit("docs").alias("repo_id"), digits(F.col("item_id")).alias("task_id"), issue.alias("issue_text"), lit(None).cast("string").alias("diff_text"))
+    return files, written(tasks), files.where(F.pmod("seq", lit(97)) == 5).select("repo_id", "path")
+
+
+_FEATURES = [f"f{k}" for k in range(1, 22)]
+_SEEN = "f1 f2 f4 f5 f7 f8 f9 f11 f12 f13 f19 f21".split()  # the others are zero here
+
+
+@query(f"""WITH {_RANK_SQL} SELECT task_id, CAST(rank AS INTEGER) AS rank, path, CAST(score AS INTEGER) AS score, {', '.join(f"CAST({c if c in _SEEN else 0} AS INTEGER) AS {c}" for c in _FEATURES)} FROM r WHERE rank <= 8""")
+def rank_documents(spark, sf_dir):
+    """The whole ranking over documents as files, a task for each benchmark passage: ranks, scores and every feature."""
+    return ranking.rank(*_document_tasks(spark, sf_dir)).select("task_id", "rank", "path", "score", *_FEATURES)
+
+
+@query(f"""WITH {_RANK_SQL} SELECT task_id, CAST(max(score) FILTER (rank = 1) AS INTEGER) AS top_score, CAST(max(score) FILTER (rank = 2) AS INTEGER) AS runner_up, CAST(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2) AS INTEGER) AS top_gap,
+coalesce(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 3) <= 2, false) AS clustered, 'high' AS confidence, 'anchored' AS specificity FROM r GROUP BY task_id""")
+def rank_documents_shape(spark, sf_dir):
+    """Shape, confidence of the leader and specificity of the same ranking."""
+    r = ranking.rank(*_document_tasks(spark, sf_dir))
+    return r.where("rank = 1").select("task_id", "top_score", "runner_up", "top_gap", "clustered", "confidence", "specificity")
+
+
+@query(f"WITH {_RANK_SQL} SELECT path AS src, dst FROM js")
+def document_edges(spark, sf_dir):
+    """Imports of the same files, with the limit of files that are read."""
+    return graph.import_edges(_document_tasks(spark, sf_dir)[0])[0].select("src", "dst")
+
+
+@query(f"WITH {_RANK_SQL} SELECT path AS src, dst FROM js")
+def document_edges_by_alias(spark, sf_dir):
+    """The same imports, each by an alias of the folder that it leads to: one alias for each source and language."""
+    files = _document_tasks(spark, sf_dir)[0]
+    lit = F.lit
+    folders = files.select(P.folder(F.col("path")).alias("folder")).distinct()  # a few for each source
+    named = F.concat(lit('"@'), F.translate("folder", "/", "_"), lit('/*": ["'), "folder", lit('/*", "nowhere/*"]'))
+    config = folders.agg(F.concat(lit('{"compilerOptions": {"baseUrl": ".", "paths": {'), F.array_join(F.array_sort(F.collect_list(named)), ", "), lit("}}}")).alias("text"))
+    to = F.regexp_extract("text", r"from '\.\./\.\./\.\./([^']*)'", 1)
+    alias = F.concat(lit("import { x } from '@"), F.translate(F.substring_index(to, "/", 3), "/", "_"), lit("/"), F.substring_index(to, "/", -1), lit("'"))
+    files = files.withColumn("text", F.when(to != "", alias).otherwise("nothing"))
+    settings = config.select(lit("docs").alias("repo_id"), lit(-1).cast("bigint").alias("seq"), lit("tsconfig.json").alias("path"), "text")
+    return graph.import_edges(files.select("repo_id", "seq", "path", "text").union(settings))[0].select("src", "dst")
+
+
 @query()
 def rank_topk(spark, sf_dir):
     """Files of every fixture task, with features, confidence and reasons."""
@@ -757,6 +841,21 @@ def context_pack(spark, sf_dir):
     return context.pack(cands, files, task_signals(tasks), tasks.select("plan_id", "repo_id", F.lit(1000).alias("budget")))
 
 
+@query("""WITH RECURSIVE d AS (SELECT CAST(doc_id AS VARCHAR) AS repo_id, text FROM documents), parts AS (SELECT repo_id, unnest(string_split_regex(text, '\\r?\\n')) AS line, unnest(range(1, len(string_split_regex(text, '\\r?\\n')) + 1)) AS pos, length(text) * 2 + 2 * len(string_split_regex(text, '\\n')) + length('diff --git a/one b/one') + length('+++ b/one') + length('diff --git a/two b/two') + 4 AS size FROM d),
+l AS (SELECT repo_id, size, '+' || line AS line, row_number() OVER (PARTITION BY repo_id ORDER BY pos, file) AS n FROM parts CROSS JOIN (SELECT unnest([1, 2]) AS file) WHERE size > 3000 AND NOT starts_with('+' || line, '+++')),
+f AS (SELECT DISTINCT repo_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS used, false AS ok, '' AS line FROM l
+  UNION ALL SELECT f.repo_id, l.n, CASE WHEN used + length(l.line) + (used > 0)::INT <= 3000 THEN used + length(l.line) + (used > 0)::INT ELSE used END, used + length(l.line) + (used > 0)::INT <= 3000, l.line FROM f JOIN l ON l.repo_id = f.repo_id AND l.n = f.n + 1),
+t AS (SELECT repo_id, count(*) AS total FROM l GROUP BY repo_id)
+SELECT repo_id, CAST(count(*) FILTER (ok) AS INTEGER) AS lines, CAST(any_value(total) AS INTEGER) AS total_lines, md5(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (ok), '')) AS text_md5 FROM f JOIN t USING (repo_id) GROUP BY repo_id
+UNION ALL SELECT DISTINCT repo_id, NULL, NULL, NULL FROM parts WHERE size <= 3000""")
+def document_diffs(spark, sf_dir):
+    """Each document twice as the added lines of a diff, cut to 3,000 characters where it is longer."""
+    added = F.concat(F.lit("+"), F.replace("text", F.lit("\n"), F.lit("\n+")))
+    diff = F.concat(F.lit("diff --git a/one b/one\n+++ b/one\n"), added, F.lit("\ndiff --git a/two b/two\n"), added)
+    out = context.sample_diff(_docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("repo_id"), diff.alias("diff_text")), 3000)
+    return out.select("repo_id", "lines", "total_lines", F.when(F.col("lines").isNotNull(), F.md5("text")).alias("text_md5"))
+
+
 # ---------------------------------------------------------------- evaluation
 
 def _cases(spark, sf_dir):

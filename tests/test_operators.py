@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
-from lodestar.operators import cochange, context, exclusion, grounding, ranking, retrieval
+from lodestar.operators import cochange, exclusion, grounding, ranking, retrieval
 from lodestar.operators.signals import scan_quotes
 from lodestar.plans import fixtures as X
 from lodestar.sources import scan
@@ -29,28 +29,6 @@ def test_rank_explains_itself(spark):
     assert by["t5"][0].path == "packages/price/src/index.ts"
 
 
-def test_context_range_fits():
-    text = "\n".join(f"line {i} about nothing" for i in range(200))
-    text = text.replace("line 120 about nothing", "function openSession() {")
-    a, b, content = context.select_range(text, ["session"], ["openSession"], 60)
-    assert a <= 121 <= b and "openSession" in content and context.tokens_of(content) <= 60
-    assert context.select_range("short", [], [], 60) == (1, 1, "short")
-    assert context.select_range("x" * 1000, [], [], 48)[2] == "x" * 192
-
-
-def test_context_pack_keeps_budget(spark):
-    from lodestar.plans import catalogue
-
-    rows = catalogue.QUERIES["context_pack"](spark, SF).collect()
-    spent = {}
-    for r in rows:
-        assert (r.omitted is None) == (r.content is not None)
-        if r.content is not None:
-            assert r.estimated_tokens == context.tokens_of(r.content) and r.start_line <= r.end_line
-            spent[r.plan_id] = spent.get(r.plan_id, 0) + r.estimated_tokens
-    assert rows and max(spent.values()) <= 1000
-
-
 def test_quotes():
     assert [q["value"] for q in scan_quotes("it's 'a b' and `c`")] == ["a b", "c"]
     assert [q["value"] for q in scan_quotes('open "rest')] == ["rest"]
