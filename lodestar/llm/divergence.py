@@ -1,17 +1,18 @@
 """How the sources of a language differ in their words, exactly, with a sketch in front.
 
-A first pass counts in how many documents each term may stand, in a count-min sketch:
-every partition fills one, and sketches add up.  No count in it is under the true one, so
-a term whose least counter is under the bar is in too few documents, and its occurrences
-are never shuffled.  A second pass counts what is left exactly.  Sources are compared by
-joins of the terms they hold; terms that a source lacks all have one probability there, so
-they enter as a product and not as rows.
+Documents are read once: each task counts the terms of its own, and writes what it has
+counted.  A count-min sketch over these rows tells in how many documents each term may
+stand: every partition fills one, and sketches add up.  No count in it is under the true
+one, so a term whose least counter is under the bar is in too few documents, and its rows
+are never shuffled.  What is left is summed exactly.  Sources are compared by joins of
+the terms they hold; terms that a source lacks all have one probability there, so they
+enter as a product and not as rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,8 @@ LEAST_DOCS = 30
 ROWS, WIDTH_BITS = 4, 20  # of the sketch: 4 MB, whatever the input
 BLOCKS = 16  # parts of a sketch that are merged apart
 FAN_IN = 32  # sketches that one task adds up
-FLUSH = 200_000  # distinct terms that a task holds before it passes on what it has counted
+FLUSH = 300_000  # distinct terms that a task holds before it passes on what it has counted
+LOOK = 64  # documents between looks at how many it holds
 SMOOTH, UNIT = 5, 1_000_000_000
 TOP_TERMS = 50
 
@@ -40,54 +42,57 @@ def terms(text: str) -> list[str]:
     return TERM.findall(text.translate(LOW) if not text.isascii() else text.lower())
 
 
-def cells(lang: str, term: str, rows: int = ROWS, width_bits: int = WIDTH_BITS) -> list[int]:
-    """The counter of each row that a term of a language falls on."""
-    h = xxhash.xxh3_128_intdigest(f"{lang}\0{term}")
-    return [(r << width_bits) | ((h >> (r * 32)) & ((1 << width_bits) - 1)) for r in range(rows)]
+def counted(docs: DataFrame) -> DataFrame:
+    """``(lang, source, term, h, n, docs)`` of ``docs(lang, source, text)``, as each task has counted it: occurrences, and documents that hold the term.
 
+    ``h`` names the language and the term; rows of one term are still many.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, holds = defaultdict(Counter), defaultdict(Counter)
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            for (lang, source), times in n.items():
+                size, mine = len(times), holds[lang, source]
+                cols = [pa.array([lang] * size, pa.string()), pa.array([source] * size, pa.string()), pa.array(times.keys(), pa.string()), pa.array(times.values(), pa.int64()), pa.array(map(mine.__getitem__, times), pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["lang", "source", "term", "n", "docs"])
+            n.clear(), holds.clear()
+
+        for b in batches:
+            for i, (lang, source, text) in enumerate(zip(*(b.column(k).to_pylist() for k in range(3)))):
+                found = terms(text)
+                n[lang, source].update(found)
+                holds[lang, source].update(set(found))
+                if i % LOOK == 0 and sum(map(len, n.values())) >= FLUSH:
+                    yield from passed()
+        yield from passed()
 
-class Sketch:
-    """A count-min sketch of document frequencies whose counters stop at the bar: all that is asked is whether they reach it."""
+    parts = docs.select("lang", "source", "text").mapInArrow(count, "lang string, source string, term string, n bigint, docs bigint")
+    return parts.withColumn("h", F.xxhash64("lang", "term"))
 
-    def __init__(self, counts: np.ndarray, least: int, rows: int = ROWS, width_bits: int = WIDTH_BITS):
-        self.counts, self.least, self.rows, self.width_bits = counts, least, rows, width_bits
-        self._known: dict[tuple[str, str], bool] = {}
 
-    def may_reach(self, lang: str, term: str) -> bool:
-        got = self._known.get((lang, term))
-        if got is None:
-            if len(self._known) >= FLUSH:
-                self._known.clear()
-            got = self._known[lang, term] = all(self.counts[c] >= self.least for c in cells(lang, term, self.rows, self.width_bits))
-        return got
+def cells(h: np.ndarray, rows: int = ROWS, width_bits: int = WIDTH_BITS) -> np.ndarray:
+    """rows x terms: the counter of each row that each term falls on."""
+    h = h.view(np.uint64)
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    r = np.arange(rows, dtype=np.uint64)[:, None]
+    return ((r << np.uint64(width_bits)) | ((h + r * step) & np.uint64((1 << width_bits) - 1))).astype(np.int64)
 
 
-def sketch(docs: DataFrame, least: int = LEAST_DOCS, rows: int = ROWS, width_bits: int = WIDTH_BITS) -> np.ndarray:
-    """Merged counters of ``docs(lang, text)``, each at most ``least``: a fixed size, ``rows << width_bits`` bytes for least < 256."""
+def sketch(rows_of_terms: DataFrame, least: int = LEAST_DOCS, rows: int = ROWS, width_bits: int = WIDTH_BITS) -> np.ndarray:
+    """Merged counters of ``(h, docs)``, each at most ``least``, which is all that is asked of them: ``rows << width_bits`` bytes for least < 256, whatever the input."""
     size, kind = rows << width_bits, np.uint8 if least < 256 else np.uint32
     part = -(-size // BLOCKS)
-    n = max(1, docs.rdd.getNumPartitions())
+    n = max(1, rows_of_terms.rdd.getNumPartitions())
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held = np.zeros(size, np.uint32), Counter()
-
-        def add() -> None:
-            if held:
-                where = np.array([cells(*k, rows, width_bits) for k in held], np.int64)
-                seen = np.fromiter(held.values(), np.uint32, len(held))
-                for r in range(rows):  # under the bar in all, so the sum cannot overflow
-                    np.add.at(counts, where[:, r], np.minimum(seen, least))
-                np.minimum(counts, least, out=counts)
-                held.clear()
-
+        counts = np.zeros(size, np.uint32)
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.update((lang, t) for t in set(terms(text)))
-                if len(held) >= FLUSH:
-                    add()
-        add()
-        counts = counts.astype(kind)
-        salt = TaskContext.get().partitionId()
+            seen = np.minimum(b.column(1).to_numpy(), least).astype(np.uint32)
+            for row in cells(b.column(0).to_numpy(), rows, width_bits):  # a batch is short, so no sum overflows
+                np.add.at(counts, row, seen)
+            np.minimum(counts, least, out=counts)
+        counts, salt = counts.astype(kind), TaskContext.get().partitionId()
         blobs = [counts[i : i + part].tobytes() for i in range(0, size, part)]
         yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(blobs)), pa.int32()), "salt": pa.array([salt] * len(blobs), pa.int64()), "counts": pa.array(blobs, pa.binary())})
 
@@ -98,7 +103,7 @@ def sketch(docs: DataFrame, least: int = LEAST_DOCS, rows: int = ROWS, width_bit
         return pd.DataFrame({"block": [rows_["block"].iloc[0]], "salt": [rows_["salt"].iloc[0]], "counts": [total.astype(kind).tobytes()]})
 
     schema = "block int, salt bigint, counts binary"
-    merged = docs.select("lang", "text").mapInArrow(fill, schema)
+    merged = rows_of_terms.select("h", "docs").mapInArrow(fill, schema)
     while True:  # each round adds up at most about FAN_IN sketches in a task
         n = -(-n // FAN_IN)
         merged = merged.withColumn("salt", F.pmod("salt", F.lit(n))).groupBy("block", "salt").applyInPandas(merge, schema)
@@ -108,37 +113,14 @@ def sketch(docs: DataFrame, least: int = LEAST_DOCS, rows: int = ROWS, width_bit
     return np.concatenate([np.frombuffer(blobs[b], kind) for b in sorted(blobs)]) if blobs else np.zeros(size, kind)
 
 
-def counted(docs: DataFrame, found: Sketch) -> DataFrame:
-    """``(lang, source, term, n, docs)`` of the terms that the sketch leaves: occurrences, and documents that hold one."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(found.counts)  # of fixed size
-    least, rows, width_bits = found.least, found.rows, found.width_bits
+def may_reach(rows_of_terms: DataFrame, counts: np.ndarray, least: int = LEAST_DOCS, rows: int = ROWS, width_bits: int = WIDTH_BITS) -> DataFrame:
+    """The rows of terms that may stand in ``least`` documents; only ``h`` travels to Python."""
+    shared = rows_of_terms.sparkSession.sparkContext.broadcast(counts)  # of fixed size
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Sketch(shared.value, least, rows, width_bits)
-        n: dict[tuple, int] = {}
-        holds: dict[tuple, int] = {}
-
-        def passed() -> pa.RecordBatch:
-            keys = list(n)
-            cols = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)]
-            out = pa.RecordBatch.from_arrays([*cols, pa.array(n.values(), pa.int64()), pa.array([holds[k] for k in keys], pa.int64())], ["lang", "source", "term", "n", "docs"])
-            n.clear(), holds.clear()
-            return out
+    def kept(h: pd.Series) -> pd.Series:
+        return pd.Series((shared.value[cells(h.to_numpy(), rows, width_bits)] >= least).all(0))
 
-        for b in batches:
-            for lang, source, text in zip(*(b.column(i).to_pylist() for i in range(3))):
-                for t, c in Counter(terms(text)).items():
-                    if known.may_reach(lang, t):
-                        k = (lang, source, t)
-                        n[k] = n.get(k, 0) + c
-                        holds[k] = holds.get(k, 0) + 1
-                if len(n) >= FLUSH:
-                    yield passed()
-        yield passed()
-
-    parts = docs.select("lang", "source", "text").mapInArrow(count, "lang string, source string, term string, n bigint, docs bigint")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return rows_of_terms.where(F.pandas_udf(kept, "boolean")("h"))
 
 
 def _p(n: str, total: str, terms_: str) -> str:
@@ -160,8 +142,9 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP_TERMS, lang_c
     """
     named = lambda c, n: F.coalesce(col(c).cast("string"), F.lit("")).alias(n)
     d = spread(docs.select(named(lang_col, "lang"), named(source_col, "source"), named(text_col, "text")))
-    found = Sketch(sketch(d, least, rows, width_bits), least, rows, width_bits)
-    counts = materialize(counted(d, found))
+    raw = materialize(counted(d))
+    some = may_reach(raw, sketch(raw, least, rows, width_bits), least, rows, width_bits)
+    counts = materialize(some.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= least).drop("docs")
     kept = materialize(kept)
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
