@@ -19,14 +19,18 @@ from pyspark.sql import functions as F
 from .common import col, materialize
 
 SCALE = 256
-SHARD_ROWS = 65_536  # candidates of a task, about
+SHARD_ROWS = 16_384  # candidates of a task, about
 ANCHOR_BLOCK = 4096  # anchors of a task, about
 POSITIVES, NEGATIVES = 5, 5
+TOO_LARGE = "products of vectors with components so large may not fit a long"
 LOW_PCT = 80  # of a positive's score, the least that a negative's may be
 
 
 def whole_numbers(vectors: pd.Series, scale: int = SCALE) -> np.ndarray:
-    return np.floor(scale * np.stack(vectors.to_numpy()).astype(np.float64)).astype(np.int64)
+    x = np.floor(scale * np.stack(vectors.to_numpy()).astype(np.float64))
+    if np.abs(x).max(initial=0) >= 1 << 61:
+        raise OverflowError(TOO_LARGE)
+    return x.astype(np.int64)
 
 
 def bits_of(x: np.ndarray) -> int:
@@ -122,7 +126,7 @@ def _checked(index: pd.DataFrame, anchors: pd.DataFrame, scale: int) -> tuple[np
     x, a = whole_numbers(index["vec"], scale), whole_numbers(anchors["vec"], scale)
     most = lambda z: max(int(z.max(initial=0)), -int(z.min(initial=0)))
     if 2 * most(x) * most(a) * max(1, x.shape[1]) >= 1 << 62:
-        raise OverflowError("inner products of these vectors do not fit a long")
+        raise OverflowError(TOO_LARGE)
     return x, a
 
 
