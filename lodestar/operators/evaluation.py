@@ -49,9 +49,9 @@ def mcnemar(pairs: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """
     x = pairs.groupBy(*by).agg(F.count_if(F.col(a) & ~F.col(b)).alias("only_a"), F.count_if(~F.col(a) & F.col(b)).alias("only_b"))
     n = F.col("only_a") + F.col("only_b")
-    # terms follow from one another: C(n, i + 1) = C(n, i) * (n - i) / (i + 1)
-    start = F.struct(F.pow(F.lit(0.5), n).alias("term"), F.lit(0.0).alias("sum"))
-    tail = F.aggregate(F.sequence(F.lit(0), F.least("only_a", "only_b").cast("int")), start, lambda s, i: F.struct((s.term * (n - i) / (i + 1)).alias("term"), (s.sum + s.term).alias("sum")), lambda s: s.sum)
+    # terms follow from one another, as logarithms: C(n, i + 1) = C(n, i) * (n - i) / (i + 1), and no n is too large
+    start = F.struct((-n * F.log(F.lit(2.0))).alias("log"), F.lit(0.0).alias("sum"))
+    tail = F.aggregate(F.sequence(F.lit(0), F.least("only_a", "only_b").cast("int")), start, lambda s, i: F.struct((s.log + F.log((n - i).cast("double")) - F.log((i + 1).cast("double"))).alias("log"), (s.sum + F.exp(s.log)).alias("sum")), lambda s: s.sum)
     return x.withColumn("p", F.when(n == 0, 1.0).otherwise(F.round(F.least(F.lit(1.0), 2 * tail), 6)))
 
 

@@ -20,6 +20,9 @@ from . import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Checks on fixtures with values set by hand.  Tests run them; what they check is queried over the tables too, so they are not registered.
+HAND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+HAND_SQL: dict[str, str] = {}
 
 
 def query(oracle: str | None = None):
@@ -32,6 +35,16 @@ def query(oracle: str | None = None):
     return add
 
 
+def by_hand(oracle: str | None = None):
+    def add(f):
+        HAND[f.__name__] = f
+        if oracle:
+            HAND_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,11 +53,11 @@ def _docs(spark, sf_dir):
     return spread(t(spark, sf_dir, "documents"))
 
 
-def _files(spark, sf_dir):
+def doc_files(spark, sf_dir):
     return scan.documents_as_files(_docs(spark, sf_dir), limit=None)
 
 
-def _bench(spark, sf_dir):
+def passages(spark, sf_dir):
     return t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("task_id"), F.col("text").alias("issue_text"))
 
 
@@ -79,7 +92,7 @@ def bm25_topk(spark, sf_dir):
 @query(_bm25_sql("SELECT item_id AS task_id, text AS issue_text FROM benchmark"))
 def bm25_benchmark_tasks(spark, sf_dir):
     """Five best documents of every benchmark passage, in one job."""
-    return retrieval.bm25(_docs(spark, sf_dir), _bench(spark, sf_dir), key="doc_id")
+    return retrieval.bm25(_docs(spark, sf_dir), passages(spark, sf_dir), key="doc_id")
 
 
 @query(f"""WITH tasks AS (SELECT item_id AS task_id, text AS issue_text FROM benchmark),
@@ -92,7 +105,7 @@ r AS (SELECT task_id, CAST(row_number() OVER (PARTITION BY task_id ORDER BY term
 SELECT * FROM r WHERE rank <= 5""")
 def literal_search_topk(spark, sf_dir):
     """Substring search of every benchmark passage, whatever its length."""
-    return retrieval.literal_search(_docs(spark, sf_dir), _bench(spark, sf_dir), key="doc_id")
+    return retrieval.literal_search(_docs(spark, sf_dir), passages(spark, sf_dir), key="doc_id")
 
 
 @query(f"""WITH {S.retrieval_tokens('documents', 'doc_id', 'text', 'd')}
@@ -138,7 +151,7 @@ def stem_dictionary(spark, sf_dir):
 _STEMS = "stopped passes passed validated files filed storing stored buses status analysis classes boxes cities carried running kubernetes scss contributors played crying dyed yyed tries used ties bed sing thing happening resizes lying".split()
 
 
-@query(f"SELECT word, {S.stem('word')} AS stem FROM {X.sql_values([(w,) for w in _STEMS], 'word')}")
+@by_hand(f"SELECT word, {S.stem('word')} AS stem FROM {X.sql_values([(w,) for w in _STEMS], 'word')}")
 def stem_fixture(spark, sf_dir):
     """Stems of English forms."""
     return spark.createDataFrame([(w,) for w in _STEMS], "word string").select("word", T.stem(F.col("word")).alias("stem"))
@@ -171,7 +184,7 @@ def redact_secrets(spark, sf_dir):
 _LISTS = [(1, "Fix it\n- [ ] docs\n- [x] code"), (2, "# Todo\n- [ ] a\n* [ ] b"), (3, "plain"), (4, "\n## H\n\n- [ ] only"), (5, "a\n  - [ ] in\nb")]
 
 
-@query(rf"""WITH l AS (SELECT id, x, string_split(x, chr(10)) AS ls FROM {X.sql_values(_LISTS, 'id, x')}),
+@by_hand(rf"""WITH l AS (SELECT id, x, string_split(x, chr(10)) AS ls FROM {X.sql_values(_LISTS, 'id, x')}),
 k AS (SELECT *, list_filter(ls, lambda s: NOT regexp_matches(s, '^\s*[-*]\s*\[\s\]\s+')) AS kept FROM l),
 s AS (SELECT *, len(ls) - len(kept) AS n, len(list_filter(kept, lambda s: length(trim(s)) > 0 AND NOT regexp_matches(trim(s), '^#{{1,6}}\s+'))) > 0 AS solid FROM k)
 SELECT id, CASE WHEN n > 0 AND solid THEN array_to_string(kept, chr(10)) ELSE x END AS text, CAST(CASE WHEN solid THEN n ELSE 0 END AS INTEGER) AS removed, CAST(CASE WHEN solid THEN 0 ELSE n END AS INTEGER) AS preserved FROM s""")
@@ -183,12 +196,12 @@ def checklist_filter(spark, sf_dir):
 _DIFF = "diff --git a/x.ts b/x.ts\n+++ b/x.ts\n+one\n-two\n three\n+four four\ndiff --git a/y.ts b/y.ts\n+five\n+sixsixsixsixsixsix\n+7"
 
 
-@query(f"""SELECT array_to_string(list_filter(string_split('{_DIFF.replace(chr(10), "' || chr(10) || '")}', chr(10)), lambda s: starts_with(s, '+') AND NOT starts_with(s, '+++')), chr(10)) AS added""")
+@by_hand(f"""SELECT array_to_string(list_filter(string_split('{_DIFF.replace(chr(10), "' || chr(10) || '")}', chr(10)), lambda s: starts_with(s, '+') AND NOT starts_with(s, '+++')), chr(10)) AS added""")
 def added_diff_lines(spark, sf_dir):
     return spark.createDataFrame([(_DIFF,)], "x string").select(T.added_lines(F.col("x")).alias("added"))
 
 
-@query("SELECT 'r' AS repo_id, '+one' || chr(10) || '+five' || chr(10) || '+four four' || chr(10) || '+7' AS text, 4 AS lines, 5 AS total_lines")
+@by_hand("SELECT 'r' AS repo_id, '+one' || chr(10) || '+five' || chr(10) || '+four four' || chr(10) || '+7' AS text, 4 AS lines, 5 AS total_lines")
 def diff_sampler(spark, sf_dir):
     """A diff of over 24 characters cut to complete lines, files in turn; the values were worked out by hand."""
     return context.sample_diff(spark.createDataFrame([("r", _DIFF)], "repo_id string, diff_text string"), budget=24)
@@ -197,7 +210,7 @@ def diff_sampler(spark, sf_dir):
 _UTF8 = [(1, "häßlich", 5), (2, "日本語", 6), (3, "abc", 10), (4, "a😀b", 4), (5, "", 3)]
 
 
-@query("SELECT id, s FROM (VALUES (1, 'häß'), (2, '日本'), (3, 'abc'), (4, 'a'), (5, '')) AS v(id, s)")
+@by_hand("SELECT id, s FROM (VALUES (1, 'häß'), (2, '日本'), (3, 'abc'), (4, 'a'), (5, '')) AS v(id, s)")
 def truncate_utf8(spark, sf_dir):
     return spark.createDataFrame(_UTF8, "id int, x string, n int").select("id", T.truncate_utf8(F.col("x"), F.col("n")).alias("s"))
 
@@ -205,7 +218,7 @@ def truncate_utf8(spark, sf_dir):
 _REGEX = [(1, "/A{2,4}/ b{3,3}"), (2, "x{9,12} y{1,2}"), (3, "none"), (4, "q{4,20}")]
 
 
-@query("SELECT id, unnest(ts) AS token FROM (VALUES (1, ['aaa', 'aaaa', 'bbb']), (4, ['qqqq', 'qqqqq', 'qqqqqq', 'qqqqqqq', 'qqqqqqqq'])) AS v(id, ts)")
+@by_hand("SELECT id, unnest(ts) AS token FROM (VALUES (1, ['aaa', 'aaaa', 'bbb']), (4, ['qqqq', 'qqqqq', 'qqqqqq', 'qqqqqqq', 'qqqqqqqq'])) AS v(id, ts)")
 def regex_tokens(spark, sf_dir):
     return spark.createDataFrame(_REGEX, "id int, x string").select("id", F.explode(T.regex_tokens(F.col("x"))).alias("token"))
 
@@ -213,7 +226,7 @@ def regex_tokens(spark, sf_dir):
 _SPANS = ["plain", "a`b", "``x", " y", "we'd", "a/b.ts"]
 
 
-@query("SELECT x, c, f, q FROM (VALUES ('plain', '`plain`', '```', 'plain'), ('a`b', '``a`b``', '```', '''a`b'''), ('``x', '``` ``x ```', '```', '''``x'''), (' y', '`  y `', '```', ''' y'''), ('we''d', '`we''d`', '```', '''we''\\''''d'''), ('a/b.ts', '`a/b.ts`', '```', 'a/b.ts')) AS v(x, c, f, q)")
+@by_hand("SELECT x, c, f, q FROM (VALUES ('plain', '`plain`', '```', 'plain'), ('a`b', '``a`b``', '```', '''a`b'''), ('``x', '``` ``x ```', '```', '''``x'''), (' y', '`  y `', '```', ''' y'''), ('we''d', '`we''d`', '```', '''we''\\''''d'''), ('a/b.ts', '`a/b.ts`', '```', 'a/b.ts')) AS v(x, c, f, q)")
 def markdown_and_shell_quotes(spark, sf_dir):
     x = F.col("x")
     return spark.createDataFrame([(s,) for s in _SPANS], "x string").select("x", T.code_span(x).alias("c"), T.safe_fence(x).alias("f"), T.shell_quote(x).alias("q"))
@@ -221,7 +234,7 @@ def markdown_and_shell_quotes(spark, sf_dir):
 
 # ---------------------------------------------------------------- signals
 
-@query("""SELECT * FROM (VALUES
+@by_hand("""SELECT * FROM (VALUES
  ('t1', 'openSession', NULL), ('t2', NULL, 'src/routes/login.ts'), ('t4', 'closeSessionNow', NULL), ('t5', 'priceOf', NULL)) AS v(task_id, identifiers, file_mentions)""")
 def task_signals_fixture(spark, sf_dir):
     """Identifiers and file mentions of the fixture tasks; expected values by hand."""
@@ -232,7 +245,7 @@ def task_signals_fixture(spark, sf_dir):
 _QUOTED = [(1, 'say "two words" and `codeName` it\'s'), (2, "„deutsch text“ «un mot»"), (3, 'open "rest of line'), (4, r'esc "a \" b" end')]
 
 
-@query("SELECT id, pos, value FROM (VALUES (1, 0, 'two words'), (1, 1, 'codeName'), (2, 0, 'deutsch text“ «un mot»'), (2, 1, ' «un mot»'), (2, 2, 'un mot'), (3, 0, 'rest of line'), (4, 0, 'a \\\" b')) AS v(id, pos, value)".replace('\\\\"', '\\"').replace('\\"', '\\"'))
+@by_hand("SELECT id, pos, value FROM (VALUES (1, 0, 'two words'), (1, 1, 'codeName'), (2, 0, 'deutsch text“ «un mot»'), (2, 1, ' «un mot»'), (2, 2, 'un mot'), (3, 0, 'rest of line'), (4, 0, 'a \\\" b')) AS v(id, pos, value)".replace('\\\\"', '\\"').replace('\\"', '\\"'))
 def quoted_fragments(spark, sf_dir):
     """Quotes of each line; expected values by hand (an unclosed one takes the rest, and scanning goes on inside)."""
     from ..operators.signals import quotes
@@ -249,17 +262,17 @@ _PATHS = [p for _, p, _ in X.CODE] + ["Dockerfile", "a/test_x.py", "x/FooTest.ja
 SELECT path, {S.extension('path')} AS extension, {S.is_test('path')} AS is_test, {S.is_source('path')} AS is_source, {S.kind('path')} AS kind, {S.is_generated('path')} AS is_generated, {S.is_backup('path')} AS is_backup FROM every""")
 def path_classify(spark, sf_dir):
     """Path classes of all documents and of a fixture."""
-    every = _files(spark, sf_dir).select("path").union(spark.createDataFrame([(p,) for p in _PATHS], "path string"))
+    every = doc_files(spark, sf_dir).select("path").union(spark.createDataFrame([(p,) for p in _PATHS], "path string"))
     p = F.col("path")
     return every.select("path", P.extension(p).alias("extension"), P.is_test(p).alias("is_test"), P.is_source(p).alias("is_source"), P.kind(p).alias("kind"), P.is_generated(p).alias("is_generated"), P.is_backup(p).alias("is_backup"))
 
 
-@query(f"SELECT path, {S.module_stem('path')} AS stem FROM {X.sql_values([(p,) for p in _PATHS], 'path')}")
+@by_hand(f"SELECT path, {S.module_stem('path')} AS stem FROM {X.sql_values([(p,) for p in _PATHS], 'path')}")
 def module_stem(spark, sf_dir):
     return spark.createDataFrame([(p,) for p in _PATHS], "path string").select("path", P.module_stem(F.col("path")).alias("stem"))
 
 
-@query(f"""WITH f AS {X.code_sql()}, c AS (SELECT repo_id, path, {S.module_stem('path')} AS stem, {S.is_generated('path')} AS g, {S.is_backup('path')} AS b, {S.is_source('path')} AS s FROM f)
+@by_hand(f"""WITH f AS {X.code_sql()}, c AS (SELECT repo_id, path, {S.module_stem('path')} AS stem, {S.is_generated('path')} AS g, {S.is_backup('path')} AS b, {S.is_source('path')} AS s FROM f)
 SELECT DISTINCT a.repo_id, a.path, m.path AS maintained FROM c a JOIN c m ON a.repo_id = m.repo_id AND a.stem = m.stem AND a.path <> m.path WHERE a.g AND NOT m.g AND NOT m.b AND m.s""")
 def generated_twins(spark, sf_dir):
     """Generated files whose source is there as well: an equi-join on the stem."""
@@ -271,13 +284,13 @@ def generated_twins(spark, sf_dir):
 @query(f"""WITH {S.FILES} SELECT seq, path, size_bytes, {S.is_source('path')} AND NOT {S.is_test('path')} AND {S.name_of('path')} NOT IN {S.names(P.LOCKFILES)} AS candidate FROM files""")
 def candidate_gate(spark, sf_dir):
     """Which documents a ranking would consider, by their paths."""
-    return _files(spark, sf_dir).select("seq", "path", "size_bytes", (F.col("is_source") & ~F.col("is_test") & ~P.is_lockfile(F.col("path"))).alias("candidate"))
+    return doc_files(spark, sf_dir).select("seq", "path", "size_bytes", (F.col("is_source") & ~F.col("is_test") & ~P.is_lockfile(F.col("path"))).alias("candidate"))
 
 
 _MENTIONS = [("src/a/b.ts", "b.ts"), ("src/a/b.ts", "a/b.ts"), ("src/a/b.ts", "repo/src/a/b.ts"), ("b.ts", "a/b.ts"), ("docs/README.md", "readme"), ("src/ab.ts", "b.ts"), ("src/a/b.ts", "SRC\\a\\B.ts")]
 
 
-@query(f"""SELECT path, mention, lower(path) = m OR ends_with(lower(path), '/' || m) OR (contains(path, '/') AND ends_with(m, '/' || lower(path)))
+@by_hand(f"""SELECT path, mention, lower(path) = m OR ends_with(lower(path), '/' || m) OR (contains(path, '/') AND ends_with(m, '/' || lower(path)))
  OR (NOT contains(m, '/') AND NOT contains(m, '.') AND regexp_replace({S.name_of('lower(path)')}, '\\.[^.]+$', '') = m) AS matches
 FROM (SELECT *, lower(replace(mention, chr(92), '/')) AS m FROM {X.sql_values(_MENTIONS, 'path, mention')})""")
 def path_mentions(spark, sf_dir):
@@ -291,7 +304,7 @@ def _rules_sql() -> str:
     return X.sql_values(rows, "ord, pattern, negated, folder, regex")
 
 
-@query(f"""WITH f AS {X.code_sql()}, m AS (SELECT repo_id, path, r.* FROM f JOIN {_rules_sql()} r ON regexp_matches(CASE WHEN folder THEN path || '/' ELSE path END, regex)),
+@by_hand(f"""WITH f AS {X.code_sql()}, m AS (SELECT repo_id, path, r.* FROM f JOIN {_rules_sql()} r ON regexp_matches(CASE WHEN folder THEN path || '/' ELSE path END, regex)),
 l AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY ord DESC) AS k FROM m)
 SELECT repo_id, path, pattern FROM l WHERE k = 1 AND NOT negated""")
 def glob_exclusions(spark, sf_dir):
@@ -314,7 +327,7 @@ def glob_truth_table(spark, sf_dir):
     return rows.join(hit.withColumn("m", F.lit(True)), "i", "left").select("pattern", "path", F.coalesce("m", F.lit(False)).alias("matched"))
 
 
-@query(f"""WITH f AS {X.code_sql()}, r AS {_rules_sql()} SELECT CAST(ord AS INTEGER) AS ord, pattern FROM r WHERE NOT negated AND NOT EXISTS (SELECT 1 FROM f WHERE regexp_matches(CASE WHEN r.folder THEN path || '/' ELSE path END, r.regex))""")
+@by_hand(f"""WITH f AS {X.code_sql()}, r AS {_rules_sql()} SELECT CAST(ord AS INTEGER) AS ord, pattern FROM r WHERE NOT negated AND NOT EXISTS (SELECT 1 FROM f WHERE regexp_matches(CASE WHEN r.folder THEN path || '/' ELSE path END, r.regex))""")
 def unmatched_exclusions(spark, sf_dir):
     return exclusion.unmatched(X.code_files(spark), exclusion.rules(spark, X.GLOBS))
 
@@ -339,7 +352,7 @@ def score_features(spark, sf_dir):
     sig = task_signals(task)
     ready = ranking.intents(sig.withColumn("grounded_tokens", F.col("tokens")))
     none = spark.createDataFrame([], "repo_id string, path string")
-    facts = written(ranking.file_facts(_files(spark, sf_dir)))  # scoring reads them several times
+    facts = written(ranking.file_facts(doc_files(spark, sf_dir)))  # scoring reads them several times
     scored = ranking.score(written(ranking.candidates(sig, facts, none)), facts, ready, none)
     return scored.select("path", "f4", "f5", "f13", (F.col("f4") + F.col("f5") + F.col("f13")).alias("points"))
 
@@ -375,7 +388,7 @@ r AS (SELECT *, base + f21 AS score, row_number() OVER (PARTITION BY task_id ORD
 def _document_tasks(spark, sf_dir):
     """``(files, tasks, changed)``: documents as files with an import and a definition, a task for each benchmark passage that names a path, a name, a member and a line."""
     n = t(spark, sf_dir, "documents").count()
-    files = _files(spark, sf_dir)
+    files = doc_files(spark, sf_dir)
     digits, lit = (lambda c: c.cast("string")), F.lit
     aim = (10 * F.pmod(F.col("seq") * 7 + 3, lit(n // 10)) + F.pmod("seq", lit(5))).alias("to_seq")
     to = files.select(F.col("seq").alias("to_seq"), T.rx(F.col("path"), r"\.ts$").alias("to"))
@@ -428,7 +441,7 @@ def document_edges_by_alias(spark, sf_dir):
     return graph.import_edges(files.select("repo_id", "seq", "path", "text").union(settings))[0].select("src", "dst")
 
 
-@query()
+@by_hand()
 def rank_topk(spark, sf_dir):
     """Files of every fixture task, with features, confidence and reasons."""
     none = spark.createDataFrame([("auth", "src/token.ts")], "repo_id string, path string")
@@ -438,7 +451,7 @@ def rank_topk(spark, sf_dir):
 _SHAPES = [("a", 1, 43), ("a", 2, 24), ("a", 3, 22), ("b", 1, 10), ("b", 2, 9), ("b", 3, 8), ("c", 1, 5), ("d", 1, 7), ("d", 2, 7)]
 
 
-@query(f"""WITH s AS {X.sql_values(_SHAPES, 'task_id, position, score')}
+@by_hand(f"""WITH s AS {X.sql_values(_SHAPES, 'task_id, position, score')}
 SELECT task_id, max(score) FILTER (position = 1) AS top_score, max(score) FILTER (position = 2) AS runner_up, max(score) FILTER (position = 1) - max(score) FILTER (position = 2) AS top_gap,
 coalesce(max(score) FILTER (position = 1) - max(score) FILTER (position = 3) <= 2, false) AS clustered FROM s GROUP BY task_id""")
 def ranking_shape(spark, sf_dir):
@@ -462,7 +475,7 @@ _LADDER = [
 ]
 
 
-@query(f"SELECT CAST(i AS INTEGER) AS i, confidence FROM {X.sql_values([(i, r[-1]) for i, r in enumerate(_LADDER)], 'i, confidence')}")
+@by_hand(f"SELECT CAST(i AS INTEGER) AS i, confidence FROM {X.sql_values([(i, r[-1]) for i, r in enumerate(_LADDER)], 'i, confidence')}")
 def confidence_ladder(spark, sf_dir):
     """The confidence ladder; expected values by hand."""
     df = spark.createDataFrame([(i, *r[:-1]) for i, r in enumerate(_LADDER)], "i int, position int, score int, top_score int, direct boolean, mentioned boolean, twin boolean, contested boolean, clustered boolean, u int, v int, w int, supported int, scan_complete boolean, specificity string, issue_vague boolean")
@@ -470,14 +483,14 @@ def confidence_ladder(spark, sf_dir):
     return ranking.confidence(df.withColumn("unresolved", arr("u")).withColumn("unverified", arr("v")).withColumn("partially_resolved", arr("w"))).select("i", "confidence")
 
 
-@query("""SELECT * FROM (VALUES ('t1', 'openSession', 'exact-definition', 'src/session.ts,dist/session.js'), ('t4', 'closeSessionNow', 'not-found', ''), ('t5', 'priceOf', 'exact-definition', 'packages/price/src/index.ts')) AS v(task_id, identifier, status, matched)""")
+@by_hand("""SELECT * FROM (VALUES ('t1', 'openSession', 'exact-definition', 'src/session.ts,dist/session.js'), ('t4', 'closeSessionNow', 'not-found', ''), ('t5', 'priceOf', 'exact-definition', 'packages/price/src/index.ts')) AS v(task_id, identifier, status, matched)""")
 def grounding_status(spark, sf_dir):
     """Status of each anchor name; expected values by hand."""
     g = grounding.ground_identifiers(task_signals(X.tasks(spark)), X.code_files(spark))
     return g.select("task_id", "identifier", "status", F.array_join("matched_files", ",").alias("matched"))
 
 
-@query("SELECT * FROM (VALUES ('t1', 'anchored'), ('t2', 'anchored'), ('t3', 'vague'), ('t4', 'descriptive'), ('t5', 'anchored'), ('t6', 'descriptive')) AS v(task_id, specificity)")
+@by_hand("SELECT * FROM (VALUES ('t1', 'anchored'), ('t2', 'anchored'), ('t3', 'vague'), ('t4', 'descriptive'), ('t5', 'anchored'), ('t6', 'descriptive')) AS v(task_id, specificity)")
 def task_specificity(spark, sf_dir):
     s, f = task_signals(X.tasks(spark)), X.code_files(spark)
     return grounding.task_grounding(s, f, grounding.ground_identifiers(s, f)).select("task_id", "specificity")
@@ -488,13 +501,13 @@ def task_specificity(spark, sf_dir):
 _EDGES = [("auth", "examples/demo/page.tsx", "src/session.ts"), ("auth", "src/legacy/old_login.ts", "src/session.ts"), ("auth", "src/routes/index.ts", "src/routes/login.ts"), ("auth", "src/routes/login.ts", "src/session.ts"), ("auth", "src/session.ts", "src/token.ts"), ("auth", "test/login.test.ts", "src/routes/index.ts"), ("shop", "packages/cart/src/index.ts", "lib/money.ts"), ("shop", "packages/cart/src/index.ts", "packages/price/src/index.ts")]
 
 
-@query(f"SELECT * FROM {X.sql_values(_EDGES, 'repo_id, src, dst')}")
+@by_hand(f"SELECT * FROM {X.sql_values(_EDGES, 'repo_id, src, dst')}")
 def import_edges(spark, sf_dir):
     """Resolved imports of the fixture; expected values by hand."""
     return graph.import_edges(X.code_files(spark))[0]
 
 
-@query(f"""WITH e AS {X.sql_values(_EDGES, 'repo_id, src, dst')}, near AS (SELECT repo_id, src AS x, dst AS path, 'imported-by' AS direction, 0 AS d FROM e UNION ALL SELECT repo_id, dst, src, 'imports', 1 FROM e),
+@by_hand(f"""WITH e AS {X.sql_values(_EDGES, 'repo_id, src, dst')}, near AS (SELECT repo_id, src AS x, dst AS path, 'imported-by' AS direction, 0 AS d FROM e UNION ALL SELECT repo_id, dst, src, 'imports', 1 FROM e),
 h1 AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY d) AS k FROM near WHERE repo_id = 'auth' AND x = 'src/session.ts'),
 o AS (SELECT path, direction, row_number() OVER (ORDER BY d, path) AS reached FROM h1 WHERE k = 1),
 h2 AS (SELECT n.path, n.direction, row_number() OVER (PARTITION BY n.path ORDER BY reached, n.d) AS k FROM near n JOIN o ON n.x = o.path WHERE n.repo_id = 'auth' AND n.path <> 'src/session.ts' AND n.path NOT IN (SELECT path FROM o))
@@ -525,7 +538,7 @@ def history_filter(spark, sf_dir):
     return cochange.eligible(rows, ["day"], "l_partkey", known).groupBy("day").agg(F.count("*").alias("parts")).withColumn("day", F.col("day").cast("string"))
 
 
-@query("SELECT * FROM (VALUES ('c1', 'src/session.ts'), ('c1', 'src/token.ts'), ('c1', 'test/token.test.ts'), ('c2', 'src/session.ts'), ('c2', 'src/token.ts'), ('c3', 'src/session.ts'), ('c3', 'src/routes/login.ts'), ('c4', 'src/routes/login.ts'), ('c4', 'test/login.test.ts')) AS v(hash, path)")
+@by_hand("SELECT * FROM (VALUES ('c1', 'src/session.ts'), ('c1', 'src/token.ts'), ('c1', 'test/token.test.ts'), ('c2', 'src/session.ts'), ('c2', 'src/token.ts'), ('c3', 'src/session.ts'), ('c3', 'src/routes/login.ts'), ('c4', 'src/routes/login.ts'), ('c4', 'test/login.test.ts')) AS v(hash, path)")
 def history_reader(spark, sf_dir):
     return scan.history(X.commits(spark), X.code_files(spark)).select("hash", "path")
 
@@ -538,13 +551,13 @@ def _impact(spark):
     return f, seeds, rows
 
 
-@query("SELECT * FROM (VALUES ('src/routes/login.ts', 'imported-by', 6, NULL::BIGINT), ('src/legacy/old_login.ts', 'imported-by', 6, NULL), ('examples/demo/page.tsx', 'imported-by', 6, NULL), ('src/token.ts', 'imports', 4, NULL), ('src/token.ts', 'co-change', 6, 2), ('test/login.test.ts', 'test-route', 7, NULL)) AS v(path, kind, points, occurrences)")
+@by_hand("SELECT * FROM (VALUES ('src/routes/login.ts', 'imported-by', 6, NULL::BIGINT), ('src/legacy/old_login.ts', 'imported-by', 6, NULL), ('examples/demo/page.tsx', 'imported-by', 6, NULL), ('src/token.ts', 'imports', 4, NULL), ('src/token.ts', 'co-change', 6, 2), ('test/login.test.ts', 'test-route', 7, NULL)) AS v(path, kind, points, occurrences)")
 def impact_evidence(spark, sf_dir):
     """Evidence around one seed; expected values by hand."""
     return _impact(spark)[2].select("path", "kind", "points", "occurrences")
 
 
-@query("SELECT * FROM (VALUES (1, 'src/token.ts', 10, 'high'), (2, 'test/login.test.ts', 7, 'high'), (3, 'examples/demo/page.tsx', 6, 'medium'), (4, 'src/routes/login.ts', 6, 'medium')) AS v(rank, path, score, confidence)")
+@by_hand("SELECT * FROM (VALUES (1, 'src/token.ts', 10, 'high'), (2, 'test/login.test.ts', 7, 'high'), (3, 'examples/demo/page.tsx', 6, 'medium'), (4, 'src/routes/login.ts', 6, 'medium')) AS v(rank, path, score, confidence)")
 def impact_rollup(spark, sf_dir):
     f, seeds, rows = _impact(spark)
     return impact.impact_map(rows, seeds, f).select("rank", "path", "score", "confidence")
@@ -590,7 +603,7 @@ hits AS (SELECT repo_id, path, ord, pattern, negated FROM docs JOIN rule USING (
 
 def _ignore_rules(spark, sf_dir):
     """A rule from each document for the repository of its language, and all documents' paths."""
-    docs = _files(spark, sf_dir).select("path", F.col("seq").alias("doc_id")).join(t(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("repo_id"), "source"), "doc_id")
+    docs = doc_files(spark, sf_dir).select("path", F.col("seq").alias("doc_id")).join(t(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("repo_id"), "source"), "doc_id")
     k, c = F.pmod("doc_id", F.lit(8)), F.concat
     lit, no = F.lit, lambda n: F.col("doc_id").cast("string") if n == 0 else (F.col("doc_id") + n).cast("string")
     pattern = (
@@ -683,7 +696,7 @@ def snapshot_arms(spark, sf_dir):
 
 # ---------------------------------------------------------------- routes, languages, risks
 
-@query("SELECT * FROM (VALUES ('auth', 'node', 'package.json'), ('shop', 'node', 'packages/cart/package.json and 75% of source files'), ('svc', 'go', 'go.mod')) AS v(repo_id, language, evidence)")
+@by_hand("SELECT * FROM (VALUES ('auth', 'node', 'package.json'), ('shop', 'node', 'packages/cart/package.json and 75% of source files'), ('svc', 'go', 'go.mod')) AS v(repo_id, language, evidence)")
 def primary_language_fixture(spark, sf_dir):
     return routes.primary_language(X.code_files(spark))
 
@@ -694,7 +707,7 @@ h AS (SELECT *, sum(n) OVER (PARTITION BY repo_id) AS total, row_number() OVER (
 SELECT repo_id, language, CAST(floor(100 * n / total + 0.5) AS BIGINT) || '% of source files' AS evidence FROM h WHERE k = 1""")
 def primary_language(spark, sf_dir):
     """Language shares of the documents' paths."""
-    return routes.primary_language(_files(spark, sf_dir))
+    return routes.primary_language(doc_files(spark, sf_dir))
 
 
 @query("SELECT * FROM (VALUES ('svc', 'go test ./...', 'go.mod')) AS v(repo_id, command, reason)")
@@ -783,7 +796,7 @@ _VERIFY = {
 }
 
 
-@query("""SELECT * FROM (VALUES ('p1', 2, 'plan-partially-stale', 'warning', 'src/gone.ts', NULL), ('p1', 3, 'planned-file-deleted', 'info', 'src/was.ts', NULL), ('p1', 4, 'edit-in-generated-location', 'error', 'dist/session.js', NULL),
+@by_hand("""SELECT * FROM (VALUES ('p1', 2, 'plan-partially-stale', 'warning', 'src/gone.ts', NULL), ('p1', 3, 'planned-file-deleted', 'info', 'src/was.ts', NULL), ('p1', 4, 'edit-in-generated-location', 'error', 'dist/session.js', NULL),
  ('p1', 6, 'unmapped-change', 'warning', 'src/routes/login.ts,src/token.ts', NULL), ('p1', 7, 'leading-file-untouched', 'warning', 'src/session.ts', NULL), ('p1', 8, 'no-test-changed', 'warning', 'test/login.test.ts', NULL),
  ('p1', 9, 'impact-file-unreviewed', 'info', 'docs/login.md', NULL), ('p1', 10, 'new-risk-area', 'warning', 'src/routes/login.ts', 'authentication'), ('p2', 1, 'plan-repository-mismatch', 'error', 'x.ts', NULL)) AS v(plan_id, ord, code, severity, paths, area)""")
 def verify_findings(spark, sf_dir):
@@ -834,8 +847,8 @@ def validate_reports(spark, sf_dir):
 @query()
 def context_pack(spark, sf_dir):
     """Stretches of the best documents of every benchmark passage within a budget of tokens; tests check the rules."""
-    tasks = _bench(spark, sf_dir).withColumn("repo_id", F.lit("docs")).withColumn("diff_text", F.lit(None).cast("string")).withColumnRenamed("task_id", "plan_id")
-    best = retrieval.bm25(_docs(spark, sf_dir), _bench(spark, sf_dir), key="doc_id")
+    tasks = passages(spark, sf_dir).withColumn("repo_id", F.lit("docs")).withColumn("diff_text", F.lit(None).cast("string")).withColumnRenamed("task_id", "plan_id")
+    best = retrieval.bm25(_docs(spark, sf_dir), passages(spark, sf_dir), key="doc_id")
     files = _docs(spark, sf_dir).select(F.lit("docs").alias("repo_id"), F.col("doc_id").cast("string").alias("path"), "text", F.lit(True).alias("text_complete"))
     cands = best.select(F.col("task_id").alias("plan_id"), F.col("rank").alias("ord"), F.col("doc_id").cast("string").alias("path"), F.lit("primary").alias("role"), F.lit("medium").alias("confidence"), F.lit("").alias("reason"))
     return context.pack(cands, files, task_signals(tasks), tasks.select("plan_id", "repo_id", F.lit(1000).alias("budget")))
@@ -858,8 +871,8 @@ def document_diffs(spark, sf_dir):
 
 # ---------------------------------------------------------------- evaluation
 
-def _cases(spark, sf_dir):
-    bench, docs = _bench(spark, sf_dir), _docs(spark, sf_dir)
+def doc_cases(spark, sf_dir):
+    bench, docs = passages(spark, sf_dir), _docs(spark, sf_dir)
     ranked = retrieval.bm25(docs, bench, key="doc_id")
     expected = written(retrieval.holding(docs, bench))
     hits = evaluation.hits_at(ranked, expected, bench, key="doc_id")
@@ -867,7 +880,7 @@ def _cases(spark, sf_dir):
     return hits.join(top, "task_id", "left").withColumn("confidence", F.when(F.col("score") >= 40, "high").when(F.col("score") >= 20, "medium").otherwise("low")).withColumn("mentioned", F.pmod(F.col("task_id"), F.lit(3)) == 0)
 
 
-_CASES_SQL = f"""ranked AS ({_bm25_sql("SELECT item_id AS task_id, text AS issue_text FROM benchmark")}),
+CASES_SQL = f"""ranked AS ({_bm25_sql("SELECT item_id AS task_id, text AS issue_text FROM benchmark")}),
 expected AS (SELECT item_id AS task_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 first AS (SELECT task_id, min(rank) AS first FROM ranked JOIN expected USING (task_id, doc_id) GROUP BY task_id),
 cases AS (SELECT e.task_id, coalesce(first <= 1, false) AS hit1, coalesce(first <= 3, false) AS hit3, coalesce(first <= 5, false) AS hit5, e.task_id % 3 = 0 AS mentioned,
@@ -875,32 +888,32 @@ cases AS (SELECT e.task_id, coalesce(first <= 1, false) AS hit1, coalesce(first
   FROM (SELECT DISTINCT task_id FROM expected) e LEFT JOIN first USING (task_id) LEFT JOIN (SELECT task_id, score FROM ranked WHERE rank = 1) USING (task_id))"""
 
 
-@query(f"WITH {_CASES_SQL} SELECT task_id, hit1, hit3, hit5 FROM cases")
+@query(f"WITH {CASES_SQL} SELECT task_id, hit1, hit3, hit5 FROM cases")
 def hit_rates(spark, sf_dir):
     """Whether BM25 finds a document that holds the passage."""
-    return _cases(spark, sf_dir).select("task_id", "hit1", "hit3", "hit5")
+    return doc_cases(spark, sf_dir).select("task_id", "hit1", "hit3", "hit5")
 
 
 _LOW, _HIGH = S.wilson("hits", "n")
 
 
-@query(f"""WITH {_CASES_SQL}, c AS (SELECT *, unnest(['all', CASE WHEN mentioned THEN 'mentioned' ELSE 'unmentioned' END]) AS cohort FROM cases),
+@query(f"""WITH {CASES_SQL}, c AS (SELECT *, unnest(['all', CASE WHEN mentioned THEN 'mentioned' ELSE 'unmentioned' END]) AS cohort FROM cases),
 k AS (SELECT cohort, unnest([1, 3, 5]) AS k, unnest([hit1, hit3, hit5]) AS h FROM c), s AS (SELECT cohort, k, CAST(sum(h::INT) AS BIGINT) AS hits, count(*) AS n FROM k GROUP BY ALL)
 SELECT cohort, k, hits, n, round(hits / n, 3) AS rate, {_LOW} AS low, {_HIGH} AS high FROM s""")
 def cohort_rates(spark, sf_dir):
     """Hit rates with intervals, of all cases and of two cohorts."""
-    return evaluation.rates(evaluation.cohorts(_cases(spark, sf_dir)), ["cohort"])
+    return evaluation.rates(evaluation.cohorts(doc_cases(spark, sf_dir)), ["cohort"])
 
 
-@query(f"""WITH {_CASES_SQL}, s AS (SELECT confidence, CAST(sum(hit1::INT) AS BIGINT) AS hits, count(*) AS n FROM cases GROUP BY confidence)
+@query(f"""WITH {CASES_SQL}, s AS (SELECT confidence, CAST(sum(hit1::INT) AS BIGINT) AS hits, count(*) AS n FROM cases GROUP BY confidence)
 SELECT confidence, hits, n, round(hits / n, 3) AS rate, {_LOW} AS low, {_HIGH} AS high FROM s""")
 def calibration(spark, sf_dir):
-    return evaluation.calibration(_cases(spark, sf_dir))
+    return evaluation.calibration(doc_cases(spark, sf_dir))
 
 
-@query(f"WITH {_CASES_SQL} SELECT mentioned, round(avg((hit5 AND NOT hit1)::INT), 3) AS misleading_rate, count(*) AS n FROM cases GROUP BY mentioned")
+@query(f"WITH {CASES_SQL} SELECT mentioned, round(avg((hit5 AND NOT hit1)::INT), 3) AS misleading_rate, count(*) AS n FROM cases GROUP BY mentioned")
 def misleading_top(spark, sf_dir):
-    return evaluation.misleading_top(_cases(spark, sf_dir), ["mentioned"])
+    return evaluation.misleading_top(doc_cases(spark, sf_dir), ["mentioned"])
 
 
 @query(f"""WITH s AS (SELECT nationkey AS n_nationkey, count(*) FILTER (good) AS hits, count(*) AS n FROM (SELECT c_nationkey AS nationkey, c_acctbal > 0 AS good FROM customer) GROUP BY 1)
@@ -915,7 +928,7 @@ def wilson_intervals(spark, sf_dir):
 _PAIRS = [("x", True, False)] * 4 + [("x", True, True)] * 3 + [("y", True, False)] * 5 + [("y", False, True)] * 2 + [("z", True, True)]
 
 
-@query("SELECT * FROM (VALUES ('x', 4::BIGINT, 0::BIGINT, 0.125::DOUBLE), ('y', 5, 2, 0.453125), ('z', 0, 0, 1.0)) AS v(cohort, only_a, only_b, p)")
+@by_hand("SELECT * FROM (VALUES ('x', 4::BIGINT, 0::BIGINT, 0.125::DOUBLE), ('y', 5, 2, 0.453125), ('z', 0, 0, 1.0)) AS v(cohort, only_a, only_b, p)")
 def mcnemar(spark, sf_dir):
     """Exact paired tests; expected values from the binomial tail."""
     return evaluation.mcnemar(spark.createDataFrame(_PAIRS, "cohort string, a boolean, b boolean"), "a", "b", ["cohort"])
@@ -940,8 +953,8 @@ sums AS (SELECT arm, policy, k, CAST(sum((first <= k)::INT) AS BIGINT) AS hits,
 
 
 def _policy_rates(spark, sf_dir):
-    files = written(_files(spark, sf_dir).drop("repo_id"))
-    bench = _bench(spark, sf_dir)
+    files = written(doc_files(spark, sf_dir).drop("repo_id"))
+    bench = passages(spark, sf_dir)
     expected = retrieval.holding(_docs(spark, sf_dir), bench).join(files.select(F.col("seq").alias("doc_id"), "path"), "doc_id").select("task_id", "path")
     return baselines.rates(baselines.arms(files, bench), written(expected))
 
@@ -972,14 +985,14 @@ def reader_order(spark, sf_dir):
 _POLICIES = [("s", "raw", 0.5, 0.7, 0.8), ("s", "source", 0.5, 0.8, 0.8), ("s", "code", 0.5, 0.8, 0.8), ("h", "code", 0.2, 0.2, 0.2), ("h", "raw", 0.1, 0.9, 0.9)]
 
 
-@query("SELECT * FROM (VALUES ('s', 'source'), ('h', 'code')) AS v(suite, policy)")
+@by_hand("SELECT * FROM (VALUES ('s', 'source'), ('h', 'code')) AS v(suite, policy)")
 def best_policy(spark, sf_dir):
     order = F.array_position(F.array(*map(F.lit, ("raw", "source", "code"))), F.col("policy"))
     rows = spark.createDataFrame(_POLICIES, "suite string, policy string, top1 double, top3 double, top5 double").withColumn("o", order)
     return evaluation.best_policy(rows, ["suite"], "o").select("suite", "policy")
 
 
-@query("SELECT * FROM (VALUES (0.333::DOUBLE, 2::BIGINT, 3::BIGINT)) AS v(false_confidence_rate, passed, n)")
+@by_hand("SELECT * FROM (VALUES (0.333::DOUBLE, 2::BIGINT, 3::BIGINT)) AS v(false_confidence_rate, passed, n)")
 def false_confidence(spark, sf_dir):
     return evaluation.false_confidence(spark.createDataFrame([("high", "low"), ("low", "low"), ("medium", "high")], "confidence string, max_confidence string"))
 
@@ -1010,12 +1023,12 @@ def secondary_recall(spark, sf_dir):
 @query(f"""WITH {S.FILES}, g AS (SELECT repo_id, string_split(path, '/')[1] AS scope, count(*) AS n FROM files GROUP BY ALL), h AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, scope) AS ord FROM g)
 SELECT repo_id, CAST(ord AS INTEGER) AS ord, scope, n FROM h WHERE ord <= 3""")
 def busiest_scopes(spark, sf_dir):
-    return diagnostics.busiest_scopes(_files(spark, sf_dir).select("repo_id", "path"))
+    return diagnostics.busiest_scopes(doc_files(spark, sf_dir).select("repo_id", "path"))
 
 
 @query(f"""WITH {S.FILES}, g AS (SELECT repo_id, count(*) AS n, count(*) FILTER ({S.is_generated('path')}) AS generated FROM files GROUP BY repo_id) SELECT * FROM g WHERE n >= 500 AND generated >= n * 0.05""")
 def generated_dominance(spark, sf_dir):
-    return diagnostics.generated_dominance(_files(spark, sf_dir), 500, 0.05)
+    return diagnostics.generated_dominance(doc_files(spark, sf_dir), 500, 0.05)
 
 
 @query("SELECT doc_id % 100 AS real_path, min(doc_id) AS seq FROM documents GROUP BY 1")
@@ -1028,7 +1041,7 @@ def linked_duplicates(spark, sf_dir):
 _LINKS = [("https://github.com/a/b/issues/12", "a", "b", "issues", 12), ("https://github.com/a-c/b.d/pull/3#x", "a-c", "b.d", "pull", 3), ("http://github.com/a/b/issues/1", None, None, None, None), ("https://evil.com/a/b/issues/1", None, None, None, None)]
 
 
-@query("SELECT * FROM " + X.sql_values(_LINKS, "url, owner, name, kind, number"))
+@by_hand("SELECT * FROM " + X.sql_values(_LINKS, "url, owner, name, kind, number"))
 def issue_links(spark, sf_dir):
     r = spark.createDataFrame([(u,) for u, *_ in _LINKS], "url string").withColumn("r", scan.issue_reference(F.col("url")))
     return r.select("url", "r.owner", "r.name", "r.kind", F.col("r.number").cast("int").alias("number"))
@@ -1037,12 +1050,12 @@ def issue_links(spark, sf_dir):
 _BYTES = [("utf8", "häß".encode()), ("le", "häß x".encode("utf-16-le")), ("le_mark", b"\xff\xfe" + "häß".encode("utf-16-le")), ("be_mark", b"\xfe\xff" + "ab".encode("utf-16-be")), ("mark", b"\xef\xbb\xbfhi")]
 
 
-@query("SELECT * FROM (VALUES ('utf8', 'häß'), ('le', 'häß x'), ('le_mark', 'häß'), ('be_mark', 'ab'), ('mark', 'hi')) AS v(label, text)")
+@by_hand("SELECT * FROM (VALUES ('utf8', 'häß'), ('le', 'häß x'), ('le_mark', 'häß'), ('be_mark', 'ab'), ('mark', 'hi')) AS v(label, text)")
 def decoded_text(spark, sf_dir):
     return spark.createDataFrame([(a, bytearray(b)) for a, b in _BYTES], "label string, content binary").select("label", scan.decode_text(F.col("content")).alias("text"))
 
 
-@query("SELECT * FROM (VALUES ('auth', 'test', '', 'auth'), ('auth', 'test:unit', '', 'auth'), ('auth', 'build', '', 'auth'), ('shop', 'test', 'packages/cart', '@shop/cart'), ('shop', 'tests:all', 'packages/price', '@shop/price')) AS v(repo_id, name, package_dir, package_name)")
+@by_hand("SELECT * FROM (VALUES ('auth', 'test', '', 'auth'), ('auth', 'test:unit', '', 'auth'), ('auth', 'build', '', 'auth'), ('shop', 'test', 'packages/cart', '@shop/cart'), ('shop', 'tests:all', 'packages/price', '@shop/price')) AS v(repo_id, name, package_dir, package_name)")
 def package_scripts(spark, sf_dir):
     return scan.package_scripts(X.code_files(spark)).select("repo_id", "name", "package_dir", "package_name")
 
@@ -1118,7 +1131,7 @@ def watch_verified(spark, sf_dir):
 _TIERS = [("see src/a/b.ts now", "src/a/b.ts", "full-path"), ("see a/b.ts now", "src/a/b.ts", "path-suffix"), ("see b.ts now", "src/a/b.ts", "basename"), ("see xb.ts now", "src/a/b.ts", "none"), ("lib/src/a/b.ts", "src/a/b.ts", "none"), ("https://github.com/o/r/blob/main/src/a/b.ts#L1", "src/a/b.ts", "full-path"), ("SRC/A/B.ts", "src/a/b.ts", "none")]
 
 
-@query("SELECT issue, path, tier FROM " + X.sql_values(_TIERS, "issue, path, tier"))
+@by_hand("SELECT issue, path, tier FROM " + X.sql_values(_TIERS, "issue, path, tier"))
 def mention_tiers(spark, sf_dir):
     """How much of an answer a task gives away; expected values by hand."""
     return spark.createDataFrame([t_[:2] for t_ in _TIERS], "issue string, path string").select("issue", "path", backtest.mention_tier(F.col("issue"), F.col("path")).alias("tier"))
@@ -1131,23 +1144,23 @@ def _past(spark):
     return spark.createDataFrame(_PAST, "repo_id string, hash string, message string, files array<string>")
 
 
-@query("SELECT * FROM (VALUES ('auth', 'too-few-terms', 1::BIGINT), ('auth', 'no-target', 1), ('auth', 'empty', 1)) AS v(repo_id, reason, n)")
+@by_hand("SELECT * FROM (VALUES ('auth', 'too-few-terms', 1::BIGINT), ('auth', 'no-target', 1), ('auth', 'empty', 1)) AS v(repo_id, reason, n)")
 def backtest_skips(spark, sf_dir):
     return backtest.cases(_past(spark), X.code_files(spark))[1]
 
 
-@query("SELECT * FROM (VALUES ('h1', 'src/session.ts'), ('h3', 'src/routes/login.ts'), ('h6', 'packages/price/src/index.ts')) AS v(task_id, path)")
+@by_hand("SELECT * FROM (VALUES ('h1', 'src/session.ts'), ('h3', 'src/routes/login.ts'), ('h6', 'packages/price/src/index.ts')) AS v(task_id, path)")
 def backtest_cases(spark, sf_dir):
     return backtest.cases(_past(spark), X.code_files(spark))[0].select("task_id", "path")
 
 
-@query("SELECT 'bm25' AS arm, cohort, k, hits, n FROM (VALUES ('all', 5, 3::BIGINT, 3::BIGINT), ('mentioned', 5, 1, 1), ('unmentioned', 5, 2, 2)) AS v(cohort, k, hits, n)")
+@by_hand("SELECT 'bm25' AS arm, cohort, k, hits, n FROM (VALUES ('all', 5, 3::BIGINT, 3::BIGINT), ('mentioned', 5, 1, 1), ('unmentioned', 5, 2, 2)) AS v(cohort, k, hits, n)")
 def repository_backtest(spark, sf_dir):
     """BM25 over past changes of two repositories in one job, at five files."""
     return backtest.backtest(_past(spark), X.code_files(spark)).where("k = 5").select("arm", "cohort", "k", "hits", "n")
 
 
-@query("SELECT * FROM (VALUES ('t2', 1, 'src/routes/login.ts')) AS v(task_id, rank, path)")
+@by_hand("SELECT * FROM (VALUES ('t2', 1, 'src/routes/login.ts')) AS v(task_id, rank, path)")
 def path_extraction(spark, sf_dir):
     return backtest.extracted_paths(task_signals(X.tasks(spark)), X.code_files(spark)).select("task_id", "rank", "path")
 
@@ -1320,7 +1333,7 @@ def verification_text(spark, sf_dir):
     return render.verification_markdown(spark.createDataFrame(rows, "plan_id string, ord int, code string, severity string, paths array<string>, area string"))
 
 
-@query("SELECT * FROM (VALUES ('p1', 1::BIGINT, 2::BIGINT, 0::BIGINT, true), ('p2', 0, 1, 1, false), ('p3', 0, 0, 0, false)) AS v(plan_id, errors, warnings, notes, failed)")
+@by_hand("SELECT * FROM (VALUES ('p1', 1::BIGINT, 2::BIGINT, 0::BIGINT, true), ('p2', 0, 1, 1, false), ('p3', 0, 0, 0, false)) AS v(plan_id, errors, warnings, notes, failed)")
 def verify_summary(spark, sf_dir):
     found = spark.createDataFrame([("p1", "error"), ("p1", "warning"), ("p1", "warning"), ("p2", "info"), ("p2", "warning")], "plan_id string, severity string")
     return reports.verify_summary(spark.createDataFrame([("p1",), ("p2",), ("p3",)], "plan_id string"), found)
@@ -1409,25 +1422,25 @@ def crate_routes(spark, sf_dir):
 
 # ---------------------------------------------------------------- readers of what tools print
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 'a.ts', false), (1, 'lib/sub', true), (2, 'ü b.ts', false)) AS v(seq, path, is_submodule)")
+@by_hand("SELECT * FROM (VALUES (0::BIGINT, 'a.ts', false), (1, 'lib/sub', true), (2, 'ü b.ts', false)) AS v(seq, path, is_submodule)")
 def git_listing(spark, sf_dir):
     out = [("r", "a.ts\0lib/sub\0a.ts\0ü b.ts\0", "100644 " + "0" * 40 + " 0\ta.ts\0" + "160000 " + "1" * 40 + " 0\tlib/sub\0")]
     return scan.git_listing(spark.createDataFrame(out, "repo_id string, listed string, staged string")).drop("repo_id")
 
 
-@query("SELECT * FROM (VALUES ('r', 'a.ts'), ('r', 'b/c.ts'), ('r', 'new.ts')) AS v(repo_id, path)")
+@by_hand("SELECT * FROM (VALUES ('r', 'a.ts'), ('r', 'b/c.ts'), ('r', 'new.ts')) AS v(repo_id, path)")
 def working_tree(spark, sf_dir):
     more = spark.createDataFrame([("r", "new.ts"), ("r", "a.ts"), ("other", "x")], "repo_id string, path string")
     return scan.working_tree(spark.createDataFrame([("r", "a.ts\r\nb\\c.ts\n\n")], "repo_id string, names string"), more)
 
 
-@query("SELECT * FROM (VALUES ('r', 'a.ts'), ('r', 'b.ts'), ('r', 'new.ts'), ('s', 'c.ts')) AS v(repo_id, path)")
+@by_hand("SELECT * FROM (VALUES ('r', 'a.ts'), ('r', 'b.ts'), ('r', 'new.ts'), ('s', 'c.ts')) AS v(repo_id, path)")
 def diff_paths(spark, sf_dir):
     d = spark.createDataFrame([("r", "diff --git a/a.ts b/a.ts\n+x\ndiff --git a/b.ts b/b.ts\n", None), ("s", "diff --git a/c.ts b/c.ts", "main..head")], "repo_id string, diff_text string, spec string")
     return scan.diff_paths(d, spark.createDataFrame([("r", "new.ts"), ("s", "new.ts")], "repo_id string, path string"))
 
 
-@query("SELECT * FROM (VALUES (1, 'docs/'), (3, 'a/b'), (6, '!keep')) AS v(n, pattern)")
+@by_hand("SELECT * FROM (VALUES (1, 'docs/'), (3, 'a/b'), (6, '!keep')) AS v(n, pattern)")
 def ignore_file(spark, sf_dir):
     values = ["docs/", "# note", "a\\b", "  ", "docs/", "  !keep "]
     return exclusion.parse_ignore_file(spark.createDataFrame(list(enumerate(values, 1)), "n int, value string"))
@@ -1436,7 +1449,7 @@ def ignore_file(spark, sf_dir):
 _REFS = [("main", True), ("feature/x-1", True), ("-x", False), ("a..b", False), ("a.lock", False), ("a.lock/b", False), ("@", False), ("a b", False), ("a/.b", False), ("x/", False), ("v1.0", True), ("a@{1}", False), ("", False), ("a//b", False)]
 
 
-@query(f"SELECT * FROM {X.sql_values(_REFS, 'ref, safe')}")
+@by_hand(f"SELECT * FROM {X.sql_values(_REFS, 'ref, safe')}")
 def safe_refs(spark, sf_dir):
     return spark.createDataFrame([(r,) for r, _ in _REFS], "ref string").select("ref", scan.is_safe_ref(F.col("ref")).alias("safe"))
 
@@ -1444,7 +1457,7 @@ def safe_refs(spark, sf_dir):
 _SHORT = [("o/r#12", "https://github.com/o/r/issues/12"), (" my-org/a.b_c#1", "https://github.com/my-org/a.b_c/issues/1"), ("12/r#3", None), ("o/r#0", None), ("-o/r#1", None), ("plan", None), ("https://github.com/o/r/pull/2", "https://github.com/o/r/pull/2")]
 
 
-@query(f"SELECT * FROM {X.sql_values(_SHORT, 'said, link')}")
+@by_hand(f"SELECT * FROM {X.sql_values(_SHORT, 'said, link')}")
 def issue_shorthands(spark, sf_dir):
     return spark.createDataFrame([(a,) for a, _ in _SHORT], "said string").select("said", scan.issue_shorthand(F.col("said")).alias("link"))
 
@@ -1458,13 +1471,16 @@ def snapshot_keys(spark, sf_dir):
 @query(f"WITH {S.FILES} SELECT path FROM files WHERE seq % 3 <> 0")
 def without_artifacts(spark, sf_dir):
     """Files less a command's own outputs (every third document)."""
-    f = _files(spark, sf_dir)
+    f = doc_files(spark, sf_dir)
     return scan.without_artifacts(f, f.where("seq % 3 = 0").select("repo_id", "path")).select("path")
 
 
-@query("SELECT * FROM (VALUES ('../x', 'outside'), ('big/one.ts', 'ignored'), ('none.ts', 'no-such-path'), ('src/a.ts', NULL)) AS v(path, cause)")
+@by_hand("SELECT * FROM (VALUES ('../x', 'outside'), ('big/one.ts', 'ignored'), ('none.ts', 'no-such-path'), ('src/a.ts', NULL)) AS v(path, cause)")
 def missing_paths(spark, sf_dir):
     """Why a path was not scanned."""
     k = lambda *x: spark.createDataFrame([("r", p) for p in x], "repo_id string, path string")
     asked = spark.createDataFrame([("r", p, s) for p, s in (("../x", "not-scanned"), ("big/one.ts", "not-scanned"), ("none.ts", "not-scanned"), ("src/a.ts", "ranked"))], "repo_id string, path string, status string")
     return plan.clarify_missing(asked, k("src/a.ts"), k("big/one.ts"), spark.createDataFrame([("other",)], "repo_id string")).select("path", "cause")
+
+
+from . import over_tables  # noqa: E402, F401  its queries register themselves

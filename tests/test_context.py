@@ -98,7 +98,7 @@ def test_pack_of_all_benchmark_tasks(spark):
     from lodestar.plans import catalogue as C
 
     got = sorted(tuple(r) for r in C.QUERIES["context_pack"](spark, SF).select("plan_id", "ord", "path", "start_line", "end_line", "estimated_tokens", "content", "omitted").collect())
-    tasks = C._bench(spark, SF).withColumn("repo_id", F.lit("docs")).withColumn("diff_text", F.lit(None).cast("string"))
+    tasks = C.passages(spark, SF).withColumn("repo_id", F.lit("docs")).withColumn("diff_text", F.lit(None).cast("string"))
     said = {r.task_id: (list(r.tokens), [*r.identifiers, *r.member_mentions]) for r in task_signals(tasks).collect()}
     texts = {str(r.doc_id): r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     assert got == plain_pack([(r[0], r[1], r[2], "primary") for r in got], texts, said, dict.fromkeys(said, 1000)) and len(got) > 50
