@@ -11,22 +11,23 @@ from pyspark.sql.types import ArrayType, FloatType
 from .common import col
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
-    """``(id, vec)`` of the vectors that take part, and their dimension.
+def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """``(id, vec)`` of the vectors that take part.
 
     Null, empty and zero vectors, those with a null or non-finite component, and rows
-    with a null id take no part; nor do vectors of another than the most common length,
-    whose products with the others are not defined.  Floats stay floats on the way
-    (half the bytes, the same numbers); all arithmetic is in double precision.
+    with a null id take no part.  Floats stay floats on the way (half the bytes, the same
+    numbers); all arithmetic is in double precision.
     """
     kind = vectors.schema[vec_col].dataType
     single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
     v = vectors.select(col(id_col).cast("bigint").alias("id"), col(vec_col).cast("array<float>" if single else "array<double>").alias("vec")).where("id is not null and vec is not null")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-    v = v.where(F.forall("vec", finite) & F.exists("vec", lambda x: x != 0))
-    sizes = v.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim = sizes[0].d if sizes else 0
-    return v.where(F.size("vec") == dim), dim
+    return v.where(F.forall("vec", finite) & F.exists("vec", lambda x: x != 0))
+
+
+def lengths(v: DataFrame, least: int = 2) -> list[int]:
+    """Lengths that at least so many vectors have; products of vectors of different lengths are not defined."""
+    return sorted(r.d for r in v.groupBy(F.size("vec").alias("d")).count().where(F.col("count") >= least).select("d").collect())
 
 
 def sample(v: DataFrame, n: int) -> np.ndarray:

@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 
@@ -125,19 +127,83 @@ def test_itq_recall_at_the_threshold(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(10_000, 20_000))
 
 
+def shaped(kind, n=20_000, pairs=1500, d=64, seed=11):
+    """Vectors, of which i and pairs + i have a cosine of 0.90 to 0.93; ``kind`` is a mean cosine, or "flat": 12 effective dimensions."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, d))
+    spread = np.eye(d)
+    if kind == "flat":
+        spread = np.diag(np.r_[np.ones(12), np.full(d - 12, 0.03)])
+        x = x @ spread
+    elif kind:
+        x += np.sqrt(d * kind / (1 - kind)) * np.eye(d)[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(pairs):
+        c, w = r.uniform(0.9, 0.93), r.normal(size=d) @ spread
+        w -= w @ x[i] * x[i]
+        x[pairs + i] = c * x[i] + (1 - c * c) ** 0.5 * w / np.linalg.norm(w)
+    return x * r.lognormal(0, 0.5, size=(n, 1))
+
+
+@pytest.mark.parametrize("kind", [0.46, 0.57, 0.67, "flat"])
+def test_itq_recall_whatever_the_shape(spark, tmp_path, kind):
+    x = shaped(kind)
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), x.shape[1]).cast(pa.list_(pa.float64()))}), f"{tmp_path}/x.parquet")
+    df = spark.read.parquet(f"{tmp_path}/x.parquet").repartition(4)
+    got = {r.vec_id: r for r in itq.near_duplicates(df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = np.array([np.count_nonzero(u @ u[i] >= 0.9) - 1 for i in range(3000)])
+    mine = np.array([got[i].n_links for i in range(3000)])
+    assert (mine <= links).all() and mine.sum() >= 0.95 * links.sum()
+    assert sum(got[i].component_id == got[1500 + i].component_id for i in range(1500)) >= 0.95 * 1500
+
+
+@pytest.mark.parametrize("kind", [0, 0.67, "flat"])
+def test_itq_groups_are_hardly_larger_than_what_links(kind):
+    x = shaped(kind, n=12_000)
+    mean, turn = itq.learn(x[:4096])
+    short, _, tables, flips, within = itq.plan(x[:4096], mean, turn, 0.9)
+    assert not short
+    codes, small, ids = itq.encode(x, mean, turn), itq.reduced(x), np.arange(len(x))
+    edges = [itq.candidates(ids, codes, small, t, flips, within, 0.9) for t in range(tables)]
+    a, b = (np.concatenate(e) for e in zip(*edges))
+    low = itq._roots(len(x), a, b, ids)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    q, h = np.nonzero(np.triu(u @ u.T >= 0.88 - itq.SLACK, 1))
+    true = itq._roots(len(x), q, h, ids)
+    assert np.bincount(low).max() <= max(2, np.bincount(true).max())
+
+
 def test_itq_candidates_are_those_of_the_table():
     """What a table finds connects as brute force over its substrings does, with leaders or without."""
     r = np.random.default_rng(3)
-    codes = r.integers(0, 2**16, (400, 16)).astype("<u2")
-    codes[:, 2] = r.integers(0, 8, 400)  # crowded substrings
-    codes[100:160] = codes[100]
-    codes[100:160, 7] ^= (1 << r.integers(0, 16, 60)).astype("<u2")
-    ids = np.arange(400) * 10
-    u, v = itq.candidates(ids, codes, 2, 76)
-    low = groups(400, lambda i, j: (codes[i, 2] ^ codes[j, 2]).item().bit_count() <= 1 and int(np.bitwise_count(codes[i] ^ codes[j]).sum()) <= 76)
-    root = {i * 10: i * 10 for i in range(400)} | dict(zip(u.tolist(), v.tolist()))
-    for i in range(400):  # all that brute force connects is connected
-        assert root[i * 10] == root[low[i] * 10]
+    x = r.normal(size=(400, 64))
+    x[100:160] = x[100] + r.normal(size=(60, 64)) * 0.05
+    x[200:300] = x[300:400] + r.normal(size=(100, 64)) * 0.3
+    mean, turn = itq.learn(x)
+    codes, small, ids = itq.encode(x, mean, turn), itq.reduced(x), np.arange(400) * 10
+    codes = codes.copy()
+    codes[:, 2] = (codes[:, 2] & 7) | (codes[:, 2] & 0x8000)  # crowded substrings
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for flips in (0, 1, 2):
+        a, b = itq.candidates(ids, codes, small, 2, flips, 90, 0.9)
+        near = lambda i, j: (codes[i, 2] ^ codes[j, 2]).item().bit_count() <= flips and int(np.bitwise_count(codes[i] ^ codes[j]).sum()) <= 90 and u[i] @ u[j] >= 0.9  # noqa: B023, E731
+        low = groups(400, near)
+        root = {i * 10: i * 10 for i in range(400)} | dict(zip(a.tolist(), b.tolist()))
+        for i in range(400):  # all that brute force connects is connected
+            assert root[i * 10] == root[low[i] * 10]
+
+
+def test_itq_vectors_of_several_lengths(spark):
+    r = np.random.default_rng(9)
+    rows = []
+    for d, n in ((64, 50), (32, 3), (8, 40), (5, 1)):
+        base = r.normal(size=(n, d))
+        if d == 32:
+            base = base[:1] + r.normal(size=(n, d)) * 0.01
+        rows += [(len(rows) + i, v.tolist()) for i, v in enumerate(base)]
+    got = {x.vec_id: x for x in itq.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert [got[i].n_links for i in (50, 51, 52)] == [2, 2, 2] and got[52].component_id == 50 and got[93].n_links == 0 and len(got) == 94
 
 
 def test_itq_of_odd_vectors(spark):

@@ -221,6 +221,34 @@ def test_neighbours_recall(spark):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["unit", "lengths 0.3", "lengths 0.6", "common direction", "clusters"])
+def test_neighbours_recall_whatever_the_shape(spark, kind):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(12_000, 64))
+    if kind == "common direction":
+        x[:, 0] += 10
+    elif kind == "clusters":
+        x = r.normal(size=(30, 64))[r.integers(0, 30, 12_000)] * 2 + x
+    else:
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind.startswith("lengths"):
+        x *= r.lognormal(0, float(kind.split()[1]), size=(len(x), 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for g in ann.search(df, F.expr("id % 60 = 0")).collect():
+        got.setdefault(g.query_id, set()).add(g.vec_id)
+    s = x[::60] @ x.T
+    s[np.arange(200), np.arange(0, 12_000, 60)] = -np.inf
+    hits = sum(len(got[60 * q] & set(np.argsort(-s[q])[:20].tolist())) for q in range(200))
+    assert len(got) == 200 and hits >= 0.9 * 200 * 20
+
+
+def test_neighbours_of_several_lengths(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(5)] + [(5 + i, [1.0, float(i), 2.0]) for i in range(4)] + [(9, [1.0])]
+    got = [(g.query_id, g.vec_id) for g in ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.expr("id in (1, 6, 9)"), k=2).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 4), (1, 3), (6, 8), (6, 7)]
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (20, [0.0, 1.0]), (None, [1.0, 1.0]), (0, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("id", F.lit(7))
