@@ -24,6 +24,8 @@ LEAST = 16
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Log-likelihood ratio a character, in nats, that a candidate must exceed, and the ratio in all.
 PER_CHAR, IN_ALL = 0.7, 20.0
+#: Share of ordinary strings of a kind, under a model that knows half of them, that stay under what its candidates must exceed.
+QUIET = 0.985
 #: Bounds of what ordinary strings are learned from: documents, read whole, and words in all.
 SAMPLE_DOCS, SAMPLE_WORDS = 400, 200_000
 #: A word of training is a whole run of so many letters: a longer one is no ordinary word.
@@ -58,11 +60,18 @@ def _bigrams(samples: list[str], smooth: float = 0.5) -> np.ndarray:
     return np.log(counts / counts.sum(1, keepdims=True))
 
 
-def random_samples(n: int = 3000, seed: int = 7) -> list[str]:
-    """Labelled positives: strings as key generators make them."""
+#: Alphabets of key generators; each has a model of its own, so that a string of one case is held against such strings.
+GENERATORS = {
+    "hex": "0123456789abcdef", "lower": ALPHABET[26:52], "upper": ALPHABET[:26], "letters": ALPHABET[:52], "lower36": ALPHABET[26:62],
+    "upper36": ALPHABET[:26] + ALPHABET[52:62], "base62": ALPHABET[:62], "base64": ALPHABET[:64], "url64": ALPHABET[:62] + "_-",
+}
+
+
+def random_samples(n: int = 9000, seed: int = 7) -> list[str]:
+    """Labelled positives: strings as key generators make them, each generator in turn."""
     rnd = random.Random(seed)
-    kinds = ("0123456789abcdef", ALPHABET[:62], ALPHABET[:64], ALPHABET[:62] + "_-", ALPHABET[:26] + ALPHABET[52:62])
-    return ["".join(rnd.choices(rnd.choice(kinds), k=rnd.randint(20, 64))) for _ in range(n)]
+    kinds = list(GENERATORS.values())
+    return ["".join(rnd.choices(kinds[i % len(kinds)], k=rnd.randint(LEAST, 64))) for i in range(n)]
 
 
 def ordinary_samples(texts: list[str], seed: int = 7) -> list[str]:
@@ -77,43 +86,56 @@ def ordinary_samples(texts: list[str], seed: int = 7) -> list[str]:
         out.append(some[0].lower() + "".join(w.title() for w in some[1:]))
         out.append("_".join(some).upper())
         out.append("/".join(some) + str(rnd.randint(0, 99)))
+    for _ in range(2000):  # names of versions, builds and times
+        some, number = [rnd.choice(words) for _ in range(rnd.randint(1, 3))], lambda: str(rnd.randint(0, rnd.choice((9, 99, 2100))))
+        out.append(rnd.choice("-_").join([*some, *(number() for _ in range(rnd.randint(1, 4))), rnd.choice(words)]))
+        out.append("-".join([f"{rnd.randint(1990, 2030)}", *(f"{rnd.randint(0, 59):02d}" for _ in range(rnd.randint(1, 2)))]) + rnd.choice((f"T{rnd.randint(0, 23):02d}-{rnd.randint(0, 59):02d}-{rnd.randint(0, 59):02d}Z", "")) + "-" + "-".join(some))
     out += [rnd.choice("-_=+/") * rnd.randint(2, 80) for _ in range(300)] + [str(rnd.randint(0, 10**rnd.randint(1, 30))) for _ in range(1500)]
     return out
 
 
-def _total(ratio: np.ndarray, s: str) -> float:
-    c = _codes(s)
-    return float(ratio[np.concatenate(([len(ALPHABET)], c[:-1])), c].sum())
-
-
-def _kind(s: str) -> tuple[bool, bool]:
-    """Whether it has a digit, and 20 characters."""
-    return any(c.isdigit() for c in s), len(s) >= 20
+def _kind(s: str) -> tuple[bool, bool, int]:
+    """Whether it has a digit and both cases, and its length in steps of eight up to 32: strings whose ratios are alike."""
+    return any(c.isdigit() for c in s), any(c.isupper() for c in s) and any(c.islower() for c in s), min(len(s) // 8, 4)
 
 
 class MarkovSecrets:
-    """Two first-order models over characters; a string is random if the ratio is high enough.
+    """First-order models over characters: one of each generator of random strings, and one of ordinary strings.
 
-    Strings without a digit, and those of under 20 characters, must also exceed what any
-    ordinary string of their kind reached under a model that had not learned it.
+    A candidate's ratio is that of the likeliest generator.  It must exceed PER_CHAR a
+    character, IN_ALL in all, and what QUIET of the ordinary strings of its kind reach at
+    most under a model that had not learned them.  Strings among the ordinary ones that
+    the first fit calls random are left out of the second, so that secrets in the texts
+    that words are taken from raise nothing.
     """
 
     def __init__(self, randoms: list[str], ordinary: list[str]):
-        r = _bigrams(randoms)
-        self.ratio = r - _bigrams(ordinary)
-        self.least: dict[tuple[bool, bool], float] = {}
+        n = len(GENERATORS)
+        self.random = np.stack([_bigrams(randoms[i::n]) for i in range(n)])
+        self._fit(ordinary)
+        left = [s for s in ordinary if not self.is_secret(s)]
+        if len(left) < len(ordinary):
+            self._fit(left)
+
+    def _fit(self, ordinary: list[str]) -> None:
+        self.ordinary, seen = _bigrams(ordinary), {}
         for k in (0, 1):
-            half = r - _bigrams(ordinary[k::2])
+            half = _bigrams(ordinary[k::2])
             for s in ordinary[1 - k :: 2]:
-                kind = _kind(s)
-                if LEAST <= len(s) and kind != (True, True):
-                    self.least[kind] = max(self.least.get(kind, PER_CHAR), _total(half, s) / len(s))
+                if len(s) >= LEAST and any(c.isalpha() for c in s):
+                    seen.setdefault(_kind(s), []).append(self._ratio(s, half) / len(s))
+        self.least = {kind: max(PER_CHAR, float(np.quantile(v, QUIET))) for kind, v in seen.items()}
+
+    def _ratio(self, s: str, ordinary: np.ndarray) -> float:
+        c = _codes(s)
+        before = np.concatenate(([len(ALPHABET)], c[:-1]))
+        return float(self.random[:, before, c].sum(1).max() - ordinary[before, c].sum())
 
     def score(self, s: str) -> float:
-        return _total(self.ratio, s)
+        return self._ratio(s, self.ordinary)
 
     def is_secret(self, s: str) -> bool:
-        if not any(c.isalpha() for c in s):
+        if len(s) < LEAST or not any(c.isalpha() for c in s):
             return False
         r = self.score(s)
         return r > IN_ALL and r > self.least.get(_kind(s), PER_CHAR) * len(s)
