@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import col, materialize
 
-UNKNOWN = "unknown"
+UNKNOWN, RESERVED = "unknown", "proprietary"
 #: Notices of each family, as they stand in files.
 TEMPLATES = {
     "apache": (
@@ -42,6 +42,39 @@ TEMPLATES = {
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "GPL-3.0-or-later",
         "GPL-3.0",
+        "This program is licensed under the GNU General Public License, version 2.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "GPL-2.0",
+    ),
+    "lgpl": (
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-3.0-only",
+        "LGPL-3.0",
+    ),
+    "agpl": (
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "AGPL-3.0",
+    ),
+    "epl": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+        "EPL-2.0",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+        "SPDX-License-Identifier: ISC",
+        "ISC License",
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "SPDX-License-Identifier: Unlicense",
+        "The Unlicense",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
@@ -66,6 +99,18 @@ TEMPLATES = {
         "SPDX-License-Identifier: CC-BY-4.0",
         "CC BY 4.0",
     ),
+    "cc-by-sa": (
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
+        "CC BY-SA 4.0",
+    ),
+    "cc-by-nd": (
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-ND-4.0",
+        "CC BY-ND 4.0",
+    ),
     "proprietary": (
         "All rights reserved.",
         "Copyright. All rights reserved. Reproduction without written permission is prohibited.",
@@ -87,9 +132,24 @@ OTHERS = (
     "The source code of the project is in binary form.",
     "Redistribution of wealth is subject to the public debate.",
     "Copyright law in the country changed.",
+    "SPDX-License-Identifier: Zlib",
+    "SPDX-License-Identifier: BSL-1.0",
+    "SPDX-License-Identifier: CDDL-1.0",
+    "Boost Software License, Version 1.0.",
+    "Licensed under the Artistic License, Version 2.0.",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "This software is provided as is, without any express or implied warranty.",
+    "Permission is granted to anyone to use this software for any purpose.",
 )
 #: Words that stand in most texts.
 COMMON = frozenset("a all and any are as be by can following for form free in is it may met not of or provided that the this to use under using version with without work you later".split())
+#: Words that name a licence or a version; a notice is confirmed only by a text that holds all of its own.
+NAMES = frozenset(
+    "apache mit gnu gpl lgpl agpl affero lesser mozilla mpl bsd isc unlicense unencumbered eclipse epl cc by nc sa nd creative commons attribution noncommercial sharealike noderivatives "
+    "charge fee redistribution reserved general 0 1 2 3 4".split())
+#: Words that make another licence of a notice that lacks them; ``negated`` stands for a clause that says what is not so.
+MODIFIERS = "affero lesser library sharealike sa noderivatives noderivs nd noncommercial nc negated".split()
+NEGATED = r"(?:^| )(?:not|never|no longer)(?: (?:be|been|being|is|are))? (?:licensed|released|available|covered|distributed|governed|provided|published)(?: [a-z0-9]+){0,12}"
 OVERLAP = 0.8  # least share of a notice's distinct words that a text must hold to confirm it
 SCALE = 1024  # weights are whole numbers of 1 / SCALE, so sums are exact in any order
 MAX_NGRAMS = 4096
@@ -98,6 +158,7 @@ MAX_NGRAMS = 4096
 WINDOWS = (8, 16, 32, 64)
 #: Most unknown held-out samples, as a share, that may be called a family.
 FALSE_ALARMS = 0.005
+LOST = 0.005  # most held-out notices, as a share, that the threshold may cost
 
 
 def words_of(text: str) -> list[str]:
@@ -111,23 +172,34 @@ def ngrams(words: list[str]) -> set[str]:
 FAMILIES = (UNKNOWN, *TEMPLATES)
 
 
+def marks(notice: str) -> tuple[list[str], list[str]]:
+    """Words that a text must hold for this notice, and words that it must not."""
+    own = set(words_of(notice))
+    return sorted(own & NAMES), sorted(set(MODIFIERS) - own)
+
+
 @functools.cache
 def gate() -> tuple[str, ...]:
     """Words of which every text that any notice confirms holds one at least.
 
-    A text that holds OVERLAP of a notice's n distinct words lacks n - ceil(OVERLAP * n)
-    at most, so it holds one of any n - ceil(OVERLAP * n) + 1 of them.  So many are taken
-    of each notice, shared ones first, numbers and COMMON ones last.
+    Such a text holds all names of the notice, so one of them is enough; and it lacks
+    n - ceil(OVERLAP * n) of its n words at most, so one more than that of any are enough.
+    Words are taken until every notice has enough, shared ones first; numbers, COMMON
+    words and words of three letters stand in ordinary texts and come last.
     """
-    notices = [set(words_of(t)) for ts in TEMPLATES.values() for t in ts]
-    need = [len(w) - math.ceil(OVERLAP * len(w) - 1e-9) + 1 for w in notices]
-    chosen: list[str] = []
-    while any(n > 0 for n in need):
-        useful = lambda w: sum(n > 0 and w in t for t, n in zip(notices, need))
-        open_ = sorted({w for t, n in zip(notices, need) if n > 0 for w in t} - set(chosen))
-        best = max(open_, key=lambda w: (not w.isdigit() and w not in COMMON, useful(w), len(w), w))
-        chosen.append(best)
-        need = [n - (best in t) for t, n in zip(notices, need)]
+    notices = [(set(words_of(t)), set(marks(t)[0])) for t in sum(TEMPLATES.values(), ())]
+    more = lambda words: len(words) - math.ceil(OVERLAP * len(words) - 1e-9) + 1
+    rare = lambda w: not w.isdigit() and w not in COMMON and len(w) > 3
+    chosen: set[str] = set()
+    while open_ := [n for n in notices if not n[1] & chosen and len(n[0] & chosen) < more(n[0])]:
+        useful = {}
+        for words, names in open_:
+            few = [w for w in words if rare(w) and (w in names or more(words) == 1)] or [w for w in words if rare(w)]
+            if len([w for w in words if rare(w)]) < more(words) and not any(w in names for w in few):
+                few = [w for w in names if not w.isdigit()] or list(names)
+            for w in set(few) - chosen:
+                useful[w] = useful.get(w, 0) + 1
+        chosen.add(max(sorted(useful), key=lambda w: (rare(w), w not in COMMON, useful[w], len(w))))
     return tuple(sorted(chosen))
 
 
@@ -167,7 +239,8 @@ def model(seed: int = 5, steps: int = 200) -> tuple[dict[str, tuple[int, ...]],
     """Weights of each n-gram and biases, by family in the order of FAMILIES, in units of 1 / SCALE; the threshold.
 
     Calibrated on samples of another seed: logits are divided by the temperature of the
-    greatest likelihood there, and the threshold is the least at which no more than
+    greatest likelihood there.  The threshold is the greatest that loses no more than LOST
+    of the notices that are rightly called, and at least the one above which no more than
     FALSE_ALARMS of the unknown ones are called a family.
     """
     data = samples(seed)
@@ -188,7 +261,10 @@ def model(seed: int = 5, steps: int = 200) -> tuple[dict[str, tuple[int, ...]],
     q = np.rint(w / heat * SCALE).astype(int)
     p = _softmax(_rows(held, at) @ q / SCALE)[k == 0]
     called = np.where(p.argmax(1) > 0, p.max(1), 0)
-    threshold = next(t / 100 for t in range(30, 100) if (called >= t / 100).mean() <= FALSE_ALARMS)
+    quiet = next(t for t in range(1, 100) if (called >= t / 100).mean() <= FALSE_ALARMS)
+    p = _softmax(_rows(held, at) @ q / SCALE)
+    right = p[np.arange(len(k)), k][(k > 0) & (p.argmax(1) == k)]
+    threshold = max([quiet, *(t for t in range(1, 100) if (right < t / 100).mean() <= LOST)]) / 100
     return {g: tuple(q[i].tolist()) for g, i in at.items()}, tuple(q[-1].tolist()), threshold
 
 
@@ -209,7 +285,12 @@ def _scored(kinds: DataFrame) -> DataFrame:
     scored = scored.withColumn("predicted", F.when(F.col("probability") >= threshold, F.col("best")).otherwise(UNKNOWN))
     overlaps = []
     for family, texts in TEMPLATES.items():
-        parts = [F.size(F.array_intersect("words", F.array(*map(F.lit, sorted(set(words_of(t))))))) / F.lit(len(set(words_of(t)))) for t in texts]
+        parts = []
+        for t in texts:
+            must, never = marks(t)
+            share = F.size(F.array_intersect("words", F.array(*map(F.lit, sorted(set(words_of(t))))))) / F.lit(len(set(words_of(t))))
+            fits = functools.reduce(lambda c, w: c & F.array_contains("words", w), must, ~F.arrays_overlap("words", F.array(*map(F.lit, never))))
+            parts.append(F.when(fits, share).otherwise(0.0))
         overlaps.append((family, F.greatest(*parts, F.lit(0.0))))
     overlap = functools.reduce(lambda c, fo: c.when(F.col("predicted") == fo[0], fo[1]), overlaps[1:], F.when(F.col("predicted") == overlaps[0][0], overlaps[0][1])).otherwise(0.0)
     return scored.withColumn("overlap", F.round(overlap, 6)).withColumn("family", F.when(F.col("overlap") >= OVERLAP, F.col("predicted")).otherwise(UNKNOWN)).drop("best")
@@ -233,6 +314,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     blocks = docs.select(col(id_col).alias("doc_id"), F.posexplode(F.split(col(text_col), BLANK)).alias("paragraph", "block"))
     plain = F.lower(F.array_join(F.regexp_extract_all("block", F.lit("[A-Za-z0-9]+"), F.lit(0)), " "))  # ASCII by now
+    plain = F.regexp_replace(plain, NEGATED, " negated")
     blocks = blocks.select("doc_id", "paragraph", F.split(plain, " ").alias("all"))
     words = F.array(*map(F.lit, gate()))
     blocks = materialize(blocks.where(F.arrays_overlap("all", words)).withColumn("pid", F.sha2(F.array_join("all", " "), 256)))  # read twice
@@ -243,8 +325,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     best = parts.join(_scored(parts.select("words").distinct()), "words")
     rank = F.struct("overlap", "probability", "predicted")
     best = best.groupBy("pid", "family").agg(F.max(rank).alias("r"))
-    known = best.groupBy("pid").agg(F.bool_or(F.col("family") != UNKNOWN).alias("known"))
-    best = materialize(best.join(known, "pid").where(~F.col("known") | (F.col("family") != UNKNOWN)).select("pid", "family", "r"))
+    # reserved rights stand in most headers: with another licence in the paragraph they say nothing more
+    named = ~F.col("family").isin(UNKNOWN, RESERVED)
+    known = best.groupBy("pid").agg(F.bool_or(F.col("family") != UNKNOWN).alias("known"), F.bool_or(named).alias("named"))
+    kept = (~F.col("known") | (F.col("family") != UNKNOWN)) & ~(F.col("named") & (F.col("family") == RESERVED))
+    best = materialize(best.join(known, "pid").where(kept).select("pid", "family", "r"))
     return blocks.select("doc_id", "paragraph", "pid").join(best, "pid").select("doc_id", "paragraph", "r.predicted", "r.probability", "r.overlap", "family")
 
 
@@ -263,8 +348,9 @@ def oracle_sql() -> str:
     for family, texts in TEMPLATES.items():
         parts = []
         for t in texts:
-            own = sorted(set(words_of(t)))
-            parts.append(f"len(list_intersect(words, [{', '.join(map(q, own))}])) / {len(own)}.0::DOUBLE")
+            own, (must, never) = sorted(set(words_of(t))), marks(t)
+            held = f"list_has_all(words, [{', '.join(map(q, must))}]) AND " if must else ""
+            parts.append(f"CASE WHEN {held}NOT list_has_any(words, [{', '.join(map(q, never))}]) THEN len(list_intersect(words, [{', '.join(map(q, own))}])) / {len(own)}.0::DOUBLE ELSE 0.0 END")
         over.append(f"WHEN predicted = {q(family)} THEN greatest(0.0, {', '.join(parts)})")
     rows = ", ".join(f"({q(g)}, {list(w)})" for g, w in sorted(weights.items()))
     windows = "\nUNION ALL ".join(f"SELECT ws, unnest([ws[i * {w // 2} + 1:i * {w // 2} + {w}] FOR i IN range(0, greatest(0, CAST(ceil((len(ws) - {w}) / {w / 2})  AS BIGINT)) + 1)]) AS words FROM whole" for w in WINDOWS)
@@ -272,7 +358,7 @@ def oracle_sql() -> str:
 WITH model(gram, w) AS (VALUES {rows}),
 docs AS (SELECT doc_id, string_split_regex(text, '\\n(?:[^A-Za-z0-9\\n]*\\n)+') AS bs FROM documents),
 blocks AS (SELECT doc_id, unnest(range(0, len(bs))) AS paragraph, unnest(bs) AS block FROM docs),
-listed AS (SELECT doc_id, paragraph, string_split(trim(lower(regexp_replace(block, '[^A-Za-z0-9]+', ' ', 'g'))), ' ') AS ws FROM blocks),
+listed AS (SELECT doc_id, paragraph, string_split(regexp_replace(trim(lower(regexp_replace(block, '[^A-Za-z0-9]+', ' ', 'g'))), {q(NEGATED)}, ' negated', 'g'), ' ') AS ws FROM blocks),
 hits AS (SELECT * FROM listed WHERE {gated('ws')}),
 whole AS (SELECT DISTINCT ws FROM hits),
 parts AS (SELECT DISTINCT ws, words FROM (SELECT ws, ws AS words FROM whole
@@ -286,6 +372,6 @@ r AS (SELECT *, CASE WHEN probability >= {threshold} THEN best ELSE '{UNKNOWN}'
 o AS (SELECT *, round(CASE {' '.join(over)} ELSE 0.0 END, 6) AS overlap FROM r),
 f AS (SELECT *, CASE WHEN overlap >= {OVERLAP} THEN predicted ELSE '{UNKNOWN}' END AS family FROM o),
 b AS (SELECT ws, family, overlap, probability, predicted, row_number() OVER (PARTITION BY ws, family ORDER BY overlap DESC, probability DESC, predicted DESC) AS k,
-  bool_or(family <> '{UNKNOWN}') OVER (PARTITION BY ws) AS known FROM parts JOIN f USING (words))
+  bool_or(family <> '{UNKNOWN}') OVER (PARTITION BY ws) AS known, bool_or(family NOT IN ('{UNKNOWN}', '{RESERVED}')) OVER (PARTITION BY ws) AS named FROM parts JOIN f USING (words))
 SELECT h.doc_id, CAST(h.paragraph AS INTEGER) AS paragraph, b.predicted, b.probability, b.overlap, b.family
-FROM hits h JOIN b USING (ws) WHERE b.k = 1 AND (NOT b.known OR b.family <> '{UNKNOWN}')"""
+FROM hits h JOIN b USING (ws) WHERE b.k = 1 AND (NOT b.known OR b.family <> '{UNKNOWN}') AND NOT (b.named AND b.family = '{RESERVED}')"""
