@@ -24,6 +24,7 @@ CELL = 64  # bytes pooled together; a chunk is CHUNK cells, and starts every STE
 CHUNK, STEP = 4, 2
 #: Bounds of the labelled sample: documents a class, and chunks a document.
 SAMPLE_DOCS = 1200
+SAMPLE_CHARS = 100_000  # of a text that is learned from, at most
 SAMPLE_CHUNKS = 12
 EPOCHS = 8
 
@@ -162,16 +163,19 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, left_out: int, most: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, left_out: int, most: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", longest: int = SAMPLE_CHARS) -> DataFrame:
     """``(text, label)`` of at most ``most`` labelled documents of each class outside the fold left out, by hash of the id.
 
     Labels other than 0 and 1 and null ids count for nothing; an id with both labels
-    stands in both classes.  Only the columns named are read of either table.
+    stands in both classes.  Rows that repeat an id count once, by the greatest text, and
+    texts of over ``longest`` characters are not learned from, so rows and bytes are
+    bounded.  Only the columns named are read of either table.
     """
     known = labels.select(col(id_col).alias("i"), col(label).alias("label")).where(F.col("label").isin(0, 1) & (F.pmod(F.crc32(F.col("i").cast("string")), F.lit(fold)) != left_out)).distinct()
     parts = [known.where(F.col("label") == y).orderBy(F.xxhash64("i"), "i").limit(most) for y in (0, 1)]
     few = F.broadcast(parts[0].union(parts[1]))  # at most 2 * most ids
-    return docs.select(col(id_col).alias("i"), col(text_col).alias("text")).join(few, "i").select("text", "label")
+    found = docs.select(col(id_col).alias("i"), col(text_col).alias("text")).where(F.coalesce(F.length("text"), F.lit(0)) <= longest).join(few, "i")
+    return found.groupBy("i", "label").agg(F.max("text").alias("text")).select("text", "label")
 
 
 def score(docs: DataFrame, model: ByteCNN, text_col: str = "text", name: str = "score") -> DataFrame:

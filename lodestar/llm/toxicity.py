@@ -23,6 +23,7 @@ from .quality import with_column, with_field
 
 #: Bounds of the samples of positives and of unlabelled documents.
 POSITIVES, UNLABELLED = 1500, 3000
+SAMPLE_CHARS = 100_000  # of a text that is learned from, at most
 #: Texts of the positives that a feature must occur in (so many, and this share), and its rate there against unlabelled text.
 MIN_TEXTS, MIN_LIFT = (3, 0.005), 5.0
 #: Features of a smaller weight are left out of the second fit.
@@ -141,12 +142,14 @@ def fit(positives: list[str], unlabelled: list[str], prior: float) -> PUModel:
     return PUModel({f: float(x) for f, x in zip(chosen, w)}, b)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 4, left_out: int = 2, id_col: str = "doc_id", text_col: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> PUModel:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 4, left_out: int = 2, id_col: str = "doc_id", text_col: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED, longest: int = SAMPLE_CHARS) -> PUModel:
     """Labels are read outside the fold left out only; the samples are bounded, by hash of the id.
 
     The prior is the share of toxic rows among those labels.  Labels other than 0 and 1,
     null ids and null texts count for nothing; without any positive everything scores the
-    prior.  Only the columns named are read of either table.
+    prior.  Rows that repeat an id count once, by the greatest text, and texts of over
+    ``longest`` characters are not learned from, so rows and bytes are bounded.  Only the
+    columns named are read of either table.
     """
     known = labels.select(col(id_col).alias("i"), col(label).alias("y")).where(F.col("y").isin(0, 1) & (F.pmod(F.crc32(F.col("i").cast("string")), F.lit(fold)) != left_out))
     share = known.agg(F.avg(F.col("y").cast("double"))).first()[0]
@@ -155,7 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int =
     toxic = known.where("y = 1").select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(positives)
     others = d.where("i is not null").select("i").distinct().orderBy(F.xxhash64("i", F.lit(1)), "i").limit(unlabelled)
     few = F.broadcast(toxic.withColumn("p", F.lit(1)).union(others.withColumn("p", F.lit(0))))  # a bounded number of ids
-    rows = d.join(few, "i").select("text", "p").dropna().collect()
+    # a row of each id, and no text too long to hold
+    rows = d.where(F.length("text") <= longest).join(few, "i").groupBy("i", "p").agg(F.max("text").alias("text")).select("text", "p").collect()
     return fit([r[0] for r in rows if r[1] == 1], [r[0] for r in rows if r[1] == 0], prior)
 
 
