@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -95,11 +95,12 @@ def verify(plans: DataFrame, planned: DataFrame, changed: DataFrame, files: Data
     return functools.reduce(DataFrame.unionByName, rows)
 
 
-def verify_summary(plans: DataFrame, findings: DataFrame) -> DataFrame:
-    """Errors, warnings and notes per plan, and whether the check fails."""
+def verify_summary(plans: DataFrame, findings: DataFrame, fail_on: str = "error") -> DataFrame:
+    """Errors, warnings and notes per plan, and whether the check fails: at a finding of ``fail_on`` or worse."""
+    worse = {"error": ["errors"], "warning": ["errors", "warnings"], "info": ["errors", "warnings", "notes"]}[fail_on]
     n = lambda s: F.count_if(F.col("severity") == s)
     s = findings.groupBy("plan_id").agg(n("error").alias("errors"), n("warning").alias("warnings"), n("info").alias("notes"))
-    return plans.select("plan_id").join(s, "plan_id", "left").na.fill(0, ["errors", "warnings", "notes"]).withColumn("failed", F.col("errors") > 0)
+    return plans.select("plan_id").join(s, "plan_id", "left").na.fill(0, ["errors", "warnings", "notes"]).withColumn("failed", functools.reduce(Column.__or__, [F.col(c) > 0 for c in worse]))
 
 
 def explain(every: DataFrame, targets: DataFrame, files: DataFrame, excluded: DataFrame, limit: int = 8, cutoff: int = 4) -> DataFrame:
@@ -124,7 +125,14 @@ def explain(every: DataFrame, targets: DataFrame, files: DataFrame, excluded: Da
     cut = F.when(full, F.col("lowest")).otherwise(cutoff)
     t = t.withColumn("status", status)
     on = F.col("status").isin("ranked", "outside-limit", "below-cutoff")
-    return t.select(*by, "path", "status", F.when(F.col("status") == "ranked", F.col("rank")).alias("rank"), F.when(on, F.col("score")).alias("score"), F.when(F.col("status") == "ranked", F.col("confidence")).alias("confidence"), F.when(F.col("status").isin("outside-limit", "below-cutoff"), cut).alias("cutoff"))
+    return t.select(*by, "path", "status", F.when(F.col("status") == "ranked", F.col("rank")).alias("rank"), F.when(on, F.col("score")).alias("score"), F.when(F.col("status") == "ranked", F.col("confidence")).alias("confidence"), F.when(F.col("status").isin("outside-limit", "below-cutoff"), cut).alias("cutoff"), "pattern", F.when(on, F.col("reasons")).otherwise(F.array().cast("array<string>")).alias("reasons"))
+
+
+def saved(spark: SparkSession, path: str) -> DataFrame:
+    """``(label, report)`` of saved report files, a row each; a byte order mark at the start is no part of the text."""
+    files = spark.read.format("binaryFile").load(path)
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    return files.select(F.substring_index("path", "/", -1).alias("label"), F.regexp_replace(text, "^\ufeff", "").alias("report"))
 
 
 def validate(reports: DataFrame) -> DataFrame:

@@ -98,19 +98,23 @@ def holding(docs: DataFrame, passages: DataFrame, key: str = "doc_id", text: str
     """``(task, key)`` of every passage and each document that holds it as it stands.
 
     A run of letters, digits, ``_`` and ``$`` within a passage, not at its ends, is a run
-    of any text that holds the passage: the longest such run is joined by equality, and
-    only what that finds is read for the passage.  Passages without one are few words
-    long; these alone are held against every text.
+    of any text that holds the passage: of these the one in the fewest documents is joined
+    by equality, and only what that finds is read for the passage.  Passages without one
+    are few words long; these alone are held against every text.
     """
     runs = lambda c: T.find_all(c, "[A-Za-z0-9_$]+")
     inner = F.slice(runs(F.col(issue)), 2, F.greatest(F.size(runs(F.col(issue))) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
-    p = passages.select(task, F.col(issue).alias("_passage"), longest.alias("_run"))
+    p = passages.select(task, F.col(issue).alias("_passage"), F.array_distinct(inner).alias("_runs"))
+    asked = p.select(task, F.explode("_runs").alias("_run"))
     words = docs.select(key, F.explode(F.array_distinct(runs(F.col(text)))).alias("_run"))
-    near = words.join(p.where("_run is not null").select(task, "_run"), "_run").select(task, key)
+    words = written(words.join(asked.select("_run").distinct(), "_run", "left_semi"))
+    seen = words.groupBy("_run").agg(F.count("*").alias("_n"))
+    # a passage with a run that no document has is in none
+    rarest = asked.join(seen, "_run", "left").groupBy(task).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_run")).alias("_r")).where("_r.n > 0").select(task, "_r._run")
+    near = words.join(rarest, "_run").select(task, key)
     d = docs.select(key, F.col(text).alias("_text"))
     long = near.join(p.select(task, "_passage"), task).join(d, key).where(F.col("_text").contains(F.col("_passage")))
-    short = d.join(p.where("_run is null"), F.col("_text").contains(F.col("_passage")))
+    short = d.join(p.where("size(_runs) = 0").select(task, "_passage"), F.col("_text").contains(F.col("_passage")))
     return long.select(task, key).union(short.select(task, key))
 
 

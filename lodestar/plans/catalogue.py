@@ -358,7 +358,7 @@ def score_features(spark, sf_dir):
 
 
 # Tasks of a passage, a path, a name, a member and a quoted line; files of a document, its path, an import and a definition.
-_RANK_SQL = f"""{S.FILES}, size AS (SELECT count(*) AS n FROM files), aim AS (SELECT f.seq, f.path, f.text, 10 * ((f.seq * 7 + 3) % (n // 10)) + f.seq % 5 AS to_seq FROM files f, size),
+RANK_SQL = f"""{S.FILES}, size AS (SELECT count(*) AS n FROM files), aim AS (SELECT f.seq, f.path, f.text, 10 * ((f.seq * 7 + 3) % (n // 10)) + f.seq % 5 AS to_seq FROM files f, size),
 code AS (SELECT a.seq, a.path, t.path AS dst, a.text || chr(10) || '// ' || a.path || chr(10) || 'import {{ x }} from ' || chr(39) || '../../../' || coalesce(regexp_replace(t.path, '\\.ts$', ''), '') || chr(39) || chr(10) || 'export function openDoc' || a.seq || '() {{ return shared.member' || (a.seq % 50) || '; }}' AS text FROM aim a LEFT JOIN files t ON t.seq = a.to_seq),
 asked AS (SELECT item_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS plain, 10 * ((item_id * 37) % (n // 10)) + item_id % 6 AS k FROM benchmark, size),
 tasks AS (SELECT CAST(item_id AS VARCHAR) AS task_id, k, path AS named, plain || chr(10) || 'Fix openDoc' || k || ' in ' || path || ' where "return shared.member' || (k % 50) || ';" fails.' AS issue_text FROM asked JOIN files ON seq = k),
@@ -385,7 +385,7 @@ scored AS (SELECT b.*, coalesce(least(most, greatest(0, seed - base - 1)), 0) AS
 r AS (SELECT *, base + f21 AS score, row_number() OVER (PARTITION BY task_id ORDER BY base + f21 DESC, path COLLATE en_us, path) AS rank FROM scored WHERE base + f21 >= 4)"""
 
 
-def _document_tasks(spark, sf_dir):
+def document_tasks(spark, sf_dir):
     """``(files, tasks, changed)``: documents as files with an import and a definition, a task for each benchmark passage that names a path, a name, a member and a line."""
     n = t(spark, sf_dir, "documents").count()
     files = doc_files(spark, sf_dir)
@@ -406,30 +406,30 @@ _FEATURES = [f"f{k}" for k in range(1, 22)]
 _SEEN = "f1 f2 f4 f5 f7 f8 f9 f11 f12 f13 f19 f21".split()  # the others are zero here
 
 
-@query(f"""WITH {_RANK_SQL} SELECT task_id, CAST(rank AS INTEGER) AS rank, path, CAST(score AS INTEGER) AS score, {', '.join(f"CAST({c if c in _SEEN else 0} AS INTEGER) AS {c}" for c in _FEATURES)} FROM r WHERE rank <= 8""")
+@query(f"""WITH {RANK_SQL} SELECT task_id, CAST(rank AS INTEGER) AS rank, path, CAST(score AS INTEGER) AS score, {', '.join(f"CAST({c if c in _SEEN else 0} AS INTEGER) AS {c}" for c in _FEATURES)} FROM r WHERE rank <= 8""")
 def rank_documents(spark, sf_dir):
     """The whole ranking over documents as files, a task for each benchmark passage: ranks, scores and every feature."""
-    return ranking.rank(*_document_tasks(spark, sf_dir)).select("task_id", "rank", "path", "score", *_FEATURES)
+    return ranking.rank(*document_tasks(spark, sf_dir)).select("task_id", "rank", "path", "score", *_FEATURES)
 
 
-@query(f"""WITH {_RANK_SQL} SELECT task_id, CAST(max(score) FILTER (rank = 1) AS INTEGER) AS top_score, CAST(max(score) FILTER (rank = 2) AS INTEGER) AS runner_up, CAST(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2) AS INTEGER) AS top_gap,
+@query(f"""WITH {RANK_SQL} SELECT task_id, CAST(max(score) FILTER (rank = 1) AS INTEGER) AS top_score, CAST(max(score) FILTER (rank = 2) AS INTEGER) AS runner_up, CAST(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2) AS INTEGER) AS top_gap,
 coalesce(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 3) <= 2, false) AS clustered, 'high' AS confidence, 'anchored' AS specificity FROM r GROUP BY task_id""")
 def rank_documents_shape(spark, sf_dir):
     """Shape, confidence of the leader and specificity of the same ranking."""
-    r = ranking.rank(*_document_tasks(spark, sf_dir))
+    r = ranking.rank(*document_tasks(spark, sf_dir))
     return r.where("rank = 1").select("task_id", "top_score", "runner_up", "top_gap", "clustered", "confidence", "specificity")
 
 
-@query(f"WITH {_RANK_SQL} SELECT path AS src, dst FROM js")
+@query(f"WITH {RANK_SQL} SELECT path AS src, dst FROM js")
 def document_edges(spark, sf_dir):
     """Imports of the same files, with the limit of files that are read."""
-    return graph.import_edges(_document_tasks(spark, sf_dir)[0])[0].select("src", "dst")
+    return graph.import_edges(document_tasks(spark, sf_dir)[0])[0].select("src", "dst")
 
 
-@query(f"WITH {_RANK_SQL} SELECT path AS src, dst FROM js")
+@query(f"WITH {RANK_SQL} SELECT path AS src, dst FROM js")
 def document_edges_by_alias(spark, sf_dir):
     """The same imports, each by an alias of the folder that it leads to: one alias for each source and language."""
-    files = _document_tasks(spark, sf_dir)[0]
+    files = document_tasks(spark, sf_dir)[0]
     lit = F.lit
     folders = files.select(P.folder(F.col("path")).alias("folder")).distinct()  # a few for each source
     named = F.concat(lit('"@'), F.translate("folder", "/", "_"), lit('/*": ["'), "folder", lit('/*", "nowhere/*"]'))

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
-from ..operators import backtest, evaluation, exclusion, plan
+from ..operators import backtest, evaluation, exclusion, plan, ranking, reports
 from ..operators.signals import quotes
 from ..sources import scan
-from ..sources.tables import spread
+from ..sources.tables import spread, written
+from . import render
 from . import sql as S
-from .catalogue import CASES_SQL, doc_cases, doc_files, passages, query, t
+from .catalogue import CASES_SQL, RANK_SQL, doc_cases, doc_files, document_tasks, passages, query, t
 
 
 def _n(c: str | Column) -> Column:
@@ -267,3 +268,25 @@ def passage_mentions(spark, sf_dir):
     said = F.when(F.size("w") >= 2, F.concat("issue_text", F.lit(" See "), F.upper(F.substring_index(path, "/", -2)), F.lit(" please"))).otherwise(F.col("issue_text"))
     out = backtest.mentions_expected(b.select("task_id", said.alias("issue_text")), b.select("task_id", path.alias("path")))
     return out.select(F.col("task_id").alias("item_id"), "mentioned")
+
+
+# ---------------------------------------------------------------- explanations
+
+@query(f"""WITH {RANK_SQL}, seen AS (SELECT task_id, count(*) AS n, min(score) FILTER (rank <= 8) AS lowest FROM r GROUP BY task_id),
+targets AS (SELECT task_id, u.kind, CASE u.kind WHEN 'nowhere' THEN 'nowhere/' || task_id || '.ts' ELSE f.path END AS path FROM tasks CROSS JOIN (SELECT unnest(['own', 'test', 'text', 'nowhere']) AS kind, unnest([NULL, 6, 7, NULL]) AS last) AS u LEFT JOIN files f ON f.seq = CASE u.kind WHEN 'own' THEN k ELSE k - k % 10 + u.last END),
+j AS (SELECT t.task_id, t.kind, t.path, x.score, r.rank, n, lowest, n >= 8 AS is_full FROM targets t LEFT JOIN (SELECT task_id, path, base + f21 AS score FROM scored) x USING (task_id, path) LEFT JOIN r ON r.task_id = t.task_id AND r.path = t.path LEFT JOIN seen s ON s.task_id = t.task_id WHERE t.path IS NOT NULL),
+s AS (SELECT *, CASE WHEN kind = 'nowhere' THEN 'not-scanned' WHEN score IS NULL THEN 'excluded' WHEN rank <= 8 THEN 'ranked' WHEN is_full AND score >= lowest THEN 'outside-limit' ELSE 'below-cutoff' END AS status FROM j)
+SELECT task_id, kind, status, CASE status WHEN 'ranked' THEN 'Rank ' || rank || ' with a score of ' || score || ' and high confidence.' WHEN 'outside-limit' THEN 'A score of ' || score || ' reaches the lowest that is shown, ' || lowest || ', but others come first.'
+  WHEN 'below-cutoff' THEN 'A score of ' || score || ' is under ' || CASE WHEN is_full THEN lowest ELSE 4 END || '. A name, a quoted text or a path of this file in the task raises it.' WHEN 'excluded' THEN 'No candidate: tests, lock files and generated copies are not ranked.' ELSE 'Not scanned: no such file was read.' END AS says FROM s""")
+def document_explanations(spark, sf_dir):
+    """Why the file that a task names, a test, a text and a file that is not there are or are not among its files."""
+    f, tasks, changed = document_tasks(spark, sf_dir)
+    every = ranking.rank(f, tasks, changed, limit=None, cutoff=None)
+    named = tasks.select("repo_id", "task_id", F.regexp_extract("issue_text", r"Fix openDoc(\d+) in", 1).cast("bigint").alias("k"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), (F.col("k") if last is None else F.col("k") - F.pmod("k", F.lit(10)) + last).alias("seq")) for kind, last in (("own", None), ("test", 6), ("text", 7))]))
+    there = named.select("repo_id", "task_id", kinds.alias("x")).select("repo_id", "task_id", "x.kind", "x.seq").join(f.select("seq", "path"), "seq").select("repo_id", "task_id", "kind", "path")
+    targets = written(there.union(named.select("repo_id", "task_id", F.lit("nowhere").alias("kind"), F.concat(F.lit("nowhere/"), "task_id", F.lit(".ts")).alias("path"))))
+    none = spark.createDataFrame([], "repo_id string, path string, pattern string")
+    told = written(reports.explain(every, targets.select("repo_id", "task_id", "path"), f, none))
+    text = render.explanation_markdown(told).select("task_id", "path", F.element_at(F.split("text", "\n"), 3).alias("says"))
+    return targets.join(told.select("task_id", "path", "status"), ["task_id", "path"]).join(text, ["task_id", "path"]).select("task_id", "kind", "status", "says")

@@ -133,3 +133,16 @@ def fit(text: Column, most: int, note: str = "\n\n(cut to fit)\n") -> Column:
     head = T.truncate_utf8(text, most - len(note) - 4)
     fences = F.size(T.find_all(head, r"(?m)^```"))
     return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(head, F.when(fences % 2 == 1, F.lit("\n```")).otherwise(F.lit("")), F.lit(note)))
+
+
+def explanation_markdown(explained: DataFrame, by: list[str] = ["repo_id", "task_id"]) -> DataFrame:  # noqa: B006
+    """``(by..., path, text)`` of what ``reports.explain`` found: why a file is, or is not, among those of a task."""
+    n = lambda c: F.col(c).cast("string")
+    says = (
+        F.when(F.col("status") == "ranked", F.concat(F.lit("Rank "), n("rank"), F.lit(" with a score of "), n("score"), F.lit(" and "), "confidence", F.lit(" confidence.")))
+        .when(F.col("status") == "outside-limit", F.concat(F.lit("A score of "), n("score"), F.lit(" reaches the lowest that is shown, "), n("cutoff"), F.lit(", but others come first.")))
+        .when(F.col("status") == "below-cutoff", F.concat(F.lit("A score of "), n("score"), F.lit(" is under "), n("cutoff"), F.lit(". A name, a quoted text or a path of this file in the task raises it.")))
+        .when((F.col("status") == "excluded") & F.col("pattern").isNotNull(), F.concat(F.lit("Left out by the pattern "), T.code_span(F.col("pattern")), F.lit(".")))
+        .when(F.col("status") == "excluded", "No candidate: tests, lock files and generated copies are not ranked.").otherwise("Not scanned: no such file was read."))
+    signals = F.when(F.size("reasons") > 0, F.concat(F.lit("\n## Signals\n\n"), F.array_join(F.transform("reasons", lambda r: F.concat(F.lit("- "), r)), "\n"), F.lit("\n"))).otherwise("")
+    return explained.select(*by, "path", F.concat(F.lit("# Why "), T.code_span(F.col("path")), F.lit("\n\n"), says, F.lit("\n"), F.coalesce(signals, F.lit(""))).alias("text"))

@@ -184,3 +184,21 @@ def test_mentions_meet_every_path_that_they_name(spark):
     asked = spark.createDataFrame([("r", m) for m in names], "repo_id string, mention string")
     met = sorted(tuple(x) for x in grounding.paths_named(asked, files).select("mention", "path").collect())
     assert met == sorted(tuple(x) for x in asked.join(files, "repo_id").where(P.matches_mention(F.col("path"), F.col("mention"))).select("mention", "path").collect()) and met
+
+
+def test_saved_reports_with_a_mark(spark, tmp_path):
+    from lodestar.operators import reports
+
+    (tmp_path / "a.json").write_bytes(b"\xef\xbb\xbf" + b'{"contextFiles": [], "summary": "", "testRoutes": [], "risks": [], "changedFiles": [], "diagnostics": []}')
+    (tmp_path / "b.json").write_bytes(b"\xff not json")
+    got = {r.label: (r.valid, r.problem) for r in reports.validate(reports.saved(spark, f"file://{tmp_path}")).collect()}
+    assert got == {"a.json": (True, None), "b.json": (False, "not a report")}
+
+
+def test_a_wider_fail_level(spark):
+    from lodestar.operators import reports
+
+    plans = spark.createDataFrame([("p",), ("q",), ("r",)], "plan_id string")
+    found = spark.createDataFrame([("p", "warning"), ("q", "info")], "plan_id string, severity string")
+    failed = lambda level: {r.plan_id for r in reports.verify_summary(plans, found, level).where("failed").collect()}
+    assert failed("error") == set() and failed("warning") == {"p"} and failed("info") == {"p", "q"}
