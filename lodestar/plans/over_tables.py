@@ -160,9 +160,10 @@ def document_missing(spark, sf_dir):
 def document_git_listing(spark, sf_dir):
     """What git prints of the paths of each source, some as links to submodules."""
     f = doc_files(spark, sf_dir).select(F.substring_index("path", "/", 1).alias("repo_id"), "path", (_mod("seq", 9) == 0).alias("link"))
+    f = f.repartitionByRange("repo_id", "path").withColumn("part", F.spark_partition_id())  # listings in pieces, none as one row
     zero = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "\0")
     staged = F.concat(F.when(F.col("link"), "160000 ").otherwise("100644 "), F.repeat(F.lit("a"), 40), F.lit(" 0\t"), "path")
-    out = f.groupBy("repo_id").agg(F.concat(zero("path"), F.lit("\0"), F.min("path"), F.lit("\0")).alias("listed"), F.concat(zero(staged), F.lit("\0")).alias("staged"))
+    out = f.groupBy("repo_id", "part").agg(F.concat(zero("path"), F.lit("\0"), F.min("path"), F.lit("\0")).alias("listed"), F.concat(zero(staged), F.lit("\0")).alias("staged"))
     return scan.git_listing(out)
 
 
