@@ -94,12 +94,13 @@ def rebased(pattern: Column, root: Column) -> Column:
 
 
 def compiled(patterns: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """``(repo_id, ord, pattern, negated, folder, regex, literals)`` of ``patterns(repo_id, ord, pattern)``, all in the plan.
+    """``(repo_id, ord, pattern, negated, folder, regex, literals, keys)`` of ``patterns(repo_id, ord, pattern)``, all in the plan.
 
     Blanks and comments go, and so do repeats after a pattern's first use.  ``roots(repo_id,
     root)`` are absolute paths, for patterns that begin with one.  ``literals`` are the
-    segments that every match holds as whole segments; ``regex`` is null for a pattern
-    that matches nothing.
+    segments that every match holds as whole segments; ``keys`` are these as ``whole``, and
+    each ``prefix`` or ``suffix`` that some segment of every match has.  ``regex`` is null
+    for a pattern that matches nothing.
     """
     p = patterns
     if roots is not None:
@@ -115,32 +116,51 @@ def compiled(patterns: DataFrame, roots: DataFrame | None = None) -> DataFrame:
         inner = F.regexp_replace(inner, what, to)
     regex = F.concat(F.when(anchored, "^").otherwise("(?:^|/)"), inner, F.when(folder, "/").otherwise("(?:/|$)"))
     parts = F.split(body, "/")
-    # a double star takes the slash after it, so what follows one need not begin a segment
-    whole = F.transform(parts, lambda s, i: F.when((s != "") & ~s.rlike(r"[*?]") & ((i == 0) | ~F.get(parts, i - 1).endswith("**")), s))
+    # a double star takes the slash after it, so what follows one need not begin a segment, but ends one
+    begins = lambda i: (i == 0) | ~F.get(parts, i - 1).endswith("**")
+    whole = F.transform(parts, lambda s, i: F.when((s != "") & ~s.rlike(r"[*?]") & begins(i), s))
     literals = F.array_distinct(F.filter(whole, lambda s: s.isNotNull()))
-    return p.select("repo_id", "ord", "pattern", "negated", folder.alias("folder"), F.when(body != "", regex).alias("regex"), F.when(body != "", literals).alias("literals"))
+    key = lambda how, c: F.struct(F.lit(how).alias("how"), c.alias("key"))
+    start, end = (lambda s: F.regexp_extract(s, r"^[^*?]*", 0)), (lambda s: F.regexp_extract(s, r"[^*?]*$", 0))
+    cut = F.flatten(F.transform(parts, lambda s, i: F.when(begins(i) & ~s.rlike(r"[*?]"), F.array(key("whole", s))).when(begins(i), F.array(key("prefix", start(s)), key("suffix", end(s)))).otherwise(F.array(key("suffix", end(s))))))
+    keys = F.array_distinct(F.filter(cut, lambda k: k["key"] != ""))
+    return p.select("repo_id", "ord", "pattern", "negated", folder.alias("folder"), F.when(body != "", regex).alias("regex"), F.when(body != "", literals).alias("literals"), F.when(body != "", keys).alias("keys"))
 
 
 def matches_by_repository(paths: DataFrame, rule: DataFrame) -> DataFrame:
     """``(repo_id, path, ord, pattern, negated)`` of every match of ``paths(repo_id, path)`` with the rules of their repository.
 
-    A rule meets only the paths that hold the rarest of its literal segments, by an
-    equi-join; one of whose segments no path holds meets none.  Rules without a literal
-    segment meet the paths of their repository.
+    A rule meets only the paths that hold the rarest of its keys, a whole segment or how
+    one begins or ends, by an equi-join; one of whose keys no path holds meets none.
+    Each distinct segment is cut to the lengths that keys of its repository have.  Rules
+    without a key, such as ``*`` or ``*x*``, meet the paths of their repository.
     """
-    p = paths.select("repo_id", "path").distinct()
+    p = written(paths.select("repo_id", "path").distinct())
     held = p.select("repo_id", "path", F.explode(F.array_distinct(F.split("path", "/"))).alias("segment"))
-    asked = rule.where("regex is not null").select("repo_id", "ord", "pattern", "negated", "folder", "regex", "literals")
-    sought = asked.select("repo_id", "ord", F.explode("literals").alias("segment"))
-    held = written(held.join(sought.select("repo_id", "segment").distinct(), ["repo_id", "segment"], "left_semi"))
-    seen = held.groupBy("repo_id", "segment").agg(F.count("*").alias("n"))
-    rarest = sought.join(seen, ["repo_id", "segment"], "left").groupBy("repo_id", "ord").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "segment")).alias("s")).where("s.n > 0")
-    keyed = asked.join(rarest.select("repo_id", "ord", "s.segment"), ["repo_id", "ord"]).drop("literals")
+    asked = rule.where("regex is not null").select("repo_id", "ord", "pattern", "negated", "folder", "regex", "keys")
+    sought = asked.select("repo_id", "ord", F.inline("keys"))
+    lengths = sought.groupBy("repo_id").agg(*[F.collect_set(F.when(F.col("how") == how, F.length("key"))).alias(f"_{how}") for how in ("prefix", "suffix")])  # no longer than a segment is of use
+    size, segment = F.length("segment"), F.col("segment")
+    part = lambda how, c: F.struct(F.lit(how).alias("how"), c.alias("key"))
+    cuts = F.concat(
+        F.array(part("whole", segment)),
+        F.transform(F.filter("_prefix", lambda n: n <= size), lambda n: part("prefix", F.substring(segment, F.lit(1), n))),
+        F.transform(F.filter("_suffix", lambda n: n <= size), lambda n: part("suffix", F.substring(segment, size - n + 1, n))))
+    segments = held.groupBy("repo_id", "segment").agg(F.count("*").alias("n"))
+    keyed = segments.join(lengths, "repo_id").select("repo_id", "segment", "n", F.inline(cuts))
+    keyed = written(keyed.join(sought.select("repo_id", "how", "key").distinct(), ["repo_id", "how", "key"], "left_semi"))
+    seen = keyed.groupBy("repo_id", "how", "key").agg(F.sum("n").alias("n"))
+    least = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "how", "key")).alias("s")
+    rarest = sought.join(seen, ["repo_id", "how", "key"], "left").groupBy("repo_id", "ord").agg(least).where("s.n > 0").select("repo_id", "ord", "s.how", "s.key")
+    near = asked.drop("keys").join(rarest, ["repo_id", "ord"]).join(keyed.drop("n"), ["repo_id", "how", "key"])
     subject = F.when(F.col("folder"), F.concat("path", F.lit("/"))).otherwise(F.col("path"))
     hit = F.rlike(subject, F.col("regex"))
+    # several segments of a path may have one beginning or end: the first of them counts
+    has = lambda s: F.when(F.col("how") == "prefix", s.startswith(F.col("key"))).when(F.col("how") == "suffix", s.endswith(F.col("key"))).otherwise(s == F.col("key"))
+    first = F.get(F.filter(F.split("path", "/"), has), 0) == F.col("segment")
     cols = ["repo_id", "path", "ord", "pattern", "negated"]
-    by_segment = held.join(keyed, ["repo_id", "segment"]).where(hit).select(*cols)
-    return by_segment.union(p.join(asked.where(F.size("literals") == 0).drop("literals"), "repo_id").where(hit).select(*cols))
+    by_key = held.join(near, ["repo_id", "segment"]).where(first & hit).select(*cols)
+    return by_key.union(p.join(asked.where(F.size("keys") == 0).drop("keys"), "repo_id").where(hit).select(*cols))
 
 
 def excluded_by_repository(paths: DataFrame, rule: DataFrame) -> DataFrame:

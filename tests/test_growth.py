@@ -1,5 +1,8 @@
 """Steps whose work has to grow with their input, and no faster."""
 
+from pyspark.sql import functions as F
+
+from lodestar.operators import exclusion
 from lodestar.sources import scan
 
 
@@ -9,3 +12,25 @@ def test_a_listing_in_pieces(spark):
     out = spark.createDataFrame([("r", 1, "c\0a\0lib/sub\0", ""), ("r", 0, "a\0b\0a\0", links), ("s", 0, "a\0", ""), ("t", 0, None, None)], "repo_id string, part int, listed string, staged string")
     rows = sorted(tuple(r) for r in scan.git_listing(out).collect())
     assert rows == [("r", 0, "a", False), ("r", 1, "b", False), ("r", 2, "c", False), ("r", 3, "lib/sub", True), ("s", 0, "a", False)]
+
+
+def test_rules_with_wildcards_have_keys(spark):
+    """A rule without a whole segment meets segments by how they begin or end; a path counts once, however many of its segments do."""
+    globs = ["doc_7.??", "src/doc_1*", "**/x*.md", "**/package.json", "a**b", "*", "/*.ts/"]
+    rules = exclusion.compiled(spark.createDataFrame([("r", i, g) for i, g in enumerate(globs)], "repo_id string, ord int, pattern string"))
+    keys = {r.pattern: {(k.how, k.key) for k in r["keys"]} for r in rules.collect()}
+    assert keys == {
+        "doc_7.??": {("prefix", "doc_7.")}, "src/doc_1*": {("whole", "src"), ("prefix", "doc_1")}, "**/x*.md": {("suffix", ".md")}, "**/package.json": {("suffix", "package.json")},
+        "a**b": {("prefix", "a"), ("suffix", "b")}, "*": set(), "/*.ts/": {("suffix", ".ts")}}
+    paths = spark.createDataFrame([("r", p) for p in ("src/doc_12/doc_13.md", "doc_7.ts", "q/doc_7.ts", "doc_7.t", "q/xx.md", "my-package.json", "a/c/b", "a1/a2/b")], "repo_id string, path string")
+    got = sorted((r.pattern, r.path) for r in exclusion.matches_by_repository(paths, rules.where("pattern <> '*'")).collect())
+    assert got == [("**/package.json", "my-package.json"), ("**/x*.md", "q/xx.md"), ("/*.ts/", "doc_7.ts"), ("a**b", "a/c/b"), ("a**b", "a1/a2/b"), ("doc_7.??", "doc_7.ts"), ("doc_7.??", "q/doc_7.ts"), ("src/doc_1*", "src/doc_12/doc_13.md")]
+
+
+def test_many_rules_meet_few_paths(spark):
+    """Rules that begin a name of their own: rows from the join by key, and no rule is left to meet all paths."""
+    n = 20000
+    rules = exclusion.compiled(spark.range(n).select(F.lit("r").alias("repo_id"), F.col("id").alias("ord"), F.concat(F.lit("doc_"), F.col("id").cast("string"), F.lit(".??")).alias("pattern")))
+    assert rules.where("size(keys) = 0").count() == 0
+    paths = spark.range(n).select(F.lit("r").alias("repo_id"), F.concat(F.lit("src/doc_"), F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, ".ts").otherwise(".tsx")).alias("path"))
+    assert exclusion.excluded_by_repository(paths, rules).count() == n // 2
