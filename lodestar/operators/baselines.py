@@ -36,16 +36,21 @@ def by_bm25(files: DataFrame, tasks: DataFrame, limit: int = TOP) -> DataFrame:
     counted = written(counted)
     whole = counted.where(F.col("token") == retrieval.WHOLE).select("length", F.explode("policies").alias("policy"))
     corpora = whole.groupBy("policy").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    tf = counted.where(F.col("token") != retrieval.WHOLE).select("path", "token", "tf", "length", F.explode("policies").alias("policy"))
-    df = tf.groupBy("policy", "token").agg(F.count("*").alias("df"))
-    weighted = tf.join(df, ["policy", "token"]).join(F.broadcast(corpora), "policy")  # a row for each policy
-    scored = weighted.select("policy", "path", "token", retrieval.part().alias("part")).join(terms, "token").groupBy("policy", "task_id", "path").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
-    return _top(scored, [F.desc("score")], limit)
+    tf = counted.where(F.col("token") != retrieval.WHOLE)
+    df = tf.groupBy("policies", "token").agg(F.count("*").alias("df")).select("token", "df", F.explode("policies").alias("policy")).groupBy("policy", "token").agg(F.sum("df").alias("df"))
+    # what a term weighs under each policy is a small table; a score for each policy is a column until a file is done
+    stat = F.struct("n", "mean", "df")
+    weights = df.join(F.broadcast(corpora), "policy").groupBy("token").agg(*[F.max(F.when(F.col("policy") == p, stat)).alias(p) for p in POLICIES])  # a row for each policy
+    weights = written(terms.join(weights, "token"))
+    of = lambda p: F.when(F.array_contains("policies", p), retrieval.part(f"{p}.n", f"{p}.mean", f"{p}.df"))
+    sums = tf.repartition("path").join(weights, "token").groupBy("task_id", "path").agg(*[F.round(F.sum(of(p)), 6).alias(p) for p in POLICIES])
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), F.col(p).alias("score")) for p in POLICIES])).alias("x")
+    return _top(sums.select("task_id", "path", each).select("x.policy", "task_id", "path", "x.score").where("score > 0"), [F.desc("score")], limit)
 
 
 def by_literal(files: DataFrame, tasks: DataFrame, limit: int = TOP) -> DataFrame:
     """By distinct terms that stand in a file, then by how often; what a file holds is found once for all policies."""
-    scored = retrieval.literal_counts(files, tasks, "path").join(files.select("path", F.explode("policies").alias("policy")), "path")
+    scored = retrieval.literal_counts(files, tasks, "path", more=["policies"]).select("*", F.explode("policies").alias("policy"))
     return _top(scored, [F.desc("terms"), F.desc("occurrences")], limit)
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestar.operators import exclusion
+from lodestar.operators import baselines, exclusion, retrieval
 from lodestar.sources import scan
 
 
@@ -34,3 +34,15 @@ def test_many_rules_meet_few_paths(spark):
     assert rules.where("size(keys) = 0").count() == 0
     paths = spark.range(n).select(F.lit("r").alias("repo_id"), F.concat(F.lit("src/doc_"), F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, ".ts").otherwise(".tsx")).alias("path"))
     assert exclusion.excluded_by_repository(paths, rules).count() == n // 2
+
+
+def test_scores_of_all_pairs_do_not_travel(spark):
+    """A document's terms stay together, so a (task, document) row is summed where it is; only the best of a partition are exchanged."""
+    docs = spark.createDataFrame([(f"src/f{i}.ts", f"alpha beta{i % 3} gamma alpha{i}", ["raw", "code"] if i % 2 else ["raw"]) for i in range(3000)], "path string, text string, policies array<string>")
+    tasks = spark.createDataFrame([(1, "alpha beta1"), (2, "gamma beta2 alpha")], "task_id int, issue_text string")
+    for out in (retrieval.bm25(docs, tasks), retrieval.literal_search(docs, tasks), baselines.by_bm25(docs, tasks), baselines.by_literal(docs, tasks)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        sent = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "task_id#" in line]
+        assert len(sent) == 1 and "path#" not in sent[0]  # the window over the best of each partition
+    counts = {(r.task_id, r.path): (r.terms, r.occurrences) for r in retrieval.literal_counts(docs, tasks, more=["policies"]).collect()}
+    assert len(counts) == 6000 and counts[1, "src/f1.ts"] == (2, 3) and counts[2, "src/f2.ts"] == (3, 4) and counts[2, "src/f1.ts"] == (2, 3)
