@@ -26,12 +26,19 @@ def is_anchor(name: Column, issue: Column) -> Column:
     return issue.contains(F.concat(F.lit("`"), name, F.lit("`"))) | name.rlike("[_$0-9]") | name.rlike(r"[^\x00-\x7F]") | name.rlike("^[a-z][A-Za-z0-9_$]*[A-Z]") | (capitals >= 3)
 
 
+def _follows(text: Column, name: Column, before: str) -> Column:
+    """The whole name stands in the text after what ``before`` allows; the search goes by the name, which is quickly found."""
+    quoted = T.quote_regex(name)
+    return text.contains(name) & F.rlike(text, F.concat(quoted, F.lit(before), quoted, F.lit(")" + T.AFTER_NAME)))
+
+
 def defines(text: Column, name: Column) -> Column:
-    return text.contains(name) & F.rlike(text, F.concat(F.lit(T.DEFINES), T.quote_regex(name), F.lit(T.AFTER_NAME)))
+    # the first rule is wider than the second: a definition ends in white space, a star or "function"
+    return _follows(text, name, r"(?<=[\s*n]") & F.rlike(text, F.concat(F.lit(T.DEFINES), T.quote_regex(name), F.lit(T.AFTER_NAME)))
 
 
 def mentions(text: Column, name: Column) -> Column:
-    return text.contains(name) & F.rlike(text, F.concat(F.lit(T.BEFORE_NAME), T.quote_regex(name), F.lit(T.AFTER_NAME)))
+    return _follows(text, name, r"(?<![\p{L}\p{N}_$]")
 
 
 def definitions(text: Column) -> Column:

@@ -282,12 +282,12 @@ SELECT task_id, kind, status, CASE status WHEN 'ranked' THEN 'Rank ' || rank ||
 def document_explanations(spark, sf_dir):
     """Why the file that a task names, a test, a text and a file that is not there are or are not among its files."""
     f, tasks, changed = document_tasks(spark, sf_dir)
-    every = ranking.rank(f, tasks, changed, limit=None, cutoff=None)
     named = tasks.select("repo_id", "task_id", F.regexp_extract("issue_text", r"Fix openDoc(\d+) in", 1).cast("bigint").alias("k"))
     kinds = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), (F.col("k") if last is None else F.col("k") - F.pmod("k", F.lit(10)) + last).alias("seq")) for kind, last in (("own", None), ("test", 6), ("text", 7))]))
     there = named.select("repo_id", "task_id", kinds.alias("x")).select("repo_id", "task_id", "x.kind", "x.seq").join(f.select("seq", "path"), "seq").select("repo_id", "task_id", "kind", "path")
     targets = written(there.union(named.select("repo_id", "task_id", F.lit("nowhere").alias("kind"), F.concat(F.lit("nowhere/"), "task_id", F.lit(".ts")).alias("path"))))
+    shown = ranking.rank(f, tasks, changed, cutoff=None, also=targets)  # the best and the targets are all that an explanation reads
     none = spark.createDataFrame([], "repo_id string, path string, pattern string")
-    told = written(reports.explain(every, targets.select("repo_id", "task_id", "path"), f, none))
+    told = written(reports.explain(shown, targets.select("repo_id", "task_id", "path"), f, none))
     text = render.explanation_markdown(told).select("task_id", "path", F.element_at(F.split("text", "\n"), 3).alias("says"))
     return targets.join(told.select("task_id", "path", "status"), ["task_id", "path"]).join(text, ["task_id", "path"]).select("task_id", "kind", "status", "says")

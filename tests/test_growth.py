@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestar.operators import baselines, exclusion, retrieval, snapshots
+from lodestar.operators import baselines, exclusion, ranking, retrieval, snapshots
 from lodestar.sources import scan
 
 
@@ -56,3 +56,30 @@ def test_versions_cost_one_exchange_of_texts(spark):
     assert plan.count("Exchange hashpartitioning") == 1
     assert sorted(tuple(r) for r in out.collect()) == [("r", "a", 1, 3, "y"), ("r", "b", 2, 4, "z"), ("r", "b", 4, None, "w")]
     assert "max(text" not in out.drop("text")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_ranking_has_rows_of_what_it_may_show(spark, monkeypatch):
+    """Only what may be shown is a row with reasons, and the rows are those of the whole ranking; asked-for pairs come back beyond the limit."""
+    code = lambda i: f"import x from './f{(i * 7) % 200}'\nexport function openPart{i}() {{ return alpha beta{i % 5} gamma{i % 3}; }}"
+    rows = [("r", i, f"src/d{i % 4}/f{i}.ts", code(i), False, True, "code", True) for i in range(200)]
+    rows += [("r", 200 + i, p, code(i), False, True, "code", True) for i, p in enumerate(["dist/f3.js", "dist/f4.js", "dist/none.js"])]
+    rows += [("r", 300, "docs/f9.md", "gamma1 alpha", False, True, "documentation", True), ("r", 301, "test/f3.test.ts", "openPart3", True, True, "code", True), ("s", 0, "a.ts", "beta1", False, True, "code", True)]
+    files = spark.createDataFrame(rows, "repo_id string, seq long, path string, text string, is_test boolean, is_source boolean, kind string, text_complete boolean")
+    said = [("r", "1", "openPart3 in test/f3.test.ts loses beta1 and gamma2"), ("r", "2", "gamma1 of `openPart44` in src/d0/f8.ts and dist/f4.js"), ("r", "3", "alpha beta4 part"), ("r", "4", "write docs on gamma1"), ("s", "5", "beta1")]
+    tasks = spark.createDataFrame([(*x, None) for x in said], "repo_id string, task_id string, issue_text string, diff_text string")
+    changed = spark.createDataFrame([("r", "src/d1/f5.ts"), ("r", "src/d2/f6.ts")], "repo_id string, path string")
+    seen, score = [], ranking.score
+
+    def counted(cands, *more):
+        seen.append(cands.count())
+        return score(cands, *more)
+
+    every = {(r.task_id, r.path): r for r in ranking.rank(files, tasks, changed, limit=None, cutoff=None).collect()}
+    monkeypatch.setattr(ranking, "score", counted)
+    also = spark.createDataFrame([("r", "3", "src/d3/f199.ts"), ("r", "1", "no/such.ts"), ("r", "1", "dist/f4.js")], "repo_id string, task_id string, path string")
+    got = {(r.task_id, r.path): r for r in ranking.rank(files, tasks, changed, cutoff=None, also=also).collect()}
+    assert len(every) > 800 and sum(seen) < len(every) / 2
+    first = {k: r for k, r in every.items() if r.rank <= 8}
+    assert {k: r for k, r in got.items() if r.rank is not None} == first
+    assert {k for k, r in got.items() if r.rank is None} == {(r.task_id, r.path) for r in also.collect()} & set(every) - set(first)
+    assert all(got[k].score == every[k].score and got[k].reasons == every[k].reasons for k in got)
