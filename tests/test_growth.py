@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
-from lodestar.operators import baselines, exclusion, ranking, retrieval, snapshots
+from lodestar.operators import baselines, cochange, exclusion, ranking, retrieval, snapshots
 from lodestar.plans import catalogue
 from lodestar.sources import scan
 
@@ -103,3 +103,26 @@ def test_words_of_one_part_need_no_pattern(spark):
     got = {r.i: r.t for r in rows}
     assert got[0] == ["foobar", "foo", "bar", "foo_bar", "foo", "bar", "a_b", "ab_cdefg", "$x$", "abc", "abc", "abc", "abcdef", "x1y2z", "abc__defg", "abc", "defg", "__abc_", "foobar", "foo", "bar"]
     assert got[1] == ["caf", "bar", "stanbul", "elvin", "abc9def", "abc9", "def"] and got[2] == [] and got[3] is None
+
+
+def test_pairs_are_two_numbers_in_more_tasks_as_they_grow(spark, monkeypatch):
+    """A pair is dealt out once, as numbers, over partitions by how many pairs there are; seeds that are few, all or none of the files give the rows of the plain rule."""
+    monkeypatch.setattr(cochange, "PART", 50)
+    commits = {h: sorted({f"f{(h * k * k + k) % 23}" for k in range(1 + h % 6)}) for h in range(120)}
+    rows = spark.createDataFrame([(h, p) for h, ps in commits.items() for p in ps] + [(None, "f1"), (None, "f2"), (7, None)], "hash int, path string")
+    for seeds in (None, ["f1", "f2", "nowhere"], []):
+        asked = None if seeds is None else spark.createDataFrame([(x,) for x in seeds], "seed string")
+        out = cochange.pairs(rows, asked, ["hash"])
+        want = {}
+        for ps in commits.values():
+            for a in ps:
+                for b in ps:
+                    if a != b and (seeds is None or a in seeds):
+                        want[a, b] = want.get((a, b), 0) + 1
+        changes = {p: sum(p in ps for ps in commits.values()) for ps in commits.values() for p in ps}
+        got = sorted((r.seed, r.companion, r.occurrences, r.seed_changes) for r in out.collect())
+        assert got == sorted((a, b, n, changes[a]) for (a, b), n in want.items() if n >= 2)
+    assert sum(len(ps) * (len(ps) - 1) for ps in commits.values()) > 500
+    plan = cochange.pairs(rows, None, ["hash"])._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert len(dealt) == 1 and "hashpartitioning(a#" in dealt[0] and "_file#" not in dealt[0] and int(dealt[0].split("), REPARTITION")[0].rsplit(", ", 1)[1]) > 4
