@@ -95,12 +95,8 @@ def aliased(specs: DataFrame, known: DataFrame) -> DataFrame:
     return both.select(*specs.columns, root.alias("root"), "ord")
 
 
-def import_edges(files: DataFrame, max_files: int = MAX_FILES, max_edges: int = MAX_EDGES) -> tuple[DataFrame, DataFrame]:
-    """``files(repo_id, seq, path, text)`` -> edges ``(repo_id, src, dst)`` and cut counts per repository."""
-    f = files.where(P.extension(F.col("path")).isin(*JS_EXTENSIONS) & (F.length("text") > 0))
-    # keys alone are numbered; texts join what is to be read
-    f_keys = f.select("repo_id", "seq", "path").withColumn("n", F.row_number().over(Window.partitionBy("repo_id").orderBy("seq", "path")))
-    read = f.select("repo_id", "path", "text").join(f_keys.where(F.col("n") <= max_files).select("repo_id", "path"), ["repo_id", "path"], "left_semi")
+def _first_imports(files: DataFrame, read: DataFrame) -> DataFrame:
+    """``(repo_id, src, spec_ord, dst)``: what each specifier of ``read(repo_id, path, text)`` leads to among ``files``."""
     specs = read.select("repo_id", F.col("path").alias("src"), F.posexplode(specifiers(F.col("text"))).alias("spec_ord", "specifier"))
     near = specs.where(F.col("specifier").startswith(".")).withColumn("root", fold_path(F.concat_ws("/", F.when(P.folder(F.col("src")) != "", P.folder(F.col("src"))), F.col("specifier")))).where("root <> ''").withColumn("ord", F.lit(0))
     far = specs.where(~F.col("specifier").startswith("."))
@@ -112,7 +108,25 @@ def import_edges(files: DataFrame, max_files: int = MAX_FILES, max_edges: int =
     roots = near.select(*cols, place(0, first_of(F.col("ord"))).alias("ord")).union(named.select(*cols, place(0, first_of(F.col("ord"))).alias("ord"))).union(mapped.select(*cols, place(1, F.col("ord")).alias("ord")))
     tries = roots.select("repo_id", "src", "spec_ord", "ord", F.posexplode(candidates(F.col("root"))).alias("cand", "dst"))
     found = tries.join(files.select("repo_id", F.col("path").alias("dst")), ["repo_id", "dst"])
-    first = found.groupBy("repo_id", "src", "spec_ord").agg(F.min_by("dst", F.struct("ord", "cand")).alias("dst")).where("src <> dst")
+    return found.groupBy("repo_id", "src", "spec_ord").agg(F.min_by("dst", F.struct("ord", "cand")).alias("dst")).where("src <> dst")
+
+
+def _readable(files: DataFrame) -> DataFrame:
+    return files.where(P.extension(F.col("path")).isin(*JS_EXTENSIONS) & (F.length("text") > 0))
+
+
+def every_import(files: DataFrame) -> DataFrame:
+    """``files(repo_id, path, text, seq)`` -> edges ``(repo_id, src, dst)`` of all files and all their imports."""
+    return _first_imports(files, _readable(files).select("repo_id", "path", "text")).select("repo_id", "src", "dst").distinct()
+
+
+def import_edges(files: DataFrame, max_files: int = MAX_FILES, max_edges: int = MAX_EDGES) -> tuple[DataFrame, DataFrame]:
+    """``files(repo_id, seq, path, text)`` -> edges ``(repo_id, src, dst)`` and cut counts per repository."""
+    f = _readable(files)
+    # keys alone are numbered; texts join what is to be read
+    f_keys = f.select("repo_id", "seq", "path").withColumn("n", F.row_number().over(Window.partitionBy("repo_id").orderBy("seq", "path")))
+    read = f.select("repo_id", "path", "text").join(f_keys.where(F.col("n") <= max_files).select("repo_id", "path"), ["repo_id", "path"], "left_semi")
+    first = _first_imports(files, read)
     first = first.withColumn("k", F.row_number().over(Window.partitionBy("repo_id", "src").orderBy("spec_ord")))
     cuts = f_keys.groupBy("repo_id").agg(F.count_if(F.col("n") > max_files).alias("truncated_files"))
     over = first.where(F.col("k") > max_edges).groupBy("repo_id").agg(F.count_distinct("src").alias("truncated_edges"))

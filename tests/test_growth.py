@@ -3,9 +3,10 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from lodestar.functions import text as T
 from lodestar.llm import divergence
-from lodestar.operators import baselines, cochange, exclusion, ranking, retrieval, snapshots
+from lodestar.operators import baselines, cochange, exclusion, graph, ranking, retrieval, snapshots
 from lodestar.plans import catalogue
 from lodestar.sources import scan
 from lodestar.streaming import verify
@@ -92,6 +93,19 @@ def test_a_ranking_has_rows_of_what_it_may_show(spark, monkeypatch):
     assert all(got[k].score == every[k].score and got[k].reasons == every[k].reasons for k in got)
 
 
+def test_a_ranking_reads_the_imports_of_all_files(spark):
+    """No file and no import is left out, however many there are, and the SQL of rankings has no such limit either."""
+    n = 5002
+    files = spark.range(n).select(F.lit("r").alias("repo_id"), F.col("id").alias("seq"), F.format_string("d/f%04d.ts", "id").alias("path"), F.concat(F.lit("import x from './f"), F.lpad(((F.col("id") + 1) % n).cast("string"), 4, "0"), F.lit("'")).alias("text"))
+    assert graph.every_import(files).count() == n and graph.import_edges(files)[0].count() == 5000
+    rows = [(i, f"f{i}.ts", "alpha") for i in range(205)] + [(300, "hub.ts", "\n".join(f"import x from './f{i}'" for i in range(205)))]
+    few = spark.createDataFrame([("r", i, p, x, False, True, "code", True) for i, p, x in rows], "repo_id string, seq long, path string, text string, is_test boolean, is_source boolean, kind string, text_complete boolean")
+    tasks = spark.createDataFrame([("r", "1", "alpha of hub.ts", None)], "repo_id string, task_id string, issue_text string, diff_text string")
+    near = ranking.rank(few, tasks, few.select("repo_id", "path").limit(0), limit=None, cutoff=None).where("f21 = 4").count()
+    assert near == 205
+    assert all("n <= 5000" not in __spark_entry__.oracle_sql()[q] for q in ("rank_documents", "rank_documents_shape", "document_explanations"))
+
+
 def test_two_runs_read_the_documents_once(spark):
     """Two rankings of the same documents are one job; their plans, and those of the cases, hold what was written and no search again."""
     for out in (*catalogue._two_runs(spark, SF), catalogue.doc_cases(spark, SF)):
