@@ -13,20 +13,23 @@ from ..sources.tables import written
 JS_EXTENSIONS = ".cjs .cts .js .jsx .mjs .mts .svelte .ts .tsx .vue".split()
 RESOLVE = ".ts .tsx .mts .cts .js .jsx .mjs .cjs .vue .svelte".split()
 COMPILED = {".js": (".ts", ".tsx"), ".mjs": (".mts",), ".cjs": (".cts",)}
-_W = r"(?<![A-Za-z0-9_])"
-# How a file names what it imports.
+# How a file names what it imports.  A pattern begins with its word, which is quickly found, and then looks back.
+_IMPORT, _EXPORT, _REQUIRE = (rf"{w}(?<![A-Za-z0-9_]{w})" for w in ("import", "export", "require"))
 SPECIFIERS = (
-    _W + r"""import\s+[^'"()]*?from\s*["']([^"'\n]+)["']""",
-    _W + r"""import\s*["']([^"'\n]+)["']""",
-    _W + r"""export\s+[^'"()]*?from\s*["']([^"'\n]+)["']""",
-    _W + r"""require\s*\(\s*["']([^"'\n]+)["']\s*\)""",
-    _W + r"""import\s*\(\s*["']([^"'\n]+)["']\s*\)""",
+    _IMPORT + r"""\s+[^'"()]*?from\s*["']([^"'\n]+)["']""",
+    _IMPORT + r"""\s*["']([^"'\n]+)["']""",
+    _EXPORT + r"""\s+[^'"()]*?from\s*["']([^"'\n]+)["']""",
+    _REQUIRE + r"""\s*\(\s*["']([^"'\n]+)["']\s*\)""",
+    _IMPORT + r"""\s*\(\s*["']([^"'\n]+)["']\s*\)""",
 )
 MAX_FILES, MAX_EDGES = 5000, 200
 
 
 def specifiers(text: Column) -> Column:
-    return F.array_distinct(F.concat(*[T.find_all(text, p, 1) for p in SPECIFIERS]))
+    found = {p: T.find_all(text, p, 1) for p in SPECIFIERS}
+    required = SPECIFIERS[3]
+    found[required] = F.when(text.contains("require"), found[required]).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*found.values()))
 
 
 def fold_path(path: Column) -> Column:
@@ -53,6 +56,14 @@ def candidates(root: Column) -> Column:
     return F.concat(F.array(root), compiled, plain, F.array(*[F.concat(root, F.lit(f"/index{e}")) for e in RESOLVE]))
 
 
+def roots_of(path: Column) -> Column:
+    """All roots that have the path among their ``candidates``."""
+    without = lambda end: F.when(path.endswith(end), T.cut(path, len(end)))
+    ends = [without(e) for x in RESOLVE for e in (x, f"/index{x}")]
+    compiled = [F.concat(without(s), F.lit(e)) for e, sources in COMPILED.items() for s in sources]
+    return F.array_distinct(F.array_compact(F.array(path, *ends, *compiled)))
+
+
 def workspace_roots(files: DataFrame) -> DataFrame:
     """``(repo_id, specifier, ord, root)`` of packages that manifests name."""
     m = files.where(P.name(F.col("path")) == "package.json").select("repo_id", P.folder(F.col("path")).alias("dir"), F.from_json("text", "name string, source string, module string, main string, types string").alias("m")).where("length(trim(m.name)) > 0")
@@ -97,7 +108,7 @@ def aliased(specs: DataFrame, known: DataFrame) -> DataFrame:
 
 def _first_imports(files: DataFrame, read: DataFrame) -> DataFrame:
     """``(repo_id, src, spec_ord, dst)``: what each specifier of ``read(repo_id, path, text)`` leads to among ``files``."""
-    specs = read.select("repo_id", F.col("path").alias("src"), F.posexplode(specifiers(F.col("text"))).alias("spec_ord", "specifier"))
+    specs = written(read.select("repo_id", F.col("path").alias("src"), F.posexplode(specifiers(F.col("text"))).alias("spec_ord", "specifier")))
     near = specs.where(F.col("specifier").startswith(".")).withColumn("root", fold_path(F.concat_ws("/", F.when(P.folder(F.col("src")) != "", P.folder(F.col("src"))), F.col("specifier")))).where("root <> ''").withColumn("ord", F.lit(0))
     far = specs.where(~F.col("specifier").startswith("."))
     named = far.join(workspace_roots(files), ["repo_id", "specifier"]).select("repo_id", "src", "spec_ord", "specifier", "root", "ord")
@@ -106,8 +117,9 @@ def _first_imports(files: DataFrame, read: DataFrame) -> DataFrame:
     first_of = lambda c: F.struct(F.lit(0).cast("bigint").alias("seq"), F.lit(0).alias("at"), c.alias("pos"))
     cols = ["repo_id", "src", "spec_ord", "specifier", "root"]
     roots = near.select(*cols, place(0, first_of(F.col("ord"))).alias("ord")).union(named.select(*cols, place(0, first_of(F.col("ord"))).alias("ord"))).union(mapped.select(*cols, place(1, F.col("ord")).alias("ord")))
-    tries = roots.select("repo_id", "src", "spec_ord", "ord", F.posexplode(candidates(F.col("root"))).alias("cand", "dst"))
-    found = tries.join(files.select("repo_id", F.col("path").alias("dst")), ["repo_id", "dst"])
+    # paths come back as the few roots that may mean them, not roots as the many paths that they may mean
+    known = files.select("repo_id", F.col("path").alias("dst"), F.explode(roots_of(F.col("path"))).alias("root"))
+    found = roots.select("repo_id", "src", "spec_ord", "ord", "root").join(known, ["repo_id", "root"]).withColumn("cand", F.array_position(candidates(F.col("root")), F.col("dst"))).where("cand > 0")
     return found.groupBy("repo_id", "src", "spec_ord").agg(F.min_by("dst", F.struct("ord", "cand")).alias("dst")).where("src <> dst")
 
 

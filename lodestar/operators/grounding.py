@@ -77,25 +77,33 @@ def may_hold(sought: DataFrame, files: DataFrame) -> DataFrame:
     return near.select(*sought.columns, "path").union(every.select(*sought.columns, "path"))
 
 
-def ground_identifiers(signals: DataFrame, files: DataFrame) -> DataFrame:
+def ground_identifiers(signals: DataFrame, files: DataFrame, exact: DataFrame | None = None, defined: DataFrame | None = None) -> DataFrame:
     """``(repo_id, task_id, ord, identifier, status, matched_files)``.
 
     Names meet the texts of their own repository that may hold them, all files counting,
-    and definitions by the parts that names share; ``files`` is best a table.
+    and definitions by the parts that names share; ``files`` is best a table.  A caller
+    may have found them: ``exact(repo_id, identifier, path, seq, level)``, where 3 defines
+    a name and 2 mentions it, and ``defined(repo_id, path, seq, at, name)``.
     """
     names = signals.select("repo_id", "task_id", "issue_text", F.posexplode("identifiers").alias("ord", "identifier")).where(is_anchor(F.col("identifier"), F.coalesce("issue_text", F.lit(""))))
     names = names.select("repo_id", "task_id", "ord", "identifier")
     sought = written(names.select("repo_id", "identifier").distinct())
     by = ["repo_id", "identifier"]
     text = F.coalesce("text", F.lit(""))
-    near = may_hold(sought.withColumn("needle", F.col("identifier")), files).select(*by, "path").join(files.select("repo_id", "path", "seq", text.alias("text")), ["repo_id", "path"])
-    exact = near.select(*by, "path", "seq", F.when(defines(F.col("text"), F.col("identifier")), 3).when(mentions(F.col("text"), F.col("identifier")), 2).otherwise(0).alias("level")).where("level > 0")
+    if exact is None:
+        near = may_hold(sought.withColumn("needle", F.col("identifier")), files).select(*by, "path").join(files.select("repo_id", "path", "seq", text.alias("text")), ["repo_id", "path"])
+        exact = near.select(*by, "path", "seq", F.when(defines(F.col("text"), F.col("identifier")), 3).when(mentions(F.col("text"), F.col("identifier")), 2).otherwise(0).alias("level")).where("level > 0")
+    exact = exact.join(sought, by, "left_semi").select(*by, "path", "seq", "level")
     # a definition whose parts hold all parts of the name
     parts = sought.select(*by, T.tokenize_identifier(F.col("identifier")).alias("parts")).where("size(parts) >= 2").select(*by, F.array_distinct("parts").alias("parts"))
-    defined = files.join(parts.select("repo_id").distinct(), "repo_id", "left_semi").select("repo_id", "path", "seq", F.posexplode(definitions(text)).alias("at", "name"))
-    tokens = defined.select("repo_id", "path", "seq", "at", F.explode(F.array_distinct(T.tokenize_identifier(F.col("name")))).alias("part"))
-    shared = tokens.join(parts.select(*by, F.size("parts").alias("n"), F.explode("parts").alias("part")), ["repo_id", "part"])
-    partial = shared.groupBy(*by, "path", "seq", "at", "n").agg(F.count("*").alias("k")).where("k = n").select(*by, "path", "seq").distinct().withColumn("level", F.lit(1))
+    if defined is None:
+        defined = files.join(parts.select("repo_id").distinct(), "repo_id", "left_semi").select("repo_id", "path", "seq", F.posexplode(definitions(text)).alias("at", "name"))
+    # a name is met by the rarest of its parts, and the others are looked up there
+    whole = defined.select("repo_id", "path", "seq", F.array_distinct(T.tokenize_identifier(F.col("name"))).alias("held"))
+    tokens, each = whole.select("*", F.explode("held").alias("part")), parts.select("*", F.explode("parts").alias("part"))
+    spread = tokens.join(each.select("repo_id", "part").distinct(), ["repo_id", "part"], "left_semi").groupBy("repo_id", "part").agg(F.count("*").alias("k"))
+    rarest = each.join(spread, ["repo_id", "part"], "left").groupBy(*by).agg(F.min_by("part", F.struct(F.coalesce("k", F.lit(0)), "part")).alias("part"), F.first("parts").alias("parts"))
+    partial = tokens.join(written(rarest), ["repo_id", "part"]).where(F.size(F.array_except("parts", "held")) == 0).select(*by, "path", "seq").distinct().withColumn("level", F.lit(1))
     # the first files of the best level are taken before any list is made: a common name stands in many
     order = Window.partitionBy(*by).orderBy(F.desc("level"), "seq", "path")
     top = exact.union(partial.select(*exact.columns)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= MATCHED)

@@ -119,13 +119,22 @@ def member_mentions(text: Column) -> Column:
     return F.array_distinct(F.filter(T.find_all(text, MEMBER, 1), lambda m: ~F.lower(m).isin(*NO_MEMBERS)))
 
 
-def task_signals(tasks: DataFrame, issue: str = "issue_text", diff: str = "diff_text") -> DataFrame:
-    """``tasks`` with what each says, in columns; null texts count as empty."""
+def _read(tasks: DataFrame, issue: str, diff: str) -> DataFrame:
     t = tasks.withColumn("_issue", F.coalesce(issue, F.lit(""))).withColumn("_diff", F.coalesce(diff, F.lit("")))
     t = t.withColumn("_c", T.checklist(T.redact(F.col("_issue")))).withColumn("_seen", T.strip_comments(F.col("_c.text")))
     t = t.withColumn("_plain", T.strip_links(F.col("_seen")))
-    t = t.withColumn("_task", F.concat("_plain", F.lit("\n"), T.strip_links(T.redact(T.added_lines(F.col("_diff"))))))
-    t = t.withColumn("_quoted", quotes(F.col("_task")))
+    return t.withColumn("_task", F.concat("_plain", F.lit("\n"), T.strip_links(T.redact(T.added_lines(F.col("_diff"))))))
+
+
+def task_tokens(tasks: DataFrame, issue: str = "issue_text", diff: str = "diff_text") -> DataFrame:
+    """``tasks`` with their ``tokens`` alone."""
+    t = _read(tasks, issue, diff)
+    return t.select(*[t[c] for c in tasks.columns], T.tokenize(F.col("_task")).alias("tokens"))
+
+
+def task_signals(tasks: DataFrame, issue: str = "issue_text", diff: str = "diff_text") -> DataFrame:
+    """``tasks`` with what each says, in columns; null texts count as empty."""
+    t = _read(tasks, issue, diff).withColumn("_quoted", quotes(F.col("_task")))
     return t.select(
         *[t[c] for c in tasks.columns],
         F.concat("_issue", F.lit("\n"), "_diff").alias("task_text"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from lodestar.functions import text as T
 from lodestar.llm import divergence
-from lodestar.operators import baselines, cochange, exclusion, graph, ranking, retrieval, snapshots
+from lodestar.operators import baselines, cochange, exclusion, graph, grounding, holding, ranking, retrieval, snapshots
 from lodestar.plans import catalogue
 from lodestar.sources import scan
 from lodestar.streaming import verify
@@ -93,6 +93,51 @@ def test_a_ranking_has_rows_of_what_it_may_show(spark, monkeypatch):
     assert all(got[k].score == every[k].score and got[k].reasons == every[k].reasons for k in got)
 
 
+def test_a_string_that_all_files_hold_makes_no_rows(spark, monkeypatch):
+    """Members and quoted texts are counted where the pairs are; rows with reasons are of what may be shown, however many files hold a string of the task."""
+    rows = [("r", i, f"src/d{i % 4}/f{i}.ts", f"export function openPart{i}() {{ return shared.member1; }} alpha{i % 7}", False, True, "code", True) for i in range(300)]
+    files = spark.createDataFrame(rows, "repo_id string, seq long, path string, text string, is_test boolean, is_source boolean, kind string, text_complete boolean")
+    said = [("r", str(i), f'Fix openPart{i} where "return shared.member1;" loses alpha{i}', None) for i in range(3)]
+    tasks = spark.createDataFrame(said, "repo_id string, task_id string, issue_text string, diff_text string")
+    none, seen, score = files.select("repo_id", "path").limit(0), [], ranking.score
+
+    def counted(cands, *more):
+        seen.append(cands.count())
+        return score(cands, *more)
+
+    every = {(r.task_id, r.path): r for r in ranking.rank(files, tasks, none, limit=None, cutoff=None).where("rank <= 8").collect()}
+    monkeypatch.setattr(ranking, "score", counted)
+    got = {(r.task_id, r.path): r for r in ranking.rank(files, tasks, none, cutoff=None).collect()}
+    assert got == every and all(r.f7 == r.f8 == 8 for r in got.values())
+    assert sum(seen) <= 3 * 10
+
+
+def test_texts_meet_the_words_of_tasks(spark):
+    """The forms of a stem are all words that have it, and a text that holds a string has the string's word, whatever stands around it."""
+    said = "stopped stop stops stopping passes pass boxes box carried carry carries running run scss css contributors contribute files filed filing file tries happening lying status kubernetes ciónñs"
+    words = spark.createDataFrame([(w,) for w in said.split()], "w string").select("w", F.explode(T.tokenize(F.col("w"))).alias("token"))
+    assert words.count() >= 26 and words.where(~F.array_contains(T.forms(F.col("token")), F.col("w"))).count() == 0
+    texts = ["see openDoc5.", "functionopenDoc5 x", "function openDoc5() {", "xopenDoc5", "https://a.b/openDoc5/c", "x = const k = 'two words here'", "prewords two words hereafter", "_ab ab_ $ab", "a ΟΔΟΣ.Α", "openDoc52", "http2 Straße", "let v = \"q ΟΔΟΣ.Α z", None]
+    files = spark.createDataFrame([("r", f"p{i}", i, x) for i, x in enumerate(texts)], "repo_id string, path string, fid long, text string")
+    names, quoted = ["openDoc5", "ab", "_ab", "$ab", "ΟΔΟΣ", "Straße"], ["two words here", "words", "q ΟΔΟΣ.Α z", "openDoc5", "a.b/o"]
+    signals = spark.createDataFrame([("r", names, [], quoted)], "repo_id string, member_mentions array<string>, identifiers array<string>, exact_fragments array<string>")
+    needles = holding.needles_of(signals)
+    keys = holding.needle_keys(needles)
+    found = holding.held(files, holding.met(files, keys), needles, keys).join(needles, "id").collect()
+    got = {k: {(r.needle, r.fid) for r in found if r[k]} for k in ("mentions", "defines", "has", "assigned")}
+    pairs = files.where("text is not null").crossJoin(spark.createDataFrame([(x, x in names) for x in dict.fromkeys(names + quoted)], "n string, name boolean"))
+    pairs = pairs.select("n", "fid", (F.col("name") & grounding.mentions(F.col("text"), F.col("n"))).alias("mentions"), (F.col("name") & grounding.defines(F.col("text"), F.col("n"))).alias("defines"), (F.col("n").isin(quoted) & F.col("text").contains(F.col("n"))).alias("has")).collect()
+    for k in ("mentions", "defines", "has"):
+        assert got[k] == {(r.n, r.fid) for r in pairs if r[k]} and got[k]
+    assert got["assigned"] == {("q ΟΔΟΣ.Α z", 11), ("two words here", 5)}
+
+
+def test_a_path_comes_back_as_all_roots_that_may_mean_it(spark):
+    roots = ["a/b", "a/b.js", "a/b.mjs", "a/b.cjs", "a/b.ts", "a/b.tsx", "a", "a/b.vue", "a/index", "a/b.c", "a/.x"]
+    r = spark.createDataFrame([(x,) for x in roots], "root string").select("root", F.explode(graph.candidates(F.col("root"))).alias("dst"))
+    assert r.count() > 100 and r.where(~F.array_contains(graph.roots_of(F.col("dst")), F.col("root"))).count() == 0
+
+
 def test_a_ranking_reads_the_imports_of_all_files(spark):
     """No file and no import is left out, however many there are, and the SQL of rankings has no such limit either."""
     n = 5002
